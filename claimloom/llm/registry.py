@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from claimloom.llm import neardup, packing
-from claimloom.llm.common import table
+from claimloom.llm import language, neardup, packing
+from claimloom.llm.common import held_out, table
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +17,20 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def language_field(docs: DataFrame) -> language.Field:
+    """Fitted to labelled documents outside the held-out fold."""
+    return language.fit(language.sample(docs, ~held_out(F.col("doc_id"), 4, 2), "lang", "doc_id", "text"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language_field(docs), ["doc_id"]).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op3_minhash": op3_minhash,
     "op4_packing": op4_packing,
+    "op9_language": op9_language,
 }
 
 ORACLES: dict[str, str] = {}
