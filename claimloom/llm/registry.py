@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import language, neardup, packing
+from claimloom.llm import language, neardup, packing, toxicity
 from claimloom.llm.common import held_out, table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(*toxicity.sample(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 3, 1)))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
@@ -28,6 +35,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_minhash": op3_minhash,
     "op4_packing": op4_packing,
     "op9_language": op9_language,
