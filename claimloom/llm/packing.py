@@ -12,8 +12,8 @@ documents. An empty table gives no rows. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import base64
 import bisect
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,14 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import buffers, groups_for, slices, span_hashes, written
+from claimloom.llm.common import groups_for, written
 
 WINDOW = 1024
 OPEN_WINDOWS = 64
 END_ID = 0
 MERGE_GROUP = 4096
-#: Distinct word pieces whose ids a worker keeps; beyond, it starts again.
-CACHE_PIECES = 400_000
+SPECIAL = {"<|endoftext|>": 50256}
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, window long, at long, fill long, open boolean"
 
@@ -38,76 +37,30 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def default_vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def default_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
 
 
 class Encoder:
-    """Ids of whole texts, as the tokenizer file gives them without special tokens added.
+    """Ids of whole texts under a byte-level BPE; a special token's string becomes its id."""
 
-    Byte-level BPE never joins bytes across a space that stands before a printing character:
-    the space opens the next piece. So a text's ids are those of its space-led pieces, and
-    each distinct piece is encoded once. A text that spells a special token is encoded whole.
-    """
+    def __init__(self, path: str, pattern: str, special: dict[str, int]):
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.bpe = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        self.special = tuple(special)
 
-    #: First bytes after a space that surely aren't white space.
-    _SOLID = np.zeros(256, bool)
-    _SOLID[0x21:0x7F] = True
-    _SOLID[0xC3:0xE1] = True
-    _SOLID[0xE4:0xF5] = True
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added)).encode()) if added else None
-        self.reset()
-
-    def reset(self) -> None:
-        self.at: dict[int, int] = {}
-        self.ids = [np.zeros(0, np.uint32)]
-        self.flat = np.zeros(0, np.uint32)
-        self.begin = np.zeros(1, np.int64)
-
-    def _add(self, keys: list[int], pieces: list[str]) -> None:
-        got = [e.ids for e in self.whole.encode_batch_fast(pieces, add_special_tokens=False)]
-        n = len(self.begin) - 1
-        self.at.update(zip(keys, range(n, n + len(keys)), strict=True))
-        self.flat = np.concatenate([self.flat, np.fromiter((x for g in got for x in g), np.uint32)])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(g) for g in got])])
-
-    def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and where each text's ids begin."""
-        n = len(off) - 1
-        raw = data.tobytes()
-        odd = sorted({int(np.searchsorted(off, m.start(), side="right")) - 1 for m in self.special.finditer(raw)}) if self.special else []
-        cut = np.zeros(len(data) + 1, bool)
-        if len(data) > 1:
-            cut[:-2] = (data[:-1] == 0x20) & self._SOLID[data[1:]]
-        filled = off[:-1][off[1:] > off[:-1]]
-        cut[off] = False
-        cut[filled] = True
-        starts = np.flatnonzero(cut)
-        ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        keys, first, back = np.unique(span_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
-        if len(self.at) > CACHE_PIECES:
-            self.reset()
-        as_int = keys.tolist()
-        new = [i for i, k in enumerate(as_int) if k not in self.at]
-        if new:
-            a, b = starts[first[new]].tolist(), ends[first[new]].tolist()
-            self._add([as_int[i] for i in new], [raw[x:y].decode("utf-8") for x, y in zip(a, b, strict=True)])
-        slot = np.fromiter(map(self.at.__getitem__, as_int), np.int64, len(as_int))[back]
-        size = self.begin[slot + 1] - self.begin[slot]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(self.begin[slot] - upto[:-1], size) + np.arange(upto[-1])]
-        bounds = upto[np.searchsorted(starts, off)]
-        if odd:
-            rows = [ids[bounds[i] : bounds[i + 1]] for i in range(n)]
-            for i in odd:
-                rows[i] = np.array(self.whole.encode(raw[off[i] : off[i + 1]].decode("utf-8"), add_special_tokens=False).ids, np.uint32)
-            ids, bounds = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-        return ids, bounds
+    def __call__(self, text: str) -> list[int]:
+        if any(s in text for s in self.special):
+            return self.bpe.encode(text, allowed_special="all")
+        return self.bpe.encode_ordinary(text)
 
 
 class Windows:
@@ -134,22 +87,18 @@ class Windows:
         return window, fill
 
 
-def _packed(vocabulary: str, size: int, most: int, id_col: str):
+def _packed(vocabulary: str, pattern: str, special: dict[str, int], size: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, windows = Encoder(vocabulary), Windows(size, most)
+        encoder, windows = Encoder(vocabulary, pattern, special), Windows(size, most)
         part = TaskContext.get().partitionId()
         held: list[list] = []
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            data, off = buffers(batch.column(1))
-            for i, j in slices(off):
-                ids, bounds = encoder(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                for k in range(j - i):
-                    doc = np.append(ids[bounds[k] : bounds[k + 1]], END_ID).astype("<u4")
-                    for start in range(0, len(doc), size):
-                        piece = doc[start : start + size]
-                        window, at = windows.place(len(piece))
-                        held.append([doc_ids[i + k], start, len(piece), zlib.crc32(piece.tobytes()), len(doc), part, window, at])
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                doc = np.array([*encoder(text.as_py() or ""), END_ID], "<u4")
+                for start in range(0, len(doc), size):
+                    piece = doc[start : start + size]
+                    window, at = windows.place(len(piece))
+                    held.append([doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(doc), part, window, at])
             # A window that is no longer open is full for good: its rows can go.
             still = {w for _, w in windows.open}
             done = [r for r in held if r[6] not in still]
@@ -187,13 +136,13 @@ def _merged(size: int):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, open_windows: int = OPEN_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, special: dict[str, int] = SPECIAL, window: int = WINDOW, open_windows: int = OPEN_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length.
 
     padded_length: the window, but a sequence whose length is a power of two stays so.
     """
-    vocabulary = vocabulary or default_vocabulary()
-    pieces = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_packed(vocabulary, window, open_windows, id_col), PIECES))
+    vocabulary, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
+    pieces = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_packed(vocabulary, pattern, special, window, open_windows), PIECES))
     left = pieces.where("open").groupBy("part", "window").agg(F.max("fill").alias("fill"))
     groups = groups_for(left.count(), MERGE_GROUP)
     merged = left.withColumn("grp", F.pmod(F.xxhash64("part", "window"), F.lit(groups))).groupBy("grp").applyInPandas(_merged(window), "part long, window long, to_part long, to_window long, base long")
