@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import language, neardup, packing, toxicity
+from claimloom.llm import ann, language, neardup, packing, toxicity
 from claimloom.llm.common import held_out, table
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(*toxicity.sample(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 3, 1)))
@@ -35,6 +40,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_multi_index": op1_multi_index,
     "op2_toxicity": op2_toxicity,
     "op3_minhash": op3_minhash,
     "op4_packing": op4_packing,
