@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import ann, language, neardup, packing, toxicity
+from claimloom.llm import ann, language, neardup, packing, pii, toxicity
 from claimloom.llm.common import held_out, table
 
 
@@ -29,6 +29,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents"), ["doc_id"]))
+
+
 def language_field(docs: DataFrame) -> language.Field:
     """Fitted to labelled documents outside the held-out fold."""
     return language.fit(language.sample(docs, ~held_out(F.col("doc_id"), 4, 2), "lang", "doc_id", "text"))
@@ -44,6 +48,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_minhash": op3_minhash,
     "op4_packing": op4_packing,
+    "op7_pii": op7_pii,
     "op9_language": op9_language,
 }
 
