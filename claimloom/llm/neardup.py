@@ -42,7 +42,7 @@ PERCENT = 80
 #: Items of a bucket in one tile's side; hashes of full sets in one tile's side.
 TILE_ITEMS, TILE_HASHES = 512, 1 << 19
 #: Rows, and hashes of full sets, that one Python group holds on average.
-GROUP_ROWS, GROUP_HASHES = 8192, 1 << 21
+GROUP_ROWS, GROUP_HASHES = 1024, 1 << 18
 
 SKETCH = "id long, n long, digest binary, bands array<long>, signature array<long>"
 
