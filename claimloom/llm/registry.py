@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import ann, language, neardup, packing, pii, toxicity
+from claimloom.llm import ann, decontaminate, language, neardup, packing, pii, toxicity
 from claimloom.llm.common import held_out, table
 
 
@@ -29,6 +29,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents"), ["doc_id"]))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_minhash": op3_minhash,
     "op4_packing": op4_packing,
+    "op6_decontaminate": op6_decontaminate,
     "op7_pii": op7_pii,
     "op9_language": op9_language,
 }
