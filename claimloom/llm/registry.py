@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import ann, chat, decontaminate, language, neardup, packing, pii, toxicity
+from claimloom.llm import ann, chat, decontaminate, language, neardup, packing, pii, toxicity, warc
 from claimloom.llm.common import held_out, table
 
 
@@ -44,6 +44,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents"), ["doc_id"]))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.index(warc.archived(table(spark, sf_dir, "pages")))
+    return captures.select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
 def language_field(docs: DataFrame) -> language.Field:
     """Fitted to labelled documents outside the held-out fold."""
     return language.fit(language.sample(docs, ~held_out(F.col("doc_id"), 4, 2), "lang", "doc_id", "text"))
@@ -62,6 +67,7 @@ QUERIES = {
     "op5_chat": op5_chat,
     "op6_decontaminate": op6_decontaminate,
     "op7_pii": op7_pii,
+    "op8_warc": op8_warc,
     "op9_language": op9_language,
 }
 
