@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import ann, chat, decontaminate, language, neardup, packing, pii, toxicity, warc
+from claimloom.llm import ann, chat, decontaminate, language, licenses, neardup, packing, pii, toxicity, warc
 from claimloom.llm.common import held_out, table
 
 
@@ -49,6 +49,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Documents have no paths: the source is the tree, a hundred ids a directory.
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 100).cast("string"), F.concat("doc_id", F.lit(".txt")))
+    return licenses.scan(table(spark, sf_dir, "documents").withColumn("path", path))
+
+
 def language_field(docs: DataFrame) -> language.Field:
     """Fitted to labelled documents outside the held-out fold."""
     return language.fit(language.sample(docs, ~held_out(F.col("doc_id"), 4, 2), "lang", "doc_id", "text"))
@@ -69,6 +75,7 @@ QUERIES = {
     "op7_pii": op7_pii,
     "op8_warc": op8_warc,
     "op9_language": op9_language,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLES: dict[str, str] = {
