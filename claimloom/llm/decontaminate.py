@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.common import written
+
 WIDTH = 5
 SHARE = 0.8
 RUN = 13
@@ -118,3 +120,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: fl
     same = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
     best = lined.where(same).groupBy("id", "item_id").agg(F.max("matched").alias("matched"), F.max("places").alias("places"), F.first("total").alias("total"))
     return best.where((F.col("matched") >= share * F.col("total")) | (F.col("places") >= run - width + 1)).select(F.col("id").alias(id_col), "item_id", F.col("matched").cast("long"), F.col("total").cast("long"), (F.col("matched") / F.col("total")).alias("share"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their own columns, without contaminated documents."""
+    gone = written(matches(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("__gone")).distinct())
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

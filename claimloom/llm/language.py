@@ -325,7 +325,7 @@ def labelled(field: Field, data: np.ndarray, off: np.ndarray):
     return words, p, letter
 
 
-def _predicted(shared, text_at: int, keep: list[int]):
+def _predicted(shared, text_at: int, keep: list[int], outputs: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = _field(shared.value)
         names = np.array([*field.labels, UNKNOWN], object)
@@ -341,19 +341,19 @@ def _predicted(shared, text_at: int, keep: list[int]):
                     best, score, letter = np.zeros(j - i, int), np.zeros(j - i), np.zeros(j - i, bool)
                 best = np.where(letter, best, len(field.labels))
                 score = np.clip(np.where(letter, score, 0.0), 0, 1)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in keep), pa.array(names[best].tolist(), pa.string()), pa.array(score, pa.float64())], [*(batch.schema.names[k] for k in keep), "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in keep), pa.array(names[best].tolist(), pa.string()), pa.array(score, pa.float64())], [*(batch.schema.names[k] for k in keep), *outputs])
 
     return run
 
 
-def predict(docs: DataFrame, field: Field, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The named columns of docs with lang_pred and score, one row for each row; no shuffle."""
+def predict(docs: DataFrame, field: Field, columns: list[str], text_col: str = "text", outputs: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The named columns of docs with language and score, one row for each row; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(field))
-    keep = [c for c in columns if c not in ("lang_pred", "score")]
+    keep = [c for c in columns if c not in outputs]
     inner = list(dict.fromkeys([*keep, text_col]))
     source = docs.select(*[docs[c] for c in inner])
-    schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
-    return source.mapInArrow(_predicted(shared, inner.index(text_col), [inner.index(c) for c in keep]), schema)
+    schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep), f"`{outputs[0]}` string", f"`{outputs[1]}` double"])
+    return source.mapInArrow(_predicted(shared, inner.index(text_col), [inner.index(c) for c in keep], outputs), schema)
 
 
 def word_runs(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,3 +374,13 @@ def word_runs(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[head] + i)), pa.array(head - words.first[doc[head]], pa.int64()), pa.array(size, pa.int64()), pa.array([field.labels[k] for k in best[head]], pa.string())], ["id", "first_word", "words", "lang"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, first_word long, words long, lang string")
+
+
+#: A document is accepted with a language and at least this much of its words' mass on it.
+LEAST_SCORE = 0.3
+
+
+def accepted(docs: DataFrame, field: Field, least: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their own columns, whose language is known well enough."""
+    found = predict(docs, field, docs.columns, text_col, ("__lang", "__mass"))
+    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__mass") >= least)).drop("__lang", "__mass")

@@ -220,3 +220,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
     out = ids.join(classes, "digest", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
 
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their own columns, but one document of each group; rows without an id stay."""
+    gone = written(near_duplicates(docs, width, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone")))
+    repeated = docs.groupBy(id_col).count().where((F.col("count") > 1) & F.col(id_col).isNotNull()).limit(1).count()
+    kept = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    if repeated:
+        kept = kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    return kept

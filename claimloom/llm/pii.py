@@ -119,7 +119,10 @@ def _with_contexts(text: Column, spans: Column) -> Column:
 
 
 def marked(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
-    """Row key, the named columns, base spans and candidate instances, as a written table."""
+    """Row key, the named columns, base spans and candidate instances, as a written table.
+
+    The key is given once, here: what is joined by it later comes from this table alone.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), *[docs[c] for c in columns], text.alias("__text")).withColumn("__base", base_spans(F.col("__text")))
     words = F.filter(located(F.col("__text"), WORD, len(KINDS), F.col("__text").rlike("[0-9]")), lambda s: F.length(s["text"]) >= LEAST_CHARS)
@@ -156,7 +159,8 @@ def discovered(rows: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
 def find(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
     """The named columns with base and spans, arrays of (start, kind, end), end exclusive."""
     rows = marked(docs, columns, text_col)
-    found = rows.join(discovered(rows), "__row", "left")
+    # Written first, so that its true size decides how it is joined.
+    found = rows.join(written(discovered(rows)), "__row", "left")
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
     return found.select(*columns, F.col("__base").alias("base"), F.array_sort(F.concat("__base", F.coalesce("__new", none))).alias("spans"))
 
@@ -174,6 +178,15 @@ def redact(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, first, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
 
 
+def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """The rows of docs, with their own columns, personal data in the text replaced by its kind."""
+    found = find(docs, docs.columns, text_col)
+    out = found.withColumn(text_col, F.when(F.size("spans") > 0, redact(F.col(text_col), F.col("spans"))).otherwise(F.col(text_col)))
+    if chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.when(F.size("spans") > 0, F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
+    return out.select(*docs.columns)
+
+
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts and digests of find()'s rows."""
     count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
