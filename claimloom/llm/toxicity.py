@@ -1,14 +1,15 @@
 """Toxicity by multiple-instance learning: sentences are instances, documents are bags.
 
-A sentence's score is the logistic of a bias plus its words' weights; a document's score is the
+A sentence's score is the logistic of a bias plus the weights of its words and their prefixes; a document's score is the
 noisy-or of its sentences, 1 - prod(1 - p). Only document labels are known: the gradient of the
 documents' likelihood is shared among their sentences by their scores, so that the sentences
 that explain a label take it up, and offending sentences can be located afterwards.
 
 Weights are fitted on the driver to a bounded sample: at most SAMPLE_DOCS labelled documents of
 at most SAMPLE_CHARS characters each, half of each label as far as there are, chosen by a hash
-of the id and weighted back to the labels' shares. Words seen in fewer than LEAST_DOCS sampled
-documents, or whose presence there is not tied to the label (chi-squared under CHI2), have no weight. Scoring runs over every whole text, without a shuffle.
+of the id and weighted back to the labels' shares. Features seen in fewer than
+LEAST_DOCS sampled documents, or whose presence there is not tied to the label (chi-squared
+under CHI2), have no weight. Scoring runs over every whole text, without a shuffle.
 
 Sentences end at . ! ? or a line end; words are runs of letters (bytes from 0x80 count as
 letters), A-Z lower-cased. A null text or one without words scores 0. Repeated rows each get a
@@ -27,11 +28,13 @@ from pyspark.sql import functions as F
 
 from claimloom.llm.common import parts, span_hashes, spans
 
-SAMPLE_DOCS, SAMPLE_CHARS = 8000, 20_000
+SAMPLE_DOCS, SAMPLE_CHARS = 6000, 10_000
 LEAST_DOCS = 4
+#: Besides whole words, prefixes of so many bytes are features.
+PREFIXES = (5, 6, 7, 8)
 #: Least chi-squared of a word's presence with the label.
 CHI2 = 20.0
-STEPS, RATE, RIDGE = 120, 0.15, 1e-4
+STEPS, RATE, RIDGE = 250, 0.1, 3e-5
 BIAS = -6.0
 THRESHOLD = 0.7
 
@@ -47,6 +50,10 @@ class Bags:
     def __init__(self, data: np.ndarray, off: np.ndarray):
         starts, ends = spans(_WORD[data], off)
         self.words = span_hashes(data, starts, ends)
+        self.kinds = [(np.arange(len(starts)), self.words)]
+        for k, size in enumerate(PREFIXES):
+            long = np.flatnonzero(ends - starts >= size)
+            self.kinds.append((long, span_hashes(data, starts[long], starts[long] + size) ^ np.uint64(k + 1)))
         doc = np.searchsorted(off, starts, side="right") - 1
         part = np.concatenate([[0], np.cumsum(_END[data])])[starts] if len(data) else np.zeros(0, np.int64)
         fresh = np.ones(len(starts), bool)
@@ -60,7 +67,23 @@ class Bags:
         """Of each sentence."""
         if not len(self.words):
             return np.zeros(0)
-        return bias + np.add.reduceat(_weights(self.words, known, weights), self.heads)
+        each = np.zeros(len(self.words))
+        for at, hashes in self.kinds:
+            each[at] += _weights(hashes, known, weights)
+        return bias + np.add.reduceat(each, self.heads)
+
+
+def _together(slices: list[Bags]) -> Bags:
+    """One bag list of several slices'; word positions are left out."""
+    out = object.__new__(Bags)
+    words = np.cumsum([0, *(len(b.words) for b in slices)])
+    docs = np.cumsum([0, *(len(b.first) - 1 for b in slices)])
+    out.words = np.concatenate([b.words for b in slices])
+    out.kinds = [tuple(map(np.concatenate, zip(*((b.kinds[k][0] + w, b.kinds[k][1]) for b, w in zip(slices, words, strict=False)), strict=True))) for k in range(len(PREFIXES) + 1)]
+    out.heads = np.concatenate([b.heads + w for b, w in zip(slices, words, strict=False)])
+    out.sentence_doc = np.concatenate([b.sentence_doc + d for b, d in zip(slices, docs, strict=False)])
+    out.first = np.searchsorted(out.sentence_doc, np.arange(docs[-1] + 1))
+    return out
 
 
 def _weights(words: np.ndarray, known: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -95,31 +118,35 @@ def fit(rows: list[tuple[int, str]], share: float | None = None) -> dict:
     model = {"known": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": BIAS}
     if not rows:
         return model
-    raw = [t.encode() for _, t in rows]
-    bags = Bags(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]))
+    bags = _together([Bags(data, off) for _, _, data, off in parts(pa.array([t for _, t in rows]))])
     y = np.array([v for v, _ in rows], float)
     share = y.mean() if share is None else share
     mean = y.mean()
     worth = np.where(y > 0, share / max(mean, 1e-9), (1 - share) / max(1 - mean, 1e-9)) / len(y)
-    known, at = np.unique(bags.words, return_inverse=True)
     size = np.diff(np.append(bags.heads, len(bags.words)))
-    doc = np.repeat(bags.sentence_doc, size)
-    seen = np.unique(at * np.int64(len(rows)) + doc) // len(rows)
-    seen_y = y[np.unique(at * np.int64(len(rows)) + doc) % len(rows)] > 0
-    times, with_1 = np.bincount(seen, minlength=len(known)), np.bincount(seen, seen_y, minlength=len(known))
-    often = (times >= LEAST_DOCS) & (_chi2(times, with_1, len(y), y.sum()) >= CHI2)
-    slot = np.where(often, np.cumsum(often) - 1, often.sum())[at]
-    known = known[often]
+    doc, sentence = np.repeat(bags.sentence_doc, size), np.repeat(np.arange(len(size)), size)
+    known, keys, places = [], [], []
+    for at, hashes in bags.kinds:
+        names, back = np.unique(hashes, return_inverse=True)
+        pairs = np.unique(back * np.int64(len(rows)) + doc[at])
+        times, with_1 = np.bincount(pairs // len(rows), minlength=len(names)), np.bincount(pairs // len(rows), y[pairs % len(rows)] > 0, minlength=len(names))
+        good = (times >= LEAST_DOCS) & (_chi2(times, with_1, len(y), y.sum()) >= CHI2)
+        known.append(names[good])
+        use = good[back]
+        keys.append(hashes[use])
+        places.append(sentence[at[use]])
+    known = np.unique(np.concatenate(known))
+    slot, place = np.searchsorted(known, np.concatenate(keys)), np.concatenate(places)
     w, b = np.zeros(len(known) + 1), BIAS
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, STEPS + 1):
-        logit = b + np.add.reduceat(w[slot], bags.heads) if len(slot) else np.zeros(0)
+        logit = b + np.bincount(place, w[slot], len(size))
         keep = _keeps(logit, bags.first)
         p = 1 / (1 + np.exp(-logit))
         gone = -np.expm1(keep)
         pull = np.where(y > 0, np.exp(keep) / np.maximum(gone, 1e-9), -1.0) * worth
         g = pull[bags.sentence_doc] * p
-        grad = np.append(np.bincount(slot, np.repeat(g, size), len(w)) - RIDGE * w, g.sum())
+        grad = np.append(np.bincount(slot, g[place], len(w)) - RIDGE * w, g.sum())
         grad[len(known)] = 0
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
