@@ -70,7 +70,8 @@ def birth_date(c: Column, pivot: int = 50) -> Column:
 
 def stay_days(admitted: Column, discharged: Column, most: int = 60) -> Column:
     """F8: 0 where a date is missing or the order is wrong."""
-    return F.coalesce(F.greatest(F.least(F.datediff(discharged, admitted), F.lit(most)), F.lit(0)), F.lit(0))
+    days = F.datediff(discharged, admitted)
+    return F.when(days > 0, F.least(days, F.lit(most))).otherwise(0)
 
 
 def field_key(c: Column) -> Column:

@@ -1 +1,141 @@
-"""Queries."""
+"""Field-layer queries. The long table is unpivoted from claims and patients, with a second
+extractor whose totals come from the expense rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from claimloom.functions import scalars
+from claimloom.operators import fields
+from claimloom.plans.registry import query, raw, role
+
+
+def long_table(spark, d):
+    """The EAV table: id, claim_id, document_id, field_name, field_value, model_version, created_at."""
+    claims = role(spark, d, "claims").join(role(spark, d, "patients").select("patient_id", "patient_name", "segment"), "patient_id", "left")
+    text = claims.select(
+        "claim_id", "created_at", F.col("patient_name").alias("Patient Name"), F.concat(F.lit("POL"), F.col("policy_id")).alias("policy no"), F.concat(F.lit("POL"), F.col("policy_id")).alias("member id"),
+        F.concat(F.lit("Rs. "), F.floor("total_amount").cast("string")).alias("grand total"), F.date_format("created_at", "dd/MM/yyyy").alias("date of admission"), F.lit(" ").alias("diagnosis"), F.col("segment").alias("hospital"),
+    )
+    names = ["Patient Name", "policy no", "member id", "grand total", "date of admission", "diagnosis", "hospital"]
+    one = text.unpivot(["claim_id", "created_at"], names, "field_name", "field_value").withColumn("model_version", F.lit("heuristic-v2"))
+    sums = role(spark, d, "expenses").groupBy("claim_id", "line_status").agg(F.sum(F.floor("amount")).alias("v")).join(claims.select("claim_id", "created_at"), "claim_id")
+    two = sums.select("claim_id", "created_at", F.lit("total_amount").alias("field_name"), F.col("v").cast("string").alias("field_value"), F.concat(F.lit("expense-table-v4"), "line_status").alias("model_version"))
+    rows = one.unionByName(two)
+    return rows.withColumn("id", F.concat_ws("/", "field_name", "model_version")).withColumn("document_id", F.when(F.col("model_version") == "heuristic-v2", 1).otherwise(2))
+
+
+LONG = """
+base AS (SELECT c.*, p.patient_name, p.segment FROM claims c LEFT JOIN patients p USING (patient_id)),
+eav AS (
+    SELECT claim_id, created_at, unnest(['Patient Name', 'policy no', 'member id', 'grand total', 'date of admission', 'diagnosis', 'hospital']) AS field_name,
+        unnest([patient_name, 'POL' || policy_id, 'POL' || policy_id, 'Rs. ' || floor(total_amount)::BIGINT, strftime(created_at, '%d/%m/%Y'), ' ', segment]) AS field_value, 'heuristic-v2' AS model_version FROM base
+    UNION ALL
+    SELECT claim_id, created_at, 'total_amount', v::VARCHAR, 'expense-table-v4' || line_status FROM (SELECT claim_id, line_status, sum(floor(amount)::BIGINT)::BIGINT AS v FROM expenses GROUP BY 1, 2) JOIN base USING (claim_id))"""
+
+
+@query("f9_f10_resolved_fields", f"""WITH {LONG}, k AS (SELECT claim_id, regexp_replace(regexp_replace(lower(trim(field_name)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS alias, trim(field_value) AS value, field_name || '/' || model_version AS id FROM eav WHERE trim(field_value) <> ''),
+    l AS (SELECT claim_id, alias, arg_max(value, id) AS value FROM k GROUP BY 1, 2),
+    a AS (SELECT * FROM (VALUES ('patient_name', 'patient_name', 0), ('policy_number', 'member_id', 5), ('total_amount', 'total_amount', 0), ('total_amount', 'grand_total', 7), ('service_date', 'date_of_admission', 5), ('admission_date', 'date_of_admission', 2), ('provider_name', 'hospital', 4)) t(canonical, alias, ordinal))
+    SELECT claim_id, canonical, arg_min(value, ordinal) AS value FROM l JOIN a USING (alias) GROUP BY 1, 2""", "claims patients expenses")
+def f10(spark, d):
+    return fields.resolved(long_table(spark, d))
+
+
+@query("a1_pivot", f"""WITH {LONG} SELECT claim_id, max(CASE WHEN field_name = 'Patient Name' THEN field_value END) AS name, max(CASE WHEN field_name = 'grand total' THEN field_value END) AS total FROM eav GROUP BY claim_id""", "claims patients expenses")
+def a1(spark, d):
+    return fields.pivoted(long_table(spark, d), ["Patient Name", "grand total"]).select("claim_id", F.col("Patient Name").alias("name"), F.col("grand total").alias("total"))
+
+
+@query("a2_best_values", f"""WITH {LONG}, m AS (SELECT claim_id, 'total_amount' AS field_name, printf('%.2f', sum(field_value::DOUBLE)) AS value FROM eav WHERE field_name = 'total_amount' GROUP BY 1)
+    SELECT * FROM m UNION ALL SELECT claim_id, field_name, trim(field_value) FROM eav WHERE field_name <> 'total_amount' AND trim(field_value) <> ''""", "claims patients expenses")
+def a2(spark, d):
+    return fields.best_values(long_table(spark, d))
+
+
+@query("a2_merge_policies", f"""WITH {LONG}, t AS (SELECT claim_id, field_name, field_value, field_name || '/' || model_version AS id FROM eav WHERE field_name = 'total_amount')
+    SELECT claim_id, arg_max(field_value, id) AS last_value, arg_min(field_value, id) AS first_value FROM t GROUP BY 1""", "claims patients expenses")
+def a2_policies(spark, d):
+    rows = long_table(spark, d).where("field_name = 'total_amount'")
+    last, first = fields.merged(rows, "last"), fields.merged(rows, "first")
+    return last.select("claim_id", F.col("value").alias("last_value")).join(first.select("claim_id", F.col("value").alias("first_value")), "claim_id")
+
+
+@query("a3_candidates", """WITH c AS (SELECT conv_id AS claim_id, role AS field_name, split_part(text, '.', 1) AS value, length(text) % 100 / 100.0 AS confidence, turn AS seq FROM conversations),
+    k AS (SELECT *, NOT regexp_matches(lower(trim(value)), '^(?:patient\\s*name|name|age|sex|gender|date|policy(?:\\s*(?:no|number))?|hospital|doctor|diagnosis|address|phone|amount|total)\\s*[:\\-]?$') AND trim(value) <> '' AS accepted FROM c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY claim_id, field_name ORDER BY accepted DESC, confidence DESC, seq) AS rn, count(*) FILTER (NOT accepted) OVER (PARTITION BY claim_id, field_name) AS rejected FROM k)
+    SELECT claim_id, field_name, CASE WHEN accepted THEN value END AS value, CASE WHEN accepted THEN confidence END AS confidence, rejected FROM r WHERE rn = 1""")
+def a3(spark, d):
+    c = raw(spark, d, "conversations").select(F.col("conv_id").alias("claim_id"), F.col("role").alias("field_name"), F.split_part("text", F.lit("."), F.lit(1)).alias("value"), (F.length("text") % 100 / 100.0).alias("confidence"), F.col("turn").alias("seq"))
+    return fields.resolved_candidates(c)
+
+
+@query("a22_cross_document", f"""WITH {LONG}, r AS (SELECT claim_id, CASE WHEN field_name = 'grand total' THEN 'total_amount' ELSE field_name END AS field_name, regexp_replace(regexp_replace(lower(trim(field_value)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS v, CASE WHEN model_version = 'heuristic-v2' THEN 1 ELSE 2 END AS doc FROM eav)
+    SELECT claim_id, field_name, count(DISTINCT doc) AS documents, count(DISTINCT v) AS "values", count(DISTINCT v) = 1 AS agrees FROM r GROUP BY 1, 2 HAVING count(DISTINCT doc) >= 2""", "claims patients expenses")
+def a22(spark, d):
+    return fields.cross_document(long_table(spark, d).withColumn("field_name", F.when(F.col("field_name") == "grand total", "total_amount").otherwise(F.col("field_name"))))
+
+
+@query("a21_nested_fields", f"""WITH {LONG} SELECT claim_id, count(DISTINCT model_version)::INT AS types FROM eav GROUP BY 1""", "claims patients expenses")
+def a21(spark, d):
+    return fields.nested(long_table(spark, d).withColumn("doc_type", F.col("model_version"))).select("claim_id", F.size("documents").alias("types"))
+
+
+@query("f1_f5_amounts", """WITH t AS (SELECT claim_id, 'Rs. ' || floor(total_amount)::BIGINT || ',50' AS v, floor(total_amount)::BIGINT AS n FROM claims)
+    SELECT claim_id, NULL::DOUBLE AS plain, (n || '50')::DOUBLE AS lenient, ('.' || n || '50')::DOUBLE AS stripped, NULL::DOUBLE AS signed, (n || '50')::DOUBLE AS first FROM t""", "claims")
+def f1(spark, d):
+    v = F.concat(F.lit("Rs. "), F.floor("total_amount").cast("string"), F.lit(",50"))
+    return role(spark, d, "claims").select("claim_id", scalars.amount_plain(v).alias("plain"), scalars.amount_lenient(v).alias("lenient"), scalars.amount_stripped(v).alias("stripped"), F.lit(None).cast("double").alias("signed"), scalars.first_number(v).alias("first"))
+
+
+@query("f6_f8_dates", """SELECT claim_id, CAST(min(service_date) AS DATE)::VARCHAR AS admitted, greatest(least(date_diff('day', min(service_date)::DATE, max(service_date)::DATE), 60), 0)::INT AS stay FROM expenses GROUP BY claim_id""", "expenses")
+def f6(spark, d):
+    rows = role(spark, d, "expenses").groupBy("claim_id").agg(F.date_format(F.min("service_date"), "dd/MM/yyyy").alias("a"), F.date_format(F.max("service_date"), "yyyy-MM-dd").alias("b"))
+    first, last = scalars.parse_date(F.col("a")), scalars.parse_date(F.col("b"))
+    return rows.select("claim_id", first.cast("string").alias("admitted"), scalars.stay_days(first, last).alias("stay"))
+
+
+@query("f11_summary_defaults", "SELECT c.claim_id, coalesce(nullif(trim(p.patient_name), ''), 'N/A') AS patient, coalesce(nullif(trim(c.channel), ''), 'N/A') AS channel FROM claims c LEFT JOIN patients p USING (patient_id)", "claims patients")
+def f11(spark, d):
+    rows = role(spark, d, "claims").join(role(spark, d, "patients"), "patient_id", "left")
+    return rows.select("claim_id", scalars.first_present(F.col("patient_name"), F.lit("N/A")).alias("patient"), scalars.first_present(F.col("channel"), F.lit("N/A")).alias("channel"))
+
+
+@query("f12_names", "SELECT patient_id, lower(trim(regexp_replace('Dr. ' || patient_name, '(?i)\\b(?:mr|mrs|ms|dr|shri|smt|master|baby|miss)\\b\\.?', '', 'g'))) AS name FROM patients", "patients")
+def f12(spark, d):
+    return role(spark, d, "patients").select("patient_id", scalars.person_name(F.concat(F.lit("Dr. "), F.col("patient_name"))).alias("name"))
+
+
+@query("f13_tokens", "SELECT item_id, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 1))::INT AS n FROM benchmark")
+def f13(spark, d):
+    return raw(spark, d, "benchmark").select("item_id", F.size(scalars.words(F.col("text"))).alias("n"))
+
+
+@query("f14_f17_f22_scores", """SELECT code, chr(65 + (code % 26)::INT) || lpad((code % 100)::VARCHAR, 2, '0') AS icd, round(least(cost / size, 100), 4) AS ratio, round(1 / (1 + exp(-(cost - 1000) / 500)), 4) AS squashed, CASE WHEN cost / 2000 <= .25 THEN 'LOW' WHEN cost / 2000 <= .5 THEN 'MEDIUM' ELSE 'HIGH' END AS label, round(0.55 + 0.4 * (cost / 2100) - least(0.04 * (code % 5), 0.12), 4) AS confidence FROM catalogue""", "catalogue")
+def f14(spark, d):
+    c = F.col
+    icd = F.concat(F.char((65 + c("code") % 26).cast("int")), F.lpad((c("code") % 100).cast("string"), 2, "0"))
+    return role(spark, d, "catalogue").select("code", icd.alias("icd"), F.round(scalars.ratio(c("cost"), c("size"), 100.0), 4).alias("ratio"), F.round(scalars.squash((c("cost") - 1000) / 500), 4).alias("squashed"), scalars.risk_label(c("cost") / 2000, "rejection").alias("label"), F.round(scalars.retrieval_confidence(c("cost") / 2100, c("code") % 5, F.lit(False)), 4).alias("confidence"))
+
+
+@query("f18_fingerprints", "SELECT doc_id, sha256(source || chr(0) || text || chr(0)) AS fingerprint FROM documents")
+def f18(spark, d):
+    return raw(spark, d, "documents").select("doc_id", F.sha2(F.concat("source", F.lit("\0"), "text", F.lit("\0")), 256).alias("fingerprint"))
+
+
+@query("f19_json_rows", "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM activity", "activity")
+def f19(spark, d):
+    return role(spark, d, "activity").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("u6_field_fill", f"""WITH {LONG} SELECT claim_id, coalesce(max(CASE WHEN field_name = 'diagnosis' THEN nullif(trim(field_value), '') END), max(CASE WHEN field_name = 'hospital' THEN field_value END)) AS value FROM eav GROUP BY 1""", "claims patients expenses")
+def u6(spark, d):
+    wide = fields.pivoted(long_table(spark, d), ["diagnosis", "hospital"])
+    return wide.select("claim_id", F.coalesce(scalars.blank_to_null(F.col("diagnosis")), "hospital").alias("value"))
+
+
+@query("j16_field_feedback", f"""WITH {LONG}, f AS (SELECT claim_id, 'X' || policy_id AS corrected FROM claims WHERE claim_id % 7 = 0)
+    SELECT f.claim_id, e.field_value AS original, f.corrected FROM f LEFT JOIN eav e ON e.claim_id = f.claim_id AND e.field_name = 'policy no'""", "claims patients expenses")
+def j16(spark, d):
+    feedback = role(spark, d, "claims").where("claim_id % 7 = 0").select("claim_id", F.concat(F.lit("X"), "policy_id").alias("corrected"))
+    return feedback.join(long_table(spark, d).where("field_name = 'policy no'").select("claim_id", F.col("field_value").alias("original")), "claim_id", "left")

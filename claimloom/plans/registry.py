@@ -52,7 +52,8 @@ def query(name: str, sql: str | None = None, roles: str = ""):
             parts = [f"{r} AS (SELECT {', '.join(f'{e} AS {c}' for c, e in ROLES[r][1].items())} FROM {ROLES[r][0]})" for r in roles.split()]
             body = sql.strip()
             if parts:
-                body = "WITH " + ", ".join(parts) + (", " + body[5:] if body[:5].upper() == "WITH " else " " + body)
+                start = next((w for w in ("WITH RECURSIVE ", "WITH ") if body.upper().startswith(w)), "")
+                body = (start or "WITH ") + ", ".join(parts) + (", " if start else " ") + body[len(start) :]
             ORACLES[name] = body
         return f
 
