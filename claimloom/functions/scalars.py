@@ -86,7 +86,11 @@ def person_name(c: Column) -> Column:
 
 def name_similarity(a: Column, b: Column) -> Column:
     """1 equal, 0.85 one holds the other, else token Jaccard, 0.80 where outer tokens agree; 0 without a name."""
-    x, y = person_name(a), person_name(b)
+    return normal_similarity(person_name(a), person_name(b))
+
+
+def normal_similarity(x: Column, y: Column) -> Column:
+    """name_similarity() of names that person_name() has been through."""
     s, t = F.array_distinct(F.split(x, " ")), F.array_distinct(F.split(y, " "))
     jaccard = F.size(F.array_intersect(s, t)) / F.size(F.array_union(s, t))
     outer = (F.size(s) >= 2) & (F.size(t) >= 2) & (F.array_min(s) == F.array_min(t)) & (F.array_max(s) == F.array_max(t))
