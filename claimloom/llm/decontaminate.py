@@ -8,9 +8,9 @@ in the document, so that a re-parameterised question counts and a chance mix of
 doesn't. A document is contaminated by an item when windows of at least SHARE of the item's
 distinct templates match, or when RUN tokens in a row do.
 
-Before the join, windows are tested against a bitmap of BITS bits made from the benchmark's
-hashes; its size is fixed, whatever the benchmark's, and it only ever drops windows that can't
-match. The join itself is by hash on both sides. An item's windows of less than LITERALS words
+Before the join, windows are tested against a bitmap of BITS bits, two for each of the
+benchmark's hashes; its size is fixed, whatever the benchmark's, and it only ever drops windows
+that can't match. The join itself is by hash on both sides. An item's windows of less than LITERALS words
 besides placeholders say nothing and aren't counted; an item of only such windows is never found.
 
 All of it is DataFrame expressions. A null or empty text has no windows. An item with fewer
@@ -36,41 +36,29 @@ LITERALS = 2
 #: Unit words that follow a number (fixed values).
 UNITS = ("%", "percent", "kg", "g", "mg", "km", "m", "cm", "mm", "mi", "miles", "mile", "ft", "feet", "inches", "inch", "lb", "lbs", "oz", "l", "ml", "hours", "hour", "hrs", "minutes", "minute", "min", "seconds", "second", "sec", "days", "day", "weeks", "week", "months", "month", "years", "year", "dollars", "dollar", "usd", "eur", "euros", "cents", "mph", "kmh", "degrees", "watts", "volts", "liters", "litres", "meters", "metres", "grams", "kilograms", "pounds", "ounces", "gallons", "acres")
 
-NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
-#: Between tokens: anything but letters, digits, and marks inside numbers or after a sentence.
-_SPLIT = r"[^\p{L}\p{N}%.!?]+|(?<![0-9])[.](?=[\p{L}\p{N}])"
+#: Placeholders: characters of private use, so that no text has them as words.
+NUM, NAME, UNIT = "\ue000", "\ue001", "\ue002"
+_NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
+_UNIT = "(?:%|(?:" + "|".join(u for u in UNITS if u != "%") + r")(?![\p{L}\p{N}]))"
+#: A capitalised word after a word, a comma or the like: not at a sentence's beginning.
+_NAME = r"(?=\p{Lu}\p{Ll})(?<=[^.!?\s]\s{1,2})[\p{L}\p{M}]++"
+_WORD = r"[\p{L}\p{M}]+"
 
 
-def tokens(text: Column) -> Column:
-    """Words in their own case; a sentence's end stays on its last word."""
-    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[0-9]),(?=[0-9]{3})", "")
-    return F.filter(F.split(spaced, _SPLIT), lambda w: w.rlike(r"[\p{L}\p{N}%]"))
+def template(text: Column) -> Column:
+    """Tokens with typed placeholders for numbers, units after them, and names; other words in lower case.
 
-
-def plain(words: Column) -> Column:
-    """Without sentence ends."""
-    return F.transform(words, lambda w: F.regexp_replace(w, r"[.!?]+$", ""))
-
-
-def template(words: Column) -> Column:
-    """Typed placeholders for numbers, units and names; other words in lower case.
-
-    A name is a capitalised word of two letters or more that doesn't open a sentence and isn't
-    all capitals.
+    The replacements run over the whole text, not word by word: a text costs a few passes.
     """
+    named = F.regexp_replace(text, _NAME, NAME)
+    with_units = F.regexp_replace(named, rf"(?i)(?<=[0-9]\s?){_UNIT}", f" {UNIT} ")
+    told = F.when(named.rlike("[0-9]"), F.regexp_replace(with_units, _NUMBER, f" {NUM} ")).otherwise(named)
+    return F.filter(F.split(F.lower(told), r"[^\p{L}\p{M}\ue000-\ue002]+"), lambda w: w != "")
 
-    def one(w: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.element_at(words, i)).otherwise(F.lit("."))
-        bare = F.regexp_replace(w, r"[.!?]+$", "")
-        low = F.lower(bare)
-        return (
-            F.when(bare.rlike(r"^[0-9]"), F.lit(NUM))
-            .when(bare.rlike(r"^\p{Lu}\p{Ll}") & ~before.rlike(r"[.!?]$"), F.lit(NAME))
-            .when(low.isin(*UNITS) & before.rlike(r"^[0-9]"), F.lit(UNIT))
-            .otherwise(low)
-        )
 
-    return F.transform(words, one)
+def values(text: Column) -> Column:
+    """The same tokens as they stand in the text."""
+    return F.regexp_extract_all(text, F.lit(rf"{_WORD}|{_NUMBER}|(?<=[0-9]\s?)%"), F.lit(0))
 
 
 def windows(marks: Column, width: int) -> Column:
@@ -85,34 +73,49 @@ def _slots(marks: Column, words: Column, at: Column, width: int) -> Column:
     return F.transform(F.filter(pairs, lambda p: p["m"].isin(NUM, NAME, UNIT)), lambda p: F.lower(p["w"]))
 
 
-def _bitmap(items: DataFrame, bits: int):
+def _bits(h: Column, bits: int) -> tuple[Column, Column]:
+    """A hash's two places in the bitmap."""
+    return F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 32), F.lit(bits))
+
+
+def _bitmap(items: DataFrame, bits: int) -> Column:
     """A scalar of `bits` bits as longs: those of the items' window hashes."""
-    bit = items.select(F.explode("hashes").alias("h")).select(F.pmod("h", F.lit(bits)).alias("bit")).distinct()
+    bit = items.select(F.explode("hashes").alias("h")).select(F.explode(F.array(*_bits(F.col("h"), bits))).alias("bit")).distinct()
     words = bit.groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("value"))
     filled = words.sparkSession.range(bits // 64).join(words, F.col("id") == F.col("word"), "left").select("id", F.coalesce("value", F.lit(0)).alias("value"))
-    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "value"))), lambda s: s["value"]).alias("bitmap"))
+    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "value"))), lambda s: s["value"]).alias("bitmap")).scalar()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE, run: int = RUN, bits: int = BITS, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(id, item_id, matched, total, share): contaminated documents with the items found in them."""
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), tokens(F.col(text_col)).alias("own")).withColumn("marks", template(F.col("own"))).withColumn("words", plain(F.col("own")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), template(text).alias("marks"), values(text).alias("words"))
     literal = lambda i: F.size(F.filter(F.slice("marks", i + 1, width), lambda m: ~m.isin(NUM, NAME, UNIT)))
     told = F.filter(F.transform(windows(F.col("marks"), width), lambda h, i: F.struct(h.alias("h"), i.alias("pos"), literal(i).alias("literals"))), lambda s: s["literals"] >= LITERALS)
-    items = items.withColumn("told", told).withColumn("hashes", F.transform("told", lambda s: s["h"]))
+    items = written(items.withColumn("told", told).withColumn("hashes", F.transform("told", lambda s: s["h"])))
     parts = items.select("item_id", "marks", "words", F.size(F.array_distinct("hashes")).alias("total"), F.explode("told").alias("s"))
     parts = parts.select("item_id", "total", F.col("s.pos").alias("pos"), F.col("s.h").alias("h"), _slots(F.col("marks"), F.col("words"), F.col("s.pos") + 1, width).alias("item_slots"))
 
-    bitmap = _bitmap(items, bits).scalar()
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("own")).withColumn("marks", template(F.col("own")))
-    hashed = rows.withColumn("hashes", windows(F.col("marks"), width)).withColumn("bitmap", bitmap)
-    near = F.filter(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("pos"))), lambda s: F.getbit(F.element_at("bitmap", (F.shiftright(F.pmod(s["h"], F.lit(bits)), 6) + 1).cast("int")), F.pmod(s["h"], F.lit(64)).cast("int")) == 1)
-    found = hashed.select("id", "own", "marks", F.explode(near).alias("s"))
-    found = found.select("id", F.col("s.pos").alias("at"), F.col("s.h").alias("h"), _slots(F.col("marks"), plain(F.col("own")), F.col("s.pos") + 1, width).alias("doc_slots"))
+    # Windows leave a document as (id, text hash, position, hash), and most end at the bitmap.
+    key = [F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash")]
+    bitmap = _bitmap(items, bits)
+    is_set = lambda bit: F.getbit(F.element_at(bitmap, (F.shiftright(bit, 6) + 1).cast("int")), (bit % 64).cast("int")) == 1
+    known = docs.where(F.col(id_col).isNotNull())
+    marks = known.select(*key, template(text).alias("marks"))
+    # Outer: else a filter on the array's size is pushed below, and takes its whole making along.
+    seen = marks.select("id", "text_hash", windows(F.col("marks"), width).alias("hashes")).select("id", "text_hash", F.posexplode_outer("hashes").alias("at", "h"))
+    first, second = _bits(F.col("h"), bits)
+    matched = written(seen.where(is_set(first) & is_set(second)).join(parts, "h").distinct())
+
+    # Slots are read again from the few texts that matched; written first, so that their true number decides the join.
+    chosen = written(matched.select("id", "text_hash").distinct())
+    texts = known.select(*key, text.alias("text")).join(chosen, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("id", "text_hash", template(F.col("text")).alias("marks"), values(F.col("text")).alias("words"))
+    found = matched.join(texts, ["id", "text_hash"])
+    hits = found.withColumn("doc_slots", _slots(F.col("marks"), F.col("words"), F.col("at") + 1, width)).withColumn("shift", F.col("at") - F.col("pos"))
 
     # One alignment of an item in a document: the difference of positions.
-    hits = found.join(parts, "h").withColumn("shift", F.col("at") - F.col("pos"))
     slots = F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))
-    lined = hits.groupBy("id", "item_id", "shift").agg(
+    lined = hits.groupBy("id", "text_hash", "item_id", "shift").agg(
         F.first("total").alias("total"), F.countDistinct("h").alias("matched"), F.countDistinct("pos").alias("places"),
         F.array_distinct(F.flatten(F.collect_set(slots))).alias("pairs"),
     )
