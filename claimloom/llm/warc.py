@@ -4,7 +4,8 @@ Writing: every page becomes a WARC/1.1 record, payload the html in UTF-8. Of the
 one payload (at least `least` bytes) that with the largest id is a response, the others are
 revisits that name it and carry no payload. Archives are written by Spark's text writer: a
 record ends with CR LF CR LF, whose last byte is the writer's line separator, so the files are
-plain WARC on any file system that Spark reaches, and a lost task is written again whole.
+gzipped WARC on any file system that Spark reaches, and a lost task is written again whole.
+Offsets are those of the unzipped archive.
 
 Reading: archives are read whole, one file a row, and cut by Content-Length. Files are kept
 under a bounded count of records.
@@ -22,6 +23,7 @@ it. Rows without an id are left out. An empty table gives no records. Other colu
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -88,7 +90,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     rows = _with_digests(pages, id_col, url_col, body_col, least) if time_col is None else _with_digests(pages, id_col, url_col, body_col, least).join(pages.select(F.col(id_col).cast("long").alias("id"), F.col(time_col).cast("timestamp").alias("time")), "id")
     at = F.col("time") if time_col else F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod("id", F.lit(1 << 30)))
     lines = rows.select(_record(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("value"))
-    lines.write.option("lineSep", "\n").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    lines.write.option("lineSep", "\n").option("maxRecordsPerFile", ARCHIVE_RECORDS).option("compression", "gzip").text(path)
 
 
 RECORD = "file string, start long, length long, id long, type string, date string, url string, digest string, payload_bytes long, refers_to long, payload binary"
@@ -98,7 +100,7 @@ def _cut(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data, at, out = content.as_py(), 0, []
+                data, at, out = gzip.decompress(content.as_py()), 0, []
                 while at < len(data):
                     end = data.index(b"\r\n\r\n", at)
                     head = dict(line.split(b": ", 1) for line in data[at:end].split(b"\r\n")[1:])
@@ -120,7 +122,7 @@ def _cut(with_payload: bool):
 
 def read(spark, path: str, payload: bool = False) -> DataFrame:
     """The records of all archives under path; payload null unless asked for."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("path", "content")
     return files.mapInArrow(_cut(payload), RECORD)
 
 
