@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from claimloom.llm.common import LOWER, parts, span_hashes, spans
 
-SAMPLE_DOCS, SAMPLE_CHARS = 1000, 8_000
+SAMPLE_DOCS, SAMPLE_CHARS = 500, 6_000
 TABLE_BITS = 17
 LEXICON = 300
 EPOCHS, RATE, DECAY = 4, 0.3, 1e-6

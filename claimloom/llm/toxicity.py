@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from claimloom.llm.common import parts, span_hashes, spans
 
-SAMPLE_DOCS, SAMPLE_CHARS = 6000, 10_000
+SAMPLE_DOCS, SAMPLE_CHARS = 4000, 6_000
 LEAST_DOCS = 4
 #: Besides whole words, prefixes of so many bytes are features.
 PREFIXES = (5, 6, 7, 8)
