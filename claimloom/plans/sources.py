@@ -1 +1,29 @@
-"""Queries."""
+"""Source queries over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from claimloom.plans.registry import query, raw, role
+from claimloom.sources import readers
+
+
+@query("s1_relational_scan", "SELECT claim_id, patient_id, status, created_at FROM claims WHERE total_amount > 250000", "claims")
+def s1(spark, d):
+    return role(spark, d, "claims").where("total_amount > 250000").select("claim_id", "patient_id", "status", "created_at")
+
+
+@query("s7_content_types", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'text/html' ELSE 'rejected' END AS content_type FROM pages")
+def s7(spark, d):
+    n = F.col("page_id") % 4
+    declared = F.when(n == 0, "application/x-pdf").when(n == 1, "IMAGE/JPG; q=1").otherwise("application/octet-stream")
+    name = F.concat("page_id", F.when(n == 2, ".HTML").otherwise(".bin"))
+    return raw(spark, d, "pages").select("page_id", F.coalesce(readers.content_type(declared, name), F.lit("rejected")).alias("content_type"))
+
+
+@query("o5_chapter_order", "SELECT code, (code % 22 + 1)::INT AS chapter FROM catalogue WHERE code <= 100 ORDER BY 2, 1", "catalogue")
+def o5(spark, d):
+    from claimloom.functions.scalars import roman
+
+    names = F.array(*map(F.lit, "I II III IV V VI VII VIII IX X XI XII XIII XIV XV XVI XVII XVIII XIX XX XXI XXII".split()))
+    return role(spark, d, "catalogue").where("code <= 100").select("code", roman(F.element_at(names, (F.col("code") % 22 + 1).cast("int"))).alias("chapter")).orderBy("chapter", "code")
