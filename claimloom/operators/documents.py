@@ -280,3 +280,21 @@ def ordered_text(pages: DataFrame, key: str, order: str, text: str, most: int) -
 def set_hash(docs: DataFrame, key: str, hash_col: str) -> DataFrame:
     """sha256 of a claim's sorted content hashes, joined by commas."""
     return docs.groupBy(key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(hash_col)), ","), 256).alias("set_hash"))
+
+
+#: Words of lines worth keeping as clinical context (fixed values).
+CLINICAL = r"(?i)(?:diagnosis|delivery|discharge|clinical|impression|obstetric|investigation|procedure|operative|treatment|complaint|history|course in hospital|c/o|h/o|type of delivery|indication|lab|apgar|gestation|gravida|para)"
+
+
+def clinical_context(text: Column, known: Column, most: int = 25, fallback: int = 1500) -> Column:
+    """The clinical lines of a text, a few, else its beginning; known values masked, longest first."""
+    lines = F.filter(F.transform(F.split(text, r"[\r\n]+"), lambda x: F.trim(x)), lambda x: (F.length(x) >= 5) & x.rlike(CLINICAL))
+    kept = F.when(F.size(lines) > 0, F.array_join(F.slice(lines, 1, most), "\n")).otherwise(F.substring(text, 1, fallback))
+    longest = F.array_sort(F.filter(known, lambda v: F.length(v) > 2), lambda a, b: F.length(b) - F.length(a))
+    return F.trim(F.aggregate(longest, kept, lambda t, v: F.replace(t, v, F.lit("[REDACTED]"))))
+
+
+def obstetric_repaired(text: Column) -> Column:
+    """Digits misread in obstetric shorthand: I for 1 in G3P1L1A1, Z for 2 before days and weeks."""
+    fixed = F.regexp_replace(text, r"(?i)\b(G\d)(P)[I1](L)[I1](A)[I1]\b", "$1$2" + "1$3" + "1$4" + "1")
+    return F.regexp_replace(F.regexp_replace(fixed, r"(?i)\bZDAYS\b", "2DAYS"), r"(?i)\bZWKS\b", "2WKS")

@@ -183,3 +183,15 @@ def a20(spark, d):
 @query("a26_set_hash", "SELECT source, sha256(string_agg(h, ',' ORDER BY h)) AS set_hash FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY source")
 def a26(spark, d):
     return documents.set_hash(raw(spark, d, "documents").select("source", F.sha2("text", 256).alias("h")), "source", "h")
+
+
+@query("d20_d21_clinical_context", "SELECT item_id, 'Diagnosis: G3P1L1A1 at 2WKS for [REDACTED]' AS context FROM benchmark")
+def d20(spark, d):
+    text = F.concat(F.lit("header line\nDiagnosis: G3PILIAI at ZWKS for Asha Rao\n"), F.regexp_replace("text", "(?i)lab|para|history|delivery|c/o|h/o|indication|clinical", ""))
+    return raw(spark, d, "benchmark").select("item_id", documents.clinical_context(documents.obstetric_repaired(text), F.array(F.lit("Asha"), F.lit("Asha Rao"))).alias("context"))
+
+
+@query("j2_document_pages", "SELECT d.source AS claim_id, d.doc_id, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE d.n_chars > 100")
+def j2(spark, d):
+    pages = raw(spark, d, "labels").select("doc_id", "quality")
+    return raw(spark, d, "documents").where("n_chars > 100").select(F.col("source").alias("claim_id"), "doc_id").join(pages, "doc_id")
