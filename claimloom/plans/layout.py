@@ -10,7 +10,7 @@ from claimloom.plans.registry import query, raw, role
 
 def tokens(spark, d):
     """Words with boxes made from their place: lines 20 high, words 10 wide a letter."""
-    rows = raw(spark, d, "documents").where("doc_id % 4 = 0").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), F.posexplode(F.split("text", "\n")).alias("row", "t"))
+    rows = raw(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), F.posexplode(F.split("text", "\n")).alias("row", "t"))
     words = rows.select("document_id", "page", "row", F.posexplode(F.split("t", " ")).alias("i", "text")).where("text <> ''")
     x, y = (F.col("i") * 100).cast("double"), (F.col("row") * 20 + F.when(F.col("row") % 5 == 0, 40).otherwise(0)).cast("double")
     return words.select("document_id", "page", "row", (F.col("row") * 100_000 + F.col("i")).alias("seq"), "text", x.alias("x0"), (x + 10 * F.length("text")).alias("x1"), y.alias("y0"), (y + 12).alias("y1"), (F.length("text") * 10.0 / 7 - 2).alias("confidence"))
