@@ -272,7 +272,10 @@ def diagnosis_terms(text: Column, most: int = 5) -> Column:
 
 
 def ordered_text(pages: DataFrame, key: str, order: str, text: str, most: int) -> DataFrame:
-    """A key's texts in order, joined and cut."""
+    """A key's texts in order, joined and cut; texts that begin past the cut are dropped before they are gathered."""
+    size = F.when(F.col(text).isNotNull(), F.length(text) + 1).otherwise(0)
+    ahead = F.sum(size).over(Window.partitionBy(key).orderBy(order, text).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size
+    pages = pages.select(key, order, F.substring(text, 1, most).alias(text), ahead.alias("__ahead")).where(F.col("__ahead") < most)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text]), "\n")
     return pages.groupBy(key).agg(F.substring(joined, 1, most).alias("text"))
 

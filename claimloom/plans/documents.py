@@ -33,8 +33,7 @@ def d1(spark, d):
 @query("d3_relevance", r"""WITH h AS (SELECT doc_id, text, substring(text, 1, 5000) AS s FROM documents), c AS (SELECT *, len(regexp_extract_all(s, '(?i)\b(?:the|of)\b')) / greatest(length(s), 1) * 1000 AS m, len(regexp_extract_all(s, '(?i)\b(?:that|this)\b')) / greatest(length(s), 1) * 1000 AS n FROM h)
     SELECT doc_id, CASE WHEN length(trim(text)) < 20 THEN 0 WHEN n > 0 AND n > m THEN least(n / 5, 0.95) WHEN m = 0 THEN 0.1 WHEN m < 2 THEN 0.3 WHEN m < 5 THEN 0.6 ELSE least(0.5 + m / 20, 0.98) END AS confidence FROM c WHERE regexp_matches(text, '^[ -~\n]*$')""")
 def d3(spark, d):
-    ascii_only = raw(spark, d, "documents").where(F.col("text").rlike(r"^[ -~\n]*$"))
-    return ascii_only.select("doc_id", documents.relevance(F.col("text"), r"(?i)\b(?:the|of)\b", r"(?i)\b(?:that|this)\b")["confidence"].alias("confidence"))
+    return raw(spark, d, "documents").select("doc_id", documents.relevance(F.col("text"), r"(?i)\b(?:the|of)\b", r"(?i)\b(?:that|this)\b")["confidence"].alias("confidence"))
 
 
 @query("d4_d5_identity", f"WITH {TAGGED} SELECT doc_id, 'Asha ' || ['Rao', 'Iyer'][doc_id % 2 + 1] AS name, 'A' || doc_id || '00' AS record_id, '01/02/1980' AS dob FROM t")
@@ -105,14 +104,12 @@ def d16(spark, d):
 
 @query("d22_d23_scrubbed", r"""SELECT doc_id, sha256(regexp_replace('call [PHONE_REDACTED] or [SSN_REDACTED] mail [EMAIL_REDACTED] [MRN_REDACTED] [POLICY_REDACTED] [PAN_REDACTED]' || doc_id, 'x^', '')) AS digest FROM documents""")
 def d22(spark, d):
-    text = F.concat(F.lit("call 555-123-4567 or 123-45-6789 mail a.b@example.com MRN: 123456 AB12345678 ABCDE1234F"), F.lit(""))
-    return raw(spark, d, "documents").select("doc_id", F.sha2(F.concat(documents.scrubbed(text, documents.PHI_MORE), F.col("doc_id").cast("string")), 256).alias("digest"))
+    return raw(spark, d, "documents").select("doc_id", F.sha2(F.concat(documents.scrubbed(F.col("text"), documents.PHI_MORE), F.col("doc_id").cast("string")), 256).alias("digest"))
 
 
 @query("d22_scrub_documents", r"""SELECT doc_id, length(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}', '[EMAIL_REDACTED]', 'g')) - length(text) AS grown FROM documents WHERE regexp_matches(text, '^[ -~\n]*$') AND contains(text, '@') AND NOT regexp_matches(text, '[0-9]{3}[^0-9]?[0-9]{3}')""")
 def d22_docs(spark, d):
-    rows = raw(spark, d, "documents").where(F.col("text").rlike(r"^[ -~\n]*$") & F.col("text").contains("@") & ~F.col("text").rlike("[0-9]{3}[^0-9]?[0-9]{3}"))
-    return rows.select("doc_id", (F.length(documents.scrubbed(F.col("text"))) - F.length("text")).cast("long").alias("grown"))
+    return raw(spark, d, "documents").select("doc_id", (F.length(documents.scrubbed(F.col("text"))) - F.length("text")).cast("long").alias("grown"))
 
 
 @query("d24_scan_reports", "SELECT item_id, 'CT' AS modality, 1 AS abnormal_hits, 2 AS normal_hits, false AS abnormal FROM benchmark")
@@ -142,14 +139,12 @@ def o4(spark, d):
 
 @query("d33_intents", "SELECT conv_id, turn, 'modify' AS action, 'policy_number' AS field, 'P' || turn AS value FROM conversations")
 def d33(spark, d):
-    text = F.concat(F.lit("Please change the policy number to P"), F.col("turn").cast("string"))
-    return raw(spark, d, "conversations").select("conv_id", "turn", documents.intent(text).alias("i")).select("conv_id", "turn", "i.*")
+    return raw(spark, d, "conversations").select("conv_id", "turn", documents.intent(F.col("text")).alias("i")).select("conv_id", "turn", "i.*")
 
 
 @query("d35_key_values", "SELECT doc_id, 2 AS pairs FROM documents WHERE NOT contains(text, ':')")
 def d35(spark, d):
-    rows = raw(spark, d, "documents").where(~F.col("text").contains(":"))
-    return rows.select("doc_id", F.size(documents.key_values(F.concat(F.lit("Name: Asha\nWard : 4B\n"), "text"))).alias("pairs"))
+    return raw(spark, d, "documents").select("doc_id", F.size(documents.key_values(F.concat(F.lit("Name: Asha\nWard : 4B\n"), "text"))).alias("pairs"))
 
 
 @query("d35_column_tables", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents), k AS (SELECT *, len(list_filter(regexp_split_to_array(line, '\s*\|\s*|\t+| {2,}'), lambda x: x <> '')) AS c FROM l),
@@ -170,7 +165,7 @@ def p12(spark, d):
 
 @query("u4_merged_lines", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), k AS (SELECT doc_id, min(n) AS n FROM l WHERE trim(line) <> '' AND regexp_matches(line, '^[ -~]*$') GROUP BY doc_id, regexp_replace(lower(trim(line)), '\s+', ' ', 'g')) SELECT doc_id, count(*)::INT AS lines FROM k GROUP BY doc_id""")
 def u4(spark, d):
-    rows = raw(spark, d, "documents").select("doc_id", F.lit(0).alias("seq"), F.array_join(F.filter(F.split("text", "\n"), lambda x: x.rlike("^[ -~]*$")), "\n").alias("text"))
+    rows = raw(spark, d, "documents").select("doc_id", F.lit(0).alias("seq"), "text")
     both = rows.unionByName(rows.withColumn("seq", F.lit(1)))
     return documents.merged_lines(both).select("doc_id", F.size(F.split("text", "\n")).alias("lines"))
 
