@@ -1,20 +1,22 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become templates: words are lower-cased, numbers, names (capitalised words inside a
-sentence) and units after numbers become typed placeholders. Windows of WIDTH template tokens
-are hashed in documents and benchmark items alike and joined by hash. For every matched pair
-the slots are compared: within an item, a benchmark value must always stand for the same value
-in the document, so that a re-parameterised question counts and a chance mix of placeholders
-doesn't. A document is contaminated by an item when windows of at least SHARE of the item's
-distinct templates match, or when RUN tokens in a row do.
+Texts become templates: words are lower-cased, a number with the unit after it becomes one typed
+placeholder, and so does a run of names (capitalised words inside a sentence), so that a slot is
+one token whatever its value. Beside its template a text has a plain form, where names are words
+in lower case, so that a copy in another case counts too. Windows of WIDTH tokens are hashed in
+documents and benchmark items alike and joined by hash; an item of fewer tokens is hashed at its
+own length. For every matched pair the names are compared: within an item, a name must always
+stand for the same name in the document, so that a re-parameterised question counts and a chance
+mix of placeholders doesn't; numbers vary freely. A document is contaminated by an item when
+windows of at least SHARE of the item's distinct ones match in nearby alignments (NEAR), or when
+RUN tokens in a row do.
 
 Before the join, windows are tested against a bitmap of BITS bits, two for each of the
 benchmark's hashes; its size is fixed, whatever the benchmark's, and it only ever drops windows
 that can't match. The join itself is by hash on both sides. An item's windows of less than LITERALS words
 besides placeholders say nothing and aren't counted; an item of only such windows is never found.
 
-All of it is DataFrame expressions. A null or empty text has no windows. An item with fewer
-tokens than the width has one window of them all; so has a document. Repeated rows each get
+All of it is DataFrame expressions. A null or empty text has no windows. Repeated rows each get
 their answer by id. Rows without an id never match. Empty tables give no rows, or no
 contamination. Other columns are ignored.
 """
@@ -32,33 +34,43 @@ RUN = 13
 BITS = 1 << 20
 #: Words that an item's window must have besides its placeholders.
 LITERALS = 2
+#: Alignments whose positions differ by up to this are counted together: slots that change their length shift what follows.
+NEAR = 8
 
 #: Unit words that follow a number (fixed values).
 UNITS = ("%", "percent", "kg", "g", "mg", "km", "m", "cm", "mm", "mi", "miles", "mile", "ft", "feet", "inches", "inch", "lb", "lbs", "oz", "l", "ml", "hours", "hour", "hrs", "minutes", "minute", "min", "seconds", "second", "sec", "days", "day", "weeks", "week", "months", "month", "years", "year", "dollars", "dollar", "usd", "eur", "euros", "cents", "mph", "kmh", "degrees", "watts", "volts", "liters", "litres", "meters", "metres", "grams", "kilograms", "pounds", "ounces", "gallons", "acres")
 
 #: Placeholders: characters of private use, so that no text has them as words.
-NUM, NAME, UNIT = "\ue000", "\ue001", "\ue002"
+NUM, NAME = "\ue000", "\ue001"
 _NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
 _UNIT = "(?:%|(?:" + "|".join(u for u in UNITS if u != "%") + r")(?![\p{L}\p{N}]))"
 #: A capitalised word after a word, a comma or the like: not at a sentence's beginning.
 _NAME = r"(?=\p{Lu}\p{Ll})(?<=[^.!?\s]\s{1,2})[\p{L}\p{M}]++"
-_WORD = r"[\p{L}\p{M}]+"
+_NAMES = rf"{_NAME}(?:\s{{1,2}}{_NAME})*"
+_MEASURE = rf"{_NUMBER}(?:\s?(?i:{_UNIT}))?"
+_WORD = r"[\p{L}\p{M}]+|[\ue000\ue001]"
+
+
+def _numbered(text: Column) -> Column:
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, _MEASURE, NUM)).otherwise(text)
 
 
 def template(text: Column) -> Column:
-    """Tokens with typed placeholders for numbers, units after them, and names; other words in lower case.
+    """Tokens with typed placeholders for numbers (with their unit) and runs of names; other words in lower case.
 
     The replacements run over the whole text, not word by word: a text costs a few passes.
     """
-    named = F.regexp_replace(text, _NAME, NAME)
-    with_units = F.regexp_replace(named, rf"(?i)(?<=[0-9]\s?){_UNIT}", f" {UNIT} ")
-    told = F.when(named.rlike("[0-9]"), F.regexp_replace(with_units, _NUMBER, f" {NUM} ")).otherwise(named)
-    return F.filter(F.split(F.lower(told), r"[^\p{L}\p{M}\ue000-\ue002]+"), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(F.regexp_replace(_numbered(text), _NAMES, NAME)), F.lit(_WORD), F.lit(0))
+
+
+def plain(text: Column) -> Column:
+    """The same with names left as words in lower case."""
+    return F.regexp_extract_all(F.lower(_numbered(text)), F.lit(_WORD), F.lit(0))
 
 
 def values(text: Column) -> Column:
-    """The same tokens as they stand in the text."""
-    return F.regexp_extract_all(text, F.lit(rf"{_WORD}|{_NUMBER}|(?<=[0-9]\s?)%"), F.lit(0))
+    """The template's tokens as they stand in the text."""
+    return F.regexp_extract_all(text, F.lit(rf"{_NAMES}|{_MEASURE}|{_WORD}"), F.lit(0))
 
 
 def windows(marks: Column, width: int) -> Column:
@@ -67,10 +79,21 @@ def windows(marks: Column, width: int) -> Column:
     return F.when(F.size(marks) > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(marks, i, width)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _slots(marks: Column, words: Column, at: Column, width: int) -> Column:
-    """The values that a window's placeholders stand for, in order."""
+def _names(marks: Column, words: Column, at: Column, width: Column) -> Column:
+    """The names that a window's placeholders stand for, in order."""
     pairs = F.arrays_zip(F.slice(marks, at, width).alias("m"), F.slice(words, at, width).alias("w"))
-    return F.transform(F.filter(pairs, lambda p: p["m"].isin(NUM, NAME, UNIT)), lambda p: F.lower(p["w"]))
+    return F.transform(F.filter(pairs, lambda p: p["m"] == NAME), lambda p: F.lower(F.regexp_replace(p["w"], r"\s+", " ")))
+
+
+def _longest(at: Column) -> Column:
+    """How many of the sorted places follow one another without a gap, at most."""
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("n"), F.lit(0).alias("most"))
+
+    def step(acc: Column, p: Column) -> Column:
+        n = F.when(p == acc["last"] + 1, acc["n"] + 1).otherwise(1)
+        return F.struct(p.alias("last"), n.alias("n"), F.greatest(acc["most"], n).alias("most"))
+
+    return F.aggregate(at, start, step, lambda acc: acc["most"])
 
 
 def _bits(h: Column, bits: int) -> tuple[Column, Column]:
@@ -89,40 +112,55 @@ def _bitmap(items: DataFrame, bits: int) -> Column:
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE, run: int = RUN, bits: int = BITS, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(id, item_id, matched, total, share): contaminated documents with the items found in them."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), template(text).alias("marks"), values(text).alias("words"))
-    literal = lambda i: F.size(F.filter(F.slice("marks", i + 1, width), lambda m: ~m.isin(NUM, NAME, UNIT)))
+    none = F.array().cast("array<string>")
+    # An item has its template (form 0) and, where that has names, its plain form (1).
+    forms = lambda marks, other: F.when(F.array_contains(marks, NAME), F.array(marks, other)).otherwise(F.array(marks))
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), template(text).alias("marks"), plain(text).alias("plain"), values(text).alias("words"))
+    items = items.select("item_id", "words", F.posexplode(forms(F.col("marks"), F.col("plain"))).alias("form", "marks"))
+    literal = lambda i: F.size(F.filter(F.slice("marks", i + 1, width), lambda m: ~m.isin(NUM, NAME)))
     told = F.filter(F.transform(windows(F.col("marks"), width), lambda h, i: F.struct(h.alias("h"), i.alias("pos"), literal(i).alias("literals"))), lambda s: s["literals"] >= LITERALS)
     items = written(items.withColumn("told", told).withColumn("hashes", F.transform("told", lambda s: s["h"])))
-    parts = items.select("item_id", "marks", "words", F.size(F.array_distinct("hashes")).alias("total"), F.explode("told").alias("s"))
-    parts = parts.select("item_id", "total", F.col("s.pos").alias("pos"), F.col("s.h").alias("h"), _slots(F.col("marks"), F.col("words"), F.col("s.pos") + 1, width).alias("item_slots"))
+    parts = items.select("item_id", "form", "marks", "words", F.least(F.size("marks"), F.lit(width)).alias("width"), F.size(F.array_distinct("hashes")).alias("total"), F.explode("told").alias("s"))
+    parts = parts.select("item_id", "form", "width", "total", F.col("s.pos").alias("pos"), F.col("s.h").alias("h"), F.when(F.col("form") == 0, _names(F.col("marks"), F.col("words"), F.col("s.pos") + 1, F.col("width"))).otherwise(none).alias("item_names"))
+    short = sorted(r[0] for r in items.where((F.size("marks") < width) & (F.size("hashes") > 0)).select(F.size("marks")).distinct().collect())  # fewer than width values
 
-    # Windows leave a document as (id, text hash, position, hash), and most end at the bitmap.
+    # Windows leave a document as (id, text hash, form, position, hash), and most end at the bitmap.
     key = [F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash")]
     bitmap = _bitmap(items, bits)
     is_set = lambda bit: F.getbit(F.element_at(bitmap, (F.shiftright(bit, 6) + 1).cast("int")), (bit % 64).cast("int")) == 1
     known = docs.where(F.col(id_col).isNotNull())
-    marks = known.select(*key, template(text).alias("marks"))
+    marks = known.select(*key, template(text).alias("marks"), plain(text).alias("plain"))
+    each = lambda of, form, n: F.transform(windows(of, n), lambda h, i: F.struct(F.lit(form).alias("doc_form"), F.lit(n).alias("width"), i.alias("at"), h.alias("h")))
+    every = lambda of, form: F.concat(*(each(of, form, n) for n in (width, *short)))
+    told = F.when(F.array_contains("marks", NAME), F.concat(every(F.col("marks"), 0), every(F.col("plain"), 1))).otherwise(every(F.col("marks"), 0))
     # Outer: else a filter on the array's size is pushed below, and takes its whole making along.
-    seen = marks.select("id", "text_hash", windows(F.col("marks"), width).alias("hashes")).select("id", "text_hash", F.posexplode_outer("hashes").alias("at", "h"))
+    seen = marks.select("id", "text_hash", told.alias("told")).select("id", "text_hash", F.explode_outer("told").alias("s")).select("id", "text_hash", "s.doc_form", "s.at", "s.h")
     first, second = _bits(F.col("h"), bits)
     matched = written(seen.where(is_set(first) & is_set(second)).join(parts, "h").distinct())
 
-    # Slots are read again from the few texts that matched; written first, so that their true number decides the join.
+    # Names are read again from the few texts that matched; written first, so that their true number decides the join.
     chosen = written(matched.select("id", "text_hash").distinct())
     texts = known.select(*key, text.alias("text")).join(chosen, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("id", "text_hash", template(F.col("text")).alias("marks"), values(F.col("text")).alias("words"))
     found = matched.join(texts, ["id", "text_hash"])
-    hits = found.withColumn("doc_slots", _slots(F.col("marks"), F.col("words"), F.col("at") + 1, width)).withColumn("shift", F.col("at") - F.col("pos"))
-
-    # One alignment of an item in a document: the difference of positions.
-    slots = F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))
-    lined = hits.groupBy("id", "text_hash", "item_id", "shift").agg(
-        F.first("total").alias("total"), F.countDistinct("h").alias("matched"), F.countDistinct("pos").alias("places"),
-        F.array_distinct(F.flatten(F.collect_set(slots))).alias("pairs"),
+    doc_names = F.when(F.col("doc_form") == 0, _names(F.col("marks"), F.col("words"), F.col("at") + 1, F.col("width"))).otherwise(none)
+    hits = found.withColumn("doc_names", doc_names).withColumn("shift", F.col("at") - F.col("pos"))
+
+    # An alignment of an item in a document is the difference of positions; besides each alone (kind 0), those
+    # in a range of 2 * NEAR are taken together (1, and 2 with the ranges moved by half).
+    near = 2 * NEAR
+    groups = F.array(*(F.struct(F.lit(k).alias("kind"), g.cast("long").alias("place")) for k, g in enumerate((F.col("shift"), F.floor(F.col("shift") / near), F.floor((F.col("shift") + NEAR) / near)))))
+    names = F.arrays_zip(F.col("item_names").alias("i"), F.col("doc_names").alias("d"))
+    lined = hits.withColumn("names", names).withColumn("group", F.explode(groups)).groupBy("id", "text_hash", "item_id", "form", "doc_form", "group").agg(
+        F.first("total").alias("total"), F.countDistinct("h").alias("matched"), F.array_sort(F.collect_set("pos")).alias("at"),
+        F.array_distinct(F.flatten(F.collect_set("names"))).alias("pairs"),
     )
-    # Consistent: each item value stands for one document value.
+    # Consistent: each of the item's names stands for one name of the document.
     same = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
-    best = lined.where(same).groupBy("id", "item_id").agg(F.max("matched").alias("matched"), F.max("places").alias("places"), F.first("total").alias("total"))
-    return best.where((F.col("matched") >= share * F.col("total")) | (F.col("places") >= run - width + 1)).select(F.col("id").alias(id_col), "item_id", F.col("matched").cast("long"), F.col("total").cast("long"), (F.col("matched") / F.col("total")).alias("share"))
+    # Plain forms have no names to compare, so their places must follow one another.
+    places = F.when((F.col("form") == 1) & (F.col("doc_form") == 1), _longest(F.col("at"))).otherwise(F.size("at"))
+    enough = (F.col("matched") >= share * F.col("total")) | ((F.col("group.kind") == 0) & (places >= run - width + 1))
+    best = lined.where(same & enough).groupBy("id", "item_id").agg(F.max_by(F.struct("matched", "total"), F.col("matched") / F.col("total")).alias("m")).select("id", "item_id", "m.*")
+    return best.select(F.col("id").alias(id_col), "item_id", F.col("matched").cast("long"), F.col("total").cast("long"), (F.col("matched") / F.col("total")).alias("share"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

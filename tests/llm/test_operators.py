@@ -218,6 +218,24 @@ def test_decontamination_sees_through_parameters(spark):
     assert decontaminate.matches(empty(spark), bench).count() == 0 and decontaminate.matches(docs_of(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_slots_of_other_lengths(spark):
+    item = "a big red van moves on with two boxes for Bob who then drives back to the shop"
+    pens = "He buys 2 pens and needs 2 days to write the long letter that he owes his old aunt by the sea."
+    plain = "the old harbour keeps thirty small boats for Alice and nobody knows where Bob sleeps when Carol sails away at night"
+    mixed = "we saw that Alice lent the green kettle to a friend and later Alice lost the silver spoon near the mill"
+    slots = "one two three four five six seven eight nine ten eleven twelve red green grey brown black white pink gold beige navy lime teal".split()
+    bench = spark.createDataFrame([(1, item), (2, pens), (3, plain), (4, "Zebras yodel"), (5, mixed), (6, " ".join(slots))], "item_id long, text string")
+    texts = [item.replace("Bob", "Mary Ann Lee"), pens.replace("2 pens", "3 pens").replace("2 days", "5"), plain.upper(), "Some say zebras yodel at dawn.", " ".join([*slots[:12], "blue", *slots[12:]]), mixed.replace("Alice", "Mia", 1).replace("Alice", "Petra"), "Nothing of the kind is told in these few words."]
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs_of(spark, texts), bench).collect()} == {(0, 1), (1, 2), (2, 3), (3, 4), (4, 6)}
+
+
+def test_template_tokens_have_their_values(spark):
+    texts = ["We met Mary  Ann Lee and 30 Km later Bob. Then 5% of 7m3 x9y, Élan Vital", "a \ue000 b Straße 1,000.5 hours Über Alles", ""]
+    rows = docs_of(spark, texts).select("text", decontaminate.template(F.col("text")).alias("t"), decontaminate.values(F.col("text")).alias("v")).collect()
+    for r in rows:
+        assert len(r["t"]) == len(r["v"]) and all(m in (decontaminate.NUM, decontaminate.NAME) or m == v.lower() for m, v in zip(r["t"], r["v"], strict=True)), r
+
+
 # ------------------------------------------------------------------ 7 personal data
 
 CONTRACT = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
