@@ -11,7 +11,8 @@ Inside roles and texts `\\` is doubled and the two control strings are written `
 `<\\/turn>`, and a line feed inside a role stands after a backslash. So control strings never
 occur raw, and dropping each escaping backslash gives the text back. The loss mask is the list
 of code-point spans of the assistant turns' texts. A conversation becomes one text, so its
-turns meet in one row; a record may have 128 MB, the limit of a variant.
+turns meet in one row. A record too large for a variant (128 MB) is read by the layouts' typed
+schemas instead; its fingerprint stays null.
 
 Null texts are empty, null roles too. Turns are ordered by number, then role, then text; rows
 that repeat a turn stay. Null conversation ids form one conversation. A conversation of empty
@@ -29,6 +30,10 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "<turn>", "</turn>"
 TURNS = "array<struct<role:string,text:string>>"
 
+#: Bytes of text from which a record without a variant may have been too large for one, not malformed: an array's
+#: small values take several times their text.
+LARGE = 16 << 20
+
 #: Other names of the canonical roles.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatbot": "assistant"}
 
@@ -118,6 +123,34 @@ def _renamed(listed: Column, role: str, text: str) -> Column:
     return F.transform(listed, lambda t: F.struct(F.coalesce(names[t[role]], t[role], F.lit("")).alias("role"), F.coalesce(t[text], F.lit("")).alias("text")))
 
 
+def _typed(json: Column, path: str, kind: str) -> Column:
+    """The value at a path of a JSON text, read as its type; no variant is made."""
+    for part in reversed(path.split(".")):
+        kind = f"struct<`{part}`:{kind}>"
+    out = F.from_json(json, kind)
+    for part in path.split("."):
+        out = out[part]
+    return out
+
+
+def large(json: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """(layout, turns) of a record that no variant holds: the first layout whose fields it has."""
+    out = F.lit(None).cast(f"struct<layout:string,turns:{TURNS}>")
+    for x in reversed(layouts):
+        if x.turns:
+            listed = _typed(json, x.turns, f"array<struct<`{x.role}`:string,`{x.text}`:string>>")
+            fits = F.exists(listed, lambda t: t[x.role].isNotNull() & t[x.text].isNotNull())  # noqa: B023
+            got = _renamed(listed, x.role, x.text)
+        else:
+            fits = F.lit(True)
+            for path in x.needs:
+                fits = fits & _typed(json, path, "string").isNotNull()
+            each = [F.struct(F.lit(role).alias("role"), _typed(json, path, "string").alias("text")) for role, path in x.flat]
+            got = F.filter(F.array(*each), lambda t: F.coalesce(t["text"], F.lit("")) != "")
+        out = F.when(fits, F.struct(F.lit(x.name).alias("layout"), got.cast(TURNS).alias("turns"))).otherwise(out)
+    return out
+
+
 def formatted(turns: Column) -> Column:
     """The template's text."""
     one = lambda t: F.concat(F.lit(OPEN), F.replace(escape(t["role"]), F.lit("\n"), F.lit("\\\n")), F.lit("\n"), escape(t["text"]), F.lit(CLOSE + "\n"))
@@ -169,7 +202,10 @@ def conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 def chat(records: DataFrame, json_col: str = "json", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Adds layout, chat (the formatted text) and loss (spans of the assistant texts)."""
     known = selected(fingerprinted(records, json_col), layouts)
-    out = known.withColumn("chat", formatted(turns(F.col("record"), F.col("layout"), layouts)))
+    lost = F.col("record").isNull() & (F.octet_length(json_col) >= LARGE)
+    known = known.withColumn("large", F.when(lost, large(F.col(json_col), layouts)))
+    out = known.withColumn("chat", formatted(F.coalesce("large.turns", turns(F.col("record"), F.col("layout"), layouts))))
+    out = out.withColumn("layout", F.coalesce("layout", "large.layout")).drop("large")
     return out.withColumn("loss", loss_mask(F.col("chat"))).drop("record", "paths", json_col)
 
 

@@ -201,6 +201,17 @@ def test_chat_layouts(spark):
     assert {got[i]["chat"] for i in range(6)} == {"<turn>user\nq</turn>\n<turn>assistant\na</turn>\n"} and got[6]["chat"] == got[7]["chat"] == ""
 
 
+def test_chat_of_records_that_no_variant_holds(spark, monkeypatch):
+    made = chat.fingerprinted
+    without = lambda *a: made(*a).withColumn("record", F.expr("parse_json(NULL)")).withColumn("paths", F.lit(None).cast("string")).withColumn("fingerprint", F.lit(None).cast("long"))
+    records = ['{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}', '{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}], "id": 3}', '{"instruction": "q", "input": "", "output": "a"}', '{"prompt": "q", "response": "a"}', '{"other": 1}', "not json"]
+    df = spark.createDataFrame(list(enumerate(records)), "id long, json string")
+    known = {r["id"]: (r["layout"], r["chat"], r["loss"]) for r in chat.chat(df).collect()}
+    monkeypatch.setattr(chat, "fingerprinted", without)
+    monkeypatch.setattr(chat, "LARGE", 0, raising=False)
+    assert {r["id"]: (r["layout"], r["chat"], r["loss"]) for r in chat.chat(df).collect()} == known and known[0][0] == "messages"
+
+
 # ------------------------------------------------------------------ 6 decontamination
 
 
