@@ -4,15 +4,23 @@ A record is one JSON text in whatever layout its source uses. Its nested field p
 as schema_of_variant gives them in canonical order, are hashed into a fingerprint. Fingerprints
 of the distinct schemas are matched once to declarative mappings (where the turns are, what the
 role and text fields are called, or which flat fields make which turn), and the mapping that
-was selected extracts canonical turns. Records of unknown schema are returned with a null layout.
+was selected extracts canonical turns. The distinct fingerprints are a small written table, so
+Spark decides by its true size how it meets the records. A text that is a list of parts
+(`[{"type": "text", "text": ...}]`) is its parts' texts joined. Roles stay as they are but in
+layouts that declare other names for them.
+
+Every record has a status: `ok`, `incomplete` (a field that its layout needs is null or
+missing; its turn has an empty text), `unknown layout`, or `malformed` (no JSON). Texts that a
+variant refuses (a key that comes twice in an object, or more than 128 MB) are read by the
+layouts' typed schemas instead; their fingerprint stays null, and lists of parts stay JSON
+text there.
 
 The template marks each turn as `<turn>role`, a line feed, the text, `</turn>` and a line feed.
 Inside roles and texts `\\` is doubled and the two control strings are written `<\\turn>` and
 `<\\/turn>`, and a line feed inside a role stands after a backslash. So control strings never
 occur raw, and dropping each escaping backslash gives the text back. The loss mask is the list
 of code-point spans of the assistant turns' texts. A conversation becomes one text, so its
-turns meet in one row. A record too large for a variant (128 MB) is read by the layouts' typed
-schemas instead; its fingerprint stays null.
+turns meet in one row.
 
 Null texts are empty, null roles too. Turns are ordered by number, then role, then text; rows
 that repeat a turn stay. Null conversation ids form one conversation. A conversation of empty
@@ -27,14 +35,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.common import written
+
 OPEN, CLOSE = "<turn>", "</turn>"
 TURNS = "array<struct<role:string,text:string>>"
 
-#: Bytes of text from which a record without a variant may have been too large for one, not malformed: an array's
-#: small values take several times their text.
-LARGE = 16 << 20
-
-#: Other names of the canonical roles.
+#: Other names of the canonical roles, in the layout that uses them.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatbot": "assistant"}
 
 
@@ -44,7 +50,8 @@ class Layout:
 
     needs: field paths that a record's schema must have, as `a.b` and `a[].b`.
     turns, role, text: path of a list of turns, and its fields; or
-    flat: (role, path) for each turn in order, an empty or missing one being left out.
+    flat: (role, path) for each turn in order, an empty or missing one being left out unless it is needed.
+    roles: canonical roles by the layout's own names for them.
     """
 
     name: str
@@ -53,12 +60,13 @@ class Layout:
     role: str = ""
     text: str = ""
     flat: tuple[tuple[str, str], ...] = ()
+    roles: tuple[tuple[str, str], ...] = ()
 
 
 LAYOUTS = (
     Layout("messages", ("messages[].role", "messages[].content"), "messages", "role", "content"),
     Layout("turns", ("turns[].role", "turns[].text"), "turns", "role", "text"),
-    Layout("conversations", ("conversations[].from", "conversations[].value"), "conversations", "from", "value"),
+    Layout("conversations", ("conversations[].from", "conversations[].value"), "conversations", "from", "value", roles=tuple(ROLES.items())),
     Layout("instruction", ("instruction", "output"), flat=(("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Layout("prompt", ("prompt", "response"), flat=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Layout("prompt_completion", ("prompt", "completion"), flat=(("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
@@ -100,27 +108,52 @@ def selected(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataF
         for path in layout.needs:
             needs = needs & _has(F.col("paths"), path)
         choice = F.when(needs, F.lit(layout.name)).otherwise(choice)
-    known = records.groupBy("fingerprint").agg(F.min("paths").alias("paths")).select("fingerprint", choice.alias("layout"))
+    known = written(records.groupBy("fingerprint").agg(F.min("paths").alias("paths")).select("fingerprint", choice.alias("layout")))
     return records.join(known, "fingerprint", "left")
 
 
+def _text(value: Column) -> Column:
+    """A text, or the joined texts of a list of parts, from a variant."""
+    listed = F.try_variant_get(value, "$", "array<struct<text:string>>")
+    return F.coalesce(F.array_join(F.transform(listed, lambda p: F.coalesce(p["text"], F.lit(""))), ""), F.try_variant_get(value, "$", "string"))
+
+
+def _flat(layout: Layout, read) -> Column:
+    """The turns of a flat layout; needed ones stay though they are empty."""
+    each = [F.struct(F.lit(role).alias("role"), F.coalesce(read(path), F.lit("")).alias("text"), F.lit(path in layout.needs).alias("needed")) for role, path in layout.flat]
+    return F.transform(F.filter(F.array(*each), lambda t: t["needed"] | (t["text"] != "")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+
+
+def _listed(layout: Layout, turns: Column, text=lambda c: c) -> Column:
+    role = lambda t: F.coalesce(*([F.create_map(*(F.lit(v) for pair in layout.roles for v in pair))[t[layout.role]]] if layout.roles else []), t[layout.role], F.lit(""))
+    return F.transform(turns, lambda t: F.struct(role(t).alias("role"), F.coalesce(text(t[layout.text]), F.lit("")).alias("text")))
+
+
 def turns(record: Column, layout: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
     """Canonical turns of a record under the layout selected for it."""
-    out = F.expr(f"cast(array() as {TURNS})")
+    out = F.lit(None).cast(TURNS)
     for x in layouts:
         if x.turns:
-            listed = F.try_variant_get(record, f"$.{x.turns}", f"array<struct<`{x.role}`:string,`{x.text}`:string>>")
-            got = _renamed(listed, x.role, x.text)
+            got = _listed(x, F.try_variant_get(record, f"$.{x.turns}", f"array<struct<`{x.role}`:string,`{x.text}`:variant>>"), _text)
         else:
-            each = [F.struct(F.lit(role).alias("role"), F.try_variant_get(record, f"$.{path}", "string").alias("text")) for role, path in x.flat]
-            got = F.filter(F.array(*each), lambda t: F.coalesce(t["text"], F.lit("")) != "")
+            got = _flat(x, lambda path: _text(F.try_variant_get(record, f"$.{path}", "variant")))
         out = F.when(layout == x.name, got.cast(TURNS)).otherwise(out)
-    return F.coalesce(out, F.expr(f"cast(array() as {TURNS})"))
+    return out
 
 
-def _renamed(listed: Column, role: str, text: str) -> Column:
-    names = F.create_map(*(F.lit(v) for pair in ROLES.items() for v in pair))
-    return F.transform(listed, lambda t: F.struct(F.coalesce(names[t[role]], t[role], F.lit("")).alias("role"), F.coalesce(t[text], F.lit("")).alias("text")))
+def lacking(record: Column, layout: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """Whether a field that the record's layout needs is null."""
+    out = F.lit(False)
+    for x in layouts:
+        if x.turns:
+            listed = F.try_variant_get(record, f"$.{x.turns}", f"array<struct<`{x.role}`:string,`{x.text}`:variant>>")
+            lacks = F.exists(listed, lambda t: t[x.role].isNull() | F.coalesce(F.is_variant_null(t[x.text]), F.lit(True)))  # noqa: B023
+        else:
+            lacks = F.lit(False)
+            for path in x.needs:
+                lacks = lacks | F.coalesce(F.is_variant_null(F.try_variant_get(record, f"$.{path}", "variant")), F.lit(True))
+        out = F.when(layout == x.name, lacks).otherwise(out)
+    return F.coalesce(out, F.lit(False))
 
 
 def _typed(json: Column, path: str, kind: str) -> Column:
@@ -133,20 +166,19 @@ def _typed(json: Column, path: str, kind: str) -> Column:
     return out
 
 
-def large(json: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+def refused(json: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
     """(layout, turns) of a record that no variant holds: the first layout whose fields it has."""
     out = F.lit(None).cast(f"struct<layout:string,turns:{TURNS}>")
     for x in reversed(layouts):
         if x.turns:
             listed = _typed(json, x.turns, f"array<struct<`{x.role}`:string,`{x.text}`:string>>")
             fits = F.exists(listed, lambda t: t[x.role].isNotNull() & t[x.text].isNotNull())  # noqa: B023
-            got = _renamed(listed, x.role, x.text)
+            got = _listed(x, listed)
         else:
             fits = F.lit(True)
             for path in x.needs:
                 fits = fits & _typed(json, path, "string").isNotNull()
-            each = [F.struct(F.lit(role).alias("role"), _typed(json, path, "string").alias("text")) for role, path in x.flat]
-            got = F.filter(F.array(*each), lambda t: F.coalesce(t["text"], F.lit("")) != "")
+            got = _flat(x, lambda path: _typed(json, path, "string"))
         out = F.when(fits, F.struct(F.lit(x.name).alias("layout"), got.cast(TURNS).alias("turns"))).otherwise(out)
     return out
 
@@ -200,12 +232,15 @@ def conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 
 def chat(records: DataFrame, json_col: str = "json", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Adds layout, chat (the formatted text) and loss (spans of the assistant texts)."""
+    """Adds layout, status, chat (the formatted text) and loss (spans of the assistant texts)."""
     known = selected(fingerprinted(records, json_col), layouts)
-    lost = F.col("record").isNull() & (F.octet_length(json_col) >= LARGE)
-    known = known.withColumn("large", F.when(lost, large(F.col(json_col), layouts)))
-    out = known.withColumn("chat", formatted(F.coalesce("large.turns", turns(F.col("record"), F.col("layout"), layouts))))
-    out = out.withColumn("layout", F.coalesce("layout", "large.layout")).drop("large")
+    parsed = F.col("record").isNotNull()
+    known = known.withColumn("refused", F.when(~parsed & F.col(json_col).isNotNull(), refused(F.col(json_col), layouts)))
+    layout = F.coalesce("layout", "refused.layout")
+    status = F.when(layout.isNotNull(), F.when(lacking(F.col("record"), F.col("layout"), layouts), "incomplete").otherwise("ok")).when(parsed, "unknown layout").otherwise("malformed")
+    none = F.lit(None).cast(TURNS)
+    told = F.coalesce(turns(F.col("record"), F.col("layout"), layouts), F.when(~parsed, F.col("refused.turns")).otherwise(none), F.array().cast(TURNS))
+    out = known.withColumn("status", status).withColumn("chat", formatted(told)).withColumn("layout", layout).drop("refused")
     return out.withColumn("loss", loss_mask(F.col("chat"))).drop("record", "paths", json_col)
 
 
@@ -218,4 +253,5 @@ def digest(chats: DataFrame) -> DataFrame:
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"),
         F.length("lost").cast("long").alias("loss_chars"), F.sha2(F.col("lost").cast("binary"), 256).alias("loss_sha256"), F.length("chat").cast("long").alias("formatted_chars"),
+        "status",
     )

@@ -88,6 +88,6 @@ ORACLES: dict[str, str] = {
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
             coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-            sum(chars)::BIGINT AS formatted_chars
+            sum(chars)::BIGINT AS formatted_chars, 'ok' AS status
         FROM e GROUP BY conv_id""",
 }

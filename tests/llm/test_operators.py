@@ -208,10 +208,30 @@ def test_chat_of_records_that_no_variant_holds(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(records)), "id long, json string")
     known = {r["id"]: (r["layout"], r["chat"], r["loss"]) for r in chat.chat(df).collect()}
     monkeypatch.setattr(chat, "fingerprinted", without)
-    monkeypatch.setattr(chat, "LARGE", 0, raising=False)
     assert {r["id"]: (r["layout"], r["chat"], r["loss"]) for r in chat.chat(df).collect()} == known and known[0][0] == "messages"
 
 
+def test_chat_keeps_roles_and_reports_what_it_cannot_read(spark):
+    records = [
+        '{"messages": [{"role": "human", "content": "q"}, {"role": "gpt", "content": "a"}]}',
+        '{"messages": [{"role": "user", "content": [{"type": "text", "text": "q1 "}, {"type": "image", "url": "u"}, {"type": "text", "text": "q2"}]}, {"role": "assistant", "content": "a"}]}',
+        '{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "x": 1, "x": 2}',
+        '{"prompt": "q", "response": null}',
+        '{"messages": [{"role": "user", "content": null}]}',
+        '{"other": 1}', '{"messages": [', None, "",
+    ]
+    got = {r["id"]: r for r in chat.chat(spark.createDataFrame(list(enumerate(records)), "id long, json string")).collect()}
+    assert [got[i]["status"] for i in range(9)] == ["ok", "ok", "ok", "incomplete", "incomplete", "unknown layout", "malformed", "malformed", "malformed"]
+    assert got[0]["chat"] == "<turn>human\nq</turn>\n<turn>gpt\na</turn>\n" and got[0]["loss"] == []
+    assert got[1]["chat"] == "<turn>user\nq1 q2</turn>\n<turn>assistant\na</turn>\n"
+    assert got[2]["chat"] == "<turn>user\nq</turn>\n<turn>assistant\na</turn>\n" and got[2]["layout"] == "messages"
+    assert got[3]["chat"] == "<turn>user\nq</turn>\n<turn>assistant\n</turn>\n"
+    rows = spark.createDataFrame([(1, 0, "human", "q"), (1, 1, "gpt", "a")], "conv_id long, turn long, role string, text string")
+    told = chat.digest(chat.chat(chat.conversations(rows))).first()
+    assert told["turns_sha256"] == hashlib.sha256(b"human\nq\ngpt\na\n").hexdigest() and told["loss_chars"] == 0 and told["status"] == "ok"
+    assert chat.chat(chat.conversations(rows.limit(0))).count() == 0
+
+
 # ------------------------------------------------------------------ 6 decontamination
 
 
