@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, removed when the session's JVM ends.
 
-    A local folder is made only where the setting is absent (single-machine tests).
+    A local folder is made only where the setting is absent and the master is local (tests); on a
+    cluster, where executors couldn't share it, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         base = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="claimloom-")
         _own[spark.sparkContext.applicationId] = base

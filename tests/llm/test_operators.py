@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,49 @@ def test_near_duplicates_empty_null_ids_and_repeats(spark):
     assert sorted(str(r["doc_id"]) for r in neardup.deduplicated(df).collect()) == ["1", "None"]
 
 
+def test_estimate_keeps_pairs_at_exactly_the_threshold():
+    """20,000 pairs of each size at 0.8: nearly all reach the estimate's margin, and share a band."""
+    rng = np.random.default_rng(31)
+    sigma = (0.85 * 0.15 / neardup.HASHES) ** 0.5 / 0.75
+    words = np.array([f"w{i}" for i in range(200_000)])
+    for small, large in ((4, 5), (8, 10), (40, 50), (80, 100)):
+        texts = []
+        pairs = 20_000 if large < 50 else 2_000
+        for _ in range(pairs):
+            w = words[rng.integers(0, len(words), large)]
+            texts += [" ".join(w[:small]), " ".join(w)]  # one-word shingles: the sets are the words
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "text"])
+        out = pa.Table.from_batches(list(neardup._sketched(1)([batch])))
+        n = out["n"].to_numpy()
+        right = (n[::2] == small) & (n[1::2] == large)  # without chance repeats of a word
+        packed = np.stack(out["signature"].to_numpy()).view(np.uint64)
+        bands = np.stack(out["bands"].to_numpy())
+        kept = neardup.estimated(packed[::2], packed[1::2]) >= 0.8 - 4 * sigma
+        assert right.sum() > 0.9 * pairs and (~kept[right]).sum() <= 5 and (~(bands[::2] == bands[1::2]).any(1)[right]).sum() <= 1, (small, large)
+
+
+def test_near_duplicates_of_a_large_group_with_chains(spark, monkeypatch):
+    """Large groups are compared with their leader first; chains away from it must still be found."""
+    monkeypatch.setattr(neardup, "TILE_ITEMS", 4)
+    monkeypatch.setattr(neardup, "TILE_HASHES", 150)
+    rng = random.Random(12)
+    texts, words = [], [f"v{i}" for i in range(60)]
+    for i in range(40):  # each step changes few words: neighbours link, ends don't
+        texts.append(" ".join(words))
+        for k in rng.sample(range(60), 2 if i % 3 else 1):
+            words[k] = f"n{i}_{k}"
+    texts += [texts[5] + f" tail{i}" for i in range(20)]
+    n, label = brute(texts, 4)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs_of(spark, texts), 4).collect()}
+    assert [got[i] for i in range(len(texts))] == label and len(set(label)) < len(texts)
+
+
+def test_deduplicated_keeps_the_same_row_of_a_repeated_id(spark):
+    df = spark.createDataFrame([(1, "a b", "x", [1]), (1, "a c", "y", [2]), (1, "a c", "z", [3])], "doc_id long, text string, lang string, more array<int>")
+    for parts in (1, 3):
+        assert [tuple(r) for r in neardup.deduplicated(df.repartition(parts)).collect()] == [(1, "a c", "z", [3])]
+
+
 def test_packed_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     low = rng.integers(0, 4, (2, neardup.HASHES)).astype(np.uint64)
