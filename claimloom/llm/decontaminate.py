@@ -1,24 +1,31 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become templates: words are lower-cased, a number with the unit after it becomes one typed
-placeholder, and so does a run of names (capitalised words inside a sentence), so that a slot is
-one token whatever its value. Beside its template a text has a plain form, where names are words
-in lower case, so that a copy in another case counts too. Windows of WIDTH tokens are hashed in
-documents and benchmark items alike and joined by hash; an item of fewer tokens is hashed at its
-own length. For every matched pair the names are compared: within an item, a name must always
-stand for the same name in the document, so that a re-parameterised question counts and a chance
-mix of placeholders doesn't; numbers vary freely. A document is contaminated by an item when
-windows of at least SHARE of the item's distinct ones match in nearby alignments (NEAR), or when
-RUN tokens in a row do.
+placeholder, and so does a run of names (capitalised words, but for the STARTERS that begin a
+sentence), so that a slot is one token whatever its value. Beside its template (form 0) a text
+has a plain form (1), where names are words in lower case, so that a copy in another case counts
+too. Windows of WIDTH tokens are hashed in documents and benchmark items alike and joined by
+hash; an item of fewer tokens is hashed at its own length. For every matched pair the names are
+compared: within an item, a name must always stand for the same name in the document, so that a
+re-parameterised question counts and a chance mix of placeholders doesn't; numbers vary freely.
+
+A window of less than LITERALS words besides placeholders says nothing. Where the others cover
+at least half of a form's tokens they alone are compared; where they don't in the plain form
+(an item of numbers, say), the rest is hashed with its values as they stand (form 2), so that a
+verbatim copy is found; such an item of fewer than WIDTH tokens is never found. A document is
+contaminated by an item when matched windows in nearby alignments (NEAR) cover at least SHARE of
+the tokens that the item's windows cover, or when RUN tokens in a row match. Where they cover
+half of a template, the text around them is looked at in windows of FINE tokens (with a word each): covering
+SHARE of the whole item is enough, so that an inserted or changed word costs little more than
+itself wherever it stands.
 
 Before the join, windows are tested against a bitmap of BITS bits, two for each of the
 benchmark's hashes; its size is fixed, whatever the benchmark's, and it only ever drops windows
-that can't match. The join itself is by hash on both sides. An item's windows of less than LITERALS words
-besides placeholders say nothing and aren't counted; an item of only such windows is never found.
+that can't match. The join itself is by hash on both sides.
 
-All of it is DataFrame expressions. A null or empty text has no windows. Repeated rows each get
-their answer by id. Rows without an id never match. Empty tables give no rows, or no
-contamination. Other columns are ignored.
+All of it is DataFrame expressions. A null or empty text has no windows. The placeholders' own
+characters count as spaces in a text. Repeated rows each get their answer by id. Rows without an
+id never match. Empty tables give no rows, or no contamination. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,23 +41,33 @@ RUN = 13
 BITS = 1 << 20
 #: Words that an item's window must have besides its placeholders.
 LITERALS = 2
+#: Width of the windows that are looked at around matches of half an item.
+FINE = 3
 #: Alignments whose positions differ by up to this are counted together: slots that change their length shift what follows.
 NEAR = 8
 
 #: Unit words that follow a number (fixed values).
 UNITS = ("%", "percent", "kg", "g", "mg", "km", "m", "cm", "mm", "mi", "miles", "mile", "ft", "feet", "inches", "inch", "lb", "lbs", "oz", "l", "ml", "hours", "hour", "hrs", "minutes", "minute", "min", "seconds", "second", "sec", "days", "day", "weeks", "week", "months", "month", "years", "year", "dollars", "dollar", "usd", "eur", "euros", "cents", "mph", "kmh", "degrees", "watts", "volts", "liters", "litres", "meters", "metres", "grams", "kilograms", "pounds", "ounces", "gallons", "acres")
 
-#: Placeholders: characters of private use, so that no text has them as words.
+#: Words that begin a sentence without being names (fixed values).
+STARTERS = ("a", "after", "all", "an", "and", "are", "as", "at", "before", "both", "but", "by", "calculate", "can", "compute", "consider", "could", "describe", "determine", "did", "do", "does", "during", "each", "every", "explain", "find", "for", "from", "given", "had", "has", "have", "he", "her", "here", "his", "how", "if", "in", "is", "it", "its", "let", "many", "may", "might", "most", "no", "not", "of", "on", "one", "or", "our", "prove", "she", "should", "show", "since", "so", "some", "suppose", "that", "the", "their", "then", "there", "these", "they", "this", "those", "three", "to", "two", "until", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whose", "why", "will", "with", "would", "write", "you", "your")
+
+#: Placeholders: characters of private use, which count as spaces where a text has them.
 NUM, NAME = "\ue000", "\ue001"
 _NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
 _UNIT = "(?:%|(?:" + "|".join(u for u in UNITS if u != "%") + r")(?![\p{L}\p{N}]))"
-#: A capitalised word after a word, a comma or the like: not at a sentence's beginning.
-_NAME = r"(?=\p{Lu}\p{Ll})(?<=[^.!?\s]\s{1,2})[\p{L}\p{M}]++"
+#: A capitalised word inside a sentence (after a word, a comma or the like), or at its beginning unless that is a starter.
+_NAME = rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{M}}])(?:(?<=[^.!?\s]\s{{1,2}})|(?!(?i:{'|'.join(STARTERS)})(?![\p{{L}}\p{{M}}])))[\p{{L}}\p{{M}}]++"
 _NAMES = rf"{_NAME}(?:\s{{1,2}}{_NAME})*"
 _MEASURE = rf"{_NUMBER}(?:\s?(?i:{_UNIT}))?"
 _WORD = r"[\p{L}\p{M}]+|[\ue000\ue001]"
 
 
+def cleaned(text: Column) -> Column:
+    """The text without the placeholders' characters."""
+    return F.when(text.contains(NUM) | text.contains(NAME), F.translate(text, NUM + NAME, "  ")).otherwise(text)
+
+
 def _numbered(text: Column) -> Column:
     return F.when(text.rlike("[0-9]"), F.regexp_replace(text, _MEASURE, NUM)).otherwise(text)
 
@@ -60,23 +77,35 @@ def template(text: Column) -> Column:
 
     The replacements run over the whole text, not word by word: a text costs a few passes.
     """
-    return F.regexp_extract_all(F.lower(F.regexp_replace(_numbered(text), _NAMES, NAME)), F.lit(_WORD), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.regexp_replace(_numbered(cleaned(text)), _NAMES, NAME)), F.lit(_WORD), F.lit(0))
 
 
 def plain(text: Column) -> Column:
     """The same with names left as words in lower case."""
-    return F.regexp_extract_all(F.lower(_numbered(text)), F.lit(_WORD), F.lit(0))
+    return F.regexp_extract_all(F.lower(_numbered(cleaned(text))), F.lit(_WORD), F.lit(0))
+
+
+def exact(text: Column) -> Column:
+    """The plain form's tokens with numbers as they stand."""
+    return F.regexp_extract_all(F.lower(cleaned(text)), F.lit(rf"{_MEASURE}|{_WORD}"), F.lit(0))
 
 
 def values(text: Column) -> Column:
     """The template's tokens as they stand in the text."""
-    return F.regexp_extract_all(text, F.lit(rf"{_NAMES}|{_MEASURE}|{_WORD}"), F.lit(0))
+    return F.regexp_extract_all(cleaned(text), F.lit(rf"{_NAMES}|{_MEASURE}|{_WORD}"), F.lit(0))
 
 
-def windows(marks: Column, width: int) -> Column:
-    """Hashes of the windows of a token array, in order."""
+def windows(marks: Column, width: int, mark: str | None = None) -> Column:
+    """Hashes of the windows of a token array, in order; a mark sets them apart from those of other forms."""
     last = F.greatest(F.size(marks) - width + 1, F.lit(1))
-    return F.when(F.size(marks) > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(marks, i, width)))).otherwise(F.array().cast("array<bigint>"))
+    own = [F.lit(mark)] if mark else []
+    return F.when(F.size(marks) > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(*own, F.slice(marks, i, width)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _covered(at: Column, width: Column) -> Column:
+    """How many tokens the windows at the sorted places cover."""
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+    return F.aggregate(at, start, lambda acc, p: F.struct((p + width).alias("end"), (acc["n"] + F.least(width, p + width - acc["end"])).alias("n")), lambda acc: acc["n"])
 
 
 def _names(marks: Column, words: Column, at: Column, width: Column) -> Column:
@@ -110,29 +139,41 @@ def _bitmap(items: DataFrame, bits: int) -> Column:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE, run: int = RUN, bits: int = BITS, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(id, item_id, matched, total, share): contaminated documents with the items found in them."""
+    """(id, item_id, matched, total, share): contaminated documents with the items found in them, and the tokens that match."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast("array<string>")
-    # An item has its template (form 0) and, where that has names, its plain form (1).
-    forms = lambda marks, other: F.when(F.array_contains(marks, NAME), F.array(marks, other)).otherwise(F.array(marks))
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), template(text).alias("marks"), plain(text).alias("plain"), values(text).alias("words"))
-    items = items.select("item_id", "words", F.posexplode(forms(F.col("marks"), F.col("plain"))).alias("form", "marks"))
-    literal = lambda i: F.size(F.filter(F.slice("marks", i + 1, width), lambda m: ~m.isin(NUM, NAME)))
-    told = F.filter(F.transform(windows(F.col("marks"), width), lambda h, i: F.struct(h.alias("h"), i.alias("pos"), literal(i).alias("literals"))), lambda s: s["literals"] >= LITERALS)
-    items = written(items.withColumn("told", told).withColumn("hashes", F.transform("told", lambda s: s["h"])))
-    parts = items.select("item_id", "form", "marks", "words", F.least(F.size("marks"), F.lit(width)).alias("width"), F.size(F.array_distinct("hashes")).alias("total"), F.explode("told").alias("s"))
+    size = F.least(F.size("marks"), F.lit(width))
+    is_slot = lambda m: m.isin(NUM, NAME)
+    literals = lambda i: F.size(F.filter(F.slice("marks", i + 1, width), lambda m: ~is_slot(m)))
+    # An item has its template (form 0) and, where that has names, its plain form (1); a poor one its values too (2).
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), template(text).alias("t"), plain(text).alias("p"), exact(text).alias("exact"), values(text).alias("words"))
+    made = F.array(F.struct(F.lit(0).alias("form"), F.col("t").alias("marks")), F.struct(F.lit(1).alias("form"), F.col("p").alias("marks")))
+    items = items.select("item_id", "words", "exact", F.array_contains("t", NAME).alias("named"), F.inline(made))
+    every = F.transform(windows(F.col("marks"), width), lambda h, i: F.struct(h.alias("h"), i.alias("pos"), literals(i).alias("literals")))
+    items = items.withColumn("every", every).withColumn("told", F.filter("every", lambda s: s["literals"] >= LITERALS))
+    covered = lambda of: _covered(F.transform(of, lambda s: s["pos"]), size)
+    items = items.withColumn("rich", (F.size("marks") > 0) & (2 * covered(F.col("told")) >= F.size("marks")))
+    as_stands = F.transform(F.arrays_zip("every", windows(F.col("exact"), width, "=").alias("e")), lambda s: F.struct(F.when(s["every"]["literals"] >= LITERALS, s["every"]["h"]).otherwise(s["e"]).alias("h"), s["every"]["pos"].alias("pos"), s["every"]["literals"].alias("literals")))
+    poor = (F.col("form") == 1) & ~F.col("rich") & (F.size("marks") >= width)
+    items = items.where(F.when(F.col("form") == 0, F.col("rich")).otherwise((F.col("rich") & F.col("named")) | poor))
+    items = items.withColumn("told", F.when(poor, as_stands).otherwise(F.col("told"))).withColumn("form", F.when(poor, 2).otherwise(F.col("form")))
+    items = written(items.select("item_id", "form", "marks", "words", "told", size.alias("width"), covered(F.col("told")).alias("total"), F.transform("told", lambda s: s["h"]).alias("hashes")))
+    parts = items.select("item_id", "form", "marks", "words", "width", "total", F.explode("told").alias("s"))
     parts = parts.select("item_id", "form", "width", "total", F.col("s.pos").alias("pos"), F.col("s.h").alias("h"), F.when(F.col("form") == 0, _names(F.col("marks"), F.col("words"), F.col("s.pos") + 1, F.col("width"))).otherwise(none).alias("item_names"))
-    short = sorted(r[0] for r in items.where((F.size("marks") < width) & (F.size("hashes") > 0)).select(F.size("marks")).distinct().collect())  # fewer than width values
+    short = sorted(r[0] for r in items.where(F.col("width") < width).select("width").distinct().collect())  # fewer than width values
+    valued = items.where("form = 2").limit(1).count() > 0
 
     # Windows leave a document as (id, text hash, form, position, hash), and most end at the bitmap.
     key = [F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash")]
     bitmap = _bitmap(items, bits)
     is_set = lambda bit: F.getbit(F.element_at(bitmap, (F.shiftright(bit, 6) + 1).cast("int")), (bit % 64).cast("int")) == 1
     known = docs.where(F.col(id_col).isNotNull())
-    marks = known.select(*key, template(text).alias("marks"), plain(text).alias("plain"))
-    each = lambda of, form, n: F.transform(windows(of, n), lambda h, i: F.struct(F.lit(form).alias("doc_form"), F.lit(n).alias("width"), i.alias("at"), h.alias("h")))
+    marks = known.select(*key, template(text).alias("marks"), plain(text).alias("plain"), (F.when(text.rlike("[0-9]"), exact(text)).otherwise(none) if valued else none).alias("exact"))
+    each = lambda of, form, n, mark=None: F.transform(windows(of, n, mark), lambda h, i: F.struct(F.lit(form).alias("doc_form"), F.lit(n).alias("width"), i.alias("at"), h.alias("h")))
     every = lambda of, form: F.concat(*(each(of, form, n) for n in (width, *short)))
     told = F.when(F.array_contains("marks", NAME), F.concat(every(F.col("marks"), 0), every(F.col("plain"), 1))).otherwise(every(F.col("marks"), 0))
+    if valued:
+        told = F.concat(told, each(F.col("exact"), 2, width, "="))
     # Outer: else a filter on the array's size is pushed below, and takes its whole making along.
     seen = marks.select("id", "text_hash", told.alias("told")).select("id", "text_hash", F.explode_outer("told").alias("s")).select("id", "text_hash", "s.doc_form", "s.at", "s.h")
     first, second = _bits(F.col("h"), bits)
@@ -140,10 +181,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: fl
 
     # Names are read again from the few texts that matched; written first, so that their true number decides the join.
     chosen = written(matched.select("id", "text_hash").distinct())
-    texts = known.select(*key, text.alias("text")).join(chosen, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("id", "text_hash", template(F.col("text")).alias("marks"), values(F.col("text")).alias("words"))
+    texts = known.select(*key, text.alias("text")).join(chosen, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"])
+    texts = written(texts.select("id", "text_hash", template(F.col("text")).alias("marks"), values(F.col("text")).alias("words")))
     found = matched.join(texts, ["id", "text_hash"])
     doc_names = F.when(F.col("doc_form") == 0, _names(F.col("marks"), F.col("words"), F.col("at") + 1, F.col("width"))).otherwise(none)
-    hits = found.withColumn("doc_names", doc_names).withColumn("shift", F.col("at") - F.col("pos"))
+    # Windows of a poor item match its document's plain form or values, whose places are the same.
+    hits = found.withColumn("doc_names", doc_names).withColumn("shift", F.col("at") - F.col("pos")).withColumn("doc_form", F.when(F.col("form") == 2, 2).otherwise(F.col("doc_form")))
 
     # An alignment of an item in a document is the difference of positions; besides each alone (kind 0), those
     # in a range of 2 * NEAR are taken together (1, and 2 with the ranges moved by half).
@@ -151,15 +194,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: fl
     groups = F.array(*(F.struct(F.lit(k).alias("kind"), g.cast("long").alias("place")) for k, g in enumerate((F.col("shift"), F.floor(F.col("shift") / near), F.floor((F.col("shift") + NEAR) / near)))))
     names = F.arrays_zip(F.col("item_names").alias("i"), F.col("doc_names").alias("d"))
     lined = hits.withColumn("names", names).withColumn("group", F.explode(groups)).groupBy("id", "text_hash", "item_id", "form", "doc_form", "group").agg(
-        F.first("total").alias("total"), F.countDistinct("h").alias("matched"), F.array_sort(F.collect_set("pos")).alias("at"),
-        F.array_distinct(F.flatten(F.collect_set("names"))).alias("pairs"),
+        F.first("total").alias("total"), F.first("width").alias("width"), F.array_sort(F.collect_set("pos")).alias("at"),
+        F.array_distinct(F.flatten(F.collect_set("names"))).alias("pairs"), F.min("shift").alias("first"), F.max("shift").alias("last"),
     )
     # Consistent: each of the item's names stands for one name of the document.
     same = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
+    lined = written(lined.where(same).withColumn("matched", _covered(F.col("at"), F.col("width"))).drop("pairs"))
     # Plain forms have no names to compare, so their places must follow one another.
-    places = F.when((F.col("form") == 1) & (F.col("doc_form") == 1), _longest(F.col("at"))).otherwise(F.size("at"))
+    places = F.when((F.col("form") > 0) & (F.col("doc_form") > 0), _longest(F.col("at"))).otherwise(F.size("at"))
     enough = (F.col("matched") >= share * F.col("total")) | ((F.col("group.kind") == 0) & (places >= run - width + 1))
-    best = lined.where(same & enough).groupBy("id", "item_id").agg(F.max_by(F.struct("matched", "total"), F.col("matched") / F.col("total")).alias("m")).select("id", "item_id", "m.*")
+    half = lined.where(~enough & (F.col("group.kind") > 0) & (F.col("form") == 0) & (F.col("doc_form") == 0) & (2 * F.col("matched") >= F.col("total")))
+    half = half.join(items.select("item_id", "form", F.col("marks").alias("own")), ["item_id", "form"]).join(texts.drop("words"), ["id", "text_hash"])
+    start = F.greatest(F.col("first") - NEAR, F.lit(0))
+    around = F.slice("marks", start + 1, F.col("last") + F.size("own") + NEAR - start)
+    half = half.where(F.size("own") >= FINE).select("id", "item_id", "own", windows(F.col("own"), FINE).alias("fine"), windows(around, FINE).alias("theirs"))
+    at = F.filter(F.sequence(F.lit(0), F.size("fine") - 1), lambda i: F.array_contains("theirs", F.get("fine", i)) & F.exists(F.slice("own", i + 1, FINE), lambda m: ~is_slot(m)))
+    half = half.select("id", "item_id", _covered(at, F.lit(FINE)).alias("matched"), F.size("own").alias("total"))
+    lined = lined.where(enough).select("id", "item_id", "matched", "total").unionByName(half.where(F.col("matched") >= share * F.col("total")))
+    best = lined.groupBy("id", "item_id").agg(F.max_by(F.struct("matched", "total"), F.col("matched") / F.col("total")).alias("m")).select("id", "item_id", "m.*")
     return best.select(F.col("id").alias(id_col), "item_id", F.col("matched").cast("long"), F.col("total").cast("long"), (F.col("matched") / F.col("total")).alias("share"))
 
 

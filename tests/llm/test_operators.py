@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from claimloom.llm import ann, chat, common, decontaminate, language, licenses, neardup, packing, pii, toxicity, warc
@@ -304,6 +305,102 @@ def test_decontamination_of_slots_of_other_lengths(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs_of(spark, texts), bench).collect()} == {(0, 1), (1, 2), (2, 3), (3, 4), (4, 6)}
 
 
+def brute_contaminated(texts, items):
+    """The docstring's rule with tuples of tokens in place of hashes, every document against every item."""
+    d, width = decontaminate, decontaminate.WIDTH
+    number = lambda t: regex.sub(d._MEASURE, d.NUM, t)
+    words = lambda t: regex.findall(d._WORD, t.lower())
+    forms = lambda t: [words(regex.sub(d._NAMES, d.NAME, number(t))), words(number(t)), [m.group() for m in regex.finditer(rf"{d._MEASURE}|{d._WORD}", t.lower())]]
+    values = lambda t: [m.group() for m in regex.finditer(rf"{d._NAMES}|{d._MEASURE}|{d._WORD}", t)]
+    names = lambda marks, vals, i, w: [" ".join(v.lower().split()) for m, v in zip(marks[i : i + w], vals[i : i + w], strict=True) if m == d.NAME]
+    literal = lambda win: sum(m not in (d.NUM, d.NAME) for m in win) >= d.LITERALS
+
+    def cover(at, w):
+        return len({k for p in at for k in range(p, p + w)})
+
+    def of_item(text):
+        out, (t, p, x) = [], forms(text)
+        for form, marks in ((0, t), (1, p)):
+            w = min(len(marks), width)
+            wins = [tuple(marks[i : i + w]) for i in range(len(marks) - w + 1)] if marks else []
+            told = {i: (0, win) for i, win in enumerate(wins) if literal(win)}
+            rich = len(marks) > 0 and 2 * cover(told, w) >= len(marks)
+            if rich and (form == 0 or d.NAME in t):
+                out.append((form, w, told, marks))
+            elif form == 1 and not rich and len(marks) >= width:
+                out.append((2, w, {i: told.get(i, (2, tuple(x[i : i + w]))) for i in range(len(wins))}, marks))
+        return out
+
+    got = set()
+    for k, text in enumerate(texts):
+        t, p, x = forms(text)
+        seen = {0: t} | ({1: p} if d.NAME in t else {}) | {2: x}
+        for n, item in enumerate(items):
+            for form, w, told, marks in of_item(item):
+                groups = {}
+                for doc_form, line in seen.items():
+                    for at in range(max(0, len(line) - w + 1)):
+                        for pos, (kind, win) in told.items():
+                            if tuple(line[at : at + w]) == win and (doc_form == 2) == (kind == 2):
+                                pairs = list(zip(names(marks, values(item), pos, w), names(line, values(text), at, w) if doc_form == 0 else [None] * 9, strict=False)) if form == 0 else []
+                                shift = at - pos
+                                for g in ((0, shift), (1, shift // 16), (2, (shift + 8) // 16)):
+                                    groups.setdefault((2 if form == 2 else doc_form, g), []).append((pos, pairs, shift))
+                for (doc_form, g), hits in groups.items():
+                    at, pairs = sorted({p for p, _, _ in hits}), {q for _, qs, _ in hits for q in qs}
+                    longest = max(sum(1 for j in range(i, len(at)) if at[j] == at[i] + j - i) for i in range(len(at)))
+                    places = longest if form > 0 and doc_form > 0 else len(at)
+                    if len(pairs) != len({a for a, _ in pairs}):
+                        continue
+                    if cover(at, w) >= d.SHARE * cover(told, w) or g[0] == 0 and places >= d.RUN - width + 1:
+                        got.add((k, n))
+                    elif g[0] and form == doc_form == 0 and 2 * cover(at, w) >= cover(told, w) and len(marks) >= d.FINE:
+                        shifts = [s for _, _, s in hits]
+                        low = max(0, min(shifts) - d.NEAR)
+                        line = seen[doc_form][low : max(shifts) + len(marks) + d.NEAR]
+                        fine = {tuple(line[i : i + d.FINE]) for i in range(max(0, len(line) - d.FINE + 1))}
+                        own = [i for i in range(len(marks) - d.FINE + 1) if tuple(marks[i : i + d.FINE]) in fine and any(m not in (d.NUM, d.NAME) for m in marks[i : i + d.FINE])]
+                        if cover(own, d.FINE) >= d.SHARE * len(marks):
+                            got.add((k, n))
+    return got
+
+
+def test_decontamination_matches_brute_force(spark):
+    rng = random.Random(61)
+    people = ["Ana", "Bob", "Carla", "Dev", "Eva Lee", "Finn"]
+    common = "buys sells counts apples boxes with and then before lunch near the old mill for each day of work".split()
+
+    def question():
+        out = [rng.choice(people)] if rng.random() < 0.5 else ["the"]
+        for _ in range(rng.randint(4, 24)):
+            out.append(rng.choice([*common, *common, rng.choice(people), str(rng.randint(2, 99)), f"{rng.randint(2, 99)} km", rng.choice(common) + "."]))
+        return " ".join(out)
+
+    items = [question() for _ in range(25)] + ["12 7 45 88 3 19 20", "Cut 3 4 5 6 7 8 9 10 11 12 13", "two words", "5 6", "", "It is 4"]
+    texts = []
+    for item in items:
+        w = item.split() or ["x"]
+        k = rng.randrange(len(w))
+        swap = {n: rng.choice(people) for n in people}
+        texts += [
+            f"so {item} end", " ".join([*w[:k], "extra", *w[k:]]), " ".join([*w[:k], "changed", *w[k + 1 :]]), item.upper(), " ".join(w[: len(w) // 2]),
+            " ".join(swap.get(x, str(rng.randint(2, 99)) if x.isdigit() else x) for x in w), " ".join(rng.choice(people) if x in people else x for x in w),
+        ]
+    texts += [" ".join(rng.choices(common, k=60)), "3 4 5 6 7", "Numbers 12 7 45 88 3 19 21 here"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs_of(spark, texts), bench).collect()}
+    want = brute_contaminated(texts, items)
+    assert got == want, (sorted(got - want)[:5], sorted(want - got)[:5])
+    assert all((7 * n, n) in got for n, item in enumerate(items) if len(item.split()) > 4)
+
+
+def test_decontamination_finds_numbers_insertions_and_first_names(spark):
+    items = ["12 7 45 88 3 19 20 31", "the quick auditors counted all boxes twice before the harbour opened today", "Lena reads books to the tired old sailors"]
+    texts = ["Sequence 12 7 45 88 3 19 20 31 given", "the quick auditors counted nearly all boxes twice before the harbour opened today", "Otto reads books to the tired old sailors", "12 7 45 88 4 19 20 30", "a \ue000 b \ue001 c reads books to nobody"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs_of(spark, texts), bench).collect()} == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_template_tokens_have_their_values(spark):
     texts = ["We met Mary  Ann Lee and 30 Km later Bob. Then 5% of 7m3 x9y, Élan Vital", "a \ue000 b Straße 1,000.5 hours Über Alles", ""]
     rows = docs_of(spark, texts).select("text", decontaminate.template(F.col("text")).alias("t"), decontaminate.values(F.col("text")).alias("v")).collect()
