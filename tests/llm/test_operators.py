@@ -440,6 +440,38 @@ def test_contexts_of_seeds_find_unseen_identifiers(spark):
     assert pii.find(empty(spark), ["doc_id"]).count() == 0
 
 
+def test_redaction_matches_plain_slicing(spark):
+    rng = random.Random(15)
+    bits = ["a@b.co", "1.2.3.4", "4111 1111 1111 1111", "+1 555 123 4567", "\U0001f600", "é ", "x9-77ab", "\n"]
+    texts = [" ".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(80)] + ["", None]
+    found = pii.find(docs_of(spark, texts), ["doc_id", "text"]).withColumn("cut", pii.redact(F.col("text"), F.col("spans"))).collect()
+    for r in found:
+        if r["text"] is None:
+            continue
+        out, at = "", 0
+        for s in r["spans"]:
+            if s["start"] >= at:
+                out += r["text"][at : s["start"]] + f"<{[*pii.KINDS, pii.NEW][s['kind']].upper()}>"
+            at = max(at, s["end"])
+        assert r["cut"] == out + r["text"][at:]
+
+
+def test_contexts_of_long_words_and_texts_of_numbers(spark):
+    long = "customer" * 40
+    texts = [f"{long} number +1 555 01{i:02d} 44{i:02d} today" for i in range(12)] + [f"{long} number Q55-1234 now", "customer number Q55-9999 now", " ".join(f"w{i * 7919 % 10**6}" for i in range(100_000)), "a@b.c " * 20_000]
+    rows = pii.find(docs_of(spark, texts), ["doc_id"]).select("doc_id", F.size("spans").alias("n"), F.get("spans", F.lit(0))["kind"].alias("kind")).collect()
+    got = {r["doc_id"]: (r["n"], r["kind"]) for r in rows}
+    assert got[12] == (1, len(pii.KINDS)) and got[13] == (0, None) and got[14] == (0, None) and got[15] == (20_000, 0)
+
+
+def test_running_sums_and_maxima(spark):
+    rng = random.Random(16)
+    rows = [([rng.randint(-9, 9) for _ in range(n)],) for n in (0, 1, 2, 3, 4, 5, 17, 100, 101)]
+    got = spark.createDataFrame(rows, "v array<int>").select("v", pii.running(F.col("v"), 0, lambda a, b: a + b).alias("s"), pii.running(F.col("v"), -99, F.greatest).alias("m")).collect()
+    for r in got:
+        assert r["s"] == [sum(r["v"][: i + 1]) for i in range(len(r["v"]))] and r["m"] == [max(r["v"][: i + 1]) for i in range(len(r["v"]))]
+
+
 # ------------------------------------------------------------------ 8 WARC
 
 
