@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import written
+from claimloom.llm.common import let, written
 
 WIDTH = 5
 SHARE = 0.8
@@ -96,10 +96,17 @@ def values(text: Column) -> Column:
 
 
 def windows(marks: Column, width: int, mark: str | None = None) -> Column:
-    """Hashes of the windows of a token array, in order; a mark sets them apart from those of other forms."""
-    last = F.greatest(F.size(marks) - width + 1, F.lit(1))
+    """Hashes of the windows of a token array, in order; a mark sets them apart from those of other forms.
+
+    Tokens are hashed once each, windows from their hashes. Fewer tokens than the width make one window.
+    """
     own = [F.lit(mark)] if mark else []
-    return F.when(F.size(marks) > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(*own, F.slice(marks, i, width)))).otherwise(F.array().cast("array<bigint>"))
+
+    def of(h: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(h) - width, F.lit(0)))
+        return F.when(F.size(h) > 0, F.transform(places, lambda i: F.xxhash64(*own, *(F.get(h, i + k) for k in range(width))))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.transform(marks, lambda m: F.xxhash64(m)), of)
 
 
 def _covered(at: Column, width: Column) -> Column:

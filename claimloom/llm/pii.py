@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import written
+from claimloom.llm.common import let, written
 
 NEW = "id"
 
@@ -61,11 +61,6 @@ PART = r"[^\p{L}\p{N}=:#]+"
 SPAN = "array<struct<start:int,kind:int,end:int,text:string,pattern:string>>"
 
 
-def let(value: Column, f) -> Column:
-    """f of a value that is worked out once: what a lambda merely refers to is made again for each element."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def running(values: Column, start: int, op) -> Column:
     """The running op (a sum, a maximum) of an array of ints: within blocks, then over the blocks."""
 
