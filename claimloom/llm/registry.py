@@ -45,8 +45,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captures = warc.index(warc.archived(table(spark, sf_dir, "pages")))
-    return captures.select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+    captures = warc.histories(warc.index(warc.archived(table(spark, sf_dir, "pages"))))
+    page = [F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to"]
+    return captures.select(*page, F.col("key").alias("url_key"), F.col("date").alias("captured"), F.col("range").alias("key_range"), "position", F.col("before").alias("captured_before"))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
