@@ -6,6 +6,12 @@ vector is indexed. A query walks the pairs of centroids by summed squared distan
 heap, until the cells taken hold its share of candidates, and the cells' vectors are reranked
 by exact Euclidean distance in double precision.
 
+The share is learned: for PROBES vectors of the sample, the share of the sample that a walk must
+take to reach each true neighbour is measured, and that which reaches RECALL of them is used, at
+any size of the table. Clustered vectors need a few hundredths, nearly random ones in many
+dimensions about half; neighbours in the whole table lie nearer than those in a sample, so the
+share errs upwards.
+
 Cells are cut into pieces of bounded count by a hash of the id, so that a cell that holds a
 third of all vectors is spread over tasks; each piece gives a query its nearest few only.
 Cell counts (k*k numbers, k at most 1024) and centroids are what reaches the driver.
@@ -35,8 +41,12 @@ MOST_CENTROIDS = 1024
 CELL, PIECE = 2, 2048
 #: Vectors in one Python group on average.
 GROUP = 4096
-#: Candidates a query takes: this share of all vectors, and this many at least.
-SHARE, LEAST = 0.4, 2000
+#: Queries in one task of the walk.
+WALKS = 32
+#: Sampled vectors whose neighbours calibrate the share of candidates, and the recall aimed at on them.
+PROBES, RECALL = 200, 0.96
+#: Candidates a query takes at least, for each neighbour wanted.
+LEAST = 20
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -96,6 +106,26 @@ def walk(query: np.ndarray, left: np.ndarray, right: np.ndarray, counts: np.ndar
     return cells
 
 
+def calibrated(x: np.ndarray, left: np.ndarray, right: np.ndarray, top: int, recall: float = RECALL, probes: int = PROBES) -> float:
+    """The share of a sample that walks take to reach `recall` of its vectors' true nearest."""
+    n, half = len(x), x.shape[1] // 2
+    if n < 3:
+        return 1.0
+    cell = _square(x[:, :half], left).argmin(1) * len(right) + _square(x[:, half:], right).argmin(1)
+    cells, own, size = np.unique(cell, return_inverse=True, return_counts=True)
+    need = []
+    for q in np.unique(np.linspace(0, n - 1, min(n, probes)).astype(int)):
+        d = _square(x[q][None, :], x)[0]
+        d[q] = np.inf
+        near = np.argpartition(d, min(top, n - 1) - 1)[: min(top, n - 1)]
+        a, b = _square(x[q][None, :half], left)[0], _square(x[q][None, half:], right)[0]
+        order = np.argsort(a[cells // len(right)] + b[cells % len(right)], kind="stable")
+        upto = np.empty(len(cells))
+        upto[order] = np.cumsum(size[order])
+        need.append(upto[own[near]] / n)
+    return float(np.quantile(np.concatenate(need), recall))
+
+
 def _nearest(top: int):
     """Of one group: the vectors' pieces of cells, and the queries that visit them."""
 
@@ -123,8 +153,11 @@ def _nearest(top: int):
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, top: int = 10, share: float = SHARE, least: int = LEAST, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The `top` nearest found of each query: query_id, rank, vec_id, score (the distance)."""
+def search(vectors: DataFrame, queries: DataFrame, top: int = 10, share: float | None = None, least: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The `top` nearest found of each query: query_id, rank, vec_id, score (the distance).
+
+    share, least: candidates of a query; by default the learned share, and LEAST for each neighbour.
+    """
     spark = vectors.sparkSession
     base = usable(vectors, id_col, vector_col)
     total = base.count()
@@ -153,7 +186,8 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 10, share: float =
         counts[cell] = n
     held = spark.sparkContext.broadcast(counts)
     groups = groups_for(total, GROUP)
-    want = max(least, int(share * total))
+    share = calibrated(x, left, right, top) if share is None else share
+    want = max(LEAST * top if least is None else least, int(np.ceil(share * total)))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (a, b), n = books.value, held.value
@@ -173,7 +207,10 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 10, share: float =
     cut = spark.createDataFrame([(int(c), int(-(-counts[c] // PIECE))) for c in np.flatnonzero(counts > PIECE)], "cell long, pieces long")
     piece = F.pmod(F.xxhash64("id", F.lit(7)), F.coalesce("pieces", F.lit(1)))
     pieces = index.join(F.broadcast(cut), "cell", "left").select("id", "vector", (F.shiftleft("cell", 20) + piece).alias("key")).withColumn("g", F.pmod("key", F.lit(groups)))
-    asks = usable(queries, id_col, vector_col).where(F.size("vector") == dim).dropDuplicates(["id"]).mapInArrow(visits, "query_id long, vector array<double>, keys array<long>, g long")
+    # Few bytes and much work: dealt explicitly, so that adaptive execution doesn't put them into one task.
+    asked = usable(queries, id_col, vector_col).where(F.size("vector") == dim)
+    asked = asked.repartition(groups_for(asked.count(), WALKS), "id").dropDuplicates(["id"])
+    asks = asked.mapInArrow(visits, "query_id long, vector array<double>, keys array<long>, g long")
     near = pieces.groupBy("g").cogroup(asks.groupBy("g")).applyInPandas(_nearest(top), "query_id long, vec_id long, score double")
     best = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

@@ -1,5 +1,6 @@
 """The text operators against brute force, round trips and held-out accuracy, on small fixtures."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -52,7 +53,7 @@ def test_ann_recall_ties_and_bad_vectors(spark):
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     rows += [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] * 16), (9003, [1.0]), (9004, [None] * 16), (None, rows[0][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("clash"))
-    got = ann.search(df, df.where("vec_id % 50 = 10 or vec_id >= 9000"), least=1200, share=0.4)
+    got = ann.search(df, df.where("vec_id % 50 = 10 or vec_id >= 9000"))
     by = {}
     for r in got.collect():
         by.setdefault(r["query_id"], []).append(r)
@@ -69,6 +70,23 @@ def test_ann_recall_ties_and_bad_vectors(spark):
     assert [r["vec_id"] for r in by[10]] == list(range(11, 21))
 
 
+@pytest.mark.parametrize("kind", ["random", "clustered"])
+def test_ann_learned_share_and_recall(spark, kind):
+    rng = np.random.default_rng(20)
+    x = rng.normal(size=(8000, 24)) if kind == "random" else np.repeat(rng.normal(size=(80, 24)), 100, 0) * 5 + rng.normal(size=(8000, 24)) * 0.3
+    left, right = ann.centroids(x[:, :12], 64, 1), ann.centroids(x[:, 12:], 64, 2)
+    share = ann.calibrated(x, left, right, 10)
+    assert share < (0.75 if kind == "random" else 0.1)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id % 80 = 0")).toPandas()
+    hit = 0
+    for q, rs in got.groupby("query_id"):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(set(rs.vec_id) & set(np.argsort(d)[:10].tolist()))
+    assert got.query_id.nunique() == 100 and hit / 1000 >= 0.9
+
+
 def test_ann_few_or_no_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r["query_id"], r["vec_id"]) for r in ann.search(df, df).orderBy("query_id").collect()] == [(1, 2), (2, 1)]
@@ -492,6 +510,36 @@ def test_warc_round_trip_and_order(spark):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_warc_records_are_members_that_can_be_sought(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOB_RECORDS", 3)
+    monkeypatch.setattr(warc, "ARCHIVE_BLOBS", 2)
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 700)  # so that larger records are several members
+    rng = random.Random(14)
+    html = ["".join(rng.choices("abc <>é\r\n\0", k=rng.randint(0, 2000))) for _ in range(40)]
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}.org/{i % 7}", h) for i, h in enumerate(html)], "page_id long, url string, html string").withColumn("at", F.timestamp_seconds(F.col("page_id") * 60))
+    pages = pages.union(pages.where("page_id = 5")).coalesce(1)
+    path = common.shared_dir(spark)
+    warc.write(pages, path, time_col="at")
+    got = warc.read(spark, path, payload=True).collect()
+    assert sorted(r["id"] for r in got) == sorted([*range(40), 5]) and len({r["file"] for r in got}) >= 41 // 6
+    for r in got:
+        assert bytes(r["payload"]) == (b"" if r["type"] == "revisit" else html[r["id"]].encode())
+        name = r["file"].split(":", 1)[1].replace("///", "/")
+        content = open(name, "rb").read()
+        (_, length, head, body), *more = warc.members(content[r["start"] : r["start"] + r["length"]])
+        assert not more and length == r["length"] and body == bytes(r["payload"]) and gzip.decompress(content)
+        assert head[b"WARC-Date"].decode() == f"1970-01-01T00:{r['id']:02d}:00Z"
+
+
+def test_warc_histories_across_ranges(spark):
+    pages = spark.createDataFrame([(i, "http://hot.org/" if i % 3 else f"http://h{i % 5}.org/x", f"p{i}") for i in range(90)], "page_id long, url string, html string").repartition(6)
+    rows = warc.histories(warc.index(warc.archived(pages), per_range=8, runs=3)).orderBy("range", "position").collect()
+    want = sorted((r["key"], r["date"], r["id"]) for r in rows)
+    assert [(r["key"], r["date"], r["id"]) for r in rows] == want and len(want) == 90 and len({r["range"] for r in rows}) > 5
+    assert [r["before"] for r in rows] == [want[i - 1][1] if i and want[i - 1][0] == want[i][0] else None for i in range(90)]
+    assert warc.histories(warc.index(warc.archived(pages.limit(0)))).count() == 0
+
+
 def test_loser_tree_merges_any_runs():
     rng = random.Random(7)
     for k in range(8):
