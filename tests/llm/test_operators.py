@@ -602,3 +602,33 @@ def test_license_cosine_and_inheritance(spark):
     got = {r["doc_id"]: (r["license"], r["evidence"], r["from_dir"]) for r in licenses.scan(df).collect()}
     assert got == {0: ("MIT", "own", None), 1: ("MIT", "inherited", "r"), 2: ("GPL-3.0", "own", None), 3: ("MIT", "inherited", "r"), 4: (None, None, None), 5: (None, None, None), 6: ("CC-BY-NC-4.0", "own", None), 7: ("CC-BY-NC-4.0", "inherited", "r/c"), 8: ("MIT", "inherited", "r")}
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_license_families_versions_and_negations(spark):
+    from claimloom.llm.license_texts import TEMPLATES
+
+    comment = lambda t: "\n".join(f" * {line}" for line in re.sub(r"(.{60}\S*) ", r"\1\n", t).split("\n"))
+    header = "either version {0} of the License, or (at your option) any later version."
+    gnu = "This file is part of Foo.\n\nFoo is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, {1}\n\nFoo is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    code = "\n\nint main() { return compute(alpha, beta) + gamma; }\n" * 5
+    cases = [("AGPL-3.0", comment(gnu.format("Affero General Public License", header.format(3))) + code), ("GPL-2.0", comment(gnu.format("General Public License", header.format(2))) + code), ("GPL-3.0", comment(gnu.format("General Public License", header.format(3))) + code), ("LGPL-3.0", comment(gnu.format("Lesser General Public License", header.format(3))) + code)]
+    cases += [(None, "This code is not released under the MIT License."), (None, "We never use the MIT licence here."), ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("MIT", "Released under the MIT License. It comes with no support.")]
+    by_name = {}
+    for name, text in TEMPLATES:
+        by_name[name] = max(by_name.get(name, ""), text, key=len)
+    cases += [(name, "Copyright (c) 2024 Some Body\n\n" + re.sub(r"(.{70}\S*) ", r"\1\n", text)) for name, text in sorted(by_name.items()) if len(text) > 150]
+    df = spark.createDataFrame([(i, f"p{i}/x.c", t) for i, (_, t) in enumerate(cases)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["candidates"], r["cosine"]) for r in licenses.scan(df).collect()}
+    assert [(i, got[i]) for i, (name, _) in enumerate(cases) if got[i][0] != name] == []
+
+
+def test_license_files_license_their_directories(spark):
+    from claimloom.llm.license_texts import TEMPLATES
+
+    texts = dict(TEMPLATES[::-1])
+    full = {name: max((t for n, t in TEMPLATES if n == name), key=len) for name in texts}
+    files = [("a/LICENSE", full["BSD-2-Clause"]), ("a/src/x.py", "import os"), ("a/src/deep/y.py", "import re"), ("b/COPYING", full["Apache-2.0"]), ("b/z.py", ""), ("c/notes.txt", full["ISC"]), ("c/w.py", "pass"), ("d/v.py", "pass")]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["evidence"]) for r in licenses.scan(df).collect()}
+    assert got == {0: ("BSD-2-Clause", "own"), 1: ("BSD-2-Clause", "inherited"), 2: ("BSD-2-Clause", "inherited"), 3: ("Apache-2.0", "own"), 4: ("Apache-2.0", "inherited"), 5: ("ISC", "own"), 6: ("ISC", "inherited"), 7: (None, None)}
+    assert sum(e == "inherited" for _, e in got.values()) == 4
