@@ -54,11 +54,12 @@ STARTERS = ("a", "after", "all", "an", "and", "are", "as", "at", "before", "both
 
 #: Placeholders: characters of private use, which count as spaces where a text has them.
 NUM, NAME = "\ue000", "\ue001"
-_NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
+#: Groups repeat possessively: the same matches, but Java's engine then loops instead of recursing, whatever their number.
+_NUMBER = r"[0-9]++(?:[.,][0-9]++)*+"
 _UNIT = "(?:%|(?:" + "|".join(u for u in UNITS if u != "%") + r")(?![\p{L}\p{N}]))"
 #: A capitalised word inside a sentence (after a word, a comma or the like), or at its beginning unless that is a starter.
 _NAME = rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{M}}])(?:(?<=[^.!?\s]\s{{1,2}})|(?!(?i:{'|'.join(STARTERS)})(?![\p{{L}}\p{{M}}])))[\p{{L}}\p{{M}}]++"
-_NAMES = rf"{_NAME}(?:\s{{1,2}}{_NAME})*"
+_NAMES = rf"{_NAME}(?:\s{{1,2}}{_NAME})*+"
 _MEASURE = rf"{_NUMBER}(?:\s?(?i:{_UNIT}))?"
 _WORD = r"[\p{L}\p{M}]+|[\ue000\ue001]"
 

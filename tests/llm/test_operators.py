@@ -419,6 +419,12 @@ def test_decontamination_finds_numbers_insertions_and_first_names(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs_of(spark, texts), bench).collect()} == {(0, 0), (1, 1), (2, 2)}
 
 
+def test_templates_of_long_runs(spark):
+    texts = ["Aa " * 60_000, "1," * 60_000, "Bb. " * 30_000, "7 kg " * 30_000]
+    got = docs_of(spark, texts).select(F.size(decontaminate.template(F.col("text"))).alias("n"), F.size(decontaminate.values(F.col("text"))).alias("v")).collect()
+    assert [r["n"] for r in got] == [r["v"] for r in got] == [1, 1, 30_000, 30_000]
+
+
 def test_template_tokens_have_their_values(spark):
     texts = ["We met Mary  Ann Lee and 30 Km later Bob. Then 5% of 7m3 x9y, Élan Vital", "a \ue000 b Straße 1,000.5 hours Über Alles", ""]
     rows = docs_of(spark, texts).select("text", decontaminate.template(F.col("text")).alias("t"), decontaminate.values(F.col("text")).alias("v")).collect()
