@@ -232,43 +232,41 @@ def _entity(kind: str, sure: float):
     return lambda v: F.struct(F.lit(kind).alias("entity_type"), F.trim(v).alias("entity_text"), F.lit(sure).alias("confidence"))
 
 
+#: Labels that go from a code's context (fixed values).
+_LEADING = r"(?i)^(?:diagnosis|dx|impression|procedure|proc)\s*\d*\s*[:-]?\s*|^\d+[.)]\s*"
+
+
+def _nearby(before: Column, after: Column) -> Column:
+    """A code's description: its line before it, joined with the line above where that is short; else its line after it; null under 9 characters."""
+    bare = F.trim(F.regexp_replace(before, r"(?i)\b(?:icd-?10|icd|cpt(?:\s*code)?|code)\s*[:-]?\s*$", ""))
+    parts = F.transform(F.split(bare, r"[\n|\t]"), lambda p: F.trim(F.regexp_replace(F.trim(p), _LEADING, "")))
+    own, above = F.element_at(parts, -1), F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))
+    told = F.when((F.length(own) < 15) & (above != ""), F.trim(F.concat_ws(" ", above, own))).otherwise(own)
+    line = F.trim(F.regexp_extract(after, r"^[\s:\-|]*([^\n|\t]*)", 1))
+    return F.when(F.length(told) > 8, told).when(F.length(line) > 8, line)
+
+
 def code_mentions(docs: DataFrame, catalogue: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Explicit codes with 40 characters before and 80 after, kept where the catalogue knows them.
+    """Explicit codes with confidence, context (80 characters each way, see _nearby) and the catalogue's description; known says whether it has the code.
 
     Mentions after words of identifiers or money are no codes; a trigger word makes them surer.
     """
     pattern = r"(?<![0-9A-Za-z.])(?:[A-Z][0-9]{2}(?:\.[0-9A-Z]{1,4})?|[0-9]{5})(?![0-9A-Za-z])"
     code = F.regexp_extract_all(text_col, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text_col, pattern), F.lit(1), F.size(code))
-    rows = docs.where(F.col(text_col).rlike(pattern)).select(id_col, F.posexplode(F.zip_with(code, gaps, lambda c, g: F.struct(c.alias("code"), F.right(g, F.lit(40)).alias("before")))).alias("n", "m")).select(id_col, "n", "m.before", "m.code")
-    rows = rows.where(~F.lower("before").rlike(r"(?:rs\.?|inr|₹|phone|pin|bill|policy|amount|no\.?)\s*[:#\-]?\s*$"))
-    sure = F.when(F.lower("before").rlike(r"icd|cpt|code"), 0.95).when(F.col("code").rlike("^[A-Z]"), 0.90).otherwise(0.60)
-    return rows.withColumn("confidence", sure).join(catalogue.select("code", "description"), "code")
-
-
-#: Body parts and modalities of scan reports; findings and their severity (fixed values).
-SCANS = {"CT": r"(?i)\bCT\b|computed\s+tomography", "MRI": r"(?i)\bMRI\b|magnetic\s+resonance", "X-RAY": r"(?i)x[\-\s]?ray|radiograph", "ULTRASOUND": r"(?i)ultrasound|sonograph|\bUSG\b"}
-ABNORMAL = r"(?i)\b(?:fracture|lesion|mass|tumou?r|effusion|edema|oedema|hemorrhage|nodule|stenosis|infarct|opacity|enlarged|calculus)\b"
-NORMAL = r"(?i)\b(?:normal|unremarkable|no\s+evidence|within\s+normal\s+limits|clear|intact)\b"
-
-
-def scan_report(text: Column) -> Column:
-    """Modality, abnormal and normal counts (a negated finding is normal), abnormal flag, confidence."""
-    modality = F.lit(None).cast("string")
-    for name, pattern in reversed(SCANS.items()):
-        modality = F.when(text.rlike(pattern), name).otherwise(modality)
-    negated = F.regexp_count(text, F.lit(r"(?i)\b(?:no|without|absence\s+of)\s+(?:\w+\s+){0,3}?(?:fracture|lesion|mass|tumou?r|effusion|edema|oedema|hemorrhage|nodule|stenosis|infarct|opacity|calculus)\b"))
-    bad = F.greatest(F.regexp_count(text, F.lit(ABNORMAL)) - negated, F.lit(0))
-    good = F.regexp_count(text, F.lit(NORMAL)) + negated
-    sure = F.least(F.lit(0.95), F.lit(0.4) + F.when(modality.isNotNull(), 0.3).otherwise(0.0) + F.least(0.05 * (bad + good), F.lit(0.25)))
-    return F.struct(modality.alias("modality"), bad.alias("abnormal_hits"), good.alias("normal_hits"), (bad > good).alias("abnormal"), sure.alias("confidence"))
-
-
-def diagnosis_terms(text: Column, most: int = 5) -> Column:
-    """Clauses of a diagnosis section, without vitals and numbers, distinct, a few."""
-    section = F.regexp_extract(text, r"(?is)(?:final\s+|provisional\s+|primary\s+)?diagnos[ie]s\s*[:\-]\s*(.{3,400}?)(?:\n\s*\n|\n[A-Z][A-Za-z ]{2,30}:|$)", 1)
-    clauses = F.transform(F.split(section, r"[\n;,]|\band\b"), lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"\b(?:bp|pulse|temp|spo2)\b.*$|[0-9]+[./]?[0-9]*", ""), r"\s+", " ")))
-    return F.slice(F.array_distinct(F.filter(clauses, lambda c: F.length(c) >= 3)), 1, most)
+    # A piece stands between two mentions: the end of one is before a code, the beginning of the next after it.
+    gaps = F.split(text_col, pattern, -1)
+    zipped = F.transform(code, lambda c, i: F.struct(c.alias("code"), F.right(F.get(gaps, i), F.lit(80)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(80)).alias("after")))
+    rows = docs.where(F.col(text_col).rlike(pattern)).select(id_col, F.posexplode(zipped).alias("n", "m")).select(id_col, "n", "m.before", "m.after", "m.code")
+    near = F.right("before", F.lit(40))
+    rows = rows.where(~F.lower(near).rlike(r"(?:rs\.?|inr|₹|phone|pin|bill|policy|amount|no\.?)\s*[:#\-]?\s*$"))
+    sure = F.when(F.lower(near).rlike(r"icd|cpt|code"), 0.95).when(F.col("code").rlike("^[A-Z]"), 0.90).otherwise(0.60)
+    rows = rows.withColumn("confidence", sure).withColumn("context", _nearby(F.col("before"), F.col("after"))).drop("before", "after")
+    return rows.join(catalogue.select("code", "description").withColumn("known", F.lit(True)), "code", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def aliased(intents: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Fields by their canonical names; aliases: alias, canonical, each alias once."""
+    return intents.join(aliases.withColumnRenamed("alias", "field"), "field", "left").withColumn("field", F.coalesce("canonical", "field")).drop("canonical")
 
 
 def ordered_text(pages: DataFrame, key: str, order: str, text: str, most: int) -> DataFrame:

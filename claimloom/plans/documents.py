@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from claimloom.functions import scalars
@@ -10,60 +9,12 @@ from claimloom.operators import documents
 from claimloom.plans.registry import query, raw, role
 
 
-def tagged(t: str = "text") -> Column:
-    """Document texts carry no medical words; a line made from their columns gives the rules something to find."""
-    kinds = F.array(*map(F.lit, ("Discharge Summary", "Lab Report", "Hospital Bill", "Claim Form", "notes")))
-    n = F.col("doc_id")
-    return F.concat(F.element_at(kinds, (n % 5 + 1).cast("int")), F.lit("\nPatient Name: Asha "), F.element_at(F.array(F.lit("Rao"), F.lit("Iyer")), (n % 2 + 1).cast("int")), F.lit("\nMRN: A"), n.cast("string"), F.lit("00\nNet Payable Rs. "), (n * 10).cast("string"), F.lit(",00\nDOB: 01/02/1980 call 555-123-4567\n"), F.col(t))
-
-
-TAGGED = """t AS (SELECT doc_id, source, lang, n_chars, ['Discharge Summary', 'Lab Report', 'Hospital Bill', 'Claim Form', 'notes'][doc_id % 5 + 1] || chr(10) || 'Patient Name: Asha ' || ['Rao', 'Iyer'][doc_id % 2 + 1] || chr(10) || 'MRN: A' || doc_id || '00' || chr(10) || 'Net Payable Rs. ' || doc_id * 10 || ',00' || chr(10) || 'DOB: 01/02/1980 call 555-123-4567' || chr(10) || text AS text FROM documents)"""
-
-
-def docs(spark, d):
-    return raw(spark, d, "documents").withColumn("text", tagged())
-
-
-@query("d1_d2_classes", f"WITH {TAGGED} SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'DISCHARGE_SUMMARY' WHEN 1 THEN 'LAB_REPORT' WHEN 2 THEN 'BILL_INVOICE' WHEN 3 THEN 'INSURANCE_FORM' ELSE 'UNKNOWN' END AS code, CASE doc_id % 5 WHEN 0 THEN 'discharge' WHEN 1 THEN 'investigation' WHEN 2 THEN 'bill' WHEN 3 THEN 'claim_form' ELSE 'other' END AS view FROM t")
-def d1(spark, d):
-    code = documents.document_class(F.lit("scan.pdf"), F.col("text"))["code"]
-    return docs(spark, d).select("doc_id", code.alias("code"), documents.report_view(code).alias("view"))
-
-
 @query("d3_relevance", r"""WITH h AS (SELECT doc_id, text, substring(text, 1, 5000) AS s FROM documents), c AS (SELECT *, len(regexp_extract_all(s, '(?i)\b(?:the|of)\b')) / greatest(length(s), 1) * 1000 AS m, len(regexp_extract_all(s, '(?i)\b(?:that|this)\b')) / greatest(length(s), 1) * 1000 AS n FROM h)
-    SELECT doc_id, CASE WHEN length(trim(text)) < 20 THEN 0 WHEN n > 0 AND n > m THEN least(n / 5, 0.95) WHEN m = 0 THEN 0.1 WHEN m < 2 THEN 0.3 WHEN m < 5 THEN 0.6 ELSE least(0.5 + m / 20, 0.98) END AS confidence FROM c WHERE regexp_matches(text, '^[ -~\n]*$')""")
+    SELECT doc_id, CASE WHEN length(trim(text)) < 20 THEN 0 WHEN n > 0 AND n > m THEN least(n / 5, 0.95) WHEN m = 0 THEN 0.1 WHEN m < 2 THEN 0.3 WHEN m < 5 THEN 0.6 ELSE least(0.5 + m / 20, 0.98) END AS confidence FROM c""")
 def d3(spark, d):
     return raw(spark, d, "documents").select("doc_id", documents.relevance(F.col("text"), r"(?i)\b(?:the|of)\b", r"(?i)\b(?:that|this)\b")["confidence"].alias("confidence"))
 
 
-@query("d4_d5_identity", f"WITH {TAGGED} SELECT doc_id, 'Asha ' || ['Rao', 'Iyer'][doc_id % 2 + 1] AS name, 'A' || doc_id || '00' AS record_id, '01/02/1980' AS dob FROM t")
-def d4(spark, d):
-    return docs(spark, d).select("doc_id", documents.identity(F.col("text")).alias("i")).select("doc_id", "i.name", "i.record_id", "i.dob")
-
-
-def identities(spark, d):
-    return docs(spark, d).select(F.col("source").alias("claim_id"), F.col("doc_id").alias("document_id"), F.col("doc_id").alias("seq"), documents.identity(F.col("text")).alias("i"), (F.col("doc_id") % 7 == 0).alias("locked")).select("claim_id", "document_id", "seq", "locked", "i.*")
-
-
-@query("d7_j17_w7_identity_match", f"""WITH {TAGGED}, p AS (SELECT source, min(doc_id) AS first FROM t GROUP BY source)
-    SELECT t.source AS claim_id, doc_id AS document_id, CASE WHEN doc_id = first THEN 1.0 ELSE 0.1 END AS score, CASE WHEN doc_id = first THEN 'MATCH' ELSE 'MISMATCH' END AS verdict, doc_id = first AS is_primary FROM t JOIN p USING (source)""")
-def d7(spark, d):
-    rows = identities(spark, d)
-    return documents.identity_matched(rows.withColumn("age", F.lit(None).cast("string")).withColumn("gender", F.lit(None).cast("string")).withColumn("policy", F.lit(None).cast("string")))
-
-
-@query("w5_w6_identity_gate", f"""WITH {TAGGED}, a AS (SELECT source, arg_min(doc_id % 2, (doc_id % 7 <> 0)::INT * 1000000000 + doc_id) AS k FROM t GROUP BY source)
-    SELECT t.source AS claim_id, doc_id AS document_id, CASE WHEN doc_id % 2 = k THEN 'MATCH' ELSE 'MISMATCH' END AS verdict, doc_id % 2 <> k AS excluded FROM t JOIN a USING (source)""")
-def w5(spark, d):
-    return documents.gated(identities(spark, d))
-
-
-@query("d8_a19_validity", f"WITH {TAGGED} SELECT source AS claim_id, count(*) AS documents, count(*) FILTER (doc_id % 5 <> 4) AS valid FROM t GROUP BY source")
-def d8(spark, d):
-    code = documents.document_class(F.lit(""), F.col("text"))["code"]
-    return docs(spark, d).groupBy(F.col("source").alias("claim_id")).agg(F.count("*").alias("documents"), F.count_if(code != "UNKNOWN").alias("valid"))
-
-
 @query("d6_name_similarity", """WITH n AS (SELECT patient_id, patient_name AS a, CASE patient_id % 3 WHEN 0 THEN patient_name WHEN 1 THEN patient_name || ' Jr' ELSE 'Someone Else' END AS b FROM patients)
     SELECT patient_id, CASE patient_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.85 ELSE 0.0 END AS score FROM n""", "patients")
 def d6(spark, d):
@@ -72,53 +23,19 @@ def d6(spark, d):
     return role(spark, d, "patients").select("patient_id", scalars.name_similarity(F.col("patient_name"), other).alias("score"))
 
 
-@query("d9_d10_amount_anchors", f"WITH {TAGGED} SELECT doc_id, CASE WHEN doc_id > 0 THEN (doc_id * 1000)::DOUBLE END AS net, NULL::DOUBLE AS gross FROM t")
-def d9(spark, d):
-    return docs(spark, d).select("doc_id", documents.last_amount(F.col("text"), documents.NET).alias("net"), documents.last_amount(F.col("text"), documents.GROSS).alias("gross"))
+def _scrub_sql() -> str:
+    """The redaction rules as nested DuckDB calls."""
+    out = "text"
+    for pattern, token in documents.PHI:
+        out = f"regexp_replace({out}, '{pattern}', '{token}', 'g')"
+    return out
 
 
-@query("d11_d12_pattern_fields", f"WITH {TAGGED} SELECT doc_id, count(*) AS fields FROM (SELECT doc_id, unnest(['name', 'record_id', 'dob']) AS f FROM t) GROUP BY 1")
-def d11(spark, d):
-    rows = identities(spark, d).select(F.col("document_id").alias("doc_id"), "name", "record_id", "dob").unpivot(["doc_id"], ["name", "record_id", "dob"], "field", "value")
-    return rows.where("value IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("fields"))
-
-
-@query("d13_d18_d19_diagnosis_terms", "SELECT item_id, 2 AS terms, item_id % 2 = 0 AS long FROM benchmark")
-def d13(spark, d):
-    text = F.concat(F.lit("Final diagnosis: acute bronchitis, asthma 120/80\n\n"), F.col("text"))
-    return raw(spark, d, "benchmark").select("item_id", F.size(documents.diagnosis_terms(text)).alias("terms"), (F.length("text") * 0 + F.col("item_id") % 2 == 0).alias("long"))
-
-
-@query("d14_d15_d38_entities", "SELECT item_id, unnest(['DIAGNOSIS', 'MEDICATION']) AS entity_type, unnest([11, 28]) AS start FROM benchmark")
-def d15(spark, d):
-    text = F.concat(F.lit("Diagnosis: fever five.\nTab. Crocin\n"), F.regexp_replace("text", "(?i)rx|tab|cap|inj|diagnos|impression|procedure|surgery|operation", ""))
-    return documents.entities(raw(spark, d, "benchmark").withColumn("text", text), "item_id").select("item_id", "entity_type", "start")
-
-
-@query("d16_d17_code_mentions", "SELECT item_id, 'J20.9' AS code, 0.95 AS confidence FROM benchmark")
-def d16(spark, d):
-    text = F.concat(F.lit("ICD code J20.9 given, Rs. 12345 paid "), F.col("text"))
-    catalogue = spark.createDataFrame([("J20.9", "Acute bronchitis"), ("12345", "x")], "code string, description string")
-    return documents.code_mentions(raw(spark, d, "benchmark").withColumn("text", text), catalogue, "item_id").select("item_id", "code", "confidence")
-
-
-@query("d22_d23_scrubbed", r"""SELECT doc_id, sha256(regexp_replace('call [PHONE_REDACTED] or [SSN_REDACTED] mail [EMAIL_REDACTED] [MRN_REDACTED] [POLICY_REDACTED] [PAN_REDACTED]' || doc_id, 'x^', '')) AS digest FROM documents""")
-def d22(spark, d):
-    return raw(spark, d, "documents").select("doc_id", F.sha2(F.concat(documents.scrubbed(F.col("text"), documents.PHI_MORE), F.col("doc_id").cast("string")), 256).alias("digest"))
-
-
-@query("d22_scrub_documents", r"""SELECT doc_id, length(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}', '[EMAIL_REDACTED]', 'g')) - length(text) AS grown FROM documents WHERE regexp_matches(text, '^[ -~\n]*$') AND contains(text, '@') AND NOT regexp_matches(text, '[0-9]{3}[^0-9]?[0-9]{3}')""")
+@query("d22_scrub_documents", "SELECT doc_id, length(" + _scrub_sql() + ") - length(text) AS grown FROM documents")
 def d22_docs(spark, d):
     return raw(spark, d, "documents").select("doc_id", (F.length(documents.scrubbed(F.col("text"))) - F.length("text")).cast("long").alias("grown"))
 
 
-@query("d24_scan_reports", "SELECT item_id, 'CT' AS modality, 1 AS abnormal_hits, 2 AS normal_hits, false AS abnormal FROM benchmark")
-def d24(spark, d):
-    text = F.concat(F.lit("CT chest: nodule seen. No pleural effusion. Heart normal. "), F.regexp_replace("text", "(?i)mass|clear|normal", ""))
-    r = documents.scan_report(text)
-    return raw(spark, d, "benchmark").select("item_id", r["modality"].alias("modality"), r["abnormal_hits"].alias("abnormal_hits"), r["normal_hits"].alias("normal_hits"), r["abnormal"].alias("abnormal"))
-
-
 @query("d31_chunks", "SELECT doc_id, (i / 400)::INT AS chunk, substring(text, i::INT + 1, 500) AS text FROM documents, range(0, 2000000, 400) t(i) WHERE i < length(text) AND trim(substring(text, i::INT + 1, 500)) <> ''")
 def d31(spark, d):
     return documents.chunks(raw(spark, d, "documents")).select("doc_id", "chunk", "text")
@@ -137,16 +54,6 @@ def o4(spark, d):
     return documents.within_budget(pieces, "hits", 1200, 3).select("doc_id", "chunk", F.length("text").cast("long").alias("chars"))
 
 
-@query("d33_intents", "SELECT conv_id, turn, 'modify' AS action, 'policy_number' AS field, 'P' || turn AS value FROM conversations")
-def d33(spark, d):
-    return raw(spark, d, "conversations").select("conv_id", "turn", documents.intent(F.col("text")).alias("i")).select("conv_id", "turn", "i.*")
-
-
-@query("d35_key_values", "SELECT doc_id, 2 AS pairs FROM documents WHERE NOT contains(text, ':')")
-def d35(spark, d):
-    return raw(spark, d, "documents").select("doc_id", F.size(documents.key_values(F.concat(F.lit("Name: Asha\nWard : 4B\n"), "text"))).alias("pairs"))
-
-
 @query("d35_column_tables", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents), k AS (SELECT *, len(list_filter(regexp_split_to_array(line, '\s*\|\s*|\t+| {2,}'), lambda x: x <> '')) AS c FROM l),
     f AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS island FROM k WHERE c >= 2) SELECT doc_id, min(n)::INT AS first_line, count(*) AS lines, max(c)::INT AS columns FROM f GROUP BY doc_id, island""")
 def d35_tables(spark, d):
@@ -163,7 +70,7 @@ def p12(spark, d):
     return raw(spark, d, "conversations").where(documents.noisy(F.col("text"))).select("conv_id", "turn")
 
 
-@query("u4_merged_lines", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), k AS (SELECT doc_id, min(n) AS n FROM l WHERE trim(line) <> '' AND regexp_matches(line, '^[ -~]*$') GROUP BY doc_id, regexp_replace(lower(trim(line)), '\s+', ' ', 'g')) SELECT doc_id, count(*)::INT AS lines FROM k GROUP BY doc_id""")
+@query("u4_merged_lines", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), k AS (SELECT doc_id, min(n) AS n FROM l WHERE trim(line) <> '' GROUP BY doc_id, regexp_replace(lower(trim(line)), '\s+', ' ', 'g')) SELECT doc_id, count(*)::INT AS lines FROM k GROUP BY doc_id""")
 def u4(spark, d):
     rows = raw(spark, d, "documents").select("doc_id", F.lit(0).alias("seq"), "text")
     both = rows.unionByName(rows.withColumn("seq", F.lit(1)))
@@ -180,12 +87,6 @@ def a26(spark, d):
     return documents.set_hash(raw(spark, d, "documents").select("source", F.sha2("text", 256).alias("h")), "source", "h")
 
 
-@query("d20_d21_clinical_context", "SELECT item_id, 'Diagnosis: G3P1L1A1 at 2WKS for [REDACTED]' AS context FROM benchmark")
-def d20(spark, d):
-    text = F.concat(F.lit("header line\nDiagnosis: G3PILIAI at ZWKS for Asha Rao\n"), F.regexp_replace("text", "(?i)lab|para|history|delivery|c/o|h/o|indication|clinical", ""))
-    return raw(spark, d, "benchmark").select("item_id", documents.clinical_context(documents.obstetric_repaired(text), F.array(F.lit("Asha"), F.lit("Asha Rao"))).alias("context"))
-
-
 @query("j2_document_pages", "SELECT d.source AS claim_id, d.doc_id, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE d.n_chars > 100")
 def j2(spark, d):
     pages = raw(spark, d, "labels").select("doc_id", "quality")

@@ -16,7 +16,7 @@ def tokens(spark, d):
     return words.select("document_id", "page", "row", (F.col("row") * 100_000 + F.col("i")).alias("seq"), "text", x.alias("x0"), (x + 10 * F.length("text")).alias("x1"), y.alias("y0"), (y + 12).alias("y1"), (F.length("text") * 10.0 / 7 - 2).alias("confidence"))
 
 
-T = """r AS (SELECT doc_id AS document_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS row FROM documents WHERE doc_id % 4 = 0),
+T = """r AS (SELECT doc_id AS document_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS row FROM documents),
 w AS (SELECT document_id, row, unnest(string_split(t, ' ')) AS text, generate_subscripts(string_split(t, ' '), 1) - 1 AS i FROM r),
 tok AS (SELECT document_id, row, i, row * 100000 + i AS seq, text, i * 100.0::DOUBLE AS x0, i * 100.0 + 10 * length(text) AS x1, (row * 20 + CASE WHEN row % 5 = 0 THEN 40 ELSE 0 END)::DOUBLE AS y0, length(text) * 10.0::DOUBLE / 7 - 2 AS confidence FROM w WHERE text <> '')"""
 
