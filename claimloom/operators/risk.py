@@ -7,8 +7,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.functions.scalars import amount_lenient, parse_date, ratio, risk_label, stay_days
-from claimloom.operators.fields import EXPENSE_FIELDS, resolved
+from claimloom.functions.scalars import amount_lenient, blank_to_null, field_key, parse_date, ratio, risk_label, stay_days
+from claimloom.operators.fields import EXPENSE_FIELDS, alias_table
 
 #: The features in their fixed order.
 FEATURES = ("has_patient_name", "has_policy_number", "has_diagnosis", "has_service_date", "has_total_amount", "has_provider", "num_parsed_fields", "num_entities", "num_icd_codes", "num_cpt_codes", "has_primary_icd", "num_diagnosis_types", "total_amount_log", "amount_per_cpt_log", "patient_age_norm", "length_of_stay", "claim_to_insured_ratio", "num_expense_categories", "is_icu_admission", "has_secondary_diagnosis", "surgery_cost_ratio", "has_blood_transfusion", "has_surgery")
@@ -43,21 +43,29 @@ def _ladder(feature: str, steps) -> Column:
 def features(fields: DataFrame, codes: DataFrame, entities: DataFrame) -> DataFrame:
     """M1: one row of features per claim from its fields, codes and entities.
 
-    Every child is aggregated to one row per claim before it is joined.
+    Every child is aggregated to one row per claim before it is joined; fields are read and
+    shuffled once, each canonical name being an aggregate of its own.
     """
-    named = resolved(fields)
     wanted = ["patient_name", "policy_number", "diagnosis", "service_date", "total_amount", "provider_name", "patient_age", "admission_date", "discharge_date", "sum_insured", "ward_type", *EXPENSE_FIELDS]
-    wide = named.groupBy("claim_id").pivot("canonical", wanted).agg(F.first("value"))
-    insured = F.regexp_extract("field_value", r"(?i)sum\s*insured\s*[:\-]?\s*(?:(?:rs|inr|\$)\.?\s*)?([\d,]+\.?\d*)", 1)
-    counts = fields.groupBy("claim_id").agg(
-        F.count("*").alias("num_parsed_fields"), F.count_if((F.col("field_name") == "secondary_diagnosis") & (F.col("field_value") != "")).alias("secondary"),
-        F.count_if((F.col("field_name") == "icd_code") & (F.col("field_value") != "")).alias("icd_fields"), F.count_if((F.col("field_name") == "cpt_code") & (F.col("field_value") != "")).alias("cpt_fields"),
-        F.min_by(F.when(amount_lenient(insured) > 0, amount_lenient(insured)), F.struct((amount_lenient(insured) <= 0).alias("no"), "created_at", "id")).alias("insured_found"),
+    names = alias_table(fields.sparkSession).groupBy("alias").agg(F.collect_list(F.struct("canonical", "ordinal")).alias("hits"))  # a fixed list
+    rows = fields.withColumn("alias", field_key(F.col("field_name"))).withColumn("value", blank_to_null(F.col("field_value"))).join(F.broadcast(names), "alias", "left")
+    rows = rows.select("claim_id", "field_name", "field_value", "value", "created_at", "id", F.posexplode_outer("hits").alias("at", "hit")).withColumn("own", F.coalesce("at", F.lit(0)) == 0)
+    insured = amount_lenient(F.regexp_extract("field_value", r"(?i)sum\s*insured\s*[:\-]?\s*(?:(?:rs|inr|\$)\.?\s*)?([\d,]+\.?\d*)", 1))
+
+    def of(name: str) -> Column:
+        """The value of the first alias, in order, that has one; an alias's last row counts."""
+        mine = (F.col("hit.canonical") == name) & F.col("value").isNotNull()
+        return F.max_by(F.when(mine, F.col("value")), F.when(mine, F.struct(-F.col("hit.ordinal"), "created_at", "id"))).alias(name)
+
+    filled = lambda name: F.count_if(F.col("own") & (F.col("field_name") == name) & (F.col("field_value") != ""))
+    wide = rows.groupBy("claim_id").agg(
+        *map(of, wanted), F.count_if("own").alias("num_parsed_fields"), filled("secondary_diagnosis").alias("secondary"), filled("icd_code").alias("icd_fields"), filled("cpt_code").alias("cpt_fields"),
+        F.min_by(F.when(F.col("own") & (insured > 0), insured), F.when(F.col("own") & (insured > 0), F.struct("created_at", "id"))).alias("insured_found"),
     )
     coded = codes.groupBy("claim_id").agg(F.count_if(F.col("code_system") == "ICD10").alias("icd"), F.count_if(F.col("code_system") == "CPT").alias("cpt"), F.coalesce(F.max(F.col("is_primary") & (F.col("code_system") == "ICD10")), F.lit(False)).alias("primary_icd"))
     text = F.lower(F.trim("entity_text"))
     named_entities = entities.groupBy("claim_id").agg(F.count("*").alias("num_entities"), F.countDistinct(F.when((F.col("entity_type") == "DIAGNOSIS") & (text != ""), text)).alias("num_diagnosis_types"))
-    rows = wide.join(counts, "claim_id", "left").join(coded, "claim_id", "left").join(named_entities, "claim_id", "left")
+    rows = wide.join(coded, "claim_id", "left").join(named_entities, "claim_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     for c in EXPENSE_FIELDS:
         rows = rows.withColumn(c, amount_lenient(F.col(c)))
@@ -82,8 +90,11 @@ def features(fields: DataFrame, codes: DataFrame, entities: DataFrame) -> DataFr
     )
 
 
-def scored(rows: DataFrame) -> DataFrame:
-    """M4, M5: completeness plus severity, halved for complete and simple claims, with the top five reasons."""
+def scored(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """M4, M5: completeness plus severity, halved for complete and simple claims, with the top five reasons.
+
+    keep: columns of rows that stay, so that nobody has to join them back.
+    """
     c = F.col
     lacking = [_step(c(f) == 0, w, r) for f, r, w in CRITICAL] + [_step(c("num_icd_codes") == 0, 0.05, "No ICD-10 codes found"), _step(c("has_primary_icd") == 0, 0.03, "No primary ICD code designated"), _step(c("num_parsed_fields") < 5, 0.06, "Very few parsed fields")]
     surgery = c("has_surgery") > 0
@@ -101,7 +112,7 @@ def scored(rows: DataFrame) -> DataFrame:
     score = (c("completeness") + c("severity")) * F.when((missing == 0) & (c("severity") < 0.10), 0.5).otherwise(1.0)
     out = out.withColumn("risk_score", F.round(F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)), 4))
     ranked = F.array_sort(F.concat("lacking", "severe"), lambda a, b: F.when(a["weight"] > b["weight"], -1).when(a["weight"] < b["weight"], 1).when(a["reason"] < b["reason"], -1).otherwise(1))
-    return out.select("claim_id", "risk_score", risk_label(c("risk_score"), "rejection").alias("risk_category"), F.slice(ranked, 1, 5).alias("top_reasons"), missing.alias("missing_critical"))
+    return out.select("claim_id", *keep, "risk_score", risk_label(c("risk_score"), "rejection").alias("risk_category"), F.slice(ranked, 1, 5).alias("top_reasons"), missing.alias("missing_critical"))
 
 
 def overridden(model_score: Column, heuristic: Column, missing: Column, floor: float = 0.55) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from claimloom.operators import lifecycle
@@ -67,35 +65,41 @@ def stream(spark, d):
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def name() -> str:
-    return "s" + uuid.uuid4().hex
+#: Each type's payload, read as its own type.
+PAYLOADS = {"signup": "k bigint", "click": "k double", "purchase": "k string, note string", "view": "k int"}
 
 
-@query("t1_decoded_stream", "SELECT event_type, count(*) AS n, sum(try_cast(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k FROM activity GROUP BY 1", "activity")
+@query("t1_decoded_stream", """WITH p AS (SELECT event_type, json_extract_string(props, '$.k') AS k FROM activity WHERE event_type <> 'error')
+    SELECT event_type, count(*) AS n, sum(CASE WHEN event_type = 'click' THEN k::DOUBLE / 2 WHEN event_type = 'purchase' THEN length(k) ELSE k::DOUBLE END)::DOUBLE AS k FROM p GROUP BY 1""", "activity")
 def t1(spark, d):
-    rows = streams.drained(streams.decoded(stream(spark, d)).select("event_type", F.col("payload.k").alias("k")), name(), "append")
+    rows = streams.decoded(stream(spark, d), PAYLOADS)
+    k = F.coalesce(F.col("payload_click.k") / 2, F.length("payload_purchase.k").cast("double"), F.col("payload_signup.k").cast("double"), F.col("payload_view.k").cast("double"))
+    rows = streams.drained(rows.select("event_type", k.alias("k")), "append")
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
 
 
-@query("t2_deduplicated_stream", "SELECT count(DISTINCT event_id) AS n FROM activity", "activity")
+@query("t2_deduplicated_stream", "SELECT event_id, event_type FROM activity", "activity")
 def t2(spark, d):
-    return streams.drained(streams.deduplicated(stream(spark, d), "event_id", "ts", "60 days"), name(), "append").agg(F.count("*").alias("n"))
+    twice = stream(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return streams.drained(streams.deduplicated(twice, "event_id", "ts", "60 days").select("event_id", "event_type"), "append")
 
 
 @query("t3_latest_state_stream", "SELECT user_id, arg_max(event_type, ts) AS event_type, max(ts) AS ts FROM activity GROUP BY 1", "activity")
 def t3(spark, d):
-    return streams.drained(streams.latest_state(stream(spark, d), "user_id", "event_type", "ts"), name(), "complete")
+    return streams.drained(streams.latest_state(stream(spark, d), "user_id", "event_type", "ts"), "complete")
 
 
-@query("t4_progress_stream", "SELECT event_id, user_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS progress FROM activity", "activity")
+@query("t4_progress_stream", """WITH r AS (SELECT event_id, user_id, ts, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS progress FROM activity)
+    SELECT event_id, user_id, progress FROM r QUALIFY coalesce(max(progress) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 300""", "activity")
 def t4(spark, d):
-    return streams.drained(streams.monotonic_progress(stream(spark, d), 1e18), name(), "append")
+    return streams.drained(streams.monotonic_progress(stream(spark, d), 300.0), "append")
 
 
-@query("t10_velocity_stream", "SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n FROM activity GROUP BY 1, 2", "activity")
+@query("t10_velocity_stream", """WITH o AS (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) - unnest(range(30)) * INTERVAL 1 DAY AS start FROM activity)
+    SELECT user_id, start, count(*) AS n FROM o GROUP BY 1, 2""", "activity")
 def t10(spark, d):
-    out = streams.drained(streams.windowed_counts(stream(spark, d), "user_id", "ts", "1 day", "1 day", "2 days"), name(), "complete")
-    return out.select("user_id", F.col("window.start").alias("day"), "n")
+    out = streams.drained(streams.windowed_counts(stream(spark, d), "user_id", "ts", "30 days", "1 day", "2 days"), "complete")
+    return out.select("user_id", F.col("window.start").alias("start"), "n")
 
 
 @query("s8_replaced_rows", "SELECT claim_id, status FROM claims WHERE claim_id % 5 <> 0 UNION ALL SELECT claim_id, 'REPLACED' FROM claims WHERE claim_id % 5 = 0", "claims")
@@ -115,11 +119,21 @@ def s11(spark, d):
     return lifecycle.payload("x12", role(spark, d, "expenses").select("claim_id", "seq", "code", F.col("quantity").alias("amount")))
 
 
-@query("s11_fhir", "SELECT claim_id, count(*) AS items, 'Claim' AS kind FROM expenses GROUP BY claim_id", "expenses")
+@query("s11_fhir", """WITH i AS (SELECT claim_id, code, amount, row_number() OVER (PARTITION BY claim_id ORDER BY seq, code, amount) AS n FROM expenses)
+    SELECT claim_id, 'Claim' AS kind, claim_id::VARCHAR AS id, string_agg(n || ':' || code, ',' ORDER BY n) AS items, round(sum(amount), 2) AS total FROM i GROUP BY claim_id""", "expenses")
 def s11_fhir(spark, d):
     p = lifecycle.payload("fhir", role(spark, d, "expenses").select("claim_id", "seq", "code", "amount"))
     v = F.parse_json("payload")
-    return p.select("claim_id", F.size(F.variant_get(v, "$.item", "array<struct<sequence:int>>")).cast("long").alias("items"), F.variant_get(v, "$.resourceType", "string").alias("kind"))
+    items = F.variant_get(v, "$.item", "array<struct<sequence:int,productOrService:struct<coding:array<struct<code:string>>>>>")
+    told = F.array_join(F.transform(items, lambda x: F.concat_ws(":", x["sequence"].cast("string"), x["productOrService"]["coding"][0]["code"])), ",")
+    return p.select("claim_id", F.variant_get(v, "$.resourceType", "string").alias("kind"), F.variant_get(v, "$.id", "string").alias("id"), told.alias("items"), F.variant_get(v, "$.total.value", "double").alias("total"))
+
+
+@query("s11_generic", """SELECT claim_id, string_agg(seq || ':' || code || ':' || printf('%.2f', quantity), ',' ORDER BY seq, code, quantity) AS items FROM expenses GROUP BY claim_id""", "expenses")
+def s11_generic(spark, d):
+    p = lifecycle.payload("some payer", role(spark, d, "expenses").select("claim_id", "seq", "code", F.col("quantity").alias("amount")))
+    items = F.from_json("payload", "items array<struct<seq:int,code:string,amount:double>>")["items"]
+    return p.select("claim_id", F.array_join(F.transform(items, lambda x: F.concat_ws(":", x["seq"].cast("string"), x["code"], F.format_string("%.2f", x["amount"]))), ",").alias("items"))
 
 
 @query("s12_deleted", "SELECT claim_id, seq, code FROM expenses WHERE claim_id NOT IN (SELECT claim_id FROM claims WHERE status = 'PROCESSING')", "claims expenses")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from claimloom.operators import fraud, risk, validation
 from claimloom.plans.fields import LONG, long_table
+from claimloom.plans.fraud import WIDE
+from claimloom.plans.fraud import wide as fraud_wide
 from claimloom.plans.registry import query, raw, role
 
 
@@ -39,9 +41,14 @@ def m4(spark, d):
     return risk.scored(features(spark, d)).select("claim_id", "risk_score", "risk_category")
 
 
-@query("m5_o3_reasons", f"""WITH {SCORE} SELECT claim_id, least(5, 1 + (has_patient_name = 0)::INT + 2 * (num_icd_codes = 0)::INT + (ln(1 + amount) > 11.5)::INT + (num_icd_codes > 1)::INT + (num_cpt_codes > 1)::INT)::INT AS reasons, 'x' AS first FROM risk""", "claims patients expenses")
+@query("m5_o3_reasons", f"""WITH {SCORE}, u AS (SELECT claim_id, unnest([has_patient_name = 0, true, num_icd_codes = 0, has_primary_icd = 0, ln(1 + amount) > 11.5, num_icd_codes > 1, num_cpt_codes > 1]) AS there,
+        unnest(['Missing patient name', 'Missing diagnosis', 'No ICD-10 codes found', 'No primary ICD code designated', CASE WHEN ln(1 + amount) > 14 THEN 'Very high claim amount' WHEN ln(1 + amount) > 13 THEN 'High claim amount' ELSE 'Significant claim amount' END, CASE WHEN num_icd_codes > 3 THEN 'Complex case by ICD codes' ELSE 'Multiple ICD codes' END, CASE WHEN num_cpt_codes > 2 THEN 'Multiple procedures' ELSE 'Two procedures performed' END]) AS reason,
+        unnest([0.08, 0.12, 0.05, 0.03, CASE WHEN ln(1 + amount) > 14 THEN 0.20 WHEN ln(1 + amount) > 13 THEN 0.12 ELSE 0.08 END, CASE WHEN num_icd_codes > 3 THEN 0.08 ELSE 0.04 END, CASE WHEN num_cpt_codes > 2 THEN 0.06 ELSE 0.03 END]) AS weight FROM risk),
+    n AS (SELECT claim_id, reason, weight FROM u WHERE there)
+    SELECT claim_id, row_number() OVER (PARTITION BY claim_id ORDER BY weight DESC, reason) AS rank, reason, weight::DOUBLE AS weight FROM n QUALIFY rank <= 5""", "claims patients expenses")
 def m5(spark, d):
-    return risk.scored(features(spark, d)).select("claim_id", F.size("top_reasons").alias("reasons"), F.when(F.col("top_reasons")[0]["weight"] >= 0.12, "x").alias("first"))
+    rows = risk.scored(features(spark, d)).select("claim_id", F.posexplode("top_reasons").alias("at", "r"))
+    return rows.select("claim_id", (F.col("at") + 1).cast("long").alias("rank"), "r.reason", "r.weight")
 
 
 @query("m2_sum_insured", "SELECT doc_id, try_cast(replace(nullif(regexp_extract(text || ' Sum Insured: Rs. ' || n_chars || ',000', '(?i)sum\\s*insured\\s*[:\\-]?\\s*(?:(?:rs|inr|\\$)\\.?\\s*)?([\\d,]+\\.?\\d*)', 1), ''), ',', '') AS DOUBLE) AS insured FROM documents")
@@ -98,24 +105,22 @@ def m10(spark, d):
 
 def wide(spark, d):
     """V12's wide row: features, risk score and fraud assessment of every claim; fraud comes first."""
-    from claimloom.plans.fraud import wide as fraud_wide
-
-    rows = features(spark, d)
-    scores = risk.scored(rows).select("claim_id", F.col("risk_score").alias("rejection_score"))
+    rows = risk.scored(features(spark, d), risk.FEATURES).withColumnRenamed("risk_score", "rejection_score")
     found = fraud.assessment(fraud_wide(spark, d)).select("claim_id", "fraud_score", "fraud_category")
-    return rows.join(scores, "claim_id", "left").join(found, "claim_id", "left")
+    return rows.join(found, "claim_id", "left")
 
 
 @query("v1_v10_rules", f"""WITH {SCORE}, v AS (SELECT claim_id, unnest(['R001', 'R002', 'R003', 'R004', 'R005', 'R006', 'R007', 'R008', 'R009', 'R010']) AS rule_id,
     unnest([has_patient_name = 1, true, false, num_icd_codes > 0, true, true, has_provider = 1, risk_score < 0.5, num_cpt_codes > 0, has_primary_icd = 1]) AS passed, unnest(['ERROR', 'ERROR', 'ERROR', 'ERROR', 'ERROR', 'WARN', 'WARN', 'WARN', 'WARN', 'WARN']) AS level FROM risk)
     SELECT claim_id, rule_id, passed, CASE WHEN passed THEN 'PASS' ELSE level END AS severity FROM v""", "claims patients expenses")
 def v1(spark, d):
-    rows = features(spark, d)
-    scores = risk.scored(rows).select("claim_id", F.col("risk_score").alias("rejection_score"))
-    out = validation.validated(rows.join(scores, "claim_id").withColumn("fraud_score", F.lit(None).cast("double")).withColumn("fraud_category", F.lit(None).cast("string")))
+    rows = risk.scored(features(spark, d), risk.FEATURES).withColumnRenamed("risk_score", "rejection_score")
+    out = validation.validated(rows.withColumn("fraud_score", F.lit(None).cast("double")).withColumn("fraud_category", F.lit(None).cast("string")))
     return out.where("rule_id <> 'R011'").select("claim_id", "rule_id", "passed", "severity")
 
 
-@query("v12_a18_validation_summary")
+@query("v12_a18_validation_summary", f"""WITH {SCORE}, {WIDE}, c AS (SELECT claim_id, round((0.5 * rules_score + 0.4 * ml_score) / 0.9, 4) AS fraud FROM z),
+    v AS (SELECT claim_id, (has_patient_name = 0)::INT + 1 + (num_icd_codes = 0)::INT + (fraud >= 0.7)::INT AS errors, (has_provider = 0)::INT + (risk_score >= 0.5)::INT + (num_cpt_codes = 0)::INT + (has_primary_icd = 0)::INT + (fraud >= 0.4 AND fraud < 0.7)::INT AS warnings FROM risk JOIN c USING (claim_id))
+    SELECT claim_id, 11::BIGINT AS total, 11 - errors - warnings AS passed, errors + warnings AS failed, warnings, errors FROM v""", "claims patients expenses providers")
 def v12(spark, d):
     return validation.summary(validation.validated(wide(spark, d)))

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from claimloom.sources.storage import shared_dir
 
-def decoded(events: DataFrame, payload: str = "k bigint") -> DataFrame:
-    """The payload by its declared schema, kinds that aren't known left out."""
-    return events.where(F.col("event_type").isNotNull()).withColumn("payload", F.from_json("props", payload))
+
+def decoded(events: DataFrame, schemas: dict[str, str], kind: str = "event_type", payload: str = "props") -> DataFrame:
+    """Each type's payload by its own schema, as column payload_<type>; types that aren't declared are left out."""
+    rows = events.where(F.col(kind).isin(*schemas))
+    return rows.select("*", *(F.when(F.col(kind) == name, F.from_json(payload, schema)).alias(f"payload_{name}") for name, schema in schemas.items()))
 
 
 def deduplicated(events: DataFrame, key: str, time: str, horizon: str) -> DataFrame:
@@ -48,21 +52,30 @@ def monotonic_progress(events: DataFrame, terminal: float = 100.0) -> DataFrame:
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         best, done = state.get if state.exists else (float("-inf"), False)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for event_id, value in zip(rows.event_id, rows.value, strict=True):
-            if done:
-                break
-            best = max(best, float(value))
-            done = best >= terminal
-            out.append((event_id, key[0], best))
-        state.update((best, done))
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "progress"])
+        progress = np.maximum(np.maximum.accumulate(rows.value.to_numpy(float)), best)
+        ended = np.flatnonzero(progress >= terminal)
+        kept = 0 if done else int(ended[0]) + 1 if len(ended) else len(progress)
+        state.update((float(progress[kept - 1]) if kept else best, done or len(ended) > 0))
+        yield pd.DataFrame({"event_id": rows.event_id.to_numpy()[:kept], "user_id": key[0], "progress": progress[:kept]})
 
     return events.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, progress double", "best double, done boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """The stream run over all that is there, as a table of the session."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def drained(stream: DataFrame, mode: str) -> DataFrame:
+    """The stream run over all that is there, with its state and rows in the shared folder; no row reaches the driver.
+
+    Appended rows go to a file sink. A complete result is written anew by each batch, in a folder of
+    its own, so that a batch that runs again writes the same one; the newest is read.
+    """
+    spark = stream.sparkSession
+    path = shared_dir(spark)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    if mode == "append":
+        q = writer.format("parquet").option("path", f"{path}/rows").start()
+    else:
+        q = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = spark.read.parquet(f"{path}/rows")
+    if mode == "append":
+        return rows
+    return rows.where(F.col("batch") == rows.select(F.max("batch")).scalar()).drop("batch")
