@@ -26,39 +26,77 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_top(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None, block: int = 64) -> DataFrame:
+def dense_top(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None, block: int = 256, digits: int | None = None) -> DataFrame:
     """R2: exact inner products of unit vectors. A stated query set against all rows, by blocks of queries.
 
-    Queries are packed into rows of `block`, so the larger side is read once and each of its
-    rows meets a block at a time; each partition's best are kept before the shuffle.
+    Queries are packed into rows of about `block`, so that no row grows with their number, and each
+    block meets the vectors once; each partition's best are kept before the shuffle. digits rounds
+    scores, so that ties are told by the document.
     """
-    packed = queries.select(F.col("query_id"), normalised(F.col("vector")).alias("q")).withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(block)))
+    blocks = max(1, -(-queries.count() // block))
+    packed = queries.select(F.col("query_id"), normalised(F.col("vector")).alias("q")).withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     packed = packed.groupBy("b").agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-    unit = vectors.select("doc_id", normalised(F.col("vector")).alias("v")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
-    pairs = unit.join(packed, "b").select("doc_id", "v", F.inline("queries")).select("query_id", "doc_id", dot(F.col("q"), F.col("v")).alias("score"))
+    unit = vectors.select("doc_id", normalised(F.col("vector")).alias("v")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    score = dot(F.col("q"), F.col("v"))
+    pairs = unit.join(packed, "b").select("doc_id", "v", F.inline("queries")).select("query_id", "doc_id", (score if digits is None else F.round(score, digits)).alias("score"))
     return top(pairs if least is None else pairs.where(F.col("score") >= least), k)
 
 
-def bm25_index(docs: DataFrame, id_col: str, text: Column) -> tuple[DataFrame, DataFrame]:
-    """(term, doc_id, tf, doc_len) and (term, idf); negative idf becomes EPSILON of the mean."""
-    tokens = docs.select(F.col(id_col).alias("doc_id"), words(text).alias("w")).withColumn("doc_len", F.size("w"))
-    tf = tokens.select("doc_id", "doc_len", F.explode("w").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
-    n = tokens.agg(F.count("*")).scalar()
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = df.agg(F.avg("raw")).scalar()
-    return tf, df.select("term", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
+def bm25_index(docs: DataFrame, id_col: str, text: Column, asked: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """(term, doc_id, tf, doc_len) of the asked terms, (term, idf) of them, and the mean length.
+
+    Document frequencies are counted over all terms, since a negative idf becomes EPSILON of the
+    mean of all; each partition adds its terms up before they are shuffled. Term frequencies, whose
+    rows are as many as terms in documents, are made for the asked terms alone.
+    """
+    tokens = docs.select(F.col(id_col).alias("doc_id"), words(text).alias("w"))
+    told = tokens.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"))
+    n, mean = told.select("n").scalar(), told.select("mean").scalar()
+    df = tokens.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    all_mean = df.agg(F.avg("raw")).scalar()
+    terms = asked.select("term").distinct()
+    idf = df.join(terms, "term", "left_semi").select("term", F.when(F.col("raw") < 0, EPSILON * all_mean).otherwise(F.col("raw")).alias("idf"))
+    tf = tokens.select("doc_id", F.size("w").alias("doc_len"), F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf"))
+    return tf, idf, mean
 
 
 def bm25(queries: DataFrame, docs: DataFrame, id_col: str, text: Column, k: int) -> DataFrame:
     """Okapi scores over 0, the k best per query. queries: query_id, text."""
-    tf, idf = bm25_index(docs, id_col, text)
-    mean = docs.select(F.avg(F.size(words(text)))).scalar()
     asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("term"))
+    tf, idf, mean = bm25_index(docs, id_col, text, asked)
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / mean))
-    scored = asked.join(idf, "term").join(tf, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")  # rounded: equal texts tie, whatever the order of the sum
+    weighed = tf.join(idf, "term").select("term", "doc_id", part.alias("part"))
+    scored = asked.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")  # rounded: equal texts tie, whatever the order of the sum
     return top(scored, k)
 
 
+#: How many candidates a search takes for n results, and at least (fixed values).
+POOLS = {"ICD10": (10, 100), "CPT": (4, 20)}
+
+
+def searched(mode: str, n: int, system: str, sparse, dense) -> DataFrame:
+    """The n best by mode: `bm25`, `dense`, or `hybrid`, which fuses both rankers' pools.
+
+    sparse, dense: functions from a count to a ranked list (query_id, doc_id, score, rank).
+    """
+    times, least = POOLS[system]
+    pool = max(times * n, least)
+    if mode == "hybrid":
+        return top(fused(sparse(pool), dense(pool)).withColumn("score", F.round("score", 9)), n)
+    return {"bm25": sparse, "dense": dense}[mode](n)
+
+
+def chunk_search(queries: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame:
+    """Each query's k most alike chunks of its own document, with a score over 0.
+
+    queries: query_id, doc_id, vector; chunks: doc_id, chunk, vector. Documents meet by an equi-join.
+    """
+    q = queries.select("query_id", "doc_id", normalised(F.col("vector")).alias("q"))
+    pairs = q.join(chunks.select("doc_id", "chunk", normalised(F.col("vector")).alias("v")), "doc_id")
+    scored = pairs.select("query_id", "doc_id", "chunk", F.round(dot(F.col("q"), F.col("v")), 6).alias("score")).where("score > 0")
+    return top(scored, k, doc="chunk")
+
+
 def fused(*ranked: DataFrame, k: int = FUSION) -> DataFrame:
     """Reciprocal-rank fusion of lists (query_id, doc_id, rank from 1)."""
     union = ranked[0].select("query_id", "doc_id", "rank")
@@ -84,13 +122,21 @@ def reranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.greatest(F.col("score") + shared + shape - extra, F.lit(0.0)))
 
 
+#: Words that tell no child from its parent (fixed values).
+STRUCTURAL = ("and", "or", "of", "the", "with", "without", "other", "unspecified", "specified", "abnormal", "normal")
+
+
 def prefer_parents(rows: DataFrame) -> DataFrame:
-    """A child code falls to its parent's place when its own words aren't in the query."""
-    parents = rows.where(~F.col("code").contains(".")).select("query_id", F.col("code").alias("parent"), words(F.col("description")).alias("pw"))
+    """A child code becomes its parent where the parent is a candidate too and none of the child's own words is asked for.
+
+    A code that two rows come to keeps the better score.
+    """
+    parents = rows.where(~F.col("code").contains(".")).groupBy("query_id", F.col("code").alias("parent")).agg(F.first("description").alias("wide"))
     out = rows.withColumn("parent", F.split_part("code", F.lit("."), F.lit(1))).join(parents, ["query_id", "parent"], "left")
-    own = F.array_except(words(F.col("description")), F.col("pw"))
-    told = F.size(F.array_intersect(own, words(F.col("query")))) > 0
-    return out.withColumn("kept", F.col("pw").isNull() | ~F.col("code").contains(".") | told).where("kept").drop("pw", "parent", "kept")
+    own = F.array_except(F.array_except(words(F.col("description")), words(F.col("wide"))), F.array(*map(F.lit, STRUCTURAL)))
+    falls = F.col("code").contains(".") & F.col("wide").isNotNull() & (F.size(own) > 0) & ~F.arrays_overlap(own, words(F.col("query")))
+    out = out.select("query_id", "query", F.when(falls, F.col("parent")).otherwise(F.col("code")).alias("code"), F.when(falls, F.col("wide")).otherwise(F.col("description")).alias("description"), "score")
+    return out.groupBy("query_id", "query", "code", "description").agg(F.max("score").alias("score"))
 
 
 def first_of(*ranked: DataFrame, k: int) -> DataFrame:
@@ -120,16 +166,66 @@ def costs(codes: DataFrame, code_cost: DataFrame, category_cost: DataFrame) -> D
     return rows.withColumn("estimate", F.coalesce("cost", "category_cost", default)).drop("cost", "category_cost")
 
 
-def by_synonym(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """Exact synonyms; else the longest that holds the term or is held by it, sharing its first word.
+def cross_referenced(codes: DataFrame, relation: DataFrame, most: int = 3) -> DataFrame:
+    """The first few procedure codes of each diagnosis code. relation: icd, cpt, seq."""
+    known = relation.select(code_key(F.col("icd").cast("string")).alias("key"), "cpt", "seq").groupBy("key", "cpt").agg(F.min("seq").alias("seq"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("seq", "cpt"))
+    few = known.withColumn("rank", rank).where(F.col("rank") <= most).drop("seq")
+    return codes.withColumn("key", code_key(F.col("code").cast("string"))).join(few, "key").drop("key")
+
+
+#: Kinds of entities that are coded as diagnoses, and as procedures (fixed values).
+DIAGNOSIS_KINDS, PROCEDURE_KINDS = ("DIAGNOSIS", "DISEASE", "SYMPTOM", "FINDING", "CONDITION"), ("PROCEDURE", "TREATMENT", "SURGERY")
+
+
+def entity_codes(entities: DataFrame, search: dict) -> DataFrame:
+    """The best code of each of a claim's entities; a text that comes again in other case counts once, as its first.
+
+    search: by system (ICD10, CPT) a function from queries (query_id, text) to ranked hits (query_id, doc_id, score, rank).
+    Each distinct text is searched once, whatever the number of claims that name it.
+    """
+    kind, term = F.upper("entity_type"), F.lower(F.trim("entity_text"))
+    system = F.when(kind.isin(*DIAGNOSIS_KINDS), "ICD10").when(kind.isin(*PROCEDURE_KINDS), "CPT")
+    first = entities.where(F.trim("entity_text") != "").groupBy("claim_id", term.alias("term")).agg(F.min_by(F.struct(F.trim("entity_text").alias("entity_text"), system.alias("system")), "seq").alias("e")).select("claim_id", "term", "e.*").where("system IS NOT NULL")
+    out = None
+    for name, find in search.items():
+        asked = first.where(F.col("system") == name).select("term").distinct()
+        hits = find(asked.select(F.col("term").alias("query_id"), F.col("term").alias("text"))).where("rank = 1").select(F.col("query_id").alias("term"), F.lit(name).alias("system"), F.col("doc_id").alias("code"), "score")
+        out = hits if out is None else out.unionByName(hits)
+    return first.join(out, ["term", "system"]).select("claim_id", "entity_text", "system", "code", "score")
+
 
-    Containment is tried only among synonyms that share a word with the term, so the join has a key.
+def _grams(text: Column, n: int) -> Column:
+    """Distinct pieces of n characters."""
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """Pairs (s, l) of texts of which s is a piece of l: s meets l by its rarest trigram, and is confirmed.
+
+    Texts of one or two characters meet by their whole. So no pair is lost, and none is tried without a shared key.
     """
-    exact = terms.join(synonyms, terms["term"] == synonyms["synonym"]).select("term", "code", F.lit(1 << 20).alias("size"))
-    a = terms.select("term", F.explode(F.array_distinct(F.split("term", " "))).alias("w"))
-    b = synonyms.select("synonym", "code", F.explode(F.array_distinct(F.split("synonym", " "))).alias("w"))
-    near = a.join(b, "w").where(F.col("term").contains(F.col("synonym")) | F.col("synonym").contains(F.col("term"))).select("term", "code", F.length("synonym").alias("size"))
-    return exact.unionByName(near).groupBy("term").agg(F.max_by("code", F.struct("size", "code")).alias("code"))
+    out = None
+    for n in (1, 2, 3):
+        own = short.where(F.length("s") == n) if n < 3 else short.where(F.length("s") >= 3)
+        pieces = long.select("l", F.explode(_grams(F.col("l"), n)).alias("gram"))
+        counts = pieces.groupBy("gram").agg(F.count("*").alias("times"))
+        # A piece that no long text has rules its text out.
+        grams = own.select("s", F.explode(_grams(F.col("s"), n)).alias("gram")).join(counts, "gram", "left")
+        key = grams.groupBy("s").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "gram")).alias("k")).select("s", F.col("k.gram").alias("gram"))
+        pairs = key.join(pieces, "gram").where(F.col("l").contains(F.col("s"))).select("s", "l")
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+def by_synonym(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """A term's code: of the equal synonym; else of the longest that the term holds or that holds the term; else null."""
+    t, s = terms.select("term").distinct(), synonyms.select("synonym").distinct()
+    held = contained(s.select(F.col("synonym").alias("s")), t.select(F.col("term").alias("l"))).select(F.col("l").alias("term"), F.col("s").alias("synonym"))
+    holds = contained(t.select(F.col("term").alias("s")), s.select(F.col("synonym").alias("l"))).select(F.col("s").alias("term"), F.col("l").alias("synonym"))
+    near = held.unionByName(holds).join(synonyms, "synonym")
+    best = near.groupBy("term").agg(F.max_by("code", F.struct(F.col("term") == F.col("synonym"), F.length("synonym"), "code")).alias("code"))
+    return t.join(best, "term", "left")
 
 
 def unsupported(claimed: DataFrame, found: DataFrame) -> DataFrame:
@@ -138,12 +234,17 @@ def unsupported(claimed: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def assigned(explicit: DataFrame, hits: DataFrame, most: int = 4) -> DataFrame:
-    """Explicit codes win; else the best hit per term, by score; the first is primary."""
+    """Explicit codes win; else the best hit per term, by score; the first is primary.
+
+    Without explicit codes one is assigned, or up to three where the best score is under 0.5.
+    """
     best = top(hits.withColumnRenamed("term", "query_id").withColumnRenamed("code", "doc_id"), 1).select("claim_id", F.col("doc_id").alias("code"), F.col("score"), F.lit(1).alias("list"))
     rows = explicit.select("claim_id", "code", F.lit(0.9).alias("score"), F.lit(0).alias("list")).unionByName(best)
     one = rows.groupBy("claim_id", "code").agg(F.min("list").alias("list"), F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("claim_id").orderBy("list", F.desc("score"), "code"))
-    return one.withColumn("rank", rank).where(F.col("rank") <= most).withColumn("is_primary", F.col("rank") == 1)
+    w = Window.partitionBy("claim_id")
+    few = F.when(F.min("list").over(w) == 0, most).when(F.max("score").over(w) >= 0.5, 1).otherwise(3)
+    return one.withColumn("rank", rank).withColumn("few", few).where(F.col("rank") <= F.col("few")).drop("few").withColumn("is_primary", F.col("rank") == 1)
 
 
 def claim_terms(fields: DataFrame, most: int = 5) -> DataFrame:

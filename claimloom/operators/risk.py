@@ -7,8 +7,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.functions.scalars import amount_lenient, blank_to_null, field_key, parse_date, ratio, risk_label, stay_days
-from claimloom.operators.fields import EXPENSE_FIELDS, alias_table
+from claimloom.functions.scalars import amount_lenient, parse_date, ratio, risk_label, stay_days
+from claimloom.operators.fields import EXPENSE_FIELDS, resolved
 
 #: The features in their fixed order.
 FEATURES = ("has_patient_name", "has_policy_number", "has_diagnosis", "has_service_date", "has_total_amount", "has_provider", "num_parsed_fields", "num_entities", "num_icd_codes", "num_cpt_codes", "has_primary_icd", "num_diagnosis_types", "total_amount_log", "amount_per_cpt_log", "patient_age_norm", "length_of_stay", "claim_to_insured_ratio", "num_expense_categories", "is_icu_admission", "has_secondary_diagnosis", "surgery_cost_ratio", "has_blood_transfusion", "has_surgery")
@@ -43,38 +43,36 @@ def _ladder(feature: str, steps) -> Column:
 def features(fields: DataFrame, codes: DataFrame, entities: DataFrame) -> DataFrame:
     """M1: one row of features per claim from its fields, codes and entities.
 
-    Every child is aggregated to one row per claim before it is joined; fields are read and
-    shuffled once, each canonical name being an aggregate of its own.
+    Every child is aggregated to one row per claim before it is joined. Expense fields are summed
+    and counted as rows, not spread over forty columns: code that long is never compiled.
     """
-    wanted = ["patient_name", "policy_number", "diagnosis", "service_date", "total_amount", "provider_name", "patient_age", "admission_date", "discharge_date", "sum_insured", "ward_type", *EXPENSE_FIELDS]
-    names = alias_table(fields.sparkSession).groupBy("alias").agg(F.collect_list(F.struct("canonical", "ordinal")).alias("hits"))  # a fixed list
-    rows = fields.withColumn("alias", field_key(F.col("field_name"))).withColumn("value", blank_to_null(F.col("field_value"))).join(F.broadcast(names), "alias", "left")
-    rows = rows.select("claim_id", "field_name", "field_value", "value", "created_at", "id", F.posexplode_outer("hits").alias("at", "hit")).withColumn("own", F.coalesce("at", F.lit(0)) == 0)
     insured = amount_lenient(F.regexp_extract("field_value", r"(?i)sum\s*insured\s*[:\-]?\s*(?:(?:rs|inr|\$)\.?\s*)?([\d,]+\.?\d*)", 1))
-
-    def of(name: str) -> Column:
-        """The value of the first alias, in order, that has one; an alias's last row counts."""
-        mine = (F.col("hit.canonical") == name) & F.col("value").isNotNull()
-        return F.max_by(F.when(mine, F.col("value")), F.when(mine, F.struct(-F.col("hit.ordinal"), "created_at", "id"))).alias(name)
-
-    filled = lambda name: F.count_if(F.col("own") & (F.col("field_name") == name) & (F.col("field_value") != ""))
-    wide = rows.groupBy("claim_id").agg(
-        *map(of, wanted), F.count_if("own").alias("num_parsed_fields"), filled("secondary_diagnosis").alias("secondary"), filled("icd_code").alias("icd_fields"), filled("cpt_code").alias("cpt_fields"),
-        F.min_by(F.when(F.col("own") & (insured > 0), insured), F.when(F.col("own") & (insured > 0), F.struct("created_at", "id"))).alias("insured_found"),
+    # The pattern is tried where its word comes, not on every value.
+    insured = F.when(F.lower("field_value").contains("insured"), insured)
+    filled = lambda name: F.count_if((F.col("field_name") == name) & (F.col("field_value") != ""))
+    counts = fields.groupBy("claim_id").agg(
+        F.count("*").alias("num_parsed_fields"), filled("secondary_diagnosis").alias("secondary"), filled("icd_code").alias("icd_fields"), filled("cpt_code").alias("cpt_fields"),
+        F.min(F.when(insured > 0, F.struct("created_at", "id", insured.alias("insured"))))["insured"].alias("insured_found"),
+    )
+    numeric = F.col("canonical").isin("total_amount", "sum_insured", *EXPENSE_FIELDS)
+    named = resolved(fields).withColumn("number", F.when(numeric, amount_lenient(F.col("value"))))
+    text = lambda name: F.max(F.when(F.col("canonical") == name, F.col("value"))).alias(name)
+    number = lambda name: F.coalesce(F.max(F.when(F.col("canonical") == name, F.col("number"))), F.lit(0.0)).alias(name)
+    charged = F.when(F.col("canonical").isin(*EXPENSE_FIELDS) & (F.col("number") > 0), F.col("number"))
+    wide = named.groupBy("claim_id").agg(
+        *map(text, ("patient_name", "policy_number", "diagnosis", "service_date", "provider_name", "patient_age", "admission_date", "discharge_date", "ward_type")),
+        *map(number, ("total_amount", "sum_insured", "icu_charges", "surgery_charges", "blood_charges", "ot_charges")), F.coalesce(F.sum(charged), F.lit(0.0)).alias("charged"), F.count(charged).alias("categories"),
     )
     coded = codes.groupBy("claim_id").agg(F.count_if(F.col("code_system") == "ICD10").alias("icd"), F.count_if(F.col("code_system") == "CPT").alias("cpt"), F.coalesce(F.max(F.col("is_primary") & (F.col("code_system") == "ICD10")), F.lit(False)).alias("primary_icd"))
     text = F.lower(F.trim("entity_text"))
     named_entities = entities.groupBy("claim_id").agg(F.count("*").alias("num_entities"), F.countDistinct(F.when((F.col("entity_type") == "DIAGNOSIS") & (text != ""), text)).alias("num_diagnosis_types"))
-    rows = wide.join(coded, "claim_id", "left").join(named_entities, "claim_id", "left")
+    rows = counts.join(wide, "claim_id", "left").join(coded, "claim_id", "left").join(named_entities, "claim_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    for c in EXPENSE_FIELDS:
-        rows = rows.withColumn(c, amount_lenient(F.col(c)))
-    positive = lambda c: F.greatest(F.col(c), F.lit(0.0))
-    stated = amount_lenient(F.col("total_amount"))
-    total = F.when(stated > 0, stated).otherwise(sum((positive(c) for c in EXPENSE_FIELDS), F.lit(0.0)))
-    limit = amount_lenient(F.col("sum_insured"))
     has = lambda c: F.col(c).isNotNull().cast("int")
-    rows = rows.withColumn("amount", total).withColumn("limit", F.when(limit > 0, limit).otherwise(F.coalesce("insured_found", F.lit(0.0))))
+    for c in ("total_amount", "sum_insured", "icu_charges", "surgery_charges", "blood_charges", "ot_charges", "charged"):
+        rows = rows.withColumn(c, F.coalesce(c, F.lit(0.0)))
+    rows = rows.withColumn("amount", F.when(F.col("total_amount") > 0, F.col("total_amount")).otherwise(F.col("charged")))
+    rows = rows.withColumn("limit", F.when(F.col("sum_insured") > 0, F.col("sum_insured")).otherwise(F.coalesce("insured_found", F.lit(0.0))))
     rows = rows.withColumn("num_icd_codes", F.when(zero("icd") > 0, zero("icd")).otherwise(zero("icd_fields"))).withColumn("num_cpt_codes", F.when(zero("cpt") > 0, zero("cpt")).otherwise(zero("cpt_fields")))
     return rows.select(
         "claim_id", has("patient_name").alias("has_patient_name"), has("policy_number").alias("has_policy_number"), has("diagnosis").alias("has_diagnosis"), has("service_date").alias("has_service_date"),
@@ -83,7 +81,7 @@ def features(fields: DataFrame, codes: DataFrame, entities: DataFrame) -> DataFr
         F.log1p("amount").alias("total_amount_log"), F.log1p(F.col("amount") / F.greatest("num_cpt_codes", F.lit(1))).alias("amount_per_cpt_log"),
         F.least(F.greatest(F.coalesce(F.col("patient_age").try_cast("double"), F.lit(0.0)) / 100, F.lit(0.0)), F.lit(1.0)).alias("patient_age_norm"),
         stay_days(parse_date(F.col("admission_date"), "risk"), parse_date(F.col("discharge_date"), "risk")).cast("double").alias("length_of_stay"),
-        ratio(F.col("amount"), F.col("limit"), 1.0).alias("claim_to_insured_ratio"), sum(((F.col(c) > 0).cast("int") for c in EXPENSE_FIELDS), F.lit(0)).cast("double").alias("num_expense_categories"),
+        ratio(F.col("amount"), F.col("limit"), 1.0).alias("claim_to_insured_ratio"), zero("categories").cast("double").alias("num_expense_categories"),
         ((F.col("icu_charges") > 0) | F.coalesce(F.lower("ward_type").contains("icu"), F.lit(False))).cast("int").alias("is_icu_admission"), (zero("secondary") > 0).cast("int").alias("has_secondary_diagnosis"),
         F.least(F.col("surgery_charges") / F.greatest("amount", F.lit(1.0)), F.lit(1.0)).alias("surgery_cost_ratio"), (F.col("blood_charges") > 0).cast("int").alias("has_blood_transfusion"),
         ((F.col("surgery_charges") > 0) | (F.col("ot_charges") > 0)).cast("int").alias("has_surgery"),

@@ -67,7 +67,7 @@ def u3(spark, d):
     return retrieval.first_of(a, b, k=25).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("j11_j13_lookup", "SELECT claim_id, seq, e.code, c.description FROM expenses e LEFT JOIN catalogue c USING (code)", "expenses catalogue")
+@query("j11_lookup", "SELECT claim_id, seq, e.code, c.description FROM expenses e LEFT JOIN catalogue c USING (code)", "expenses catalogue")
 def j11(spark, d):
     return retrieval.looked_up(role(spark, d, "expenses").select("claim_id", "seq", "code"), role(spark, d, "catalogue").select("code", "description"))
 
@@ -80,27 +80,53 @@ def j12(spark, d):
     return retrieval.costs(c.drop("price"), known, kinds).select("code", "estimate")
 
 
-@query("j14_synonyms", """WITH s AS (SELECT lower(description) AS synonym, min(code) AS code FROM catalogue GROUP BY 1), t AS (SELECT synonym AS term FROM s WHERE code % 4 = 0 UNION SELECT synonym || ' item' FROM s WHERE code % 4 = 1)
-    SELECT term, CAST(coalesce(max(CASE WHEN s.synonym = t.term THEN s.code END), arg_max(s.code, length(s.synonym) * 10000000 + s.code)) AS BIGINT) AS code FROM t JOIN s ON contains(t.term, s.synonym) OR contains(s.synonym, t.term) WHERE len(list_intersect(string_split(t.term, ' '), string_split(s.synonym, ' '))) > 0 GROUP BY term""", "catalogue")
+@query("j13_cross_reference", """WITH k AS (SELECT code % 50 AS icd, code AS cpt, min(claim_id) AS seq FROM expenses GROUP BY 1, 2), f AS (SELECT *, row_number() OVER (PARTITION BY icd ORDER BY seq, cpt) AS rank FROM k QUALIFY rank <= 3)
+    SELECT code, cpt, rank FROM catalogue JOIN f ON catalogue.code = f.icd""", "expenses catalogue")
+def j13(spark, d):
+    relation = role(spark, d, "expenses").select((F.col("code") % 50).alias("icd"), F.col("code").alias("cpt"), F.col("claim_id").alias("seq"))
+    return retrieval.cross_referenced(role(spark, d, "catalogue").select("code"), relation).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("j14_synonyms", """WITH s AS (SELECT lower(description) AS synonym, min(code) AS code FROM catalogue GROUP BY 1),
+    t AS (SELECT DISTINCT term FROM (SELECT unnest([synonym, synonym || 's (item)', 'the ' || synonym, substring(synonym, 2, 6), substring(synonym, 3, 2), 'zz' || code]) AS term FROM s))
+    SELECT t.term, coalesce(arg_max(s.code, ((s.synonym = t.term)::BIGINT, length(s.synonym), s.code)), -1) AS code FROM t LEFT JOIN s ON contains(t.term, s.synonym) OR contains(s.synonym, t.term) GROUP BY t.term""", "catalogue")
 def j14(spark, d):
     s = role(spark, d, "catalogue").groupBy(F.lower("description").alias("synonym")).agg(F.min("code").alias("code"))
-    t = s.where("code % 4 = 0").select(F.col("synonym").alias("term")).union(s.where("code % 4 = 1").select(F.concat("synonym", F.lit(" item")))).distinct()
-    return retrieval.by_synonym(t, s)
+    forms = [F.col("synonym"), F.concat("synonym", F.lit("s (item)")), F.concat(F.lit("the "), "synonym"), F.substring("synonym", 2, 6), F.substring("synonym", 3, 2), F.concat(F.lit("zz"), F.col("code").cast("string"))]
+    return retrieval.by_synonym(s.select(F.explode(F.array(*forms)).alias("term")), s).withColumn("code", F.coalesce("code", F.lit(-1).cast("long")))
+
+
+SHARED = "SELECT e.term, c.code, count(*) AS score, row_number() OVER (PARTITION BY e.term ORDER BY count(*) DESC, c.code) AS rank FROM (SELECT DISTINCT term, unnest({a}) AS w FROM {q}) e JOIN (SELECT DISTINCT code, unnest({b}) AS w FROM catalogue WHERE {w}) c USING (w) WHERE length(w) > 3 GROUP BY 1, 2 QUALIFY rank = 1"
 
 
-@query("u2_j15_unsupported_codes", "WITH a AS (SELECT DISTINCT claim_id, code % 10 AS code FROM expenses WHERE line_status = 'O'), b AS (SELECT DISTINCT claim_id, code % 10 AS code FROM expenses WHERE line_status = 'F') SELECT claim_id, code, 'unsupported' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT claim_id, code, 'missing' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)", "expenses")
+@query("j15_entity_codes", f"""WITH e AS (SELECT x.claim_id, x.seq, CASE WHEN x.seq % 2 = 0 THEN upper(c.description) ELSE ' ' || c.description || ' done' END AS entity_text, CASE x.seq % 3 WHEN 0 THEN 'finding' WHEN 1 THEN 'SURGERY' ELSE 'OTHER' END AS kind FROM expenses x JOIN catalogue c USING (code)),
+    f AS (SELECT claim_id, lower(trim(entity_text)) AS term, arg_min(trim(entity_text), seq) AS entity_text, arg_min(kind, seq) AS kind FROM e GROUP BY 1, 2),
+    q AS (SELECT *, CASE kind WHEN 'finding' THEN 'ICD10' WHEN 'SURGERY' THEN 'CPT' END AS system FROM f WHERE kind <> 'OTHER'), d AS (SELECT DISTINCT term FROM q WHERE system = 'ICD10'), p AS (SELECT DISTINCT term FROM q WHERE system = 'CPT'),
+    h AS (SELECT *, 'ICD10' AS system FROM ({SHARED.format(a=TOKENS.format(c='term'), b=TOKENS.format(c='description'), q='d', w='code % 2 = 0')}) UNION ALL SELECT *, 'CPT' FROM ({SHARED.format(a=TOKENS.format(c='term'), b=TOKENS.format(c='description'), q='p', w='code % 2 = 1')}))
+    SELECT claim_id, entity_text, system, code, score FROM q JOIN h USING (term, system)""", "expenses catalogue")
+def j15(spark, d):
+    catalogue = role(spark, d, "catalogue").select("code", "description")
+    named = role(spark, d, "expenses").select("claim_id", "seq", "code").join(catalogue, "code")
+    text = F.when(F.col("seq") % 2 == 0, F.upper("description")).otherwise(F.concat(F.lit(" "), "description", F.lit(" done")))
+    kind = F.when(F.col("seq") % 3 == 0, "finding").when(F.col("seq") % 3 == 1, "SURGERY").otherwise("OTHER")
+    find = lambda odd: lambda q: retrieval.keyword_hits(q, catalogue.where(F.col("code") % 2 == odd), "code", F.col("description"), 1)
+    return retrieval.entity_codes(named.select("claim_id", "seq", text.alias("entity_text"), kind.alias("entity_type")), {"ICD10": find(0), "CPT": find(1)})
+
+
+@query("u2_unsupported_codes", "WITH a AS (SELECT DISTINCT claim_id, code % 10 AS code FROM expenses WHERE line_status = 'O'), b AS (SELECT DISTINCT claim_id, code % 10 AS code FROM expenses WHERE line_status = 'F') SELECT claim_id, code, 'unsupported' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT claim_id, code, 'missing' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)", "expenses")
 def u2(spark, d):
     e = role(spark, d, "expenses").select("claim_id", (F.col("code") % 10).alias("code"), "line_status")
     return retrieval.unsupported(e.where("line_status = 'O'").select("claim_id", "code").distinct(), e.where("line_status = 'F'").select("claim_id", "code").distinct())
 
 
 @query("r14_w15_assigned_codes", """WITH x AS (SELECT DISTINCT claim_id, code FROM expenses WHERE line_status = 'O'), h AS (SELECT claim_id, seq, code, quantity / 50 AS score FROM expenses WHERE line_status = 'F'), b AS (SELECT claim_id, code, score FROM h QUALIFY row_number() OVER (PARTITION BY claim_id, seq ORDER BY score DESC, code) = 1),
-    u AS (SELECT claim_id, code, min(l) AS l, max(score) AS score FROM (SELECT claim_id, code, 0 AS l, 0.9 AS score FROM x UNION ALL SELECT claim_id, code, 1, score FROM b) GROUP BY 1, 2)
-    SELECT claim_id, code, row_number() OVER (PARTITION BY claim_id ORDER BY l, score DESC, code) AS rank FROM u QUALIFY rank <= 4""", "expenses")
+    u AS (SELECT claim_id, code, min(l) AS l, max(score) AS score FROM (SELECT claim_id, code, 0 AS l, 0.9 AS score FROM x UNION ALL SELECT claim_id, code, 1, score FROM b) GROUP BY 1, 2),
+    r AS (SELECT claim_id, code, row_number() OVER (PARTITION BY claim_id ORDER BY l, score DESC, code) AS rank, CASE WHEN min(l) OVER (PARTITION BY claim_id) = 0 THEN 4 WHEN max(score) OVER (PARTITION BY claim_id) >= 0.5 THEN 1 ELSE 3 END AS few FROM u)
+    SELECT claim_id, code, rank, rank = 1 AS is_primary FROM r WHERE rank <= few""", "expenses")
 def r14(spark, d):
     e = role(spark, d, "expenses")
     hits = e.where("line_status = 'F'").select("claim_id", F.concat_ws("/", "claim_id", "seq").alias("term"), "code", (F.col("quantity") / 50).alias("score"))
-    return retrieval.assigned(e.where("line_status = 'O'").select("claim_id", "code").distinct(), hits).select("claim_id", "code", F.col("rank").cast("long").alias("rank"))
+    return retrieval.assigned(e.where("line_status = 'O'").select("claim_id", "code").distinct(), hits).select("claim_id", "code", F.col("rank").cast("long").alias("rank"), "is_primary")
 
 
 @query("r9_r10_rerank", f"""WITH c AS (SELECT code, 'X' || (code // 10) || CASE WHEN code % 10 = 0 THEN '' ELSE '.' || code % 10 END AS icd, description, cost / 2100 AS score, {TOKENS.format(c='description')} AS w FROM catalogue), q AS (SELECT *, {TOKENS.format(c="'large brushed steel item'")} AS qw FROM c)
@@ -111,6 +137,47 @@ def r9(spark, d):
     return retrieval.reranked(rows).select("code", F.round("score", 6).alias("score"))
 
 
+ICD_SQL = "'X' || (code // 10) || CASE WHEN code % 10 = 0 THEN '' ELSE '.' || code % 10 END"
+NOISE = "['and', 'or', 'of', 'the', 'with', 'without', 'other', 'unspecified', 'specified', 'abnormal', 'normal']"
+
+
+@query("r10_parent_codes", f"""WITH c AS (SELECT code // 10 AS q, {ICD_SQL} AS icd, 'X' || (code // 10) AS parent, code % 10 AS child, description || CASE WHEN code % 10 = 0 THEN '' ELSE ' of kind' || code % 10 || ' with other' END AS description, cost / 2100 AS score, 'seen kind3 and kind5' AS query FROM catalogue),
+    p AS (SELECT q, description AS wide FROM c WHERE child = 0), w AS (SELECT *, list_filter({TOKENS.format(c='description')}, lambda x: NOT list_contains({TOKENS.format(c='wide')}, x) AND NOT list_contains({NOISE}, x)) AS own FROM c LEFT JOIN p USING (q)),
+    f AS (SELECT *, child <> 0 AND wide IS NOT NULL AND len(own) > 0 AND NOT list_has_any(own, ['seen', 'kind3', 'kind5']) AS falls FROM w)
+    SELECT q AS query_id, CASE WHEN falls THEN parent ELSE icd END AS code, round(max(score), 6) AS score FROM f GROUP BY 1, 2""", "catalogue")
+def r10(spark, d):
+    q, child = F.floor(F.col("code") / 10), F.col("code") % 10
+    icd = F.concat(F.lit("X"), q.cast("string"), F.when(child == 0, "").otherwise(F.concat(F.lit("."), child.cast("string"))))
+    text = F.concat("description", F.when(child == 0, "").otherwise(F.concat(F.lit(" of kind"), child.cast("string"), F.lit(" with other"))))
+    rows = role(spark, d, "catalogue").select(q.alias("query_id"), F.lit("seen kind3 and kind5").alias("query"), icd.alias("code"), text.alias("description"), (F.col("cost") / 2100).alias("score"))
+    return retrieval.prefer_parents(rows).select("query_id", "code", F.round("score", 6).alias("score"))
+
+
+DENSE = """u AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
+    dn AS (SELECT a.id AS query_id, b.id AS doc_id, round(list_dot_product(a.v, b.v), 6) AS score FROM u a, u b WHERE a.id IN (SELECT item_id FROM benchmark WHERE item_id % 10 = 0)), dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dn)"""
+
+
+@query("r7_search_modes", f"""{BM25.replace('rank <= 20', 'rank <= 20')}, {DENSE}, f AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM b UNION ALL SELECT query_id, doc_id, rank FROM dr WHERE rank <= 20) GROUP BY 1, 2),
+    h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f)
+    SELECT 'bm25' AS mode, query_id, doc_id, rank FROM b WHERE rank <= 5 UNION ALL SELECT 'dense', query_id, doc_id, rank FROM dr WHERE rank <= 5 UNION ALL SELECT 'hybrid', query_id, doc_id, rank FROM h WHERE rank <= 5""")
+def r7(spark, d):
+    docs, v = raw(spark, d, "documents"), raw(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    wanted = v.join(asked(spark, d).select(F.col("query_id").alias("doc_id")), "doc_id").withColumnRenamed("doc_id", "query_id")
+    sparse = lambda n: retrieval.bm25(asked(spark, d), docs, "doc_id", F.col("text"), n)
+    dense = lambda n: retrieval.dense_top(wanted, v, n, digits=6)
+    out = [retrieval.searched(mode, 5, "CPT", sparse, dense).select(F.lit(mode).alias("mode"), "query_id", "doc_id", F.col("rank").cast("long").alias("rank")) for mode in ("bm25", "dense", "hybrid")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("r13_chunk_search", """WITH u AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
+    p AS (SELECT a.id AS query_id, b.id % 20 AS doc_id, b.id // 20 AS chunk, round(list_dot_product(a.v, b.v), 6) AS score FROM u a JOIN u b ON a.id % 20 = b.id % 20)
+    SELECT query_id, doc_id, chunk, score FROM p WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) <= 8""")
+def r13(spark, d):
+    v = raw(spark, d, "embeddings")
+    chunks = v.select((F.col("vec_id") % 20).alias("doc_id"), F.floor(F.col("vec_id") / 20).alias("chunk"), F.col("embedding").alias("vector"))
+    return retrieval.chunk_search(v.select(F.col("vec_id").alias("query_id"), (F.col("vec_id") % 20).alias("doc_id"), F.col("embedding").alias("vector")), chunks).select("query_id", "doc_id", "chunk", "score")
+
+
 @query("r12_catalogue_text", "SELECT code, concat_ws(' ', description, coalesce(nullif(brand, ''), category)) AS text FROM catalogue", "catalogue")
 def r12(spark, d):
     return role(spark, d, "catalogue").select("code", F.concat_ws(" ", "description", F.coalesce(F.nullif("brand", F.lit("")), "category")).alias("text"))
