@@ -65,7 +65,7 @@ def birth_date(c: Column, pivot: int = 50) -> Column:
     year = F.when(F.length(y) > 2, short).when(short > pivot, short + 1900).otherwise(short + 2000)
     iso = F.regexp_extract(c, r"(\d{4})[/\-](\d{1,2})[/\-](\d{1,2})", 0)
     made = F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year, month, d.try_cast("int")), F.lit("yyyy-MM-dd"))
-    return F.date_format(F.coalesce(F.try_to_timestamp(F.nullif(iso, F.lit("")), F.lit("yyyy-M-d")), made), "yyyy-MM-dd")
+    return F.date_format(F.coalesce(F.try_to_timestamp(F.nullif(F.replace(iso, F.lit("/"), F.lit("-")), F.lit("")), F.lit("yyyy-M-d")), made), "yyyy-MM-dd")
 
 
 def stay_days(admitted: Column, discharged: Column, most: int = 60) -> Column:

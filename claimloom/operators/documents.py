@@ -221,6 +221,22 @@ def intent(text: Column) -> Column:
 ENTITIES = (("DIAGNOSIS", 0.65, r"(?i)(?:diagnosis|diagnosed\s+with|impression)\s*[:\-]?\s*([^\n.;]{3,80})"), ("PROCEDURE", 0.60, r"(?i)(?:procedure|surgery|operation)\s*[:\-]?\s*([^\n.;]{3,80})"), ("MEDICATION", 0.60, r"(?i)(?:tab\.?|cap\.?|inj\.?|rx)\s*[:\-]?\s*([A-Za-z][A-Za-z0-9 \-]{2,40})"))
 
 
+#: Medicines by their names and brands, and what introduces others (fixed values).
+MEDICINES = {
+    "Paracetamol": "paracetamol|acetaminophen|tylenol|calpol", "Ibuprofen": "ibuprofen|brufen", "Aspirin": "aspirin", "Amoxicillin": "amoxicillin|amoxycillin", "Ciprofloxacin": "ciprofloxacin|cipro", "Cefixime": "cefixime",
+    "Metformin": "metformin|glucophage", "Lisinopril": "lisinopril|prinivil", "Atorvastatin": "atorvastatin|lipitor", "Omeprazole": "omeprazole|prilosec", "Salbutamol": "salbutamol|albuterol", "Doxycycline": "doxycycline",
+    "Metoprolol": "metoprolol|lokren", "Amlodipine": "amlodipine|norvasc", "Insulin": "insulin",
+}
+PRESCRIBED = r"(?i)(?:rx|medicine|drug|medication|tab|capsule|injection)\s*[:|\-]?\s*([A-Za-z\s\-\d.]{3,80})"
+
+
+def medicines(text: Column) -> Column:
+    """Distinct medicines: known ones by name or brand, and what stands after a prescription's words, in title case."""
+    known = [F.when(text.rlike(rf"(?i)\b(?:{p})\b"), name) for name, p in MEDICINES.items()]
+    others = F.filter(F.transform(F.regexp_extract_all(text, F.lit(PRESCRIBED), F.lit(1)), lambda m: F.trim(m)), lambda m: F.length(m) > 2)
+    return F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*known)), F.transform(others, lambda m: F.initcap(m)))))
+
+
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, entity_type, entity_text, confidence, start)."""
     made = [F.transform(F.array_distinct(F.regexp_extract_all(text_col, F.lit(p), F.lit(1))), _entity(kind, sure)) for kind, sure, p in ENTITIES]

@@ -14,15 +14,16 @@ CATEGORY_FIELD = {
     "Consumables": "consumables", "Blood": "blood_charges", "Service Charges": "misc_charges", "Diet / Nutrition": "misc_charges", "Miscellaneous": "misc_charges",
 }
 
-#: Words of summary rows, which aren't expenses themselves.
-SUMMARY = r"(?i)\b(?:sub\s*total|grand\s*total|total|net\s*amount|bill\s*amount|net\s*payable|amount\s*payable|balance|round(?:ed)?\s*off|discount)\b"
+#: What a summary row says, which isn't an expense itself (fixed values).
+SUMMARY = ("total", "grand total", "bill amount", "claim amount", "claimed amount", "amount claimed", "amount payable", "net amount", "final amount", "amount due", "sum insured")
 #: Texts that only look like expense rows: identifiers, addresses, dosage lines.
 NOT_EXPENSE = r"(?i)\b(?:pin\s*code|pincode|aadhaar|aadhar|ifsc|account\s*(?:no|number)|cheque|a/c\s*no|phone|mobile|e-?mail|gstin|reg(?:istration)?\s*no)\b|\b[A-Z]{5}[0-9]{4}[A-Z]\b|\b[A-Z]{4}0[A-Z0-9]{6}\b|\b[0-9]{4}\s?[0-9]{4}\s?[0-9]{4}\b|\b(?:once|twice|thrice)\s+daily\b|\b[01]-[01]-[01]\b"
 
 
-def is_summary(description: Column) -> Column:
-    """P9."""
-    return F.coalesce(description.rlike(SUMMARY), F.lit(False))
+def is_summary(description: Column, category: Column | None = None) -> Column:
+    """The description and category together hold a summary row's words."""
+    text = F.lower(F.concat_ws(" ", F.trim(description), *([F.trim(category)] if category is not None else [])))
+    return F.coalesce(text.rlike("|".join(SUMMARY)), F.lit(False))
 
 
 def is_expense(description: Column, amount: Column) -> Column:

@@ -127,7 +127,7 @@ def label_values(tokens: DataFrame, gap: float = 50.0) -> DataFrame:
 
 def routed(sections: DataFrame, routes: DataFrame) -> DataFrame:
     """Which sections of a document kind give fields, and which tables."""
-    return sections.join(F.broadcast(routes), ["doc_kind", "section_type"], "left").withColumn("target", F.coalesce("target", F.lit("none")))
+    return sections.join(routes, ["doc_kind", "section_type"], "left").withColumn("target", F.coalesce("target", F.lit("none")))
 
 
 def assembled(tables: DataFrame, rows: DataFrame) -> DataFrame:

@@ -112,7 +112,8 @@ def payload(payer: str, lines: DataFrame) -> DataFrame:
 
 def completeness(claims: DataFrame, requirements: DataFrame, present: DataFrame) -> DataFrame:
     """Percent of the requirements (a fixed list) that a claim meets, and what it lacks."""
-    rows = claims.select("claim_id").join(F.broadcast(requirements)).join(present.withColumn("has", F.lit(True)), ["claim_id", "requirement"], "left")
+    wanted = requirements.agg(F.collect_set("requirement")).scalar()
+    rows = claims.select("claim_id", F.explode(wanted).alias("requirement")).join(present.withColumn("has", F.lit(True)), ["claim_id", "requirement"], "left")
     has = F.coalesce("has", F.lit(False))
     return rows.groupBy("claim_id").agg(F.round(F.avg(has.cast("double")) * 100).cast("long").alias("percent"), F.array_sort(F.collect_list(F.when(~has, F.col("requirement")))).alias("missing"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import scalars
 from claimloom.operators import fields
+from claimloom.plans.papers import pick
 from claimloom.plans.registry import query, raw, role
 
 
@@ -61,12 +62,12 @@ def a2_policies(spark, d):
     return last.select("claim_id", F.col("value").alias("last_value")).join(first.select("claim_id", F.col("value").alias("first_value")), "claim_id")
 
 
-@query("a3_candidates", """WITH c AS (SELECT conv_id AS claim_id, role AS field_name, split_part(text, '.', 1) AS value, length(text) % 100 / 100.0 AS confidence, turn AS seq FROM conversations),
-    k AS (SELECT *, NOT regexp_matches(lower(trim(value)), '^(?:patient\\s*name|name|age|sex|gender|date|policy(?:\\s*(?:no|number))?|hospital|doctor|diagnosis|address|phone|amount|total)\\s*[:\\-]?$') AND trim(value) <> '' AS accepted FROM c),
+@query("a3_candidates", """WITH c AS (SELECT conv_id AS claim_id, CASE WHEN turn % 3 = 0 THEN 'patient_name' ELSE role END AS field_name, split_part(text, '.', 1) AS value, length(text) % 100 / 100.0 AS confidence, turn AS seq FROM conversations),
+    k AS (SELECT *, NOT regexp_matches(lower(trim(value)), '^(?:patient\\s*name|name|age|sex|gender|date|policy(?:\\s*(?:no|number))?|hospital|doctor|diagnosis|address|phone|amount|total)\\s*[:\\-]?$') AND trim(value) <> '' AND (field_name <> 'patient_name' OR (len(regexp_split_to_array(trim(value), '\\s+')) BETWEEN 2 AND 6 AND NOT regexp_matches(value, '[0-9:]') AND NOT regexp_matches(lower(value), '\\b(?:hospital|clinic|diagnosis|patient|report|ward|summary|department|medical)\\b'))) AS accepted FROM c),
     r AS (SELECT *, row_number() OVER (PARTITION BY claim_id, field_name ORDER BY accepted DESC, confidence DESC, seq) AS rn, count(*) FILTER (NOT accepted) OVER (PARTITION BY claim_id, field_name) AS rejected FROM k)
     SELECT claim_id, field_name, CASE WHEN accepted THEN value END AS value, CASE WHEN accepted THEN confidence END AS confidence, rejected FROM r WHERE rn = 1""")
 def a3(spark, d):
-    c = raw(spark, d, "conversations").select(F.col("conv_id").alias("claim_id"), F.col("role").alias("field_name"), F.split_part("text", F.lit("."), F.lit(1)).alias("value"), (F.length("text") % 100 / 100.0).alias("confidence"), F.col("turn").alias("seq"))
+    c = raw(spark, d, "conversations").select(F.col("conv_id").alias("claim_id"), F.when(F.col("turn") % 3 == 0, "patient_name").otherwise(F.col("role")).alias("field_name"), F.split_part("text", F.lit("."), F.lit(1)).alias("value"), (F.length("text") % 100 / 100.0).alias("confidence"), F.col("turn").alias("seq"))
     return fields.resolved_candidates(c)
 
 
@@ -81,11 +82,36 @@ def a21(spark, d):
     return fields.nested(long_table(spark, d).withColumn("doc_type", F.col("model_version"))).select("claim_id", F.size("documents").alias("types"))
 
 
-@query("f1_f5_amounts", """WITH t AS (SELECT claim_id, 'Rs. ' || floor(total_amount)::BIGINT || ',50' AS v, floor(total_amount)::BIGINT AS n FROM claims)
-    SELECT claim_id, NULL::DOUBLE AS plain, (n || '50')::DOUBLE AS lenient, ('.' || n || '50')::DOUBLE AS stripped, NULL::DOUBLE AS signed, (n || '50')::DOUBLE AS first FROM t""", "claims")
+N = "CAST(floor(total_amount) AS BIGINT)"
+MONEY = pick(5, f"'Rs. ' || {N} || ',50'", f"'(' || {N} || ')'", f"{N} || ',5'", f"'₹' || {N} || '.25'", "'abc'", by="claim_id")
+
+
+@query("f1_f5_amounts", f"""WITH t AS (SELECT claim_id, claim_id % 5 AS k, {N} AS n FROM claims)
+    SELECT claim_id, CASE k WHEN 2 THEN n || '5' WHEN 3 THEN n || '.25' END::DOUBLE AS plain, CASE k WHEN 0 THEN n || '50' WHEN 2 THEN n || '5' WHEN 3 THEN n || '.25' ELSE '0' END::DOUBLE AS lenient,
+        CASE k WHEN 0 THEN '.' || n || '50' WHEN 1 THEN n || '' WHEN 2 THEN n || '5' WHEN 3 THEN n || '.25' ELSE '0' END::DOUBLE AS stripped, CASE k WHEN 0 THEN '.' || n || '50' WHEN 1 THEN '-' || n WHEN 2 THEN n || '.5' WHEN 3 THEN n || '.25' END::DOUBLE AS signed,
+        CASE k WHEN 0 THEN n || '50' WHEN 1 THEN n || '' WHEN 2 THEN n || '5' WHEN 3 THEN n || '.25' END::DOUBLE AS first FROM t""", "claims")
 def f1(spark, d):
-    v = F.concat(F.lit("Rs. "), F.floor("total_amount").cast("string"), F.lit(",50"))
-    return role(spark, d, "claims").select("claim_id", scalars.amount_plain(v).alias("plain"), scalars.amount_lenient(v).alias("lenient"), scalars.amount_stripped(v).alias("stripped"), F.lit(None).cast("double").alias("signed"), scalars.first_number(v).alias("first"))
+    v = F.col("v")
+    rows = role(spark, d, "claims").selectExpr("claim_id", f"{MONEY} AS v")
+    return rows.select("claim_id", scalars.amount_plain(v).alias("plain"), scalars.amount_lenient(v).alias("lenient"), scalars.amount_stripped(v).alias("stripped"), scalars.amount_signed(v).alias("signed"), scalars.first_number(v).alias("first"))
+
+
+YEAR = "(claim_id % 90 + 10)"
+BORN = pick(4, f"'5/3/' || {YEAR}", f"'12-Feb-19' || {YEAR}", "'2004/7/' || (claim_id % 28 + 1)", "'unknown'", by="claim_id")
+STEP = pick(9, *(f"'{s}'" for s, _, _ in scalars.STEPS), "'NOWHERE'", by="claim_id")
+READER = pick(5, "'Expense-Table-v4'", "'layout-lm'", "'semantic-2'", "'heuristic-v2'", "CAST(NULL AS STRING)", by="claim_id")
+
+
+@query("f7_f14_f20_f21_f23_scalars", f"""SELECT claim_id, {pick(4, f"CASE WHEN {YEAR} > 50 THEN '19' ELSE '20' END || {YEAR} || '-03-05'", f"'19' || {YEAR} || '-02-12'", "'2004-07-' || lpad((claim_id % 28 + 1)::VARCHAR, 2, '0')", 'NULL', by='claim_id')} AS born,
+    CASE {' '.join(f"WHEN chr((65 + claim_id % 26)::INT) || lpad((claim_id % 100)::VARCHAR, 2, '0') BETWEEN '{a}' AND '{b}' THEN {n}" for a, b, n in scalars.CHAPTERS)} ELSE 0 END AS chapter,
+    (greatest(least(10, claim_id % 14 + 4) - claim_id % 14, 0) * greatest(least(10, claim_id % 9 + 6) - claim_id % 9, 0))::DOUBLE AS overlap, {pick(9, *(str(x) for _, _, x in scalars.STEPS), '0', by='claim_id')} AS percent, {pick(5, '0.9', '0.85', '0.85', '0.6', '0.5', by='claim_id')}::DOUBLE AS confidence FROM claims""", "claims")
+def f7(spark, d):
+    rows = role(spark, d, "claims").selectExpr("claim_id", f"{BORN} AS born", "chr(65 + claim_id % 26) || lpad(claim_id % 100, 2, '0') || '.1' AS icd", "CAST(claim_id % 14 AS DOUBLE) AS x", "CAST(claim_id % 9 AS DOUBLE) AS y", f"{STEP} AS step", f"{READER} AS reader")
+    x, y, zero, ten = F.col("x"), F.col("y"), F.lit(0.0), F.lit(10.0)
+    return rows.select(
+        "claim_id", scalars.birth_date(F.col("born")).alias("born"), F.coalesce(scalars.chapter(F.col("icd")), F.lit(0)).alias("chapter"), scalars.box_overlap((zero, zero, ten, ten), (x, y, x + 4, y + 6)).alias("overlap"),
+        scalars.step_percent(F.col("step")).alias("percent"), scalars.extractor_confidence(F.col("reader")).alias("confidence"),
+    )
 
 
 @query("f6_f8_dates", """SELECT claim_id, CAST(min(service_date) AS DATE)::VARCHAR AS admitted, greatest(least(date_diff('day', min(service_date)::DATE, max(service_date)::DATE), 60), 0)::INT AS stay FROM expenses GROUP BY claim_id""", "expenses")

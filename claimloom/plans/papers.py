@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimloom.operators import documents, extraction
+from claimloom.operators import documents, extraction, layout
 from claimloom.plans.registry import query, raw
 
 NL = "chr(10)"
@@ -224,6 +224,25 @@ def d15(spark, d):
     return rows.select("doc_id", "entity_type", "entity_text", F.round("confidence", 2).alias("confidence"), F.col("start").cast("int").alias("start"))
 
 
+MEDICINE_TEXT = " || ".join(("'given '", "(CASE WHEN doc_id % 2 = 0 THEN 'CALPOL and ' ELSE '' END)", "(CASE WHEN doc_id % 3 = 0 THEN 'insulin, ' ELSE '' END)", "(CASE WHEN doc_id % 5 = 0 THEN 'Brufen/Lipitor; ' ELSE '' END)", "(CASE WHEN doc_id % 7 = 0 THEN 'Rx: zed' || (doc_id % 10) || ' FORTE, ' ELSE '' END)", "'then rest'"))
+
+
+@query("d14_medicines", """SELECT doc_id, array_to_string(list_sort(list_filter([CASE WHEN doc_id % 2 = 0 THEN 'Paracetamol' END, CASE WHEN doc_id % 3 = 0 THEN 'Insulin' END, CASE WHEN doc_id % 5 = 0 THEN 'Ibuprofen' END, CASE WHEN doc_id % 5 = 0 THEN 'Atorvastatin' END, CASE WHEN doc_id % 7 = 0 THEN 'Zed' || (doc_id % 10) || ' Forte' END], lambda x: x IS NOT NULL)), '|') AS medicines FROM documents""")
+def d14(spark, d):
+    return papers(spark, d, text=MEDICINE_TEXT).select("doc_id", F.array_join(documents.medicines(F.col("text")), "|").alias("medicines"))
+
+
+#: What each kind of document takes from its sections (fixed values).
+ROUTES = (("bill", "header", "fields"), ("bill", "table", "expenses"), ("lab", "table", "results"), ("discharge", "header", "fields"), ("discharge", "narrative", "fields"), ("prescription", "table", "medications"))
+
+
+@query("d39_routed_sections", f"""SELECT doc_id, {pick(4, *map(q, ('bill', 'lab', 'discharge', 'prescription')))} AS doc_kind, {pick(3, *map(q, ('header', 'table', 'narrative')))} AS section_type,
+    CASE {' '.join(f"WHEN {pick(4, *map(q, ('bill', 'lab', 'discharge', 'prescription')))} = '{a}' AND {pick(3, *map(q, ('header', 'table', 'narrative')))} = '{b}' THEN '{t}'" for a, b, t in ROUTES)} ELSE 'none' END AS target FROM documents""")
+def d39(spark, d):
+    rows = papers(spark, d, doc_kind=pick(4, *map(q, ("bill", "lab", "discharge", "prescription"))), section_type=pick(3, *map(q, ("header", "table", "narrative")))).drop("source")
+    return layout.routed(rows, spark.createDataFrame(ROUTES, "doc_kind string, section_type string, target string"))
+
+
 CODE_TEXT = pick(5, f"'Diagnosis: acute kind of ' || {ILL} || ' ICD-10: J2' || (doc_id % 10) || '.9 given'", f"'K3' || (doc_id % 10) || ' - inflamed ' || {ILL} || ' of the gut' || {NL} || 'more'", "'paid Rs. 4' || (doc_id % 10) || '213 for it'", "'CPT code 4' || (doc_id % 10) || '213 repair of the mesh'", "text")
 
 
