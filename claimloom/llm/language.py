@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from claimloom.llm.common import LOWER, parts, span_hashes, spans
 
 SAMPLE_DOCS, SAMPLE_CHARS = 500, 6_000
+#: Bytes of text that are labelled at once: a worker's arrays take some hundred times that.
+SLICE = 1 << 18
 TABLE_BITS = 17
 LEXICON = 300
 EPOCHS, RATE, DECAY = 4, 0.3, 1e-6
@@ -231,7 +233,7 @@ def _field(state: dict) -> Field:
 
 
 def sample(docs: DataFrame, learn: Column, label: str, id_col: str, text_col: str, most: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple]:
-    """About `most` (label, text) rows, an equal share of each label, by a hash of the id."""
+    """About `most` (label, text) rows, an equal share of each label, by a hash of the id; of a text over `chars` a slice that the hash chooses."""
     known = docs.where(learn & F.col(label).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
     if not counts:
@@ -241,8 +243,10 @@ def sample(docs: DataFrame, learn: Column, label: str, id_col: str, text_col: st
     least = F.lit(0)
     for value, n in counts.items():
         least = F.when(F.col(label) == value, F.lit(int(spread * min(1.0, 1.1 * share / n)))).otherwise(least)
-    rows = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(spread)) < least).where(F.length(text_col).between(1, chars))
-    got = sorted(rows.select(F.xxhash64(F.col(id_col), F.lit(3)), label, text_col).collect())
+    rows = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(spread)) < least).where(F.length(text_col) > 0)
+    text, size = F.col(text_col), F.length(text_col)
+    piece = F.when(size <= chars, text).otherwise(F.substr(text, (F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.greatest(size - chars, F.lit(0)) + 1) + 1).cast("int"), F.lit(chars)))
+    got = sorted(rows.select(F.xxhash64(F.col(id_col), F.lit(3)), label, piece).collect())
     left = dict.fromkeys(counts, share)
     out = []
     for _, value, text in got:
@@ -330,7 +334,7 @@ def _predicted(shared, text_at: int, keep: list[int], outputs: tuple[str, str]):
         field = _field(shared.value)
         names = np.array([*field.labels, UNKNOWN], object)
         for batch in batches:
-            for i, j, data, off in parts(batch.column(text_at)):
+            for i, j, data, off in parts(batch.column(text_at), SLICE):
                 words, p, letter = labelled(field, data, off)
                 total = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, 0)])
                 mass = total[words.first[1:]] - total[words.first[:-1]]
@@ -364,7 +368,7 @@ def word_runs(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: s
         field = _field(shared.value)
         for batch in batches:
             ids = batch.column(0)
-            for i, j, data, off in parts(batch.column(1)):
+            for i, j, data, off in parts(batch.column(1), SLICE):
                 words, p, _ = labelled(field, data, off)
                 if not p.size:
                     continue
