@@ -23,14 +23,19 @@ def d6(spark, d):
     return role(spark, d, "patients").select("patient_id", scalars.name_similarity(F.col("patient_name"), other).alias("score"))
 
 
-def _scrub_sql() -> str:
+def _scrub_sql(more=()) -> str:
     """The redaction rules as nested DuckDB calls."""
     out = "text"
-    for pattern, token in documents.PHI:
+    for pattern, token in (*documents.PHI, *more):
         out = f"regexp_replace({out}, '{pattern}', '{token}', 'g')"
     return out
 
 
+@query("d22_d23_scrubbed", "SELECT doc_id, sha256(" + _scrub_sql(documents.PHI_MORE) + " || doc_id) AS digest FROM documents")
+def d22(spark, d):
+    return raw(spark, d, "documents").select("doc_id", F.sha2(F.concat(documents.scrubbed(F.col("text"), documents.PHI_MORE), F.col("doc_id").cast("string")), 256).alias("digest"))
+
+
 @query("d22_scrub_documents", "SELECT doc_id, length(" + _scrub_sql() + ") - length(text) AS grown FROM documents")
 def d22_docs(spark, d):
     return raw(spark, d, "documents").select("doc_id", (F.length(documents.scrubbed(F.col("text"))) - F.length("text")).cast("long").alias("grown"))
@@ -54,6 +59,25 @@ def o4(spark, d):
     return documents.within_budget(pieces, "hits", 1200, 3).select("doc_id", "chunk", F.length("text").cast("long").alias("chars"))
 
 
+def _intent_sql(part: str) -> str:
+    """The first command that a message fits, and its part, as a DuckDB CASE."""
+    cases = []
+    for action, pattern in documents.INTENTS:
+        value = {"action": f"'{action}'", "field": f"replace(lower(trim(regexp_extract(text, '{pattern}', 1))), ' ', '_')", "value": "NULL" if action == "delete" else f"regexp_extract(text, '{pattern}', 2)"}[part]
+        cases.append(f"WHEN regexp_matches(text, '{pattern}') THEN {value}")
+    return f"CASE {' '.join(cases)} END"
+
+
+@query("d33_intents", "SELECT conv_id, turn, " + ", ".join(f"{_intent_sql(p)} AS {p}" for p in ("action", "field", "value")) + " FROM conversations")
+def d33(spark, d):
+    return raw(spark, d, "conversations").select("conv_id", "turn", documents.intent(F.col("text")).alias("i")).select("conv_id", "turn", "i.*")
+
+
+@query("d35_key_values", r"SELECT doc_id, 2 + len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*([A-Za-z][A-Za-z /._-]{1,40}?)\s*:\s*(\S.*)$')))::INT AS pairs FROM documents")
+def d35(spark, d):
+    return raw(spark, d, "documents").select("doc_id", F.size(documents.key_values(F.concat(F.lit("Name: Asha\nWard : 4B\n"), "text"))).alias("pairs"))
+
+
 @query("d35_column_tables", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents), k AS (SELECT *, len(list_filter(regexp_split_to_array(line, '\s*\|\s*|\t+| {2,}'), lambda x: x <> '')) AS c FROM l),
     f AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS island FROM k WHERE c >= 2) SELECT doc_id, min(n)::INT AS first_line, count(*) AS lines, max(c)::INT AS columns FROM f GROUP BY doc_id, island""")
 def d35_tables(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from claimloom.operators import lifecycle
@@ -65,6 +67,11 @@ def stream(spark, d):
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def name() -> str:
+    """A name for a run of a stream."""
+    return "s" + uuid.uuid4().hex
+
+
 #: Each type's payload, read as its own type.
 PAYLOADS = {"signup": "k bigint", "click": "k double", "purchase": "k string, note string", "view": "k int"}
 
@@ -74,31 +81,31 @@ PAYLOADS = {"signup": "k bigint", "click": "k double", "purchase": "k string, no
 def t1(spark, d):
     rows = streams.decoded(stream(spark, d), PAYLOADS)
     k = F.coalesce(F.col("payload_click.k") / 2, F.length("payload_purchase.k").cast("double"), F.col("payload_signup.k").cast("double"), F.col("payload_view.k").cast("double"))
-    rows = streams.drained(rows.select("event_type", k.alias("k")), "append")
+    rows = streams.drained(rows.select("event_type", k.alias("k")), name(), "append")
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
 
 
 @query("t2_deduplicated_stream", "SELECT event_id, event_type FROM activity", "activity")
 def t2(spark, d):
     twice = stream(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    return streams.drained(streams.deduplicated(twice, "event_id", "ts", "60 days").select("event_id", "event_type"), "append")
+    return streams.drained(streams.deduplicated(twice, "event_id", "ts", "60 days").select("event_id", "event_type"), name(), "append")
 
 
 @query("t3_latest_state_stream", "SELECT user_id, arg_max(event_type, ts) AS event_type, max(ts) AS ts FROM activity GROUP BY 1", "activity")
 def t3(spark, d):
-    return streams.drained(streams.latest_state(stream(spark, d), "user_id", "event_type", "ts"), "complete")
+    return streams.drained(streams.latest_state(stream(spark, d), "user_id", "event_type", "ts"), name(), "complete")
 
 
 @query("t4_progress_stream", """WITH r AS (SELECT event_id, user_id, ts, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS progress FROM activity)
     SELECT event_id, user_id, progress FROM r QUALIFY coalesce(max(progress) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 300""", "activity")
 def t4(spark, d):
-    return streams.drained(streams.monotonic_progress(stream(spark, d), 300.0), "append")
+    return streams.drained(streams.monotonic_progress(stream(spark, d), 300.0), name(), "append")
 
 
 @query("t10_velocity_stream", """WITH o AS (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) - unnest(range(30)) * INTERVAL 1 DAY AS start FROM activity)
     SELECT user_id, start, count(*) AS n FROM o GROUP BY 1, 2""", "activity")
 def t10(spark, d):
-    out = streams.drained(streams.windowed_counts(stream(spark, d), "user_id", "ts", "30 days", "1 day", "2 days"), "complete")
+    out = streams.drained(streams.windowed_counts(stream(spark, d), "user_id", "ts", "30 days", "1 day", "2 days"), name(), "complete")
     return out.select("user_id", F.col("window.start").alias("start"), "n")
 
 

@@ -287,7 +287,7 @@ PHI_TEXT = "'id ' || " + " || ' then ' || ".join((
 PHI_SQL = "'id ' || " + " || ' then ' || ".join(f"(CASE WHEN doc_id % {n} = 0 THEN '{token}' ELSE '{other}' END)" for n, token, other in ((2, "[SSN_REDACTED]", "none"), (3, "([PHONE_REDACTED]", "no phone"), (5, "[EMAIL_REDACTED]", "no mail"), (4, "[MRN_REDACTED]", "no record"), (7, "[DOB_REDACTED]", "no birth"), (6, "[POLICY_REDACTED]", "no policy"), (11, "[PAN_REDACTED]", "no pan"), (9, "[AADHAAR_REDACTED]", "no card")))
 
 
-@query("d22_d23_scrubbed", f"SELECT doc_id, {PHI_SQL} AS text FROM documents")
+@query("d22_d23_scrubbed_papers", f"SELECT doc_id, {PHI_SQL} AS text FROM documents")
 def d22(spark, d):
     return papers(spark, d, text=PHI_TEXT).select("doc_id", documents.scrubbed(F.col("text"), documents.PHI_MORE).alias("text"))
 
@@ -295,7 +295,7 @@ def d22(spark, d):
 SAID = pick(6, "'please change the policy number to P' || turn || '.'", "'Set hospital name = City ' || conv_id", "'delete the diagnosis field'", "'add insurer = Acme ' || turn", "'what does update mean?'", "text", by="(conv_id + turn)")
 
 
-@query("d33_intents", f"""SELECT conv_id, turn, {pick(6, q('modify'), q('modify'), q('delete'), q('add'), 'NULL', by='(conv_id + turn)')} AS action, {pick(6, q('policy_number'), q('hospital_name'), q('diagnosis'), q('insurance_payer'), 'NULL', by='(conv_id + turn)')} AS field,
+@query("d33_spoken_intents", f"""SELECT conv_id, turn, {pick(6, q('modify'), q('modify'), q('delete'), q('add'), 'NULL', by='(conv_id + turn)')} AS action, {pick(6, q('policy_number'), q('hospital_name'), q('diagnosis'), q('insurance_payer'), 'NULL', by='(conv_id + turn)')} AS field,
     {pick(6, "'P' || turn", "'City ' || conv_id", 'NULL', "'Acme ' || turn", 'NULL', by='(conv_id + turn)')} AS value FROM conversations""")
 def d33(spark, d):
     said = raw(spark, d, "conversations").selectExpr("conv_id", "turn", f"{SAID} AS text")
@@ -306,7 +306,7 @@ def d33(spark, d):
 PAIRS_TEXT = " || ".join(("'Name: '", NAME, NL, pick(3, "'Ward : ' || (doc_id % 20)", "'Ward'", "': 5'"), NL, "'Bill No.: ' || doc_id", NL, pick(2, "'Time: 10:30'", "'1st: x'")))
 
 
-@query("d35_key_values", f"SELECT doc_id, 'Name=' || {NAME} || {pick(3, chr(39) + '|Ward=' + chr(39) + ' || (doc_id % 20)', q(''))} || '|Bill No.=' || doc_id || {pick(2, q('|Time=10:30'), q(''))} AS pairs FROM documents")
+@query("d35_key_value_pairs", f"SELECT doc_id, 'Name=' || {NAME} || {pick(3, chr(39) + '|Ward=' + chr(39) + ' || (doc_id % 20)', q(''))} || '|Bill No.=' || doc_id || {pick(2, q('|Time=10:30'), q(''))} AS pairs FROM documents")
 def d35(spark, d):
     pairs = documents.key_values(F.col("text"))
     return papers(spark, d, text=PAIRS_TEXT).select("doc_id", F.array_join(F.transform(pairs, lambda p: F.concat_ws("=", p["key"], p["value"])), "|").alias("pairs"))

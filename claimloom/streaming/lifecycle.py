@@ -61,15 +61,15 @@ def monotonic_progress(events: DataFrame, terminal: float = 100.0) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, progress double", "best double, done boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """The stream run over all that is there, with its state and rows in the shared folder; no row reaches the driver.
+def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """The stream, by name, run over all that is there, with its state and rows in the shared folder; no row reaches the driver.
 
     Appended rows go to a file sink. A complete result is written anew by each batch, in a folder of
     its own, so that a batch that runs again writes the same one; the newest is read.
     """
     spark = stream.sparkSession
     path = shared_dir(spark)
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    writer = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     if mode == "append":
         q = writer.format("parquet").option("path", f"{path}/rows").start()
     else:

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from claimloom.functions import scalars
-from claimloom.operators import documents, expenses, fields, fraud, lifecycle, retrieval, risk, validation
+from claimloom.operators import documents, expenses, extraction, fields, fraud, lifecycle, retrieval, risk, validation
 
 
 def one(spark, *columns):
@@ -171,3 +171,40 @@ def test_payloads(spark):
     got = {r["claim_id"]: r["payload"] for r in lifecycle.payload("fhir", lines).collect()}
     assert "99999" in got[1] and "99213" in got[2] and '"total":{"value":7.0' in got[2]
     assert lifecycle.payload("unknown payer", lines).count() == 2
+
+
+def test_synonyms_by_any_containment(spark):
+    terms = spark.createDataFrame([("bronch",), ("echocardiogram",), ("x-ray, chest",), ("mr",), ("nothing",), ("echo",)], "term string")
+    synonyms = spark.createDataFrame([("bronchitis", 1), ("acute bronchitis", 2), ("echo", 3), ("x-ray", 4), ("mri of brain", 5), ("ray", 6)], "synonym string, code long")
+    got = {r["term"]: r["code"] for r in retrieval.by_synonym(terms, synonyms).collect()}
+    assert got == {"bronch": 2, "echocardiogram": 3, "x-ray, chest": 4, "mr": 5, "nothing": None, "echo": 3}
+    assert retrieval.by_synonym(terms.limit(0), synonyms).count() == 0 and {r["code"] for r in retrieval.by_synonym(terms, synonyms.limit(0)).collect()} == {None}
+
+
+def test_diagnosis_terms_by_section_line_and_window(spark):
+    long = " ".join(f"w{i}ord" for i in range(30)) + " then pneumonia " + " ".join(f"z{i}word" for i in range(30))
+    texts = ["Impression: Acute bronchitis; asthma BP: 120/80\nTreatment: fever watch", "Seen. He has dengue now. Bye", long, "nothing", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r["i"]: r["t"] for r in df.select("i", extraction.diagnosis_keywords(F.col("text")).alias("t")).collect()}
+    assert got[0] == ["acute bronchitis", "asthma"] and got[1] == ["he has dengue now"] and len(got[2]) == 1 and "then pneumonia" in got[2][0] and not got[3] and not got[4] and not got[5]
+
+
+def test_pattern_fields_reject_and_clean(spark):
+    text = "Patient Name: claim form\nMr. Ravi Iyer aged 45\na baby girl: female, mother male\nAdmitted on 3/4/24\nCity Care Hospital, Pune\nDiagnosis: management\nFinal diagnosis: Acute appendicitis"
+    got = {k: one(spark, extraction.pattern_field(F.lit(text), k))[0] for k in ("patient_name", "age", "admission_date", "hospital_name", "diagnosis", "claimed_total")}
+    assert got == {"patient_name": "Ravi Iyer", "age": "45 Years", "admission_date": "03-04-2024", "hospital_name": "City Care Hospital", "diagnosis": "Acute appendicitis", "claimed_total": None}
+    assert one(spark, *(extraction.pattern_field(F.lit(None).cast("string"), k) for k in extraction.FIELD_PATTERNS)) == (None,) * len(extraction.FIELD_PATTERNS)
+
+
+def test_exact_history_is_the_pairs_filtered(spark):
+    rows = [(i, i % 3, i % 2 if i % 5 else None, f"2024-01-{i % 9 + 1:02d}", float(i % 4)) for i in range(60)]
+    claims = spark.createDataFrame(rows, "claim_id long, patient_id long, policy_id long, d string, amount double").withColumn("created_at", F.to_timestamp("d"))
+    facts = claims.select("claim_id", "amount", F.col("created_at").cast("date").alias("service_date"))
+    want = {tuple(r) for r in fraud.exact_duplicates(fraud.history_pairs(claims, 30), facts, 1.5).collect()}
+    assert {tuple(r) for r in fraud.exact_history(claims, facts, 30, 1.5).collect()} == want and len(want) > 50
+
+
+def test_code_context_before_and_after(spark):
+    df = spark.createDataFrame([(1, "Diagnosis: acute bronchitis ICD-10: J20.9"), (2, "K35 - acute appendicitis | ward"), (3, "phone 55123"), (4, None), (5, "procedure 1: laparoscopic repair of\nhernia 49505")], "doc_id int, text string")
+    got = {r["doc_id"]: (r["code"], r["context"]) for r in documents.code_mentions(df, spark.createDataFrame([("J20.9", "x")], "code string, description string")).collect()}
+    assert got == {1: ("J20.9", "acute bronchitis"), 2: ("K35", "acute appendicitis"), 5: ("49505", "laparoscopic repair of hernia")}
