@@ -62,6 +62,31 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+#: A key with more than this share of all rows is a heavy one; so there are fewer than its inverse.
+HEAVY = 1 / 256
+
+
+def heavy_keys(counts: DataFrame, n_col: str = "n") -> DataFrame:
+    """Of (keys, n): those that hold more than HEAVY of all rows, fewer than 1 / HEAVY of them."""
+    total = counts.agg(F.coalesce(F.sum(n_col), F.lit(0))).first()[0]
+    return counts.where(F.col(n_col) > int(total * HEAVY)).limit(int(1 / HEAVY))
+
+
+def looked_up(rows: DataFrame, values: DataFrame, keys: list[str], n_col: str = "n") -> DataFrame:
+    """rows left-joined with values, a written table of one row for each key, whatever share one key has.
+
+    values counts in n_col how many rows have each key, and loses that column. Heavy keys, whose
+    number is bounded, are broadcast. Their rows then take no part in the shuffled join of the
+    others: they go to it under salts that nothing has.
+    """
+    named = [c for c in values.columns if c not in keys and c != n_col]
+    values = values.withColumn("__v", F.struct(*named)).select(*keys, "__v", n_col)
+    heavy = heavy_keys(values, n_col).select(*keys, F.col("__v").alias("__h"))
+    salted = rows.join(F.broadcast(heavy), keys, "left").withColumn("__salt", F.when(F.col("__h").isNull(), 0).otherwise(F.monotonically_increasing_id() + 1).cast("long"))
+    joined = salted.join(values.select(*keys, "__v", F.lit(0).cast("long").alias("__salt")), [*keys, "__salt"], "left")
+    return joined.select(*rows.columns, *(F.coalesce(F.col(f"__h.{c}"), F.col(f"__v.{c}")).alias(c) for c in named))
+
+
 # ---------------------------------------------------------------- bytes and words
 
 _U = np.uint64

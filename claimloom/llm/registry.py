@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import ann, chat, decontaminate, language, licenses, neardup, packing, pii, toxicity, warc
+from claimloom.llm import ann, centroids, chat, decontaminate, language, licenses, neardup, packing, pii, prefixtrie, toxicity, urltree, warc
 from claimloom.llm.common import held_out, table
 
 
@@ -66,6 +66,18 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language_field(docs), ["doc_id"]).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.judged(table(spark, sf_dir, "pages"))
+
+
+def op12_ns_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings")).drop("scanned")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_multi_index": op1_multi_index,
     "op2_toxicity": op2_toxicity,
@@ -77,8 +89,36 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_language": op9_language,
     "op10_licenses": op10_licenses,
+    "op11_url_filter": op11_url_filter,
+    "op12_ns_kmeans": op12_ns_kmeans,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
+
+def _kmeans_sql(k: int = centroids.K, rounds: int = centroids.ROUNDS) -> str:
+    """Lloyd's rounds, all vectors against all centroids, a pair of tables a round."""
+    parts = [
+        """v AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS j, x AS y FROM (SELECT sha256('2:' || vec_id) AS h, x FROM v ORDER BY h LIMIT {k}))",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+            SELECT r, min(d * {k} + j)::BIGINT % {k} AS j, min(d * {k} + j)::BIGINT // {k} AS d
+            FROM (SELECT r, j, list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{i}) GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""m{i} AS MATERIALIZED (
+            SELECT j, list(mean ORDER BY e) AS y FROM (
+                SELECT a{i}.j, e, (sum(x[e]) - ((sum(x[e]) % count(*)) + count(*)) % count(*)) // count(*) AS mean
+                FROM v JOIN a{i} USING (r), range(1, 65) AS g(e) GROUP BY a{i}.j, e) GROUP BY j)""")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT j, coalesce(m{i}.y, c{i}.y) AS y FROM c{i} LEFT JOIN m{i} USING (j))")
+    return "WITH " + ",\n        ".join(parts) + f"""
+        SELECT vec_id, a.j::INT AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.j))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia,
+            sha256(array_to_string(list_transform(y, lambda e: e::BIGINT::VARCHAR), ',')) AS centroid_sha256
+        FROM v JOIN a{rounds} a USING (r) JOIN c{rounds} c ON c.j = a.j"""
+
+
 ORACLES: dict[str, str] = {
     "op5_chat": r"""
         WITH t AS (
@@ -91,4 +131,32 @@ ORACLES: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(chars)::BIGINT AS formatted_chars, 'ok' AS status
         FROM e GROUP BY conv_id""",
+    "op12_ns_kmeans": _kmeans_sql(),
+    # crc32 is worked out bit by bit; shares go from each node to all nodes above it on its smallest member's path.
+    "op13_prefix_trie": r"""
+        WITH RECURSIVE t AS (
+            SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+                sha256(coalesce(role, '')) || sha256(coalesce(text, '')) AS turn, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+            FROM conversations WHERE conv_id IS NOT NULL),
+        bytes AS (SELECT c, 4294967295::BIGINT AS crc, c::VARCHAR AS rest FROM (SELECT DISTINCT c FROM t)
+            UNION ALL
+            SELECT c, list_reduce(list_prepend(xor(crc, ascii(rest)::BIGINT), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, k: xor(x >> 1, (x & 1) * 3988292384)), substr(rest, 2) FROM bytes WHERE rest <> ''),
+        convs AS (SELECT c, c - c % 20 AS base, xor(crc, 4294967295) % 4 AS h FROM bytes WHERE rest = ''),
+        built AS (
+            SELECT convs.c, pos, turn, words FROM convs JOIN t ON t.c = base WHERE pos < h
+            UNION ALL
+            SELECT t.c, pos, turn, words FROM t JOIN convs ON t.c = convs.c WHERE pos >= h),
+        paths AS (
+            SELECT c, row_number() OVER w AS depth, words, sha256(string_agg(turn, ',') OVER w) AS node FROM built WINDOW w AS (PARTITION BY c ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+            UNION ALL SELECT c, 0, 0, '' FROM convs),
+        steps AS (SELECT c, depth, words, node, lag(node) OVER w AS parent, lead(node) OVER w IS NULL AS last FROM paths WINDOW w AS (PARTITION BY c ORDER BY depth)),
+        nodes AS (
+            SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, any_value(words) AS words, min(c) AS conv_id, count(*) AS n,
+                sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends_sha256
+            FROM steps GROUP BY node),
+        kids AS (SELECT parent AS node, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+        shares AS (SELECT nodes.conv_id AS c, nodes.depth, (kids.n IS NULL)::INT AS leaf, (nodes.n - 1) * words AS saved FROM nodes LEFT JOIN kids USING (node)),
+        sums AS (SELECT p.node, sum(leaf) AS leaves, sum(saved) AS saved FROM shares s JOIN paths p ON p.c = s.c AND p.depth <= s.depth GROUP BY p.node)
+        SELECT nodes.conv_id, nodes.depth, up.conv_id AS parent_conv_id, nodes.n AS n_convs, coalesce(kids.n, 0) AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, nodes.ends_sha256
+        FROM nodes JOIN sums USING (node) LEFT JOIN kids USING (node) LEFT JOIN nodes up ON nodes.parent = up.node""",
 }

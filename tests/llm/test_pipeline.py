@@ -57,6 +57,8 @@ NEEDED = {
     "op1": ("query_id", "rank", "vec_id", "score"), "op2": ("doc_id", "held_out", "score", "predicted"), "op3": ("doc_id", "n_shingles", "component_id", "kept"),
     "op4": ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), "op5": ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"), "op6": ("doc_id", "item_id"),
     "op7": ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"), "op8": ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "op9": ("doc_id", "held_out", "lang_pred", "score"), "op10": ("doc_id", "license"),
+    "op11": ("page_id", "host", "path", "rule", "verdict"), "op12": ("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"),
+    "op13": ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"),
 }
 
 
