@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -25,3 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/claimloom-{uuid.uuid4().hex}")
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return where.toString()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of df as a table in the shared folder: worked out once, of known size, without lineage."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
