@@ -2,15 +2,15 @@
 
 A record is one JSON text in whatever layout its source uses. Its nested field paths and types,
 as schema_of_variant gives them in canonical order, are hashed into a fingerprint. Fingerprints
-of the distinct schemas are matched once to declarative mappings (where the turns are, what the
-role and text fields are called, or which flat fields make which turn), and the mapping that
-was selected extracts canonical turns. The distinct fingerprints are a small written table, so
+select declarative mappings (where the turns are, what the role and text fields are called, or
+which flat fields make which turn): the first that a record of that schema fits, each field at
+its own depth; the mapping that was selected extracts canonical turns. The distinct fingerprints are a small written table, so
 Spark decides by its true size how it meets the records. A text that is a list of parts
-(`[{"type": "text", "text": ...}]`) is its parts' texts joined. Roles stay as they are but in
+(`[{"type": "text", "text": ...}]`, or of plain texts) is its parts' texts joined. Roles stay as they are but in
 layouts that declare other names for them.
 
-Every record has a status: `ok`, `incomplete` (a field that its layout needs is null or
-missing; its turn has an empty text), `unknown layout`, or `malformed` (no JSON). Texts that a
+Every record has a status: `ok`, `incomplete` (a field that its layout needs is null, missing
+or an object; its turn has an empty text), `unknown layout`, or `malformed` (no JSON). Texts that a
 variant refuses (a key that comes twice in an object, or more than 128 MB) are read by the
 layouts' typed schemas instead; their fingerprint stays null, and lists of parts stay JSON
 text there.
@@ -85,37 +85,52 @@ def unescape(text: Column) -> Column:
 
 
 def fingerprinted(records: DataFrame, json_col: str) -> DataFrame:
-    """Adds record (variant), paths (its schema in canonical order) and fingerprint."""
+    """Adds __record (variant), __paths (its schema in canonical order) and fingerprint."""
     record = F.try_parse_json(F.col(json_col))
-    paths = F.schema_of_variant(F.col("record"))
-    return records.withColumn("record", record).withColumn("paths", paths).withColumn("fingerprint", F.xxhash64("paths"))
+    paths = F.schema_of_variant(F.col("__record"))
+    return records.withColumn("__record", record).withColumn("__paths", paths).withColumn("fingerprint", F.xxhash64("__paths"))
 
 
-def _has(paths: Column, path: str) -> Column:
-    """Whether a schema text has a field path: its parts follow one another, each inside the last."""
-    pattern, parts = "", path.split(".")
-    for i, part in enumerate(parts):
-        name, many = part.removesuffix("[]"), part.endswith("[]")
-        pattern += (r"^OBJECT<(?:.*?, )?" if i == 0 else r"(?:.*?, )?") + rf"`?{name}`?: " + (r"ARRAY<OBJECT<" if many else "")
-    return F.coalesce(paths.rlike(pattern), F.lit(False))
+def _at(value: Column, path: str) -> Column:
+    """What stands at a path, by true nesting; null where nothing does."""
+    return F.try_variant_get(value, f"$.{path}", "variant")
+
+
+def _list(value: Column) -> Column:
+    """The elements of a list, null for anything else."""
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def _fits(record: Column, layout: Layout) -> Column:
+    """Whether a record has the fields that a layout needs: each where it is said to be, at no other depth."""
+    if layout.turns:
+        has = lambda field: F.exists(_list(_at(record, layout.turns)), lambda t: _at(t, field).isNotNull())
+        return F.coalesce(has(layout.role) & has(layout.text), F.lit(False))
+    out = F.lit(True)
+    for path in layout.needs:
+        out = out & _at(record, path).isNotNull()
+    return out
 
 
 def selected(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Adds layout: one lookup of each distinct schema, joined back by fingerprint."""
+    """Adds __layout: one choice for each distinct schema, the first that fits, joined back by fingerprint."""
+    fit = [F.bool_or(_fits(F.col("__record"), x)).alias(f"fit{i}") for i, x in enumerate(layouts)]
     choice = F.lit(None).cast("string")
-    for layout in reversed(layouts):
-        needs = F.lit(True)
-        for path in layout.needs:
-            needs = needs & _has(F.col("paths"), path)
-        choice = F.when(needs, F.lit(layout.name)).otherwise(choice)
-    known = written(records.groupBy("fingerprint").agg(F.min("paths").alias("paths")).select("fingerprint", choice.alias("layout")))
+    for i, x in reversed(list(enumerate(layouts))):
+        choice = F.when(F.col(f"fit{i}"), F.lit(x.name)).otherwise(choice)
+    known = written(records.groupBy("fingerprint").agg(*fit).select("fingerprint", choice.alias("__layout")))
     return records.join(known, "fingerprint", "left")
 
 
 def _text(value: Column) -> Column:
-    """A text, or the joined texts of a list of parts, from a variant."""
-    listed = F.try_variant_get(value, "$", "array<struct<text:string>>")
-    return F.coalesce(F.array_join(F.transform(listed, lambda p: F.coalesce(p["text"], F.lit(""))), ""), F.try_variant_get(value, "$", "string"))
+    """A text, or the joined texts of a list of parts, from a variant; null if it is null, absent or an object.
+
+    Parts are texts, or objects with a `text`; other parts (an image) have none.
+    """
+    one = lambda p: F.coalesce(F.when(F.try_variant_get(p, "$", "map<string,variant>").isNull(), F.try_variant_get(p, "$", "string")).otherwise(F.try_variant_get(p, "$.text", "string")), F.lit(""))
+    joined = F.array_join(F.transform(_list(value), one), "")
+    plain = F.when(F.try_variant_get(value, "$", "map<string,variant>").isNull(), F.try_variant_get(value, "$", "string"))
+    return F.when(F.is_variant_null(value), F.lit(None).cast("string")).otherwise(F.coalesce(joined, plain))
 
 
 def _flat(layout: Layout, read) -> Column:
@@ -124,9 +139,15 @@ def _flat(layout: Layout, read) -> Column:
     return F.transform(F.filter(F.array(*each), lambda t: t["needed"] | (t["text"] != "")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
 
 
-def _listed(layout: Layout, turns: Column, text=lambda c: c) -> Column:
-    role = lambda t: F.coalesce(*([F.create_map(*(F.lit(v) for pair in layout.roles for v in pair))[t[layout.role]]] if layout.roles else []), t[layout.role], F.lit(""))
-    return F.transform(turns, lambda t: F.struct(role(t).alias("role"), F.coalesce(text(t[layout.text]), F.lit("")).alias("text")))
+def _role_name(layout: Layout, role: Column) -> Column:
+    """The canonical role of a layout's own name for it."""
+    known = [F.create_map(*(F.lit(v) for pair in layout.roles for v in pair))[role]] if layout.roles else []
+    return F.coalesce(*known, role, F.lit(""))
+
+
+def _turn(layout: Layout, read):
+    """An element of a layout's list as a canonical turn."""
+    return lambda t: F.struct(_role_name(layout, read(t, layout.role)).alias("role"), F.coalesce(read(t, layout.text), F.lit("")).alias("text"))
 
 
 def turns(record: Column, layout: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
@@ -134,24 +155,24 @@ def turns(record: Column, layout: Column, layouts: tuple[Layout, ...] = LAYOUTS)
     out = F.lit(None).cast(TURNS)
     for x in layouts:
         if x.turns:
-            got = _listed(x, F.try_variant_get(record, f"$.{x.turns}", f"array<struct<`{x.role}`:string,`{x.text}`:variant>>"), _text)
+            got = F.transform(_list(_at(record, x.turns)), _turn(x, lambda t, field: _text(_at(t, field))))
         else:
-            got = _flat(x, lambda path: _text(F.try_variant_get(record, f"$.{path}", "variant")))
+            got = _flat(x, lambda path: _text(_at(record, path)))
         out = F.when(layout == x.name, got.cast(TURNS)).otherwise(out)
     return out
 
 
 def lacking(record: Column, layout: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
-    """Whether a field that the record's layout needs is null."""
+    """Whether a field that the record's layout needs is null, absent or of a kind that isn't a text."""
     out = F.lit(False)
     for x in layouts:
         if x.turns:
-            listed = F.try_variant_get(record, f"$.{x.turns}", f"array<struct<`{x.role}`:string,`{x.text}`:variant>>")
-            lacks = F.exists(listed, lambda t: t[x.role].isNull() | F.coalesce(F.is_variant_null(t[x.text]), F.lit(True)))  # noqa: B023
+            # A record of a schema that another made fit may have no list here.
+            lacks = F.coalesce(F.exists(_list(_at(record, x.turns)), lambda t: _text(_at(t, x.role)).isNull() | _text(_at(t, x.text)).isNull()), F.lit(True))  # noqa: B023
         else:
             lacks = F.lit(False)
             for path in x.needs:
-                lacks = lacks | F.coalesce(F.is_variant_null(F.try_variant_get(record, f"$.{path}", "variant")), F.lit(True))
+                lacks = lacks | _text(_at(record, path)).isNull()
         out = F.when(layout == x.name, lacks).otherwise(out)
     return F.coalesce(out, F.lit(False))
 
@@ -173,7 +194,7 @@ def refused(json: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
         if x.turns:
             listed = _typed(json, x.turns, f"array<struct<`{x.role}`:string,`{x.text}`:string>>")
             fits = F.exists(listed, lambda t: t[x.role].isNotNull() & t[x.text].isNotNull())  # noqa: B023
-            got = _listed(x, listed)
+            got = F.transform(listed, _turn(x, lambda t, field: t[field]))
         else:
             fits = F.lit(True)
             for path in x.needs:
@@ -224,24 +245,52 @@ def parsed(text: Column) -> Column:
     return F.transform(parts(text), one)
 
 
-def conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One JSON record for each conversation of a table with a row for each turn."""
+def _record(listed: Column, layout: Layout) -> Column:
+    """JSON of a list of (role, text) turns in a layout that can hold them."""
+    if layout.turns:
+        return F.to_json(F.struct(F.transform(listed, lambda t: F.struct(t["role"].alias(layout.role), t["text"].alias(layout.text))).alias(layout.turns)))
+    first = lambda role: F.get(F.filter(listed, lambda t: t["role"] == role), F.lit(0))["text"]
+    return F.to_json(F.struct(*(first(role).alias(path) for role, path in layout.flat if path != "input")))
+
+
+def conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", layouts: tuple[Layout, ...] = LAYOUTS[:1]) -> DataFrame:
+    """One JSON record for each conversation of a table with a row for each turn.
+
+    Of several layouts the id's remainder chooses one that holds the conversation unchanged: a flat
+    one takes one user turn, then one assistant turn; one with its own role names takes none that
+    those would replace; the first takes any.
+    """
     turn = F.struct(F.col(turn_col).alias("n"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    listed = F.transform(F.array_sort(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
-    return rows.groupBy(F.col(conv_col).alias("conv_id")).agg(listed.alias("messages")).select("conv_id", F.to_json(F.struct("messages")).alias("json"))
+    listed = rows.groupBy(F.col(conv_col).alias("conv_id")).agg(F.transform(F.array_sort(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("__turns"))
+    roles = F.transform("__turns", lambda t: t["role"])
+    json = _record(F.col("__turns"), layouts[0])
+    for i, x in enumerate(layouts[1:], 1):
+        holds = F.lit(True) if x.turns else roles == F.array(F.lit("user"), F.lit("assistant"))
+        if x.roles:
+            holds = ~F.arrays_overlap(roles, F.array(*(F.lit(own) for own, _ in x.roles)))
+        json = F.when((F.pmod("conv_id", F.lit(len(layouts))) == i) & holds, _record(F.col("__turns"), x)).otherwise(json)
+    return listed.select("conv_id", json.alias("json"))
+
+
+#: Columns of the result beside the record's own.
+RESULT = ("fingerprint", "layout", "status", "chat", "loss")
 
 
 def chat(records: DataFrame, json_col: str = "json", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Adds layout, status, chat (the formatted text) and loss (spans of the assistant texts)."""
-    known = selected(fingerprinted(records, json_col), layouts)
-    parsed = F.col("record").isNotNull()
-    known = known.withColumn("refused", F.when(~parsed & F.col(json_col).isNotNull(), refused(F.col(json_col), layouts)))
-    layout = F.coalesce("layout", "refused.layout")
-    status = F.when(layout.isNotNull(), F.when(lacking(F.col("record"), F.col("layout"), layouts), "incomplete").otherwise("ok")).when(parsed, "unknown layout").otherwise("malformed")
-    none = F.lit(None).cast(TURNS)
-    told = F.coalesce(turns(F.col("record"), F.col("layout"), layouts), F.when(~parsed, F.col("refused.turns")).otherwise(none), F.array().cast(TURNS))
-    out = known.withColumn("status", status).withColumn("chat", formatted(told)).withColumn("layout", layout).drop("refused")
-    return out.withColumn("loss", loss_mask(F.col("chat"))).drop("record", "paths", json_col)
+    """Adds fingerprint, layout, status, chat (the formatted text) and loss (spans of the assistant texts).
+
+    Of the input's columns the JSON goes, and so do those that have one of these names.
+    """
+    own = [c for c in records.columns if c not in RESULT and c != json_col]
+    known = selected(fingerprinted(records.select(*own, F.col(json_col).alias("__json")), "__json"), layouts)
+    parsed, record = F.col("__record").isNotNull(), F.col("__record")
+    known = known.withColumn("__refused", F.when(~parsed & F.col("__json").isNotNull(), refused(F.col("__json"), layouts)))
+    layout = F.coalesce("__layout", "__refused.layout")
+    lacks = F.when(parsed, lacking(record, F.col("__layout"), layouts)).otherwise(False)
+    status = F.when(layout.isNotNull(), F.when(lacks, "incomplete").otherwise("ok")).when(parsed, "unknown layout").otherwise("malformed")
+    told = F.coalesce(turns(record, F.col("__layout"), layouts), F.when(~parsed, F.col("__refused.turns")), F.array().cast(TURNS))
+    out = known.select(*own, "fingerprint", layout.alias("layout"), status.alias("status"), formatted(told).alias("chat"))
+    return out.withColumn("loss", loss_mask(F.col("chat")))
 
 
 def digest(chats: DataFrame) -> DataFrame:

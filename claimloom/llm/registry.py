@@ -33,7 +33,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
-    return chat.digest(chat.chat(chat.conversations(rows)))
+    return chat.digest(chat.chat(chat.conversations(rows, layouts=chat.LAYOUTS)))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -266,7 +266,7 @@ def test_chat_layouts(spark):
 
 def test_chat_of_records_that_no_variant_holds(spark, monkeypatch):
     made = chat.fingerprinted
-    without = lambda *a: made(*a).withColumn("record", F.expr("parse_json(NULL)")).withColumn("paths", F.lit(None).cast("string")).withColumn("fingerprint", F.lit(None).cast("long"))
+    without = lambda *a: made(*a).withColumn("__record", F.expr("parse_json(NULL)")).withColumn("__paths", F.lit(None).cast("string")).withColumn("fingerprint", F.lit(None).cast("long"))
     records = ['{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}', '{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}], "id": 3}', '{"instruction": "q", "input": "", "output": "a"}', '{"prompt": "q", "response": "a"}', '{"other": 1}', "not json"]
     df = spark.createDataFrame(list(enumerate(records)), "id long, json string")
     known = {r["id"]: (r["layout"], r["chat"], r["loss"]) for r in chat.chat(df).collect()}
@@ -295,6 +295,35 @@ def test_chat_keeps_roles_and_reports_what_it_cannot_read(spark):
     assert chat.chat(chat.conversations(rows.limit(0))).count() == 0
 
 
+def test_chat_layouts_by_true_nesting(spark):
+    records = [
+        ('{"meta": {"a": "x", "prompt": "p", "response": "r"}}', None, "unknown layout", ""),
+        ('{"meta": {"a": 1, "messages": [{"role": "user", "content": "no"}]}, "prompt": "p", "response": "r"}', "prompt", "ok", "<turn>user\np</turn>\n<turn>assistant\nr</turn>\n"),
+        ('{"prompt": ["a", "b"], "response": "r"}', "prompt", "ok", "<turn>user\nab</turn>\n<turn>assistant\nr</turn>\n"),
+        ('{"prompt": {"deep": "a"}, "response": 5}', "prompt", "incomplete", "<turn>user\n</turn>\n<turn>assistant\n5</turn>\n"),
+        ('{"messages": [{"role": "user", "content": "q"}, {"role": "assistant"}]}', "messages", "incomplete", "<turn>user\nq</turn>\n<turn>assistant\n</turn>\n"),
+        ('{"messages": [{"role": "user", "content": "q"}, "loose"]}', "messages", "incomplete", "<turn>user\nq</turn>\n<turn>\n</turn>\n"),
+        ('{"messages": {"role": "user", "content": "q"}}', None, "unknown layout", ""),
+        ('{"a, prompt": "p", "`prompt`: STRING, response": "r"}', None, "unknown layout", ""),
+        ('[{"prompt": "p", "response": "r"}]', None, "unknown layout", ""),
+    ]
+    df = spark.createDataFrame([(i, r[0], "x", "y", "z") for i, r in enumerate(records)], "id long, json string, layout string, record string, status string")
+    got = {r["id"]: r for r in chat.chat(df).collect()}
+    for i, (_, layout, status, text) in enumerate(records):
+        assert (got[i]["layout"], got[i]["status"], got[i]["chat"]) == (layout, status, text), records[i]
+    assert got[0]["record"] == "y" and set(chat.chat(df).columns) == {"id", "record", *chat.RESULT}
+
+
+def test_chat_through_every_layout(spark):
+    rows = [(c, t, role, f"{role} {c} \\ </turn>") for c in range(28) for t, role in enumerate(["user", "assistant"])]
+    rows += [(c, t, role, "x") for c in range(100, 107) for t, role in enumerate(["system", "user", "gpt", "human"])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.chat(chat.conversations(df, layouts=chat.LAYOUTS))
+    assert {r["layout"] for r in made.collect()} == {x.name for x in chat.LAYOUTS} and made.select("fingerprint").distinct().count() == 7
+    plain = chat.digest(chat.chat(chat.conversations(df)))
+    assert chat.digest(made).exceptAll(plain).count() == 0 and made.count() == plain.count()
+
+
 # ------------------------------------------------------------------ 6 decontamination
 
 
