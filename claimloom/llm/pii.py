@@ -1,16 +1,21 @@
 """Personal data: format patterns, and identifiers found by bootstrapped contexts.
 
 Base spans come from four formats (email, ip, card, phone), leftmost and non-overlapping each.
-Those are seeds. The words before a seed make a lexical pattern; Spark scores the bipartite
-graph of patterns and instances in rounds:
+Those are seeds; so is a word of at least KEY_CHARS characters that mixes digits and letters (a
+key or token is an identifier by its shape). The words before an instance make its patterns: the
+last two, the last three, and the last one together with the instance's shape (digits,
+hexadecimal or mixed, and the power of two of its length), as one word alone says too little.
+Spark scores the bipartite graph of patterns and instances in rounds:
 
-  pattern score  = (sum of its known instances' scores) / (all its instances + SMOOTH)
+  pattern score  = (sum of its known instances' scores) / (all its distinct instances + SMOOTH)
   instance score = noisy-or of the scores of its patterns
 
 where an instance is what stands after a pattern: a seed, with score 1, or a word of at least
 LEAST_CHARS characters that holds a digit, from 0 on: what has no digit is never discovered. A
 pattern needs LEAST_SUPPORT distinct seeds. Instances after patterns that end at or above
-CONFIDENCE are new spans of kind `id`; they never overlap base spans.
+CONFIDENCE, single words at or above CONFIDENCE_ONE, are new spans of kind `id`; they never
+overlap base spans. A key that no confident
+pattern precedes is none.
 
 All of it is DataFrame expressions. A text is split and matched by one pattern at a time, so a
 match's code-point position is the sum of the lengths before it, and its context is made of the
@@ -45,20 +50,24 @@ PATTERNS = {
 #: A text that lacks these has no match, and isn't split.
 HINTS = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]++\.[0-9]"), "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?+[0-9]){13}"), "phone": lambda t: t.contains("+")}
 
-#: Words of context before an instance.
-CONTEXT = 2
+#: Words of context before an instance, at most.
+CONTEXT = 3
 LEAST_SUPPORT = 3
 CONFIDENCE = 0.8
+#: Of a single word and a shape.
+CONFIDENCE_ONE = 0.95
 SMOOTH = 1.0
 ROUNDS = 3
 
 LEAST_CHARS = 4
+#: A word of digits and letters of this length is a seed.
+KEY_CHARS = 20
 #: A digit-bearing word, tried once for each run of word characters.
 WORD = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]++"
 #: What a word of a context is made of; anything else parts words.
 PART = r"[^\p{L}\p{N}=:#]+"
 
-SPAN = "array<struct<start:int,kind:int,end:int,text:string,pattern:string>>"
+SPAN = "array<struct<start:int,kind:int,end:int,text:string,patterns:array<string>>>"
 
 
 def running(values: Column, start: int, op) -> Column:
@@ -104,11 +113,24 @@ def _tail(piece: Column) -> Column:
     return let(words, lambda w: F.slice(w, F.greatest(F.size(w) - CONTEXT, F.lit(0)) + 1, CONTEXT))
 
 
+def _shape(text: Column) -> Column:
+    """Digits, hexadecimal or mixed, and the power of two of the length."""
+    kind = F.when(text.rlike("^[0-9]++$"), "d").when(text.rlike("^[0-9a-fA-F]++$"), "h").otherwise("x")
+    return F.concat(kind, F.floor(F.log2(F.length(text))).cast("string"))
+
+
+def _patterns(words: Column, text: Column) -> Column:
+    """Patterns of an instance after these words: a blank starts the one that has its shape."""
+    n = F.size(words)
+    last = lambda k: F.array_join(F.slice(words, F.greatest(n - k, F.lit(0)) + 1, k), " ")
+    return F.array_compact(F.array(F.when(n >= 1, F.concat(F.lit(" "), last(1), F.lit(" "), _shape(text))), F.when(n >= 2, last(2)), F.when(n >= 3, last(3))))
+
+
 def located(text: Column, pattern: str, rank: int, hint: Column) -> Column:
-    """All matches of the pattern with code-point positions and contexts, in order.
+    """All matches of the pattern with code-point positions and patterns, in order.
 
-    A context is the CONTEXT words before a match, null where there are fewer. Every match has a
-    word of its own, so the words of the two matches before and the pieces between suffice.
+    Every match has a word of its own, so the words of the CONTEXT matches before and the pieces
+    between suffice.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda h, g: F.struct(h.alias("hit"), F.length(h).alias("long"), F.length(g).alias("gap"), _tail(g).alias("before"), _tail(h).alias("own")))
@@ -118,9 +140,8 @@ def located(text: Column, pattern: str, rank: int, hint: Column) -> Column:
         none = F.array().cast("array<string>")
         earlier = lambda i, field: F.coalesce(F.when(i >= 0, F.get(p, i)[field]), none)
         words = lambda x, i: F.concat(*(w for k in range(CONTEXT, 0, -1) for w in (earlier(i - k, "before"), earlier(i - k, "own"))), x["before"])
-        told = lambda w: F.when(F.size(w) >= CONTEXT, F.array_join(F.slice(w, F.size(w) - CONTEXT + 1, CONTEXT), " "))
-        one = lambda x, end, context: F.struct((end - x["long"]).alias("start"), F.lit(rank).alias("kind"), end.alias("end"), x["hit"].alias("text"), context.alias("pattern"))
-        return let(ends, lambda e: F.transform(p, lambda x, i: one(x, F.get(e, i), let(words(x, i), told))))
+        one = lambda x, end, patterns: F.struct((end - x["long"]).alias("start"), F.lit(rank).alias("kind"), end.alias("end"), x["hit"].alias("text"), patterns.alias("patterns"))
+        return let(ends, lambda e: F.transform(p, lambda x, i: one(x, F.get(e, i), let(words(x, i), lambda w: _patterns(w, x["hit"])))))
 
     return F.when(hint, let(pieces, spans)).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
@@ -145,7 +166,7 @@ def _free(words: Column, base: Column) -> Column:
 
     Words don't overlap one another, so what a base span overlaps it starts before or inside.
     """
-    flat = lambda c, is_word: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(is_word).alias("word"), s["end"].alias("end"), s["text"].alias("text"), s["pattern"].alias("pattern")))
+    flat = lambda c, is_word: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(is_word).alias("word"), s["end"].alias("end"), s["text"].alias("text"), s["patterns"].alias("patterns")))
 
     def of(every: Column) -> Column:
         ends = running(F.transform(every, lambda s: F.when(s["word"], 0).otherwise(s["end"])), 0, F.greatest)
@@ -156,7 +177,7 @@ def _free(words: Column, base: Column) -> Column:
 
 
 def _instances(spans: Column) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["text"]).alias("instance"), s["pattern"].alias("pattern")))
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["text"]).alias("instance"), s["patterns"].alias("patterns")))
 
 
 def marked(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
@@ -175,8 +196,10 @@ def marked(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataF
 
 def patterns(rows: DataFrame) -> DataFrame:
     """(pattern, score) of the graph that marked() rows span, after ROUNDS rounds."""
-    one = lambda column, seed: rows.select(F.explode(column).alias("s")).where("s.pattern is not null").select("s.pattern", "s.instance", F.lit(seed).alias("seed"))
-    edges = one("__seeds", 1).union(one("__words", 0)).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    one = lambda column, seed: rows.select(F.explode(column).alias("s")).select(F.explode("s.patterns").alias("pattern"), "s.instance", seed.alias("seed"))
+    word = F.col("s.instance")
+    key = (F.length(word) >= KEY_CHARS) & word.rlike("[0-9]") & word.rlike("[a-z]")
+    edges = one("__seeds", F.lit(1)).union(one("__words", key.cast("int"))).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     strong = edges.groupBy("pattern").agg(F.sum("seed").alias("support")).where(F.col("support") >= LEAST_SUPPORT).select("pattern")
     edges = written(edges.join(strong, "pattern"))
     seeds = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("known"))
@@ -191,19 +214,26 @@ def patterns(rows: DataFrame) -> DataFrame:
 
 def discovered(rows: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
     """(__row, __new): spans of the instances that confident patterns find."""
-    good = patterns(rows).where(F.col("score") >= confidence).select("pattern")
-    words = rows.select("__row", F.explode("__words").alias("s")).select("__row", "s.start", "s.end", "s.pattern").where("pattern is not null")
+    least = F.when(F.startswith("pattern", F.lit(" ")), max(confidence, CONFIDENCE_ONE)).otherwise(confidence)
+    good = patterns(rows).where(F.col("score") >= least).select("pattern")
+    words = rows.select("__row", F.explode("__words").alias("s")).select("__row", "s.start", "s.end", F.explode("s.patterns").alias("pattern"))
     span = F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")
     return words.join(good, "pattern").groupBy("__row").agg(F.collect_set(span).alias("__new"))
 
 
-def find(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The named columns with base and spans, arrays of (start, kind, end), end exclusive."""
+def _found(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
+    """The named columns with __base and __spans, arrays of (start, kind, end), end exclusive."""
     rows = marked(docs, columns, text_col)
     # Written first, so that its true size decides how it is joined.
     found = rows.join(written(discovered(rows)), "__row", "left")
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
-    return found.select(*columns, F.col("__base").alias("base"), F.array_sort(F.concat("__base", F.coalesce("__new", none))).alias("spans"))
+    return found.select(*columns, "__base", F.array_sort(F.concat("__base", F.coalesce("__new", none))).alias("__spans"))
+
+
+def find(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
+    """The named columns with base and spans; columns of those names give way."""
+    own = [c for c in columns if c not in ("base", "spans")]
+    return _found(docs, own, text_col).select(*own, F.col("__base").alias("base"), F.col("__spans").alias("spans"))
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -222,10 +252,11 @@ def redact(text: Column, spans: Column) -> Column:
 
 def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """The rows of docs, with their own columns, personal data in the text replaced by its kind."""
-    found = find(docs, docs.columns, text_col)
-    out = found.withColumn(text_col, F.when(F.size("spans") > 0, redact(F.col(text_col), F.col("spans"))).otherwise(F.col(text_col)))
+    found = _found(docs, docs.columns, text_col)
+    some = F.size("__spans") > 0
+    out = found.withColumn(text_col, F.when(some, redact(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col)))
     if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(F.size("spans") > 0, F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
+        out = out.withColumn(chars_col, F.when(some, F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
     return out.select(*docs.columns)
 
 

@@ -525,6 +525,28 @@ def test_running_sums_and_maxima(spark):
         assert r["s"] == [sum(r["v"][: i + 1]) for i in range(len(r["v"]))] and r["m"] == [max(r["v"][: i + 1]) for i in range(len(r["v"]))]
 
 
+def test_keys_teach_patterns_that_find_others(spark):
+    """Long keys are seeds; short codes after the same words are held out, and nothing else is found."""
+    rng = random.Random(6)
+    some = lambda n, of="0123456789abcdef": "7a" + "".join(rng.choices(of, k=n - 2))
+    texts, planted = [], []
+    for i in range(60):
+        key = some(40) if i % 3 else some(6)
+        texts.append(f"{rng.choice(WORDS)} {rng.choice(WORDS)} token = \"{key}\" {rng.choice(WORDS)}")
+        planted.append(key)
+    lone = some(40)
+    texts += [f"the year {1900 + i} was good, {rng.choice(WORDS)} room {i}b12 said the {some(16, '0123456789')}" for i in range(40)] + [f"alpha {lone} beta"]
+    found = pii.find(docs_of(spark, texts), ["doc_id", "text"]).collect()
+    new = {r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == len(pii.KINDS)] for r in found}
+    assert all(new[i] == [planted[i]] for i in range(60)) and not any(new[i] for i in range(60, 101))
+
+
+def test_redaction_keeps_columns_that_clash(spark):
+    df = docs_of(spark, ["mail a.b@c.org now", "plain"]).selectExpr("*", "1 AS base", "2 AS spans", "3 AS pattern", "18L AS n_chars")
+    got = {r["doc_id"]: r for r in pii.redacted(df).collect()}
+    assert pii.redacted(df).columns == df.columns and (got[0]["text"], got[0]["base"], got[0]["spans"], got[0]["n_chars"]) == ("mail <EMAIL> now", 1, 2, 16) and got[1]["text"] == "plain"
+
+
 # ------------------------------------------------------------------ 8 WARC
 
 
