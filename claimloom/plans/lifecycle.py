@@ -63,7 +63,7 @@ def t11(spark, d):
 def stream(spark, d):
     """The events as a stream over the table's folder or file."""
     source = spark.read.parquet(f"{d}/events.parquet")
-    rows = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d) if not d.endswith(".parquet") else None
+    rows = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -109,6 +109,37 @@ def t10(spark, d):
     return out.select("user_id", F.col("window.start").alias("start"), "n")
 
 
+def beats(spark, kinds):
+    """One row a kind, of a key that nothing has and far in time, that ends what waits for later events.
+
+    The key isn't null: a join on it would leave such rows out before their time is seen.
+    """
+    rows = [(None, -1, k) for k in kinds]
+    return spark.createDataFrame(rows, "event_id long, user_id long, event_type string").withColumn("ts", F.to_timestamp(F.lit("2100-01-01")))
+
+
+def timed(spark, d):
+    return stream(spark, d).select("event_id", "user_id", "event_type", "ts")
+
+
+@query("t10_trailing_velocity", "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)) RANGE BETWEEN 2592000 PRECEDING AND CURRENT ROW) AS recent FROM activity", "activity")
+def t10_trailing(spark, d):
+    counted = lambda rows: streams.trailing_counts(rows, "user_id", "ts", 30, "2 days")
+    return streams.drained_to_end(timed(spark, d), counted, beats(spark, ["beat"]), name()).where("user_id >= 0")
+
+
+@query("t11_gated_stream", """WITH u AS (SELECT * FROM activity WHERE event_type = 'click'), s AS (SELECT user_id, ts FROM activity WHERE event_type = 'signup'), done AS (SELECT DISTINCT patient_id FROM claims WHERE status = 'COMPLETED' AND total_amount > 400000)
+    SELECT event_id, user_id, user_id IN (SELECT patient_id FROM done) OR EXISTS (SELECT 1 FROM s WHERE s.user_id = u.user_id AND s.ts <= u.ts AND s.ts >= u.ts - INTERVAL 7 DAY) AS ignored FROM u""", "activity claims")
+def t11_gated(spark, d):
+    done = role(spark, d, "claims").where("status = 'COMPLETED' AND total_amount > 400000").select(F.col("patient_id").alias("user_id"))
+
+    def gate(rows):
+        of = lambda kind: rows.where(F.col("event_type") == kind).select("event_id", "user_id", "ts")
+        return streams.gated(of("click"), of("signup"), done, "user_id", "7 DAYS", "2 days")
+
+    return streams.drained_to_end(timed(spark, d), gate, beats(spark, ["click", "signup"]), name()).where("event_id IS NOT NULL")
+
+
 @query("s8_replaced_rows", "SELECT claim_id, status FROM claims WHERE claim_id % 5 <> 0 UNION ALL SELECT claim_id, 'REPLACED' FROM claims WHERE claim_id % 5 = 0", "claims")
 def s8(spark, d):
     c = role(spark, d, "claims").select("claim_id", "status")
