@@ -125,6 +125,78 @@ def merged_groups(rows: DataFrame) -> DataFrame:
     return out.select("claim_id", "grp", longest.alias("description"), best["amount"].alias("amount"), "confidence", "sources")
 
 
+def normal(description: Column) -> Column:
+    """Lower case, letters and digits, single blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(description, F.lit(""))), r"[^a-z0-9\s]", " "), r"\s+", " "))
+
+
+def same_charge(a: Column, b: Column, tolerance: float, least: float) -> Column:
+    """Whether two rows (description as normal(), amount, category) of different extractors are one charge.
+
+    Amounts that are both known may differ by the tolerance, categories that both say something
+    must be the same; descriptions are like by Jaccard, or one holds the other and both have words.
+    """
+    said = lambda r: F.lower(F.trim(F.coalesce(r["category"], F.lit(""))))
+    has = lambda r: (said(r) != "") & (said(r) != "miscellaneous")
+    of = lambda r: F.array_distinct(F.filter(F.split(r["norm"], " "), lambda w: w != ""))
+    v, w = of(a), of(b)
+    both, either = F.size(F.array_intersect(v, w)), F.size(F.array_union(v, w))
+    held = a["norm"].contains(b["norm"]) | b["norm"].contains(a["norm"]) | (F.least(F.size(v), F.size(w)) == both)
+    many = lambda r: F.size(F.split(r["norm"], " ")) > 1
+    like = F.when((a["norm"] == "") | (b["norm"] == ""), a["norm"] == b["norm"]).otherwise((both >= least * either) | (a["norm"] == b["norm"]) | (held & many(a) & many(b)))
+    clash = (a["amount"] > 0) & (b["amount"] > 0) & (F.abs(a["amount"] - b["amount"]) > tolerance)
+    return like & ~clash & ~(has(a) & has(b) & (said(a) != said(b)))
+
+
+def grouped(rows: DataFrame, tolerance: float = 1.0, least: float = 0.5) -> DataFrame:
+    """A35's groups: adds grp, the seq of the row that leads each row's group.
+
+    Extractor lists are read semantic rows first, by seq; a row joins the first before it, of the
+    other list, that says the same charge. Rows of one list never merge, so every semantic row
+    leads and a heuristic one joins the first semantic row like it, or leads itself: chains end
+    after one step. Known amounts meet by claim and bucket; a row without one meets by claim and word.
+    """
+    bucket = lambda r: F.floor(r["amount"] / tolerance)
+    r = rows.select("claim_id", "source", F.struct("seq", normal(F.col("description")).alias("norm"), F.coalesce(F.col("amount"), F.lit(0.0)).alias("amount"), "category").alias("r"))
+    tokens = F.when(F.col("r.norm") == "", F.array(F.lit(""))).otherwise(F.array_distinct(F.split("r.norm", " ")))
+    keys = lambda near: F.concat(F.when(F.col("r.amount") > 0, F.transform(near, lambda b: F.concat(F.lit("#"), b.cast("string")))).otherwise(F.array().cast("array<string>")), F.transform(tokens, lambda w: F.concat(F.lit("w"), w)))
+    b = bucket(F.col("r"))
+    sem = r.where("source = 'semantic'").select("claim_id", F.col("r").alias("a"), F.explode(keys(F.array(b - 1, b, b + 1))).alias("k"))
+    heu = r.where("source = 'heuristic'").select("claim_id", F.col("r").alias("b"), F.explode(keys(F.array(b))).alias("k"))
+    unknown = (F.col("a.amount") <= 0) | (F.col("b.amount") <= 0)
+    met = sem.join(heu, ["claim_id", "k"]).where(F.col("k").startswith("#") | unknown).where(same_charge(F.col("a"), F.col("b"), tolerance, least))
+    first = met.groupBy("claim_id", F.col("b.seq").alias("seq")).agg(F.min("a.seq").alias("lead")).withColumn("source", F.lit("heuristic"))
+    return rows.join(first, ["claim_id", "seq", "source"], "left").withColumn("grp", F.coalesce("lead", "seq")).drop("lead")
+
+
+def merged_charges(rows: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """A35 over grouped(): one row per (claim_id, grp), led by a semantic row where there is one.
+
+    The surest row of each list stands for it. Where their amounts differ by more than the
+    tolerance, or the heuristic one is surer by over 0.15, that one is chosen. Its description gives
+    way to a longer one of the group that holds it and is of no lower quality, and to a semantic one
+    under 200 characters.
+    """
+    rank = F.when(F.col("source") == "semantic", 3).when(F.lower("heuristic_source") == "table", 2).when(F.lower("heuristic_source") == "summary", 0).otherwise(1)
+    row = F.struct(F.when(F.col("source") == "semantic", 0).otherwise(1).alias("list"), "seq", "description", normal(F.col("description")).alias("norm"), F.coalesce(F.col("amount"), F.lit(0.0)).alias("amount"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), rank.alias("rank"))
+    if "heuristic_source" not in rows.columns:
+        rows = rows.withColumn("heuristic_source", F.lit(None).cast("string"))
+    pick = lambda s: F.max_by(F.when(F.col("source") == s, row), F.when(F.col("source") == s, F.struct(F.coalesce("confidence", F.lit(0.0)), -F.col("seq"))))
+    out = rows.groupBy("claim_id", "grp").agg(pick("semantic").alias("s"), pick("heuristic").alias("h"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("confidence"), F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_list(row)).alias("all"))
+    use_h = F.col("s").isNull() | (F.col("h").isNotNull() & ((F.abs(F.col("s.amount") - F.col("h.amount")) > tolerance) | (F.col("s.confidence") < F.col("h.confidence") - 0.15)))
+    out = out.withColumn("best", F.when(use_h, F.col("h")).otherwise(F.col("s")))
+
+    def longer(told: Column, g: Column) -> Column:
+        words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+        holds = g["norm"].contains(told["norm"]) | (F.size(F.array_except(words(told["norm"]), words(g["norm"]))) == 0)
+        return F.when((F.length(g["norm"]) > F.length(told["norm"])) & (g["rank"] >= told["rank"]) & holds, F.struct(g["description"].alias("description"), g["norm"].alias("norm"), told["rank"].alias("rank"))).otherwise(told)
+
+    start = F.struct(F.coalesce("best.description", F.lit("")).alias("description"), F.col("best.norm").alias("norm"), F.col("best.rank").alias("rank"))
+    longest = F.aggregate("all", start, longer, lambda t: t["description"])
+    short = F.coalesce(F.length("s.description") < 200, F.lit(False))
+    return out.select("claim_id", "grp", F.when(short, F.col("s.description")).otherwise(longest).alias("description"), F.col("best.amount").alias("amount"), "confidence", "sources", F.size("all").alias("n"))
+
+
 def split_losers(rows: DataFrame) -> DataFrame:
     """(claim_id, seq) of rows that repeat another of the same page and amount less well.
 

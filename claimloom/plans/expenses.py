@@ -58,6 +58,28 @@ def a35(spark, d):
     return expenses.merged_groups(keyed).select("claim_id", "grp", F.round("amount", 2).alias("amount"), "confidence", F.size("sources").alias("sources"))
 
 
+#: Rows as two extractors read them: a tenth without an amount, a ninth of no telling category.
+READ = f"""{R}, k AS (SELECT claim_id, seq * 1000000 + code AS seq, source, description, CASE WHEN quantity % 10 = 0 THEN 0 ELSE amount END AS amount, CASE WHEN quantity % 9 = 0 THEN 'Miscellaneous' ELSE category END AS category, confidence,
+        lower(description) AS norm, list_distinct(string_split(lower(description), ' ')) AS w FROM r)"""
+
+
+def read_rows(spark, d):
+    r = rows(spark, d).withColumn("seq", F.col("seq") * 1_000_000 + F.col("code"))
+    return r.withColumn("amount", F.when(F.col("quantity") % 10 == 0, 0.0).otherwise(F.col("amount"))).withColumn("category", F.when(F.col("quantity") % 9 == 0, "Miscellaneous").otherwise(F.col("category"))).drop("code", "quantity", "line_status", "page")
+
+
+@query("a35_grouped_charges", f"""WITH {READ},
+    p AS (SELECT b.claim_id, b.seq, min(a.seq) AS lead FROM k a JOIN k b ON a.claim_id = b.claim_id AND a.source = 'semantic' AND b.source = 'heuristic'
+        WHERE (a.amount = 0 OR b.amount = 0 OR abs(a.amount - b.amount) <= 5000) AND (a.category = b.category OR a.category = 'Miscellaneous' OR b.category = 'Miscellaneous')
+        AND (len(list_intersect(a.w, b.w)) >= 0.3 * len(list_distinct(list_concat(a.w, b.w))) OR a.norm = b.norm OR (len(a.w) > 1 AND len(b.w) > 1 AND (contains(a.norm, b.norm) OR contains(b.norm, a.norm) OR len(list_intersect(a.w, b.w)) = least(len(a.w), len(b.w))))) GROUP BY 1, 2),
+    g AS (SELECT k.*, coalesce(p.lead, k.seq) AS grp FROM k LEFT JOIN p ON p.claim_id = k.claim_id AND p.seq = k.seq AND k.source = 'heuristic'),
+    m AS (SELECT claim_id, grp, max((confidence, -seq, amount, description)) FILTER (source = 'semantic') AS s, max((confidence, -seq, amount, description)) FILTER (source = 'heuristic') AS h, max(confidence) AS confidence, count(*) AS n FROM g GROUP BY 1, 2)
+    SELECT claim_id, grp, coalesce(s[4], h[4]) AS description, round(CASE WHEN s IS NULL OR (h IS NOT NULL AND (abs(s[3] - h[3]) > 5000 OR s[1] < h[1] - 0.15)) THEN h[3] ELSE s[3] END, 2) AS amount, confidence, n::INT AS n FROM m""", "expenses catalogue")
+def a35_grouped(spark, d):
+    found = expenses.merged_charges(expenses.grouped(read_rows(spark, d), 5000.0, 0.3), 5000.0)
+    return found.select("claim_id", "grp", "description", F.round("amount", 2).alias("amount"), "confidence", "n")
+
+
 @query("p8_p10_expense_rows", f"""WITH {R} SELECT claim_id, seq, code FROM r WHERE length(trim(description)) BETWEEN 3 AND 300 AND regexp_matches(description, '[A-Za-z]') AND amount > 0 AND NOT regexp_matches(description, '^[^0-9]*\\b[0-9]{{6}}\\b[^0-9]*$')""", "expenses catalogue")
 def p8(spark, d):
     return rows(spark, d).where(expenses.is_expense(F.col("description"), F.col("amount"))).select("claim_id", "seq", "code")

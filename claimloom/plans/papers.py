@@ -246,11 +246,12 @@ def d39(spark, d):
 CODE_TEXT = pick(5, f"'Diagnosis: acute kind of ' || {ILL} || ' ICD-10: J2' || (doc_id % 10) || '.9 given'", f"'K3' || (doc_id % 10) || ' - inflamed ' || {ILL} || ' of the gut' || {NL} || 'more'", "'paid Rs. 4' || (doc_id % 10) || '213 for it'", "'CPT code 4' || (doc_id % 10) || '213 repair of the mesh'", "text")
 
 
+# Every document takes part; a fifth has its own text, which holds no code in these tables.
 @query("d16_d17_code_mentions", f"""SELECT doc_id, 'J2' || (doc_id % 10) || '.9' AS code, 0.95 AS confidence, 'acute kind of ' || {ILL} AS description, doc_id % 10 = 5 AS known FROM documents WHERE doc_id % 5 = 0
     UNION ALL SELECT doc_id, 'K3' || (doc_id % 10), 0.9, 'inflamed ' || {ILL} || ' of the gut', false FROM documents WHERE doc_id % 5 = 1 UNION ALL SELECT doc_id, '4' || (doc_id % 10) || '213', 0.95, 'repair of the mesh', false FROM documents WHERE doc_id % 5 = 3""")
 def d16(spark, d):
     catalogue = spark.createDataFrame([("J25.9", "Acute kind"), ("40213", "x")], "code string, description string")
-    return documents.code_mentions(papers(spark, d, text=CODE_TEXT).where("doc_id % 5 < 4"), catalogue).select("doc_id", "code", "confidence", F.col("context").alias("description"), "known")
+    return documents.code_mentions(papers(spark, d, text=CODE_TEXT), catalogue).select("doc_id", "code", "confidence", F.col("context").alias("description"), "known")
 
 
 # ---------------------------------------------------------------- scans and clinical context
@@ -259,11 +260,30 @@ SCAN_TEXT = pick(4, f"'MRI brain done' || {NL} || 'Findings:' || {NL} || '- a ma
     f"'X-Ray of the chest' || {NL} || 'Observation: lungs normal and clear, heart preserved' || {NL} || 'Conclusion: normal study'", "'Ultrasound of the liver. There is a calculus. Nothing else to say'", "'HRCT scan of the knee. ' || text")
 
 
-@query("d24_scan_reports", f"""SELECT doc_id, {pick(4, "'MRI'", "'X-Ray'", "'Ultrasound'", "'CT'")} AS scan_type, {pick(4, "'Brain / Head'", "'Chest'", "'Abdomen'", "'Knee'")} AS body_part,
+def first_that(rules, text: str, default: str) -> str:
+    """SQL of the first rule whose words a text has."""
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '(?i)\\b(?:{pattern})\\b') THEN '{name}'" for name, pattern in rules) + f" ELSE '{default}' END"
+
+
+#: A scan's own text: its telling sentences, or else its paragraphs, the critical first.
+OWN_SCAN = rf"""t AS (SELECT doc_id, 'HRCT scan of the knee. ' || text AS t FROM documents WHERE doc_id % 4 = 3),
+    s AS (SELECT *, array_to_string(list_filter(list_transform(regexp_split_to_array(t, '[.\n]'), lambda x: trim(x)), lambda x: length(x) >= 10 AND (regexp_matches(x, '{extraction.ABNORMAL}') OR regexp_matches(x, '{extraction.NORMAL}')))[1:8], '. ') AS f FROM t),
+    i AS (SELECT *, list_filter(list_transform(regexp_split_to_array(CASE WHEN f <> '' THEN f ELSE t END, '\n\s*[-•*\d.]+\s*|\n{{2,}}'), lambda x: trim(x)), lambda x: length(x) >= 10) AS items FROM s),
+    b AS (SELECT *, list_transform(items, lambda x: CASE WHEN NOT regexp_matches(x, '{extraction.ABNORMAL}') OR regexp_matches(x, '{extraction.NEGATED}') THEN 'info' WHEN regexp_matches(x, '{extraction.CRITICAL}') THEN 'critical' ELSE 'warning' END) AS kinds FROM i),
+    own AS (SELECT doc_id, {first_that(extraction.SCAN_TYPES, 't', 'Unknown')} AS scan_type, {first_that(extraction.BODY_PARTS, 't', 'Unspecified')} AS body_part,
+        array_to_string((list_transform(list_filter(list_zip(kinds, items), lambda z: z[1] = 'critical') || list_filter(list_zip(kinds, items), lambda z: z[1] = 'warning') || list_filter(list_zip(kinds, items), lambda z: z[1] = 'info'),
+            lambda z: z[1] || ':' || regexp_replace(substr(z[2], 1, 300), '^-\s*', '')))[1:12], '|') AS findings,
+        len(regexp_extract_all(f, '{extraction.ABNORMAL}')) > len(regexp_extract_all(f, '{extraction.NORMAL}')) AS abnormal,
+        round(0.45 + CASE WHEN f <> '' THEN 0.25 ELSE 0 END + CASE WHEN length(t) > 500 THEN 0.1 ELSE 0 END + CASE WHEN length(t) > 1500 THEN 0.05 ELSE 0 END, 2)::DOUBLE AS confidence FROM b)"""
+
+
+@query("d24_scan_reports", f"""WITH {OWN_SCAN}
+    SELECT doc_id, {pick(4, "'MRI'", "'X-Ray'", "'Ultrasound'", "'CT'")} AS scan_type, {pick(4, "'Brain / Head'", "'Chest'", "'Abdomen'", "'Knee'")} AS body_part,
     {pick(4, "'critical:a mass of ' || doc_id || ' mm is seen|warning:mild swelling of the rim|info:no fracture anywhere'", "'info:lungs normal and clear, heart preserved'", "'warning:There is a calculus'", "NULL")} AS findings, {pick(4, 'true', 'false', 'true', 'false')} AS abnormal,
-    {pick(4, '0.85', '0.85', '0.7', 'NULL')}::DOUBLE AS confidence FROM documents WHERE doc_id % 4 < 3""")
+    {pick(4, '0.85', '0.85', '0.7', 'NULL')}::DOUBLE AS confidence FROM documents WHERE doc_id % 4 < 3
+    UNION ALL SELECT doc_id, scan_type, body_part, findings, abnormal, confidence FROM own""")
 def d24(spark, d):
-    rows = extraction.scan_reports(papers(spark, d, text=SCAN_TEXT)).where("doc_id % 4 < 3")
+    rows = extraction.scan_reports(papers(spark, d, text=SCAN_TEXT))
     told = F.array_join(F.transform("items", lambda i: F.concat_ws(":", i["severity"], F.regexp_replace(i["text"], r"^-\s*", ""))), "|")
     return rows.select("doc_id", "scan_type", "body_part", told.alias("findings"), "abnormal", F.round("confidence", 2).alias("confidence"))
 
