@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,13 +34,48 @@ def islands(rows: DataFrame, keys: list[str], order: list[str], value: Column, g
     return rows.withColumn("__fresh", fresh).withColumn(name, F.sum("__fresh").over(w)).drop("__fresh")
 
 
-def lines(tokens: DataFrame, tolerance: float) -> DataFrame:
-    """Adds line: tokens whose centres follow within the tolerance, per document and page.
+def _folded(value: str, tolerance: float):
+    """mapInPandas over sorted runs: a new group where a value is beyond the tolerance of its group's mean so far."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n, group = 0.0, 0, 0
+        for rows in batches:
+            marks = []
+            for v, first in zip(rows[value].tolist(), rows["__first"].tolist(), strict=True):
+                if first:
+                    total, n, group = 0.0, 0, 0
+                elif abs(v - total / n) > tolerance:
+                    total, n, group = 0.0, 0, group + 1
+                total, n = total + v, n + 1
+                marks.append(group)
+            yield rows.assign(__group=np.array(marks, np.int64))
+
+    return fold
+
+
+def anchored(rows: DataFrame, keys: list[str], order: list[str], tolerance: float, name: str) -> DataFrame:
+    """Groups of ascending values, each within the tolerance of the running mean of its group; numbered from 1.
 
-    Consecutive centres are compared, not each with its line's running mean.
+    A gap of more than the tolerance always ends a group, as the mean lies at or below the last
+    value; so rows are first cut into runs at such gaps. A run that is no wider than the tolerance is one
+    group. Only wider ones, which drift, are folded value by value, as a stream of sorted runs: no page
+    meets in one task for that. Equal values of equal order are interchangeable.
     """
-    y = (F.col("y0") + F.col("y1")) / 2
-    return islands(tokens.withColumn("yc", y), PAGE, ["yc", "x0"], F.col("yc"), tolerance, "line")
+    w = Window.partitionBy(*keys).orderBy(*order, "__id")
+    first = F.coalesce(F.col(order[0]) - F.lag(order[0]).over(w) > tolerance, F.lit(True))
+    runs = rows.withColumn("__id", F.monotonically_increasing_id()).withColumn("__first", first).withColumn("__run", F.sum(F.col("__first").cast("int")).over(w))
+    widths = runs.groupBy(*keys, "__run").agg((F.max(order[0]) - F.min(order[0])).alias("__width"))
+    told = runs.join(widths, [*keys, "__run"]).withColumn("__group", F.lit(0).cast("long"))
+    wide = told.where(F.col("__width") > tolerance)
+    folded = wide.repartition(*keys, "__run").sortWithinPartitions(*keys, "__run", *order, "__id").mapInPandas(_folded(order[0], tolerance), wide.schema)
+    every = told.where(F.col("__width") <= tolerance).unionByName(folded)
+    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("__run", "__group"))
+    return every.withColumn(name, number.cast("long")).drop("__id", "__first", "__run", "__width", "__group")
+
+
+def lines(tokens: DataFrame, tolerance: float) -> DataFrame:
+    """Adds yc, and line: tokens by centre, each within the tolerance of the mean of its line so far, per document and page."""
+    return anchored(tokens.withColumn("yc", (F.col("y0") + F.col("y1")) / 2), PAGE, ["yc", "x0"], tolerance, "line")
 
 
 def blocks(rows: DataFrame, gap: float) -> DataFrame:
@@ -47,11 +86,17 @@ def blocks(rows: DataFrame, gap: float) -> DataFrame:
 
 
 def columns(tokens: DataFrame, tolerance: float, support: float = 0.35) -> DataFrame:
-    """Column clusters of x-centres that stand in enough of a page's lines: centre, lines, share."""
-    x = (F.col("x0") + F.col("x1")) / 2
-    rows = islands(tokens.withColumn("xc", x), PAGE, ["xc", "line"], F.col("xc"), tolerance, "col")
+    """Column clusters of x-centres, anchored as lines are: col, centre, lines, share.
+
+    A line supports a cluster if it has any centre within the tolerance of the cluster's mean;
+    clusters that enough of a page's lines support stay.
+    """
+    placed = tokens.withColumn("xc", (F.col("x0") + F.col("x1")) / 2)
+    centres = anchored(placed, PAGE, ["xc", "line"], tolerance, "col").groupBy(*PAGE, "col").agg(F.avg("xc").alias("centre"))
+    bucket = lambda c: F.floor(F.col(c) / tolerance)
+    near = centres.withColumn("b", F.explode(F.array(bucket("centre") - 1, bucket("centre"), bucket("centre") + 1))).join(placed.select(*PAGE, "line", "xc", bucket("xc").alias("b")), [*PAGE, "b"])
+    found = near.where(F.abs(F.col("xc") - F.col("centre")) <= tolerance).groupBy(*PAGE, "col").agg(F.first("centre").alias("centre"), F.countDistinct("line").alias("lines"))
     total = tokens.groupBy(*PAGE).agg(F.countDistinct("line").alias("all"))
-    found = rows.groupBy(*PAGE, "col").agg(F.avg("xc").alias("centre"), F.countDistinct("line").alias("lines"))
     return found.join(total, PAGE).withColumn("share", F.col("lines") / F.col("all")).where(F.col("share") >= support).drop("all")
 
 

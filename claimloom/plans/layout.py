@@ -21,9 +21,35 @@ w AS (SELECT document_id, row, unnest(string_split(t, ' ')) AS text, generate_su
 tok AS (SELECT document_id, row, i, row * 100000 + i AS seq, text, i * 100.0::DOUBLE AS x0, i * 100.0 + 10 * length(text) AS x1, (row * 20 + CASE WHEN row % 5 = 0 THEN 40 ELSE 0 END)::DOUBLE AS y0, length(text) * 10.0::DOUBLE / 7 - 2 AS confidence FROM w WHERE text <> '')"""
 
 
-@query("w12_lines", f"WITH {T}, l AS (SELECT *, coalesce((y0 - lag(y0) OVER (PARTITION BY document_id ORDER BY y0, x0, seq) > 8)::INT, 1) AS f FROM tok), k AS (SELECT *, sum(f) OVER (PARTITION BY document_id ORDER BY y0, x0, seq) AS line FROM l) SELECT document_id, line::BIGINT AS line, count(*) AS n FROM k GROUP BY 1, 2")
+def slanted(spark, d):
+    """Words on lines of forty that fall by 3 a word, as on a page that was scanned askew."""
+    i, row = F.col("seq") % 100_000, F.col("row")
+    y = (row * 1000 + F.floor(i / 40)) * 200.0 + (i % 40) * 3.0
+    return tokens(spark, d).withColumn("y0", y).withColumn("y1", y)
+
+
+def fold_sql(source: str, value: str, order: str, tolerance: float) -> str:
+    """CTEs folded(document_id, run, k, grp, ...): groups by the running mean of a value, one row after another.
+
+    Rows are cut into runs first, at gaps of more than the tolerance; the recursion is as deep as the longest run.
+    """
+    return f"""
+    gaps AS (SELECT *, {value} AS v, coalesce(({value} - lag({value}) OVER w > {tolerance})::INT, 1) AS f FROM {source} WINDOW w AS (PARTITION BY document_id ORDER BY {value}, {order})),
+    runs AS (SELECT *, sum(f) OVER (PARTITION BY document_id ORDER BY v, {order}) AS run FROM gaps),
+    steps AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY document_id, run ORDER BY v, {order}) AS k FROM runs),
+    fold AS (
+        SELECT document_id, run, k, v AS total, 1 AS n, 0 AS grp FROM steps WHERE k = 1
+        UNION ALL
+        SELECT s.document_id, s.run, s.k, CASE WHEN abs(s.v - total / n) > {tolerance} THEN s.v ELSE total + s.v END, CASE WHEN abs(s.v - total / n) > {tolerance} THEN 1 ELSE n + 1 END,
+            grp + (abs(s.v - total / n) > {tolerance})::INT
+        FROM fold JOIN steps s ON s.document_id = fold.document_id AND s.run = fold.run AND s.k = fold.k + 1),
+    folded AS (SELECT steps.*, grp FROM steps JOIN fold USING (document_id, run, k))"""
+
+
+@query("w12_lines", f"""WITH RECURSIVE {T}, slant AS (SELECT *, (row * 1000 + i // 40) * 200.0::DOUBLE + (i % 40) * 3.0::DOUBLE AS y FROM tok), {fold_sql('slant', 'y', 'x0', 8)},
+    l AS (SELECT document_id, dense_rank() OVER (PARTITION BY document_id ORDER BY run, grp) AS line FROM folded) SELECT document_id, line, count(*) AS n FROM l GROUP BY 1, 2""")
 def w12(spark, d):
-    return layout.lines(tokens(spark, d), 8.0).groupBy("document_id", "line").agg(F.count("*").alias("n"))
+    return layout.lines(slanted(spark, d), 8.0).groupBy("document_id", "line").agg(F.count("*").alias("n"))
 
 
 @query("w11_blocks", f"WITH {T}, l AS (SELECT document_id, row, min(y0) AS top, max(y0) + 12 AS bottom FROM tok GROUP BY 1, 2), b AS (SELECT *, coalesce((top - lag(bottom) OVER (PARTITION BY document_id ORDER BY top, row) > 15)::INT, 1) AS f FROM l) SELECT document_id, sum(f)::BIGINT AS blocks FROM b GROUP BY 1")
@@ -32,8 +58,10 @@ def w11(spark, d):
     return layout.blocks(rows, 15.0).groupBy("document_id").agg(F.max("block").alias("blocks"))
 
 
-@query("w14_columns", f"""WITH {T}, l AS (SELECT *, (x0 + x1) / 2 AS xc FROM tok), f AS (SELECT *, coalesce((xc - lag(xc) OVER (PARTITION BY document_id ORDER BY xc, row) > 20)::INT, 1) AS f FROM l), k AS (SELECT *, sum(f) OVER (PARTITION BY document_id ORDER BY xc, row) AS col FROM f),
-    a AS (SELECT document_id, count(DISTINCT row) AS n FROM tok GROUP BY 1), g AS (SELECT document_id, col, count(DISTINCT row) AS lines FROM k GROUP BY 1, 2) SELECT document_id, count(*) AS cols, sum(lines)::BIGINT AS lines FROM g JOIN a USING (document_id) WHERE lines / n >= 0.35 GROUP BY 1""")
+@query("w14_columns", f"""WITH RECURSIVE {T}, placed AS (SELECT *, (x0 + x1) / 2 AS xc FROM tok), {fold_sql('placed', 'xc', 'row', 20)},
+    c AS (SELECT document_id, run, grp, avg(xc) AS centre FROM folded GROUP BY 1, 2, 3), a AS (SELECT document_id, count(DISTINCT row) AS n FROM tok GROUP BY 1),
+    g AS (SELECT c.document_id, run, grp, count(DISTINCT row) AS lines FROM c JOIN placed p ON p.document_id = c.document_id AND p.xc BETWEEN centre - 20 AND centre + 20 GROUP BY 1, 2, 3)
+    SELECT document_id, count(*) AS cols, sum(lines)::BIGINT AS lines FROM g JOIN a USING (document_id) WHERE lines / n >= 0.35 GROUP BY 1""")
 def w14(spark, d):
     return layout.columns(tokens(spark, d).withColumn("line", F.col("row")), 20.0).groupBy("document_id").agg(F.count("*").alias("cols"), F.sum("lines").alias("lines"))
 
