@@ -56,11 +56,14 @@ def text_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.when(valid, F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1")).alias("text"))
 
 
-def bulk_folder(spark: SparkSession, path: str, metadata: DataFrame) -> DataFrame:
-    """Files of sub-folders, one claim each, with the metadata (file_name, policy_id, patient_id)."""
+def bulk_folder(spark: SparkSession, path: str, metadata: DataFrame, folder: bool = False) -> DataFrame:
+    """Files of sub-folders, one claim each, with the metadata (file_name, policy_id, patient_id).
+
+    folder: file_name is `folder/name` in the metadata and the result, for names that come in several.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     parts = F.split("path", "/")
-    rows = files.select("path", F.element_at(parts, -2).alias("claim_key"), F.element_at(parts, -1).alias("file_name"), "length", F.sha2("content", 256).alias("content_hash"))
+    rows = files.select("path", F.element_at(parts, -2).alias("claim_key"), (F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1)) if folder else F.element_at(parts, -1)).alias("file_name"), "length", F.sha2("content", 256).alias("content_hash"))
     return rows.join(metadata, "file_name", "left")
 
 
@@ -82,3 +85,8 @@ def replace_buckets(rows: DataFrame, path: str, key: str, buckets: int) -> None:
     """Rows of whole key buckets replace those that are there; other buckets stay."""
     bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
     bucketed.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def append_batch(rows: DataFrame, path: str, batch: int) -> None:
+    """S10 with a commit a batch: each batch is a folder of its own, so one that runs again changes nothing."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
