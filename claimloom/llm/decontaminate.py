@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become templates: words are lower-cased, a number with the unit after it becomes one typed
-placeholder, and so does a run of names (capitalised words, but for the STARTERS that begin a
+Texts become templates: words are lower-cased, a number becomes a placeholder, one with a unit
+after it the placeholder of what that measures (mass, length, time, money ...), and so does a run of names (capitalised words, but for the STARTERS that begin a
 sentence), so that a slot is one token whatever its value. Beside its template (form 0) a text
 has a plain form (1), where names are words in lower case, so that a copy in another case counts
 too. Windows of WIDTH tokens are hashed in documents and benchmark items alike and joined by
@@ -12,16 +12,16 @@ re-parameterised question counts and a chance mix of placeholders doesn't; numbe
 A window of less than LITERALS words besides placeholders says nothing. Where the others cover
 at least half of a form's tokens they alone are compared; where they don't in the plain form
 (an item of numbers, say), the rest is hashed with its values as they stand (form 2), so that a
-verbatim copy is found; such an item of fewer than WIDTH tokens is never found. A document is
+verbatim copy is found, whatever its length; an item of one or two bare values isn't looked for. A document is
 contaminated by an item when matched windows in nearby alignments (NEAR) cover at least SHARE of
 the tokens that the item's windows cover, or when RUN tokens in a row match. Where they cover
 half of a template, the text around them is looked at in windows of FINE tokens (with a word each): covering
 SHARE of the whole item is enough, so that an inserted or changed word costs little more than
 itself wherever it stands.
 
-Before the join, windows are tested against a bitmap of BITS bits, two for each of the
-benchmark's hashes; its size is fixed, whatever the benchmark's, and it only ever drops windows
-that can't match. The join itself is by hash on both sides.
+Before the join, windows are tested against a bitmap, two bits for each of the benchmark's
+hashes; it has BITS_EACH bits a hash, BITS at least and MOST_BITS (16 MB) at most, and it only
+ever drops windows that can't match. The join itself is by hash on both sides.
 
 All of it is DataFrame expressions. A null or empty text has no windows. The placeholders' own
 characters count as spaces in a text. Repeated rows each get their answer by id. Rows without an
@@ -38,39 +38,61 @@ from claimloom.llm.common import let, written
 WIDTH = 5
 SHARE = 0.8
 RUN = 13
-BITS = 1 << 20
+#: Least and most bits of the bitmap (16 MB); between them, so many for each of the items' windows.
+BITS, MOST_BITS, BITS_EACH = 1 << 20, 1 << 27, 32
 #: Words that an item's window must have besides its placeholders.
 LITERALS = 2
+#: An item of placeholders alone is looked for if it has so many: fewer values stand in any text.
+LEAST_VALUES = 3
 #: Width of the windows that are looked at around matches of half an item.
 FINE = 3
 #: Alignments whose positions differ by up to this are counted together: slots that change their length shift what follows.
 NEAR = 8
 
-#: Unit words that follow a number (fixed values).
-UNITS = ("%", "percent", "kg", "g", "mg", "km", "m", "cm", "mm", "mi", "miles", "mile", "ft", "feet", "inches", "inch", "lb", "lbs", "oz", "l", "ml", "hours", "hour", "hrs", "minutes", "minute", "min", "seconds", "second", "sec", "days", "day", "weeks", "week", "months", "month", "years", "year", "dollars", "dollar", "usd", "eur", "euros", "cents", "mph", "kmh", "degrees", "watts", "volts", "liters", "litres", "meters", "metres", "grams", "kilograms", "pounds", "ounces", "gallons", "acres")
+#: Unit words that follow a number, by what they measure (fixed values).
+UNITS = {
+    "share": ("%", "percent"),
+    "mass": ("kg", "g", "mg", "lb", "lbs", "oz", "grams", "kilograms", "pounds", "ounces"),
+    "length": ("km", "m", "cm", "mm", "mi", "miles", "mile", "ft", "feet", "inches", "inch", "meters", "metres"),
+    "volume": ("l", "ml", "liters", "litres", "gallons"),
+    "time": ("hours", "hour", "hrs", "minutes", "minute", "min", "seconds", "second", "sec", "days", "day", "weeks", "week", "months", "month", "years", "year"),
+    "money": ("dollars", "dollar", "usd", "eur", "euros", "cents"),
+    "speed": ("mph", "kmh"),
+    "angle": ("degrees",),
+    "power": ("watts", "volts"),
+    "area": ("acres",),
+}
 
 #: Words that begin a sentence without being names (fixed values).
 STARTERS = ("a", "after", "all", "an", "and", "are", "as", "at", "before", "both", "but", "by", "calculate", "can", "compute", "consider", "could", "describe", "determine", "did", "do", "does", "during", "each", "every", "explain", "find", "for", "from", "given", "had", "has", "have", "he", "her", "here", "his", "how", "if", "in", "is", "it", "its", "let", "many", "may", "might", "most", "no", "not", "of", "on", "one", "or", "our", "prove", "she", "should", "show", "since", "so", "some", "suppose", "that", "the", "their", "then", "there", "these", "they", "this", "those", "three", "to", "two", "until", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whose", "why", "will", "with", "would", "write", "you", "your")
 
 #: Placeholders: characters of private use, which count as spaces where a text has them.
 NUM, NAME = "\ue000", "\ue001"
+#: One for a number with each kind of unit.
+MEASURES = {kind: chr(0xE002 + i) for i, kind in enumerate(UNITS)}
+SLOTS = (NUM, NAME, *MEASURES.values())
 #: Groups repeat possessively: the same matches, but Java's engine then loops instead of recursing, whatever their number.
 _NUMBER = r"[0-9]++(?:[.,][0-9]++)*+"
-_UNIT = "(?:%|(?:" + "|".join(u for u in UNITS if u != "%") + r")(?![\p{L}\p{N}]))"
+_END = rf"(?![\p{{L}}\p{{N}}{NUM}])"
+_UNITS = {kind: "(?i:" + "|".join(u if u == "%" else u + _END for u in units) + ")" for kind, units in UNITS.items()}
 #: A capitalised word inside a sentence (after a word, a comma or the like), or at its beginning unless that is a starter.
 _NAME = rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{M}}])(?:(?<=[^.!?\s]\s{{1,2}})|(?!(?i:{'|'.join(STARTERS)})(?![\p{{L}}\p{{M}}])))[\p{{L}}\p{{M}}]++"
 _NAMES = rf"{_NAME}(?:\s{{1,2}}{_NAME})*+"
-_MEASURE = rf"{_NUMBER}(?:\s?(?i:{_UNIT}))?"
-_WORD = r"[\p{L}\p{M}]+|[\ue000\ue001]"
+_MEASURE = rf"{_NUMBER}(?:\s?(?:{'|'.join(_UNITS.values())}))?"
+_WORD = rf"[\p{{L}}\p{{M}}]+|[{SLOTS[0]}-{SLOTS[-1]}]"
 
 
 def cleaned(text: Column) -> Column:
     """The text without the placeholders' characters."""
-    return F.when(text.contains(NUM) | text.contains(NAME), F.translate(text, NUM + NAME, "  ")).otherwise(text)
+    return F.when(text.rlike(f"[{SLOTS[0]}-{SLOTS[-1]}]"), F.translate(text, "".join(SLOTS), " " * len(SLOTS))).otherwise(text)
 
 
 def _numbered(text: Column) -> Column:
-    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, _MEASURE, NUM)).otherwise(text)
+    """Numbers as placeholders; those with a unit after them then become their kind's, a pass that looks at placeholders alone."""
+    out = F.regexp_replace(text, _NUMBER, NUM)
+    for kind, units in _UNITS.items():
+        out = F.regexp_replace(out, rf"{NUM}\s?{units}", MEASURES[kind])
+    return F.when(text.rlike("[0-9]"), out).otherwise(text)
 
 
 def template(text: Column) -> Column:
@@ -146,12 +168,12 @@ def _bitmap(items: DataFrame, bits: int) -> Column:
     return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "value"))), lambda s: s["value"]).alias("bitmap")).scalar()
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE, run: int = RUN, bits: int = BITS, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE, run: int = RUN, bits: int | None = None, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(id, item_id, matched, total, share): contaminated documents with the items found in them, and the tokens that match."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast("array<string>")
     size = F.least(F.size("marks"), F.lit(width))
-    is_slot = lambda m: m.isin(NUM, NAME)
+    is_slot = lambda m: m.isin(*SLOTS)
     literals = lambda i: F.size(F.filter(F.slice("marks", i + 1, width), lambda m: ~is_slot(m)))
     # An item has its template (form 0) and, where that has names, its plain form (1); a poor one its values too (2).
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), template(text).alias("t"), plain(text).alias("p"), exact(text).alias("exact"), values(text).alias("words"))
@@ -162,7 +184,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: fl
     covered = lambda of: _covered(F.transform(of, lambda s: s["pos"]), size)
     items = items.withColumn("rich", (F.size("marks") > 0) & (2 * covered(F.col("told")) >= F.size("marks")))
     as_stands = F.transform(F.arrays_zip("every", windows(F.col("exact"), width, "=").alias("e")), lambda s: F.struct(F.when(s["every"]["literals"] >= LITERALS, s["every"]["h"]).otherwise(s["e"]).alias("h"), s["every"]["pos"].alias("pos"), s["every"]["literals"].alias("literals")))
-    poor = (F.col("form") == 1) & ~F.col("rich") & (F.size("marks") >= width)
+    poor = (F.col("form") == 1) & ~F.col("rich") & (F.size("marks") >= LEAST_VALUES)
     items = items.where(F.when(F.col("form") == 0, F.col("rich")).otherwise((F.col("rich") & F.col("named")) | poor))
     items = items.withColumn("told", F.when(poor, as_stands).otherwise(F.col("told"))).withColumn("form", F.when(poor, 2).otherwise(F.col("form")))
     items = written(items.select("item_id", "form", "marks", "words", "told", size.alias("width"), covered(F.col("told")).alias("total"), F.transform("told", lambda s: s["h"]).alias("hashes")))
@@ -173,6 +195,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: fl
 
     # Windows leave a document as (id, text hash, form, position, hash), and most end at the bitmap.
     key = [F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash")]
+    if bits is None:
+        n = items.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
+        bits = min(MOST_BITS, max(BITS, 1 << (n * BITS_EACH).bit_length()))
     bitmap = _bitmap(items, bits)
     is_set = lambda bit: F.getbit(F.element_at(bitmap, (F.shiftright(bit, 6) + 1).cast("int")), (bit % 64).cast("int")) == 1
     known = docs.where(F.col(id_col).isNotNull())
@@ -181,7 +206,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: fl
     every = lambda of, form: F.concat(*(each(of, form, n) for n in (width, *short)))
     told = F.when(F.array_contains("marks", NAME), F.concat(every(F.col("marks"), 0), every(F.col("plain"), 1))).otherwise(every(F.col("marks"), 0))
     if valued:
-        told = F.concat(told, each(F.col("exact"), 2, width, "="))
+        told = F.concat(told, *(each(F.col("exact"), 2, n, "=") for n in (width, *short)))
     # Outer: else a filter on the array's size is pushed below, and takes its whole making along.
     seen = marks.select("id", "text_hash", told.alias("told")).select("id", "text_hash", F.explode_outer("told").alias("s")).select("id", "text_hash", "s.doc_form", "s.at", "s.h")
     first, second = _bits(F.col("h"), bits)

@@ -458,7 +458,19 @@ def test_template_tokens_have_their_values(spark):
     texts = ["We met Mary  Ann Lee and 30 Km later Bob. Then 5% of 7m3 x9y, Élan Vital", "a \ue000 b Straße 1,000.5 hours Über Alles", ""]
     rows = docs_of(spark, texts).select("text", decontaminate.template(F.col("text")).alias("t"), decontaminate.values(F.col("text")).alias("v")).collect()
     for r in rows:
-        assert len(r["t"]) == len(r["v"]) and all(m in (decontaminate.NUM, decontaminate.NAME) or m == v.lower() for m, v in zip(r["t"], r["v"], strict=True)), r
+        assert len(r["t"]) == len(r["v"]) and all(m in decontaminate.SLOTS or m == v.lower() for m, v in zip(r["t"], r["v"], strict=True)), r
+
+
+def test_units_of_another_kind_do_not_match(spark):
+    items = spark.createDataFrame([(1, "a box of 5 kg rests beside another box of 5 kg on the old shelf"), (2, "1 2 3 4"), (3, "7 8"), (4, "12 kg 5 hours 3 dollars")], "item_id long, text string")
+    texts = {
+        10: "so a box of 9 grams rests beside another box of 12 lb on the old shelf today",  # masses both
+        11: "so a box of 7 hours rests beside another box of 9 dollars on the old shelf today",  # neither
+        12: "we count 1 2 3 4 and stop", 13: "we count 2 3 4 5 and 7 8 stop", 14: "it is 12 kg 5 hours 3 dollars now", 15: "it is 12 kg 5 hours 4 dollars now",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, items).collect()}
+    assert got == {(10, 1), (12, 2), (14, 4)}
 
 
 # ------------------------------------------------------------------ 7 personal data
