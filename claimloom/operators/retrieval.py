@@ -131,7 +131,7 @@ def prefer_parents(rows: DataFrame) -> DataFrame:
 
     A code that two rows come to keeps the better score.
     """
-    parents = rows.where(~F.col("code").contains(".")).groupBy("query_id", F.col("code").alias("parent")).agg(F.first("description").alias("wide"))
+    parents = rows.where(~F.col("code").contains(".")).groupBy("query_id", F.col("code").alias("parent")).agg(F.min("description").alias("wide"))
     out = rows.withColumn("parent", F.split_part("code", F.lit("."), F.lit(1))).join(parents, ["query_id", "parent"], "left")
     own = F.array_except(F.array_except(words(F.col("description")), words(F.col("wide"))), F.array(*map(F.lit, STRUCTURAL)))
     falls = F.col("code").contains(".") & F.col("wide").isNotNull() & (F.size(own) > 0) & ~F.arrays_overlap(own, words(F.col("query")))
