@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from claimloom.operators import metrics
 from claimloom.plans.registry import query, role
+from claimloom.sources.storage import stored
 
 BUCKETS = {"approved": ("COMPLETED",), "processing": ("PROCESSING",), "pending": ("MANUAL_REVIEW_REQUIRED",)}
 
@@ -100,6 +104,60 @@ def a33(spark, d):
     return role(spark, d, "activity").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(v < 25).alias("le_25"), F.count_if((v >= 25) & (v < 50)).alias("le_50"), F.count_if((v >= 50) & (v < 100)).alias("le_100"), F.count_if(v >= 100).alias("more"))
 
 
+RANKS = (0.5, 0.9, 0.99)
+
+
+def monthly_quantiles(rows, ranks=RANKS):
+    """Daily sketches, stored, and merged to months."""
+    daily = stored(metrics.daily_sketches(rows, ["event_type"], "ts", "value"))
+    monthly = metrics.rolled_up(daily, ["event_type", F.date_format("day", "yyyy-MM").alias("month")])
+    return metrics.quantiles(monthly, ["event_type", "month"], ranks)
+
+
+@query("a33_latency_quantiles")
+def a33_quantiles(spark, d):
+    found = monthly_quantiles(role(spark, d, "activity"))
+    return found.select("event_type", "month", "n", "least", *(F.col("at")[i].alias(f"p{p * 100:.0f}") for i, p in enumerate(RANKS)), "most")
+
+
+@query("a33_quantile_ranks", """SELECT event_type, strftime(ts, '%Y-%m') AS month, p, count(*) AS n, TRUE AS near
+    FROM activity, (SELECT unnest([0.5, 0.9, 0.99])::DOUBLE AS p) WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY ALL""", "activity")
+def a33_ranks(spark, d):
+    rows = role(spark, d, "activity")
+    found = stored(monthly_quantiles(rows))
+    rows = rows.withColumn("month", F.date_format("ts", "yyyy-MM"))
+    ranks = metrics.exact_ranks(rows, found, ["event_type", "month"], "value", RANKS)
+    return ranks.select("event_type", "month", "p", "n", metrics.near().alias("near"))
+
+
+@query("a25_prefix_suggestions", """WITH told AS (
+        SELECT 'patient' AS attribute, patient_name AS value FROM claims JOIN patients USING (patient_id)
+        UNION ALL SELECT 'policy', policy_id::VARCHAR FROM claims
+        UNION ALL SELECT 'channel', channel FROM claims
+        UNION ALL SELECT 'hospital', provider_name FROM expenses JOIN providers USING (provider_id)
+        UNION ALL SELECT 'diagnosis', description FROM expenses JOIN catalogue USING (code)
+        UNION ALL SELECT 'brand', brand FROM expenses JOIN catalogue USING (code)),
+    counted AS (SELECT attribute, value, count(*) AS n FROM told WHERE value IS NOT NULL AND value NOT IN ('', 'N/A') GROUP BY ALL),
+    prefixes AS (SELECT attribute, value, n, k, lower(left(value, k::INT)) AS prefix FROM counted, range(0, 5) AS r(k) WHERE length(value) >= k)
+    SELECT attribute, prefix, row_number() OVER w AS rank, value, n FROM prefixes
+    WINDOW w AS (PARTITION BY attribute, k, prefix ORDER BY n DESC, value) QUALIFY rank <= 10""", "claims patients providers catalogue expenses")
+def a25_prefixes(spark, d):
+    claims, expenses = role(spark, d, "claims"), role(spark, d, "expenses")
+    # Counted by id before names are looked up, so that joins meet one row for each id.
+    count = lambda rows, key: rows.groupBy(key).agg(F.count("*").alias("n"))
+    told = lambda rows, value, attribute: rows.select(F.lit(attribute).alias("attribute"), F.col(value).cast("string").alias("value"), "n")
+    codes = stored(count(expenses, "code").join(role(spark, d, "catalogue"), "code").select("description", "brand", "n"))
+    counts = [
+        told(count(claims, "patient_id").join(role(spark, d, "patients"), "patient_id"), "patient_name", "patient"),
+        told(count(claims, "policy_id"), "policy_id", "policy"),
+        told(count(claims, "channel"), "channel", "channel"),
+        told(count(expenses, "provider_id").join(role(spark, d, "providers"), "provider_id"), "provider_name", "hospital"),
+        told(codes, "description", "diagnosis"),
+        told(codes, "brand", "brand"),
+    ]
+    return metrics.prefix_suggestions(functools.reduce(lambda a, b: a.unionByName(b), counts), most=10, length=4)
+
+
 @query("a34_activity_counts", "SELECT user_id, event_type, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at FROM activity GROUP BY 1, 2", "activity")
 def a34(spark, d):
     return role(spark, d, "activity").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
