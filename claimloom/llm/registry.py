@@ -18,7 +18,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(*toxicity.sample(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 3, 1)))
     scored = toxicity.score(docs, model, ["doc_id"])
-    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    # The sentences that offend: number:start:end:p, joined by commas.
+    told = F.transform("offending", lambda s: F.concat_ws(":", s["sentence"], s["start"], s["end"], F.round(s["p"], 4)))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.array_join(told, ",").alias("offending"))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

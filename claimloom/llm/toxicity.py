@@ -37,6 +37,8 @@ CHI2 = 20.0
 STEPS, RATE, RIDGE = 250, 0.1, 3e-5
 BIAS = -6.0
 THRESHOLD = 0.7
+#: Least score of a sentence that offends.
+LOCATED = 0.5
 
 _WORD = np.zeros(256, bool)
 _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
@@ -170,27 +172,50 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxi
     return [(r[1], r[2]) for r in sorted(rows)], counts.get(1, 0) / sum(counts.values())
 
 
+def located(bags: Bags, p: np.ndarray, score: np.ndarray, least: float = LOCATED) -> np.ndarray:
+    """Numbers of the sentences that offend: those of `least` or more, and the highest (first at ties) of each document of THRESHOLD or more."""
+    hit = p >= least
+    for d in np.flatnonzero(score >= THRESHOLD):
+        hit[bags.first[d] + p[bags.first[d] : bags.first[d + 1]].argmax()] = True
+    return np.flatnonzero(hit)
+
+
 def _scored(shared, text_at: int, keep: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             for i, j, data, off in parts(batch.column(text_at)):
-                got = scores(Bags(data, off), shared.value)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in keep), pa.array(got, pa.float64())], [*(batch.schema.names[k] for k in keep), "score"])
+                bags = Bags(data, off)
+                got = scores(bags, model)
+                p = 1 / (1 + np.exp(-bags.logits(model["known"], model["weights"], model["bias"])))
+                hit = located(bags, p, got) if len(model["known"]) else np.zeros(0, np.int64)
+                doc = bags.sentence_doc[hit]
+                last = np.append(bags.heads[1:], len(bags.words))[hit] - 1
+                # Code points before a byte of its document: bytes that begin one.
+                begun = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]) if len(hit) else np.zeros(1, np.int64)
+                start, end = begun[bags.word_starts[bags.heads[hit]]] - begun[off[doc]], begun[bags.word_ends[last]] - begun[off[doc]]
+                values = pa.StructArray.from_arrays([pa.array(hit - bags.first[doc], pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(p[hit], pa.float64())], ["sentence", "start", "end", "p"])
+                found = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(j - i + 1)), pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in keep), pa.array(got, pa.float64()), found], [*(batch.schema.names[k] for k in keep), "score", "offending"])
 
     return run
 
 
 def score(docs: DataFrame, model: dict, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The named columns of docs with score, one row for each row."""
+    """The named columns of docs with score and offending, one row for each row.
+
+    offending lists the sentences that explain a score (`located`): number from 0, start and end (code
+    points of the text, end exclusive, from the first word to the last) and p.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in columns if c != "score"]
+    keep = [c for c in columns if c not in ("score", "offending")]
     inner = list(dict.fromkeys([*keep, text_col]))
     source = docs.select(*[docs[c] for c in inner])
-    schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep), "score double"])
+    schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep), "score double, offending array<struct<sentence: bigint, start: bigint, end: bigint, p: double>>"])
     return source.mapInArrow(_scored(shared, inner.index(text_col), [inner.index(c) for c in keep]), schema)
 
 
-def offending(docs: DataFrame, model: dict, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def offending(docs: DataFrame, model: dict, least: float = LOCATED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sentences scored `least` or more: id, sentence (its number), text from its first to its last word, p."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

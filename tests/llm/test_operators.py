@@ -113,6 +113,33 @@ def test_toxicity_learns_words_and_locates_sentences(spark):
     assert [(r["sentence"], "vile" in r["text"]) for r in found] == [(1, True)]
 
 
+def test_toxicity_by_brute_force(spark):
+    """Noisy-or and offending sentences, one word after another; very long, repeated and odd texts among them."""
+    rng = random.Random(7)
+    rows = [(int(i % 3 == 0), " ".join(rng.choices(WORDS, k=8)) + (rng.choice([" vile", " nastyone", " nastytwo"]) if i % 3 == 0 else "")) for i in range(300)]
+    model = toxicity.fit(rows)
+    weight = dict(zip(model["known"].tolist(), model["weights"].tolist(), strict=True))
+    hashed = lambda word, mark=0: int(common.span_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0]) ^ mark
+    weigh = lambda w: weight.get(hashed(w), 0.0) + sum(weight.get(hashed(w[:n], k + 1), 0.0) for k, n in enumerate(toxicity.PREFIXES) if len(w) >= n)
+    texts = ["é VILE thing! ok. naïve nastytwo", "ok\nNastyone, you. vile", " ".join(rng.choices(WORDS, k=30_000)) + ". vile. ende", "vile", "vile", "... !", "nastyon nast. " * 40, *(t for _, t in rows[:40])]
+    df = docs_of(spark, [*texts, "", None]).withColumn("offending", F.lit("clash"))
+    got = {r["doc_id"]: r for r in toxicity.score(df, model, ["doc_id", "offending"]).collect()}
+    for i, text in enumerate(texts):
+        each = []
+        for s in regex.finditer(r"[^.!?\n]+", text):
+            words = list(regex.finditer(r"[A-Za-z\u0080-\U0010ffff]+", s[0]))
+            if words:
+                logit = model["bias"] + sum(weigh(w[0].encode().lower()) for w in words)
+                each.append((s.start() + words[0].start(), s.start() + words[-1].end(), 1 / (1 + np.exp(-logit))))
+        score = 1 - np.prod([1 - p for *_, p in each]) if each else 0.0
+        assert got[i]["score"] == pytest.approx(score, abs=1e-9)
+        top = max(range(len(each)), key=lambda k: (each[k][2], -k)) if score >= toxicity.THRESHOLD else None
+        want = [(k, a, b) for k, (a, b, p) in enumerate(each) if p >= toxicity.LOCATED or k == top]
+        assert [(o["sentence"], o["start"], o["end"]) for o in got[i]["offending"]] == want, text[:60]
+        assert [o["p"] for o in got[i]["offending"]] == pytest.approx([each[k][2] for k, *_ in want])
+    assert any(r["offending"] for r in got.values()) and got[len(texts)]["offending"] == got[len(texts) + 1]["offending"] == []
+
+
 def test_toxicity_odd_rows_and_no_labels(spark):
     df = docs_of(spark, ODD).withColumn("score", F.lit("clash"))
     got = toxicity.score(df, toxicity.fit([(1, "bad bad"), (0, "good good")] * 5), ["doc_id"]).collect()
