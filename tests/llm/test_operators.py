@@ -728,3 +728,44 @@ def test_license_files_license_their_directories(spark):
     got = {r["doc_id"]: (r["license"], r["evidence"]) for r in licenses.scan(df).collect()}
     assert got == {0: ("BSD-2-Clause", "own"), 1: ("BSD-2-Clause", "inherited"), 2: ("BSD-2-Clause", "inherited"), 3: ("Apache-2.0", "own"), 4: ("Apache-2.0", "inherited"), 5: ("ISC", "own"), 6: ("ISC", "inherited"), 7: (None, None)}
     assert sum(e == "inherited" for _, e in got.values()) == 4
+
+
+def test_license_cosine_by_brute_force(spark):
+    """Cosines of whole texts and of their best segments, one word after another, with frequencies over all texts."""
+    from collections import Counter
+    from math import log, sqrt
+
+    from claimloom.llm.license_texts import TEMPLATES
+
+    rng = random.Random(11)
+    templates = sorted(TEMPLATES)
+    words = lambda t: [w.encode().lower() for w in re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", t)]
+    texts = [t for _, t in templates[::3]]
+    texts += [" ".join(rng.sample(t.split(), max(1, len(t.split()) * 3 // 4))) + " foo bar é" for _, t in templates[1::3]]
+    texts += [" ".join(rng.choices(WORDS, k=5_000)) + "\n\n" + templates[0][1] + "\n\n" + "x " * 50, "plain words", "", None]
+    vocab = {w for _, t in templates for w in words(t)}
+    df = Counter(w for t in texts for w in set(words(t or "")) & vocab)
+    idf = lambda w: log((1 + len(texts)) / (1 + df[w])) + 1
+    rarest = log(1 + len(texts)) + 1
+    unit = []
+    for _, t in templates:
+        v = {w: n * idf(w) for w, n in Counter(words(t)).items()}
+        size = sqrt(sum(x * x for x in v.values()))
+        unit.append({w: x / size for w, x in v.items()})
+    plain = [len(words(t)) <= licenses.SHORT and not set(w.decode() for w in words(t)) & set(licenses.NEGATIONS) for _, t in templates]
+
+    def cosine(segment):
+        held = words(segment)
+        denied = bool({w.decode("utf-8", "replace") for w in held} & set(licenses.NEGATIONS))
+        v = {w: n * idf(w) for w, n in Counter(w for w in held if w in vocab).items()}
+        size = sqrt(sum(x * x for x in v.values()) + sum(w not in vocab for w in held) * rarest**2)
+        return max((sum(x * u.get(w, 0) for w, x in v.items()) / size for u, p in zip(unit, plain, strict=True) if not (p and denied)), default=0) if v else 0
+
+    files = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    for r in licenses.detected(files, ["doc_id"]).collect():
+        text = texts[r["doc_id"]] or ""
+        pieces = [s for line in text.split("\n") for s in re.split(r"(?<=[.!?]) ", line)] + text.split("\n\n") + [text]
+        # What can't reach LEAST isn't worked out.
+        most, whole = max(map(cosine, pieces)), cosine(text)
+        assert r["cosine"] == pytest.approx(most if most >= licenses.LEAST else 0, abs=1e-6), text[:80]
+        assert r["whole"] == pytest.approx(whole, abs=1e-6) or whole < licenses.LEAST, text[:80]
