@@ -16,31 +16,38 @@ BLOCK, SEED, DIGITS = 32, 64, 6
 
 
 def tokenised(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """(doc_id, w): each text's words, made once and written; null where the text is null. Ids are unique."""
-    return stored(docs.select(F.col(id_col).alias("doc_id"), tokens.alias("w")))
+    """(doc_id, doc_len, terms), written: each text's distinct words with their counts, made once. Ids are unique.
+
+    A text is one row, so its words are sorted and counted by runs within it, without a shuffle.
+    Null texts have a null length, and no terms.
+    """
+    said = docs.select(F.col(id_col).alias("doc_id"), F.array_sort(tokens).alias("w"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    runs = said.withColumn("begins", F.when(F.size("w") > 0, begins).otherwise(F.array().cast("array<int>")))
+    run = lambda i, j: F.struct(F.get("w", i).alias("term"), (F.coalesce(F.get("begins", j + 1), F.size("w")) - i).alias("tf"))
+    return stored(runs.select("doc_id", F.size("w").alias("doc_len"), F.transform("begins", run).alias("terms")), "zstd")
 
 
 def in_blocks(tokens: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, w, doc_len, block) of the documents with words.
+    """The documents with words, and the number of each one's block.
 
     A block holds documents of like length, whose weights are alike. Lengths fall into at most 128
     classes (a quarter of a doubling each), and a class into as many blocks as its count asks for.
     """
-    sized = tokens.where(F.size("w") > 0).withColumn("doc_len", F.size("w")).withColumn("like", F.floor(4 * F.log2("doc_len")))
+    sized = tokens.where("doc_len > 0").withColumn("like", F.floor(4 * F.log2("doc_len")))
     classes = sized.groupBy("like").agg(F.ceil(F.count("*") / block).alias("blocks"))
     number = F.shiftleft(F.col("like"), 48) + F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    return sized.join(F.broadcast(classes), "like").select("doc_id", "w", "doc_len", number.alias("block"))
+    return sized.join(F.broadcast(classes), "like").withColumn("block", number).drop("like", "blocks")
 
 
 def blocked(tokens: DataFrame, weight: Column, block: int = BLOCK) -> DataFrame:
     """Postings (term, block, greatest, docs), written. docs: the block's documents that have the term, with their weights.
 
     weight: of the term's count `tf` and the document's `doc_len`. A row holds no more than its
-    block's documents, so a term that is everywhere is many rows.
+    block's documents, so a term that is everywhere is many rows. One shuffle.
     """
-    said = in_blocks(tokens, block).select("doc_id", "doc_len", "block", F.explode("w").alias("term"))
-    counted = said.groupBy("term", "block", "doc_id", "doc_len").agg(F.count("*").alias("tf")).withColumn("weight", weight)
-    return stored(counted.groupBy("term", "block").agg(F.max("weight").alias("greatest"), F.collect_list(F.struct("doc_id", "weight")).alias("docs")))
+    said = in_blocks(tokens, block).select("doc_id", "doc_len", "block", F.inline("terms")).select("term", "block", "doc_id", weight.alias("weight"))
+    return stored(said.groupBy("term", "block").agg(F.max("weight").alias("greatest"), F.collect_list(F.struct("doc_id", "weight")).alias("docs")), "zstd")
 
 
 def parts(asked: DataFrame, index: DataFrame, *keys: str) -> DataFrame:
@@ -107,7 +114,7 @@ class Index(NamedTuple):
 def bm25_index(docs: DataFrame, id_col: str, text: Column, block: int = BLOCK) -> Index:
     """The index of Okapi scores: a term's factor is its idf, a negative one EPSILON of the mean of all."""
     tokens = tokenised(docs, id_col, words(text))
-    told = tokens.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"))
+    told = tokens.agg(F.count("*").alias("n"), F.avg("doc_len").alias("mean"))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / told.select("mean").scalar()))
     index = blocked(tokens, weight, block)
     df = index.groupBy("term").agg(F.sum(F.size("docs")).alias("df"))

@@ -27,8 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     return where.toString()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The rows of df as a table in the shared folder: worked out once, of known size, without lineage."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
