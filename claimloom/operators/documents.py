@@ -286,12 +286,16 @@ def aliased(intents: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def ordered_text(pages: DataFrame, key: str, order: str, text: str, most: int) -> DataFrame:
-    """A key's texts in order, joined and cut; texts that begin past the cut are dropped before they are gathered."""
+    """A key's texts in order (unknown places last), joined and cut; null where all are null.
+
+    Texts that begin past the cut are dropped before they are gathered. One that begins just after it stays: the
+    break before it is the last character that counts.
+    """
     size = F.when(F.col(text).isNotNull(), F.length(text) + 1).otherwise(0)
-    ahead = F.sum(size).over(Window.partitionBy(key).orderBy(order, text).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size
-    pages = pages.select(key, order, F.substring(text, 1, most).alias(text), ahead.alias("__ahead")).where(F.col("__ahead") < most)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text]), "\n")
-    return pages.groupBy(key).agg(F.substring(joined, 1, most).alias("text"))
+    ahead = F.sum(size).over(Window.partitionBy(key).orderBy(F.col(order).asc_nulls_last(), text).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size
+    pages = pages.select(key, order, F.substring(text, 1, most).alias(text), ahead.alias("__ahead")).where(F.col("__ahead") <= most)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).isNull().alias("__last"), order, text))), lambda s: s[text]), "\n")
+    return pages.groupBy(key).agg(F.when(F.count(text) > 0, F.substring(joined, 1, most)).alias("text"))
 
 
 def set_hash(docs: DataFrame, key: str, hash_col: str) -> DataFrame:

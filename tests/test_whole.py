@@ -82,3 +82,9 @@ def test_ordered_text_gathers_only_what_the_cut_keeps(spark):
     assert {r["k"]: r["text"] for r in out.collect()} == {1: "\n".join(["ab" * 5] * 3)[:30], 2: "a" * 30}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and plan.index("Aggregate") < plan.index("Filter") < plan.index("Window")
+
+
+def test_ordered_text_keeps_a_break_at_the_cut(spark):
+    rows = [(1, 1, "abc"), (1, 2, "def"), (2, 1, "abcd"), (2, 2, None), (3, 1, None), (4, None, "z"), (4, 1, "y"), (5, 1, "abc"), (5, 2, None)]
+    got = documents.ordered_text(spark.createDataFrame(rows, "k int, turn int, text string"), "k", "turn", "text", 4).collect()
+    assert {r["k"]: r["text"] for r in got} == {1: "abc\n", 2: "abcd", 3: None, 4: "y\nz", 5: "abc"}
