@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from claimloom.functions.scalars import rounded
 from claimloom.operators import expenses
 from claimloom.plans.papers import pick
 from claimloom.plans.registry import query, raw, role
@@ -19,7 +20,7 @@ def rows(spark, d):
 @query("a9_by_charge_field", f"""WITH {R} SELECT claim_id, CASE WHEN contains(lower(description), 'icu') THEN 'icu_charges' WHEN contains(lower(description), 'ot ') OR contains(lower(description), 'theatre') THEN 'ot_charges'
     WHEN category = 'Pharmacy' THEN 'pharmacy_charges' WHEN category = 'Room Rent' THEN 'room_charges' ELSE 'surgery_charges' END AS field, round(sum(amount), 2) AS amount FROM r GROUP BY 1, 2""", "expenses catalogue")
 def a9(spark, d):
-    return expenses.by_charge_field(rows(spark, d)).select("claim_id", "field", F.round("amount", 2).alias("amount"))
+    return expenses.by_charge_field(rows(spark, d)).select("claim_id", "field", rounded(F.col("amount"), 2).alias("amount"))
 
 
 @query("a10_a12_totals", """SELECT c.claim_id, round(CASE WHEN c.total_amount > 1000 THEN c.total_amount ELSE coalesce(e.items, 0) END, 2) AS total, round(coalesce(e.icd, 0), 2) AS icd, round(coalesce(e.cpt, 0), 2) AS cpt FROM claims c
@@ -34,14 +35,14 @@ def a10(spark, d):
 @query("a11_itemised", f"""WITH {R}, k AS (SELECT *, line_status = 'O' AS is_ui FROM r), m AS (SELECT *, bool_or(is_ui) OVER (PARTITION BY claim_id) AS ui FROM k)
     SELECT claim_id, seq, code, round(amount, 2) AS amount, round(sum(amount) OVER (PARTITION BY claim_id), 2) AS expense_total FROM m WHERE is_ui = ui""", "expenses catalogue")
 def a11(spark, d):
-    return expenses.itemised(rows(spark, d).withColumn("is_ui", F.col("line_status") == "O")).select("claim_id", "seq", "code", F.round("amount", 2).alias("amount"), F.round("expense_total", 2).alias("expense_total"))
+    return expenses.itemised(rows(spark, d).withColumn("is_ui", F.col("line_status") == "O")).select("claim_id", "seq", "code", rounded(F.col("amount"), 2).alias("amount"), rounded(F.col("expense_total"), 2).alias("expense_total"))
 
 
 @query("a13_reconciled", """SELECT c.claim_id, round(c.total_amount - e.items, 2) AS difference, (abs(c.total_amount - e.items) > 0.01 * c.total_amount)::INT + (c.policy_id % 2 = 0)::INT AS warnings FROM claims c JOIN (SELECT claim_id, sum(amount) AS items FROM expenses GROUP BY 1) e USING (claim_id)""", "claims expenses")
 def a13(spark, d):
     items = role(spark, d, "expenses").groupBy("claim_id").agg(F.sum("amount").alias("items"))
     totals = role(spark, d, "claims").join(items, "claim_id").select("claim_id", F.col("total_amount").alias("billed"), "items", F.when(F.col("policy_id") % 2 != 0, 1.0).alias("net"), F.lit(1.0).alias("gross"))
-    return expenses.reconciled(totals).select("claim_id", F.round("difference", 2).alias("difference"), F.size("warnings").alias("warnings"))
+    return expenses.reconciled(totals).select("claim_id", rounded(F.col("difference"), 2).alias("difference"), F.size("warnings").alias("warnings"))
 
 
 @query("a30_a31_source_policy", f"""WITH {R}, s AS (SELECT claim_id, count(*) FILTER (source = 'semantic') AS sv, count(*) FILTER (source = 'heuristic') AS hv, list(DISTINCT page) FILTER (source = 'semantic') AS sp, list(DISTINCT page) FILTER (source = 'heuristic') AS hp FROM r GROUP BY 1),
@@ -55,7 +56,7 @@ def a30(spark, d):
     SELECT claim_id, page AS grp, round(CASE WHEN s IS NULL OR (h IS NOT NULL AND (abs(s[4] - h[4]) > 0.01 OR s[1] < h[1] - 0.15)) THEN h[4] ELSE s[4] END, 2) AS amount, confidence, (s IS NOT NULL)::INT + (h IS NOT NULL)::INT AS sources FROM b""", "expenses catalogue")
 def a35(spark, d):
     keyed = rows(spark, d).withColumn("grp", F.col("page")).withColumn("seq", F.col("seq") * 1_000_000 + F.col("code"))
-    return expenses.merged_groups(keyed).select("claim_id", "grp", F.round("amount", 2).alias("amount"), "confidence", F.size("sources").alias("sources"))
+    return expenses.merged_groups(keyed).select("claim_id", "grp", rounded(F.col("amount"), 2).alias("amount"), "confidence", F.size("sources").alias("sources"))
 
 
 #: Rows as two extractors read them: a tenth without an amount, a ninth of no telling category.
@@ -77,7 +78,7 @@ def read_rows(spark, d):
     SELECT claim_id, grp, coalesce(s[4], h[4]) AS description, round(CASE WHEN s IS NULL OR (h IS NOT NULL AND (abs(s[3] - h[3]) > 5000 OR s[1] < h[1] - 0.15)) THEN h[3] ELSE s[3] END, 2) AS amount, confidence, n::INT AS n FROM m""", "expenses catalogue")
 def a35_grouped(spark, d):
     found = expenses.merged_charges(expenses.grouped(read_rows(spark, d), 5000.0, 0.3), 5000.0)
-    return found.select("claim_id", "grp", "description", F.round("amount", 2).alias("amount"), "confidence", "n")
+    return found.select("claim_id", "grp", "description", rounded(F.col("amount"), 2).alias("amount"), "confidence", "n")
 
 
 @query("p8_p10_expense_rows", f"""WITH {R} SELECT claim_id, seq, code FROM r WHERE length(trim(description)) BETWEEN 3 AND 300 AND regexp_matches(description, '[A-Za-z]') AND amount > 0 AND NOT regexp_matches(description, '^[^0-9]*\\b[0-9]{{6}}\\b[^0-9]*$')""", "expenses catalogue")
@@ -111,7 +112,7 @@ def w9(spark, d):
     i AS (SELECT *, count(amount) OVER (PARTITION BY claim_id, page ORDER BY seq) AS island FROM k)
     SELECT claim_id, page, min(seq) AS seq, max(amount) AS amount, string_agg(description, ' ' ORDER BY seq, description) AS description FROM i GROUP BY claim_id, page, island""", "expenses catalogue")
 def w13(spark, d):
-    r = rows(spark, d).select("claim_id", "page", (F.col("seq") * 1_000_000 + F.col("code")).alias("seq"), F.when(F.col("quantity") > 20, F.round("amount", 2)).alias("amount"), F.col("category").alias("description"))
+    r = rows(spark, d).select("claim_id", "page", (F.col("seq") * 1_000_000 + F.col("code")).alias("seq"), F.when(F.col("quantity") > 20, rounded(F.col("amount"), 2)).alias("amount"), F.col("category").alias("description"))
     return expenses.continued(r).select("claim_id", "page", "seq", "amount", "description")
 
 

@@ -3,6 +3,9 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from claimloom.functions.scalars import rounded
 from claimloom.operators import expenses
 
 SCHEMA = "claim_id long, seq long, source string, heuristic_source string, description string, amount double, category string, confidence double"
@@ -69,3 +72,9 @@ def test_merged_charge_keeps_the_better_row(spark):
     got = {r["claim_id"]: (r["description"], r["amount"], r["confidence"], r["sources"], r["n"]) for r in expenses.merged_charges(grouped).collect()}
     both = ["heuristic", "semantic"]
     assert got == {1: ("Room rent", 100.0, 0.95, both, 2), 2: ("Room rent", 0.0, 0.9, both, 2), 3: (long, 100.0, 0.9, both, 2), 4: ("Bed", 5.0, 0.0, ["heuristic"], 1)}
+
+
+def test_amounts_are_rounded_as_sql_rounds_them(spark):
+    # The double next to 1.005 times 100 is 100.49999999999999; 0.285 times 100 is 28.499999999999996.
+    got = [r["x"] for r in spark.createDataFrame([(1.005,), (0.285,), (2.5,), (-2.675,), (0.125,), (None,)], "x double").select(rounded(F.col("x"), 2).alias("x")).collect()]
+    assert got == [1.0, 0.28, 2.5, -2.68, 0.13, None]
