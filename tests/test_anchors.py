@@ -31,6 +31,25 @@ def test_drifting_lines_equal_one_pass(spark):
     assert layout.lines(df.limit(0), 8.0).count() == 0
 
 
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_rows_are_shuffled_once_and_come_back_as_they_were(spark):
+    rows = [(1, 1, 5.0, 2**60 + 1, "a"), (1, 1, None, None, None), (1, 1, 12.0, 3, ""), (1, 1, float("nan"), 4, "d"), (None, 1, 5.0, 5, "e"), (None, 1, 6.0, 6, "f")]
+    df = spark.createDataFrame(rows, "document_id int, page int, yc double, big long, text string")
+    got = layout.lines(df, 8.0)
+    assert shuffles(got) == 1
+    assert {(r["big"], r["text"], r["line"]) for r in got.collect()} == {(2**60 + 1, "a", 2), (None, None, 1), (3, "", 2), (4, "d", 3), (5, "e", 1), (6, "f", 1)}
+
+
+def test_amounts_alone_gather_no_words(spark):
+    rows = [(1, 1, 1, 1, "Bed"), (1, 1, 1, 2, "1,200.50"), (1, 1, 1, 3, "of"), (1, 1, 2, 1, "none"), (1, 1, 3, 4, "(5)"), (1, 1, 3, 2, "₹7"), (1, 1, 3, 1, "7")]
+    found = layout.expense_rows(spark.createDataFrame(rows, "document_id int, page int, line int, seq int, text string"))
+    assert {(r["line"], r["description"], r["amount"]) for r in found.collect()} == {(1, "Bed of", 1200.5), (3, "7 ₹7", 5.0)}
+    assert "collect_list" not in found.select("line", "amount")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_columns_count_lines_near_the_mean(spark):
     rng = random.Random(4)
     tokens = [(1, 1, line, x + rng.uniform(-9, 9)) for line in range(12) for x in (50, 120, 300) if rng.random() < 0.7] + [(1, 1, 3, 200.0)]
