@@ -63,3 +63,22 @@ def test_columns_count_lines_near_the_mean(spark):
         if lines / n >= 0.35:
             want.append((round(centre, 6), lines))
     assert got == sorted(want)
+
+
+def test_columns_of_many_pages_without_a_join_of_tokens(spark):
+    rng = random.Random(7)
+    pages = {p: [(rng.randrange(6), rng.choice([rng.uniform(0, 200), float(rng.randrange(0, 200, 10))])) for _ in range(rng.choice([1, 5, 60]))] for p in range(40)}
+    pages[40] = [(i % 3, i * 4.0) for i in range(80)]  # drifts all the way
+    df = spark.createDataFrame([(p, 1, line, x - 1, x + 1) for p, ts in pages.items() for line, x in ts], "document_id int, page int, line int, x0 double, x1 double")
+    found = layout.columns(df, 15.0, 0.0)
+    assert shuffles(found) <= 4  # tokens by page, lines by page (two steps), clusters by page
+    got = {}
+    for r in found.orderBy("col").collect():
+        got.setdefault(r["document_id"], []).append((r["col"], round(r["centre"], 6), r["lines"], round(r["share"], 6)))
+    for p, tokens in pages.items():
+        want = []
+        for i, g in enumerate(one_pass([x for _, x in tokens], 15.0)):
+            mean = sum(g) / len(g)
+            lines = len({line for line, x in tokens if abs(x - mean) <= 15.0})
+            want.append((i + 1, round(mean, 6), lines, round(lines / len({line for line, _ in tokens}), 6)))
+        assert got[p] == want
