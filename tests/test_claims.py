@@ -208,3 +208,15 @@ def test_code_context_before_and_after(spark):
     df = spark.createDataFrame([(1, "Diagnosis: acute bronchitis ICD-10: J20.9"), (2, "K35 - acute appendicitis | ward"), (3, "phone 55123"), (4, None), (5, "procedure 1: laparoscopic repair of\nhernia 49505")], "doc_id int, text string")
     got = {r["doc_id"]: (r["code"], r["context"]) for r in documents.code_mentions(df, spark.createDataFrame([("J20.9", "x")], "code string, description string")).collect()}
     assert got == {1: ("J20.9", "acute bronchitis"), 2: ("K35", "acute appendicitis"), 5: ("49505", "laparoscopic repair of hernia")}
+
+
+def test_history_pairs_are_made_once_and_never_shuffled(spark):
+    rows = [(1, 1, 10, "2024-03-01"), (2, 1, 10, "2024-02-20"), (3, 2, 10, "2024-02-25"), (4, None, 10, "2024-02-26"), (5, 1, None, "2024-02-27"), (6, None, None, "2024-02-28"), (2, 1, 10, "2024-02-20")]
+    claims = spark.createDataFrame(rows, "claim_id long, patient_id long, policy_id long, at string").selectExpr("claim_id", "patient_id", "policy_id", "cast(at as timestamp) AS created_at")
+    told = spark.createDataFrame([(i, i * 10) for i in range(1, 7)], "other_id long, amount long")
+    found = fraud.history_pairs(claims, 30, told)
+    want = {(1, 2), (1, 3), (1, 4), (1, 5), (3, 2), (4, 2), (4, 3), (5, 2)}
+    assert sorted(tuple(r) for r in found.collect()) == sorted((a, b, b * 10) for a, b in want)
+    # Above the joins lie only projections and the union: neither distinct nor a join by the other's id.
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert "Union" in plan[0] and not any("Aggregate" in line for line in plan[: next(i for i, line in enumerate(plan) if "Join" in line)])
