@@ -1,13 +1,16 @@
 """Small DataFrames against values worked out by hand."""
 
 import itertools
+import os
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from claimloom.functions import scalars
 from claimloom.operators import documents, expenses, extraction, fields, fraud, lifecycle, retrieval, risk, validation
+from claimloom.plans import fraud as plans
 
 
 def one(spark, *columns):
@@ -220,3 +223,12 @@ def test_history_pairs_are_made_once_and_never_shuffled(spark):
     # Above the joins lie only projections and the union: neither distinct nor a join by the other's id.
     plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert "Union" in plan[0] and not any("Aggregate" in line for line in plan[: next(i for i, line in enumerate(plan) if "Join" in line)])
+
+
+def test_a_layer_alone_joins_only_its_children(spark):
+    at = "/root/testdata/sf0.001"
+    if not os.path.isdir(at):
+        pytest.skip("no tables here")
+    plan = plans.m3(spark, at)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "matches" not in plan and "Join" in plan
+    assert "supplier" not in plans.x1_evidence(spark, at)._jdf.queryExecution().analyzed().toString()
