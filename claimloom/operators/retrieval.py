@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.scalars import words
+from claimloom.operators import nearest
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 FUSION = 60
@@ -16,29 +17,12 @@ def top(scored: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), doc))).where(F.col("rank") <= k)
 
 
-def normalised(v: Column) -> Column:
-    """R3."""
-    v = v.cast("array<double>")
-    return F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)))
+def dense_top(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None, digits: int | None = None) -> DataFrame:
+    """R2: exact inner products of unit vectors. A stated query set against all rows, tile by tile.
 
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def dense_top(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None, block: int = 256, digits: int | None = None) -> DataFrame:
-    """R2: exact inner products of unit vectors. A stated query set against all rows, by blocks of queries.
-
-    Queries are packed into rows of about `block`, so that no row grows with their number, and each
-    block meets the vectors once; each partition's best are kept before the shuffle. digits rounds
-    scores, so that ties are told by the document.
+    Each tile's best are kept before they are ranked. digits rounds scores, so that ties are told by the document.
     """
-    blocks = max(1, -(-queries.count() // block))
-    packed = queries.select(F.col("query_id"), normalised(F.col("vector")).alias("q")).withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    packed = packed.groupBy("b").agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-    unit = vectors.select("doc_id", normalised(F.col("vector")).alias("v")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    score = dot(F.col("q"), F.col("v"))
-    pairs = unit.join(packed, "b").select("doc_id", "v", F.inline("queries")).select("query_id", "doc_id", (score if digits is None else F.round(score, digits)).alias("score"))
+    pairs = nearest.scored(queries.select("query_id", "vector"), vectors.select("doc_id", "vector"), k, "doc_id", digits=digits)
     return top(pairs if least is None else pairs.where(F.col("score") >= least), k)
 
 
@@ -89,12 +73,10 @@ def searched(mode: str, n: int, system: str, sparse, dense) -> DataFrame:
 def chunk_search(queries: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame:
     """Each query's k most alike chunks of its own document, with a score over 0.
 
-    queries: query_id, doc_id, vector; chunks: doc_id, chunk, vector. Documents meet by an equi-join.
+    queries: query_id, doc_id, vector; chunks: doc_id, chunk, vector. A long document is compared tile by tile.
     """
-    q = queries.select("query_id", "doc_id", normalised(F.col("vector")).alias("q"))
-    pairs = q.join(chunks.select("doc_id", "chunk", normalised(F.col("vector")).alias("v")), "doc_id")
-    scored = pairs.select("query_id", "doc_id", "chunk", F.round(dot(F.col("q"), F.col("v")), 6).alias("score")).where("score > 0")
-    return top(scored, k, doc="chunk")
+    scored = nearest.scored(queries.select("query_id", "doc_id", "vector"), chunks.select("doc_id", "chunk", "vector"), k, "chunk", ("doc_id",), digits=6)
+    return top(scored.where("score > 0").select("query_id", "doc_id", "chunk", "score"), k, doc="chunk")
 
 
 def fused(*ranked: DataFrame, k: int = FUSION) -> DataFrame:
