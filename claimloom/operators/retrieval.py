@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.scalars import words
 from claimloom.operators import nearest
+from claimloom.sources.storage import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 FUSION = 60
@@ -87,12 +88,31 @@ def fused(*ranked: DataFrame, k: int = FUSION) -> DataFrame:
     return union.groupBy("query_id", "doc_id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
 
 
+def long_words(text: Column) -> Column:
+    """The distinct words of four letters or more, in order."""
+    return F.array_sort(F.filter(F.array_distinct(words(text)), lambda x: F.length(x) > 3))
+
+
+def kinds(docs: DataFrame, id_col: str, text: Column, k: int) -> DataFrame:
+    """(w, ids, kind), written: each set of long words, its k smallest documents, and the smallest of them."""
+    said = docs.select(F.col(id_col).alias("doc_id"), long_words(text).alias("w")).where(F.size("w") > 0)
+    first = said.withColumn("r", F.row_number().over(Window.partitionBy("w").orderBy("doc_id"))).where(F.col("r") <= k)
+    return stored(first.groupBy("w").agg(F.collect_list("doc_id").alias("ids"), F.min("doc_id").alias("kind")))
+
+
 def keyword_hits(queries: DataFrame, docs: DataFrame, id_col: str, text: Column, k: int) -> DataFrame:
-    """How many of a query's words of four letters or more a document has."""
-    long = lambda w: F.filter(F.array_distinct(w), lambda x: F.length(x) > 3)
-    terms = docs.select(F.col(id_col).alias("doc_id"), F.explode(long(words(text))).alias("term"))
-    asked = queries.select("query_id", F.explode(long(words(F.col("text")))).alias("term"))
-    return top(asked.join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("score")), k)
+    """How many of a query's words of four letters or more a document has.
+
+    Documents of the same words score equally, so their first k stand for all of them, and queries of
+    the same words are searched once: what meets grows with the distinct sets of words, not with the texts.
+    """
+    sets = kinds(docs, id_col, text, k)
+    wanted = queries.select("query_id", long_words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    asked = wanted.select("w").distinct()
+    met = asked.select(F.col("w").alias("q"), F.explode("w").alias("term")).join(sets.select("kind", F.explode("w").alias("term")), "term").groupBy("q", "kind").agg(F.count("*").alias("score"))
+    # Of the kinds too, k by their first document hold the k best, since each has one document at least.
+    best = top(met, k, "q", "kind").drop("rank").join(sets.select("kind", "ids"), "kind").select("q", "score", F.explode("ids").alias("doc_id"))
+    return top(wanted.join(top(best, k, "q").drop("rank"), F.col("w") == F.col("q")).select("query_id", "doc_id", "score"), k)
 
 
 def reranked(rows: DataFrame) -> DataFrame:
@@ -169,9 +189,10 @@ def entity_codes(entities: DataFrame, search: dict) -> DataFrame:
     kind, term = F.upper("entity_type"), F.lower(F.trim("entity_text"))
     system = F.when(kind.isin(*DIAGNOSIS_KINDS), "ICD10").when(kind.isin(*PROCEDURE_KINDS), "CPT")
     first = entities.where(F.trim("entity_text") != "").groupBy("claim_id", term.alias("term")).agg(F.min_by(F.struct(F.trim("entity_text").alias("entity_text"), system.alias("system")), "seq").alias("e")).select("claim_id", "term", "e.*").where("system IS NOT NULL")
+    terms = stored(first.select("term", "system").distinct())
     out = None
     for name, find in search.items():
-        asked = first.where(F.col("system") == name).select("term").distinct()
+        asked = terms.where(F.col("system") == name).select("term")
         hits = find(asked.select(F.col("term").alias("query_id"), F.col("term").alias("text"))).where("rank = 1").select(F.col("query_id").alias("term"), F.lit(name).alias("system"), F.col("doc_id").alias("code"), "score")
         out = hits if out is None else out.unionByName(hits)
     return first.join(out, ["term", "system"]).select("claim_id", "entity_text", "system", "code", "score")
