@@ -11,6 +11,8 @@ from claimloom.sources.storage import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 FUSION = 60
+#: Rows that one task sorts at most, about.
+TASK_ROWS = 1_000_000
 
 
 def top(scored: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id") -> DataFrame:
@@ -232,17 +234,23 @@ def by_synonym(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 
 def unsupported(claimed: DataFrame, found: DataFrame) -> DataFrame:
-    """Codes claimed but not found, and found but not claimed."""
-    return claimed.join(found, ["claim_id", "code"], "left_anti").select("claim_id", "code", F.lit("unsupported").alias("side")).unionByName(found.join(claimed, ["claim_id", "code"], "left_anti").select("claim_id", "code", F.lit("missing").alias("side")))
+    """Codes claimed but not found, and found but not claimed; each once, of one shuffle. A null is a code like others."""
+    both = claimed.select("claim_id", "code", F.lit(1).alias("side")).unionByName(found.select("claim_id", "code", F.lit(2).alias("side")))
+    one = both.groupBy("claim_id", "code").agg(F.bit_or("side").alias("side")).where("side <> 3")
+    return one.select("claim_id", "code", F.when(F.col("side") == 1, "unsupported").otherwise("missing").alias("side"))
 
 
 def assigned(explicit: DataFrame, hits: DataFrame, most: int = 4) -> DataFrame:
     """Explicit codes win; else the best hit per term, by score; the first is primary.
 
-    Without explicit codes one is assigned, or up to three where the best score is under 0.5.
+    Without explicit codes one is assigned, or up to three where the best score is under 0.5. A claim's
+    rows are shuffled once, to as many partitions as keep TASK_ROWS in each.
     """
-    best = top(hits.withColumnRenamed("term", "query_id").withColumnRenamed("code", "doc_id"), 1).select("claim_id", F.col("doc_id").alias("code"), F.col("score"), F.lit(1).alias("list"))
-    rows = explicit.select("claim_id", "code", F.lit(0.9).alias("score"), F.lit(0).alias("list")).unionByName(best)
+    said = explicit.select("claim_id", F.lit(None).cast(hits.schema["term"].dataType).alias("term"), "code", F.lit(0.9).alias("score"), F.lit(0).alias("list"))
+    rows = said.unionByName(hits.select("claim_id", "term", "code", "score", F.lit(1).alias("list")))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(explicit.count() + hits.count()) // TASK_ROWS))
+    best = F.row_number().over(Window.partitionBy("claim_id", "list", "term").orderBy(F.desc("score"), "code"))
+    rows = rows.repartition(parts, "claim_id").withColumn("best", best).where("list = 0 OR best = 1")
     one = rows.groupBy("claim_id", "code").agg(F.min("list").alias("list"), F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("claim_id").orderBy("list", F.desc("score"), "code"))
     w = Window.partitionBy("claim_id")

@@ -122,7 +122,7 @@ def j15(spark, d):
 @query("u2_unsupported_codes", "WITH a AS (SELECT DISTINCT claim_id, code % 10 AS code FROM expenses WHERE line_status = 'O'), b AS (SELECT DISTINCT claim_id, code % 10 AS code FROM expenses WHERE line_status = 'F') SELECT claim_id, code, 'unsupported' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT claim_id, code, 'missing' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)", "expenses")
 def u2(spark, d):
     e = role(spark, d, "expenses").select("claim_id", (F.col("code") % 10).alias("code"), "line_status")
-    return retrieval.unsupported(e.where("line_status = 'O'").select("claim_id", "code").distinct(), e.where("line_status = 'F'").select("claim_id", "code").distinct())
+    return retrieval.unsupported(e.where("line_status = 'O'"), e.where("line_status = 'F'"))
 
 
 @query("r14_w15_assigned_codes", """WITH x AS (SELECT DISTINCT claim_id, code FROM expenses WHERE line_status = 'O'), h AS (SELECT claim_id, seq, code, quantity / 50 AS score FROM expenses WHERE line_status = 'F'), b AS (SELECT claim_id, code, score FROM h QUALIFY row_number() OVER (PARTITION BY claim_id, seq ORDER BY score DESC, code) = 1),
@@ -131,8 +131,8 @@ def u2(spark, d):
     SELECT claim_id, code, rank, rank = 1 AS is_primary FROM r WHERE rank <= few""", "expenses")
 def r14(spark, d):
     e = role(spark, d, "expenses")
-    hits = e.where("line_status = 'F'").select("claim_id", F.concat_ws("/", "claim_id", "seq").alias("term"), "code", (F.col("quantity") / 50).alias("score"))
-    return retrieval.assigned(e.where("line_status = 'O'").select("claim_id", "code").distinct(), hits).select("claim_id", "code", F.col("rank").cast("long").alias("rank"), "is_primary")
+    hits = e.where("line_status = 'F'").select("claim_id", F.col("seq").alias("term"), "code", (F.col("quantity") / 50).alias("score"))
+    return retrieval.assigned(e.where("line_status = 'O'"), hits).select("claim_id", "code", F.col("rank").cast("long").alias("rank"), "is_primary")
 
 
 @query("r9_r10_rerank", f"""WITH c AS (SELECT code, 'X' || (code // 10) || CASE WHEN code % 10 = 0 THEN '' ELSE '.' || code % 10 END AS icd, description, cost / 2100 AS score, {TOKENS.format(c='description')} AS w FROM catalogue), q AS (SELECT *, {TOKENS.format(c="'large brushed steel item'")} AS qw FROM c)
