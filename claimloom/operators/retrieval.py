@@ -90,6 +90,14 @@ def fused(*ranked: DataFrame, k: int = FUSION) -> DataFrame:
     return union.groupBy("query_id", "doc_id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
 
 
+def keyword_hits(queries: DataFrame, docs: DataFrame, id_col: str, text: Column, k: int) -> DataFrame:
+    """How many of a query's words of four letters or more a document has."""
+    long = lambda w: F.filter(F.array_distinct(w), lambda x: F.length(x) > 3)
+    terms = docs.select(F.col(id_col).alias("doc_id"), F.explode(long(words(text))).alias("term"))
+    asked = queries.select("query_id", F.explode(long(words(F.col("text")))).alias("term"))
+    return top(asked.join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("score")), k)
+
+
 def long_words(text: Column) -> Column:
     """The distinct words of four letters or more, in order."""
     return F.array_sort(F.filter(F.array_distinct(words(text)), lambda x: F.length(x) > 3))
@@ -102,8 +110,8 @@ def kinds(docs: DataFrame, id_col: str, text: Column, k: int) -> DataFrame:
     return stored(first.groupBy("w").agg(F.collect_list("doc_id").alias("ids"), F.min("doc_id").alias("kind")))
 
 
-def keyword_hits(queries: DataFrame, docs: DataFrame, id_col: str, text: Column, k: int) -> DataFrame:
-    """How many of a query's words of four letters or more a document has.
+def catalogue_hits(queries: DataFrame, docs: DataFrame, id_col: str, text: Column, k: int) -> DataFrame:
+    """What keyword_hits answers, for a catalogue in which many texts have the same words.
 
     Documents of the same words score equally, so their first k stand for all of them, and queries of
     the same words are searched once: what meets grows with the distinct sets of words, not with the texts.

@@ -115,7 +115,7 @@ def j15(spark, d):
     named = role(spark, d, "expenses").select("claim_id", "seq", "code").join(catalogue, "code")
     text = F.when(F.col("seq") % 2 == 0, F.upper("description")).otherwise(F.concat(F.lit(" "), "description", F.lit(" done")))
     kind = F.when(F.col("seq") % 3 == 0, "finding").when(F.col("seq") % 3 == 1, "SURGERY").otherwise("OTHER")
-    find = lambda odd: lambda q: retrieval.keyword_hits(q, catalogue.where(F.col("code") % 2 == odd), "code", F.col("description"), 1)
+    find = lambda odd: lambda q: retrieval.catalogue_hits(q, catalogue.where(F.col("code") % 2 == odd), "code", F.col("description"), 1)
     return retrieval.entity_codes(named.select("claim_id", "seq", text.alias("entity_text"), kind.alias("entity_type")), {"ICD10": find(0), "CPT": find(1)})
 
 
