@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimloom.operators import fraud, risk, validation
-from claimloom.plans.fields import LONG, long_table
+from claimloom.plans.fields import LONG, claim_fields
 from claimloom.plans.fraud import WIDE
 from claimloom.plans.fraud import wide as fraud_wide
 from claimloom.plans.registry import query, raw, role
@@ -15,7 +15,7 @@ def features(spark, d):
     lines = role(spark, d, "expenses")
     codes = lines.select("claim_id", "code", F.when(F.col("category") == "Pharmacy", "ICD10").otherwise("CPT").alias("code_system"), (F.col("seq") == 1).alias("is_primary"))
     entities = lines.select("claim_id", F.concat(F.lit("D"), (F.col("code") % 50).cast("string")).alias("entity_text"), F.when(F.col("line_status") == "O", "DIAGNOSIS").otherwise("PROCEDURE").alias("entity_type"))
-    return risk.features(long_table(spark, d), codes, entities)
+    return risk.features(claim_fields(spark, d), codes, entities)
 
 
 FEATURES = f"""{LONG},
