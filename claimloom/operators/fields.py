@@ -162,6 +162,16 @@ def cross_document(fields: DataFrame) -> DataFrame:
     return fields.groupBy("claim_id", "field_name").agg(F.countDistinct("document_id").alias("documents"), F.countDistinct(same).alias("values")).where("documents >= 2").withColumn("agrees", F.col("values") == 1)
 
 
+def named_twice(claims: DataFrame) -> DataFrame:
+    """(claim_id, field_name, field_value, document_id) of the fields that a claim's array names twice or more.
+
+    All others can't be in two documents. Rows stay where their claim is: counts by claim and field need no shuffle.
+    """
+    rows = claims.select("claim_id", F.array_sort(F.transform("fields", lambda r: F.struct(r["field_name"].alias("field_name"), r["field_value"].alias("field_value"), r["document_id"].alias("document_id")))).alias("ordered"))
+    beside = lambda x, i: (i >= 0) & (i < F.size("ordered")) & F.get("ordered", i)["field_name"].eqNullSafe(x["field_name"])
+    return rows.select("claim_id", F.inline(F.filter("ordered", lambda x, i: beside(x, i - 1) | beside(x, i + 1))))
+
+
 def nested(fields: DataFrame) -> DataFrame:
     """Per claim a map of document type to a map of field to its first value."""
     first = fields.groupBy("claim_id", "doc_type", "field_name").agg(F.min_by("field_value", F.struct("created_at", "id")).alias("value"))

@@ -33,6 +33,12 @@ def test_maps_hold_what_the_long_way_resolves(long):
     assert told(got) == told(fields.resolved(long)) and got.count() > 100
 
 
+def test_fields_named_twice_hold_all_that_cross_documents(long):
+    arrays = long.groupBy("claim_id").agg(F.collect_list(F.struct("field_name", "field_value", "document_id")).alias("fields"))
+    got = fields.cross_document(fields.named_twice(arrays))
+    assert told(got) == told(fields.cross_document(long)) and got.count() > 20
+
+
 def test_features_are_the_same_from_either_form(spark, long):
     codes = spark.createDataFrame([(1, "A", "ICD10", True), (1, "B", "CPT", False)], "claim_id long, code string, code_system string, is_primary boolean")
     entities = spark.createDataFrame([(1, "Flu", "DIAGNOSIS"), (1, "flu ", "DIAGNOSIS"), (2, "x", "PROCEDURE")], "claim_id long, entity_text string, entity_type string")
@@ -48,7 +54,7 @@ def test_arrays_hold_the_long_table(spark):
     assert told(spread.select(columns)) == told(plans.long_table(spark, SF).select(columns))
 
 
-@pytest.mark.parametrize("name", ["m1_features", "m4_risk_score", "m5_o3_reasons", "v1_v10_rules", "v12_a18_validation_summary"])
+@pytest.mark.parametrize("name", ["m1_features", "m4_risk_score", "m5_o3_reasons", "v1_v10_rules", "v12_a18_validation_summary", "a22_cross_document"])
 def test_a_claims_fields_are_not_spread_before_they_are_shuffled(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().split("\n")
     assert not [line for line in plan if "Expand" in line and "Patient Name" in line]
