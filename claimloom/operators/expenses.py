@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.scalars import words
+from claimloom.sources.storage import stored
 
 #: Row category to charge field (fixed values).
 CATEGORY_FIELD = {
@@ -155,14 +156,22 @@ def grouped(rows: DataFrame, tolerance: float = 1.0, least: float = 0.5) -> Data
     other list, that says the same charge. Rows of one list never merge, so every semantic row
     leads and a heuristic one joins the first semantic row like it, or leads itself: chains end
     after one step. Known amounts meet by claim and bucket; a row without one meets by claim and word.
+    Words are spread only in claims whose other list has a row that could ask for them. Rows are worked
+    out once, with norm, the description as normal(), which stays for merged_charges().
     """
+    rows = stored(rows.withColumn("norm", normal(F.col("description"))))
     bucket = lambda r: F.floor(r["amount"] / tolerance)
-    r = rows.select("claim_id", "source", F.struct("seq", normal(F.col("description")).alias("norm"), F.coalesce(F.col("amount"), F.lit(0.0)).alias("amount"), "category").alias("r"))
+    r = rows.select("claim_id", "source", F.struct("seq", "norm", F.coalesce(F.col("amount"), F.lit(0.0)).alias("amount"), "category").alias("r"))
+    # Whether a claim's lists have rows without an amount: known rows show their words to those alone.
+    lacks = lambda source: F.max((F.col("source") == source) & (F.col("amount").isNull() | (F.col("amount") <= 0)))
+    lacking = rows.groupBy("claim_id").agg(lacks("semantic").alias("no_a"), lacks("heuristic").alias("no_b")).where("no_a OR no_b")
+    r = r.join(lacking, "claim_id", "left")
     tokens = F.when(F.col("r.norm") == "", F.array(F.lit(""))).otherwise(F.array_distinct(F.split("r.norm", " ")))
-    keys = lambda near: F.concat(F.when(F.col("r.amount") > 0, F.transform(near, lambda b: F.concat(F.lit("#"), b.cast("string")))).otherwise(F.array().cast("array<string>")), F.transform(tokens, lambda w: F.concat(F.lit("w"), w)))
+    none, known = F.array().cast("array<string>"), F.col("r.amount") > 0
+    keys = lambda near, asked: F.concat(F.when(known, F.transform(near, lambda b: F.concat(F.lit("#"), b.cast("string")))).otherwise(none), F.when(~known | F.coalesce(asked, F.lit(False)), F.transform(tokens, lambda w: F.concat(F.lit("w"), w))).otherwise(none))
     b = bucket(F.col("r"))
-    sem = r.where("source = 'semantic'").select("claim_id", F.col("r").alias("a"), F.explode(keys(F.array(b - 1, b, b + 1))).alias("k"))
-    heu = r.where("source = 'heuristic'").select("claim_id", F.col("r").alias("b"), F.explode(keys(F.array(b))).alias("k"))
+    sem = r.where("source = 'semantic'").select("claim_id", F.col("r").alias("a"), F.explode(keys(F.array(b - 1, b, b + 1), F.col("no_b"))).alias("k"))
+    heu = r.where("source = 'heuristic'").select("claim_id", F.col("r").alias("b"), F.explode(keys(F.array(b), F.col("no_a"))).alias("k"))
     unknown = (F.col("a.amount") <= 0) | (F.col("b.amount") <= 0)
     met = sem.join(heu, ["claim_id", "k"]).where(F.col("k").startswith("#") | unknown).where(same_charge(F.col("a"), F.col("b"), tolerance, least))
     first = met.groupBy("claim_id", F.col("b.seq").alias("seq")).agg(F.min("a.seq").alias("lead")).withColumn("source", F.lit("heuristic"))
@@ -178,7 +187,8 @@ def merged_charges(rows: DataFrame, tolerance: float = 1.0) -> DataFrame:
     under 200 characters.
     """
     rank = F.when(F.col("source") == "semantic", 3).when(F.lower("heuristic_source") == "table", 2).when(F.lower("heuristic_source") == "summary", 0).otherwise(1)
-    row = F.struct(F.when(F.col("source") == "semantic", 0).otherwise(1).alias("list"), "seq", "description", normal(F.col("description")).alias("norm"), F.coalesce(F.col("amount"), F.lit(0.0)).alias("amount"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), rank.alias("rank"))
+    norm = F.col("norm") if "norm" in rows.columns else normal(F.col("description"))
+    row = F.struct(F.when(F.col("source") == "semantic", 0).otherwise(1).alias("list"), "seq", "description", norm.alias("norm"), F.coalesce(F.col("amount"), F.lit(0.0)).alias("amount"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), rank.alias("rank"))
     if "heuristic_source" not in rows.columns:
         rows = rows.withColumn("heuristic_source", F.lit(None).cast("string"))
     pick = lambda s: F.max_by(F.when(F.col("source") == s, row), F.when(F.col("source") == s, F.struct(F.coalesce("confidence", F.lit(0.0)), -F.col("seq"))))
