@@ -61,3 +61,39 @@ def test_empty_tables(spark, texts):
     index = postings.bm25_index(docs.limit(0), "doc_id", F.col("text"))
     assert postings.searched(asks, index, K).count() == 0
     assert postings.searched(asks.limit(0), postings.bm25_index(docs, "doc_id", F.col("text")), K).count() == 0
+
+
+def shuffled(spark, job):
+    """What job returns, and how many rows its stages wrote for shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def rows():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = rows()
+    out = job()
+    return out, sum(n for k, n in rows().items() if k not in before)
+
+
+def test_neither_postings_nor_the_index_are_shuffled(spark, texts):
+    docs, asks = texts
+    index, built = shuffled(spark, lambda: postings.bm25_index(docs, "doc_id", F.col("text"), 8))
+    said, kept = index.postings.agg(F.sum(F.size("docs")), F.count("*")).first()
+    assert built < said / 2
+    few = asks.where("query_id IN (0, 1, 2)")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "12k")  # the asked terms fit, their blocks don't
+    try:
+        found, searched = shuffled(spark, lambda: postings.searched(few, index, K).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    print("postings:", said, "shuffled:", built, "rows of the index:", kept, "shuffled:", searched)
+    assert len(found) == 3 * K and searched < kept / 2
+
+
+def test_blocks_are_bounded_in_words(spark):
+    tokens = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(20000).alias("doc_len"))
+    sizes = [r["count"] for r in postings.in_blocks(tokens).groupBy("block").count().collect()]
+    assert sum(sizes) == 2000 and sum(sizes) / len(sizes) < 5 and max(sizes) < 16
