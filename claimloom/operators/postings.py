@@ -16,6 +16,8 @@ from claimloom.sources.storage import stored
 BLOCK, SEED, DIGITS = 32, 64, 6
 #: About how many words a block holds at most, where no single document has more, and how many a task inverts.
 BLOCK_WORDS, TASK_WORDS = 1 << 16, 1 << 20
+#: From how many asked terms on a search scores all their postings in one pass, and about how many parts of scores a task adds up.
+MANY, TASK_PARTS = 2_000, 1 << 22
 
 
 def tokenised(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -124,6 +126,21 @@ def plan(wanted: DataFrame, index: DataFrame, k: int, seed: int = SEED) -> Plan:
     return Plan(met, begun, told, rest, stored(alive.select("query_id", "block", "doc_id", "part")))
 
 
+def scored_whole(wanted: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) over 0, from all postings of the asked terms.
+
+    Many queries leave little of the index unread, and what they need of each block is many times the block
+    itself, so that judging blocks costs more than it saves. The asked postings are shuffled once, by
+    block, and a block's documents are scored where it is.
+    """
+    met = stored(index.join(wanted.select("term"), "term", "left_semi"), "zstd")
+    every = wanted.join(met.groupBy("term").agg(F.sum(F.size("docs")).alias("n")), "term").agg(F.sum("n")).first()[0] or 1
+    dealt = met.select("term", "block", "docs").repartition(-(-every // TASK_PARTS), "block")
+    read = dealt.join(wanted, "term").select("query_id", "block", "factor", F.explode("docs").alias("d"))
+    each = read.select("query_id", "block", F.col("d.doc_id").alias("doc_id"), (F.col("factor") * F.col("d.weight")).alias("part"))
+    return each.groupBy("query_id", "block", "doc_id").agg(F.round(F.sum("part"), DIGITS).alias("score")).where("score > 0").drop("block")
+
+
 def remaining(found: Plan) -> DataFrame:
     """The terms that aren't essential, in the blocks that have a document left: what is read to end the scores."""
     return found.rest.where("NOT essential").join(found.alive, ["query_id", "block"], "left_semi")
@@ -160,6 +177,8 @@ def searched(queries: DataFrame, index: Index, k: int) -> DataFrame:
     """
     said = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("said"))
     wanted = stored(said.join(index.factors, "term").select("query_id", "term", (F.col("said") * F.col("factor")).alias("factor")))
+    if wanted.count() > MANY:
+        return top(scored_whole(wanted, index.postings), k)
     found = plan(wanted, index.postings, k)
     more = parts(stored(remaining(found)), found.met, "query_id", "block").join(found.alive, ["query_id", "block", "doc_id"], "left_semi")
     each = found.alive.unionByName(more).drop("block")

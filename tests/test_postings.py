@@ -33,6 +33,19 @@ def test_best_are_those_of_the_plain_scores(texts, block):
     assert {r["query_id"] for r in got.select("query_id").distinct().collect()} == {*range(30), 100, 101, 105}
 
 
+def test_many_queries_are_scored_in_one_pass_with_one_shuffle_of_their_postings(spark, texts, monkeypatch):
+    docs, asks = texts
+    index = postings.bm25_index(docs, "doc_id", F.col("text"), 8)
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 5)) for r in df.collect())
+    want, before = shuffled(spark, lambda: rows(postings.searched(asks, index, K)))
+    monkeypatch.setattr(postings, "MANY", 0)
+    monkeypatch.setattr(postings, "TASK_PARTS", 1 << 14)
+    got, after = shuffled(spark, lambda: rows(postings.searched(asks, index, K)))
+    print("rows shuffled:", before, after)
+    assert got == want and after < before / 2
+    assert postings.searched(asks.limit(0), index, K).count() == 0
+
+
 def test_most_postings_are_not_read(texts):
     docs, asks = texts
     index = postings.bm25_index(docs, "doc_id", F.col("text"), 8)

@@ -30,6 +30,18 @@ def test_chapters_cover_the_catalogue_in_order(spark):
     assert got == sorted((c % 22 + 1, c) for (c,) in table(spark, "part").select("p_partkey").collect())
 
 
+@tables
+def test_stored_index_is_asked_every_item_and_equals_its_sql(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    for f in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {f} AS SELECT * FROM '{DIR}/{f}.parquet'")
+    got = sorted(tuple(r) for r in catalog.QUERIES["r5_stored_index"](spark, DIR).select("query_id", "doc_id", "score", "rank").collect())
+    assert {r[0] for r in got} == {r["item_id"] for r in table(spark, "benchmark").collect()}
+    assert got == sorted(c.execute(f"SELECT query_id, doc_id, score, rank FROM ({catalog.ORACLES['r5_stored_index']})").fetchall())
+
+
 @tables
 def test_classifier_scores_every_labelled_row(spark):
     labelled = table(spark, "documents").select("doc_id").join(table(spark, "labels"), "doc_id")
