@@ -16,8 +16,8 @@ from claimloom.sources.storage import stored
 BLOCK, SEED, DIGITS = 32, 64, 6
 #: About how many words a block holds at most, where no single document has more, and how many a task inverts.
 BLOCK_WORDS, TASK_WORDS = 1 << 16, 1 << 20
-#: From how many asked terms on a search scores all their postings in one pass, and about how many parts of scores a task adds up.
-MANY, TASK_PARTS = 2_000, 1 << 22
+#: From how many asked terms on a search scores all their postings in one pass, and about how many rows of the index a task reads for its queries.
+MANY, TASK_READS = 2_000, 1 << 19
 
 
 def tokenised(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -133,9 +133,9 @@ def scored_whole(wanted: DataFrame, index: DataFrame) -> DataFrame:
     itself, so that judging blocks costs more than it saves. The asked postings are shuffled once, by
     block, and a block's documents are scored where it is.
     """
-    met = stored(index.join(wanted.select("term"), "term", "left_semi"), "zstd")
-    every = wanted.join(met.groupBy("term").agg(F.sum(F.size("docs")).alias("n")), "term").agg(F.sum("n")).first()[0] or 1
-    dealt = met.select("term", "block", "docs").repartition(-(-every // TASK_PARTS), "block")
+    read = index.select("term").join(wanted.select("term"), "term").count()
+    met = index.select("term", "block", "docs").join(wanted.select("term"), "term", "left_semi")
+    dealt = met.repartition(max(1, -(-read // TASK_READS)), "block")
     read = dealt.join(wanted, "term").select("query_id", "block", "factor", F.explode("docs").alias("d"))
     each = read.select("query_id", "block", F.col("d.doc_id").alias("doc_id"), (F.col("factor") * F.col("d.weight")).alias("part"))
     return each.groupBy("query_id", "block", "doc_id").agg(F.round(F.sum("part"), DIGITS).alias("score")).where("score > 0").drop("block")

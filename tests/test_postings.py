@@ -39,7 +39,7 @@ def test_many_queries_are_scored_in_one_pass_with_one_shuffle_of_their_postings(
     rows = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 5)) for r in df.collect())
     want, before = shuffled(spark, lambda: rows(postings.searched(asks, index, K)))
     monkeypatch.setattr(postings, "MANY", 0)
-    monkeypatch.setattr(postings, "TASK_PARTS", 1 << 14)
+    monkeypatch.setattr(postings, "TASK_READS", 1 << 12)
     got, after = shuffled(spark, lambda: rows(postings.searched(asks, index, K)))
     print("rows shuffled:", before, after)
     assert got == want and after < before / 2
